@@ -70,3 +70,142 @@ SELECT r.doc_id, CAST(r.chunk_no AS BIGINT) AS chunk_no,
 FROM r JOIN l ON l.doc_id = r.doc_id AND l.line_no = r.line_no
 GROUP BY r.doc_id, r.chunk_no
 """
+
+ORACLE["split_lines"] = DOC_LINES
+
+ORACLE["join_lines"] = f"""
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+       md5(string_agg(line, chr(10) ORDER BY line_no) || chr(10)) AS text_md5
+FROM ({DOC_LINES}) l GROUP BY doc_id
+"""
+
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+WRAPPED = """
+SELECT conv_id, turn, CASE turn % 5
+    WHEN 0 THEN '```python' || chr(10) || text || chr(10) || '```'
+    WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```  '
+    WHEN 2 THEN '  ' || text || chr(10)
+    WHEN 3 THEN '```' || text
+    ELSE '```' || text || '```' END AS raw
+FROM conversations
+"""
+
+ORACLE["fences"] = f"""
+WITH s AS (SELECT conv_id, turn, {STRIP.format(x='raw')} AS c FROM ({WRAPPED}) w),
+f AS (SELECT conv_id, turn, c, string_split(c, chr(10)) AS ls FROM s),
+o AS (SELECT conv_id, turn,
+        CASE WHEN starts_with(c, '```') AND ends_with(c, '```') AND len(ls) > 1
+             THEN {STRIP.format(x="array_to_string(ls[2:len(ls) - 1], chr(10))")}
+             ELSE c END AS cleaned FROM f)
+SELECT conv_id, turn, md5(cleaned) AS cleaned_md5, CAST(length(cleaned) AS BIGINT) AS cleaned_chars FROM o
+"""
+
+ORACLE["echo"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, text,
+         coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS nxt
+  FROM conversations),
+a AS (
+  SELECT conv_id, turn, {STRIP.format(x='text')} AS o,
+         {STRIP.format(x='''CASE turn % 4 WHEN 0 THEN text || chr(10) || nxt WHEN 1 THEN text
+              WHEN 2 THEN nxt ELSE text || ' ' || text || ' ok' END''')} AS n
+  FROM c),
+t AS (SELECT *, CASE WHEN o <> '' THEN {STRIP.format(x='string_split(n, o)[-1]')} END AS tail FROM a)
+SELECT conv_id, turn, md5(CASE WHEN o = '' THEN n WHEN n = o THEN n
+                               WHEN contains(n, o) AND tail <> '' THEN tail ELSE n END) AS answer_md5
+FROM t
+"""
+
+ORACLE["suffix_safe_name"] = """
+WITH p AS (
+  SELECT page_id, url,
+         regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)
+           || CASE page_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '' ELSE '.tar.gz' END AS p
+  FROM pages),
+s AS (SELECT *, regexp_extract(regexp_extract(p, '[^/]*$', 0), '^.+(\\.[^.]+)$', 1) AS suffix FROM p)
+SELECT page_id, suffix,
+       CASE WHEN suffix = '' THEN p ELSE left(p, length(p) - length(suffix)) END || '.md' AS swapped,
+       regexp_replace(url, '[^\\pL\\pN_-]', '_', 'g') AS safe_url
+FROM s
+"""
+
+# files(project, path, length, content, doc_id, lang) rendered from documents
+FILES = """
+SELECT source AS project,
+       ['src', 'lib', 'node_modules', 'dist', 'build', '.git', '__pycache__'][doc_id % 7 + 1]
+         || '/' || CAST(doc_id AS VARCHAR)
+         || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.go'
+                      WHEN 'es' THEN '.txt' ELSE '.md' END AS path,
+       CAST(octet_length(encode(text)) AS BIGINT) AS length, text AS content, doc_id, lang
+FROM documents
+"""
+
+EXT = "(VALUES ('.py', 'python'), ('.js', 'javascript'), ('.go', 'go')) AS e(suffix, language)"
+
+TAGGED = f"""
+SELECT f.*, coalesce(e.language, 'unknown') AS language
+FROM ({FILES}) f
+LEFT JOIN {EXT}
+  ON e.suffix = lower(regexp_extract(regexp_extract(f.path, '[^/]*$', 0), '^.+(\\.[^.]+)$', 1))
+"""
+
+LISTING = "NOT list_has_any(string_split(path, '/'), ['node_modules', 'dist', 'build'])"
+CORPUS = ("NOT list_has_any(string_split(path, '/'), "
+          "['.git', '.hg', '.svn', '.venv', 'venv', 'node_modules', 'dist', 'build', '__pycache__'])")
+
+ORACLE["exclude_paths"] = f"SELECT project, path FROM ({FILES}) f WHERE {LISTING}"
+
+ORACLE["corpus_cap"] = f"""
+SELECT project, path, length, md5(content) AS content_md5 FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
+  FROM ({FILES}) f WHERE length <= 16000 AND {CORPUS}) t
+WHERE rn <= 8
+"""
+
+ORACLE["head_text"] = f"""
+SELECT project, path, md5(substring(content, 1, 8000)) AS head_md5,
+       CAST(length(substring(content, 1, 8000)) AS BIGINT) AS head_chars
+FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
+      FROM ({FILES}) f WHERE {LISTING}) t
+WHERE rn = 1
+"""
+
+ORACLE["tag_language"] = f"SELECT project, path, language FROM ({TAGGED}) t"
+
+ORACLE["corpus_profile"] = f"""
+WITH t AS ({TAGGED}),
+l AS (
+  SELECT t.project, t.path, length(arr[i]) AS len
+  FROM (SELECT project, path, string_split(content, chr(10)) AS arr FROM t) t,
+       LATERAL generate_series(1, len(arr)) AS g(i)
+  WHERE NOT (i = len(arr) AND arr[i] = '')),
+pf AS (SELECT project, path, count(*) AS n_lines, max(len) AS longest FROM l GROUP BY project, path)
+SELECT t.project, t.language, CAST(count(*) AS BIGINT) AS n_files,
+       CAST(sum(coalesce(pf.n_lines, 0)) AS BIGINT) AS n_lines,
+       CAST(sum(length(t.content)) AS BIGINT) AS n_chars,
+       CAST(max(coalesce(pf.longest, 0)) AS BIGINT) AS longest_line
+FROM t LEFT JOIN pf ON pf.project = t.project AND pf.path = t.path
+GROUP BY t.project, t.language
+"""
+
+ORACLE["files_block"] = f"""
+WITH b AS (
+  SELECT project, path, '### file: ' || path || chr(10) || '### language: ' || language || chr(10)
+         || content || chr(10) || '### end of file' AS blk
+  FROM ({TAGGED}) t)
+SELECT project, CAST(0 AS BIGINT) AS pack, CAST(count(*) AS BIGINT) AS n_files,
+       CAST(length(string_agg(blk, chr(10) || chr(10) ORDER BY path)) AS BIGINT) AS block_chars,
+       md5(string_agg(blk, chr(10) || chr(10) ORDER BY path)) AS block_md5
+FROM b GROUP BY project
+"""
+
+ORACLE["build_snapshot"] = f"""
+SELECT project AS root, CAST(0 AS BIGINT) AS pack,
+       'Project to convert from python to go.' AS summary,
+       CAST(row_number() OVER (PARTITION BY project ORDER BY path) - 1 AS BIGINT) AS pos,
+       path, 'unknown' AS language, md5(content) AS content_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
+      FROM ({FILES}) f WHERE length <= 200000 AND {CORPUS}) t
+WHERE rn <= 40
+"""

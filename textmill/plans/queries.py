@@ -76,3 +76,138 @@ def chunk_lines_overlap(spark, sf_dir):
         "doc_id", "chunk_no", "start_line",
         big(F.char_length("chunk")).alias("chunk_chars"), md5("chunk").alias("chunk_md5"),
     )
+
+
+# ---------------------------------------------------------------- lines, strings
+
+from ..functions import text as T  # noqa: E402
+from ..operators import corpus, lines  # noqa: E402
+from .tables import FOLDERS, files_from_documents  # noqa: E402,F401
+
+
+@query
+def split_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.split_lines(docs, "text")
+    return out.select("doc_id", big("line_no").alias("line_no"), "line")
+
+
+@query
+def join_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = lines.join_lines(lines.split_lines(docs, "text"), ["doc_id"])
+    return joined.select("doc_id", "n_lines", md5("text").alias("text_md5"))
+
+
+def _wrapped_conversations(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    t = F.col("text")
+    k = F.col("turn") % 5
+    raw = (
+        F.when(k == 0, F.concat(F.lit("```python\n"), t, F.lit("\n```")))
+        .when(k == 1, F.concat(F.lit("```\n"), t, F.lit("\n```  ")))
+        .when(k == 2, F.concat(F.lit("  "), t, F.lit("\n")))
+        .when(k == 3, F.concat(F.lit("```"), t))
+        .otherwise(F.concat(F.lit("```"), t, F.lit("```")))
+    )
+    return c.select("conv_id", "turn", raw.alias("raw"))
+
+
+@query
+def fences(spark, sf_dir):
+    w = _wrapped_conversations(spark, sf_dir)
+    cleaned = T.strip_code_fences("raw")
+    return w.select("conv_id", "turn", md5(cleaned).alias("cleaned_md5"),
+                    big(F.char_length(cleaned)).alias("cleaned_chars"))
+
+
+@query
+def echo(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    nxt = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    c = c.select("conv_id", "turn", "text", nxt.alias("nxt"))
+    k = F.col("turn") % 4
+    answer = (
+        F.when(k == 0, F.concat("text", F.lit("\n"), "nxt"))
+        .when(k == 1, F.col("text"))
+        .when(k == 2, F.col("nxt"))
+        .otherwise(F.concat("text", F.lit(" "), "text", F.lit(" ok")))
+    )
+    out = T.drop_echo(answer, F.col("text"))
+    return c.select("conv_id", "turn", md5(out).alias("answer_md5"))
+
+
+@query
+def suffix_safe_name(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    upath = F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1)
+    ext = F.element_at(F.array(F.lit(".html"), F.lit(""), F.lit(".tar.gz")), (F.col("page_id") % 3 + 1).cast("int"))
+    p = p.select("page_id", "url", F.concat(upath, ext).alias("p"))
+    return p.select(
+        "page_id",
+        T.path_suffix("p").alias("suffix"),
+        T.swap_suffix("p", ".md").alias("swapped"),
+        T.safe_name("url").alias("safe_url"),
+    )
+
+
+# ---------------------------------------------------------------- corpus
+
+from pyspark.sql import Window  # noqa: E402
+
+# The caller's extension table used by the language queries.
+EXTENSIONS = [(".py", "python"), (".js", "javascript"), (".go", "go")]
+
+
+def _extensions(spark):
+    return spark.createDataFrame(EXTENSIONS, "suffix string, language string")
+
+
+@query
+def exclude_paths(spark, sf_dir):
+    f = files_from_documents(spark, sf_dir)
+    return corpus.exclude_paths(f, corpus.LISTING_EXCLUDES).select("project", "path")
+
+
+@query
+def corpus_cap(spark, sf_dir):
+    f = files_from_documents(spark, sf_dir)
+    out = corpus.collect_corpus(f, max_files=8, max_bytes=16_000)
+    return out.select("project", "path", "length", md5("content").alias("content_md5"))
+
+
+@query
+def head_text(spark, sf_dir):
+    f = corpus.exclude_paths(files_from_documents(spark, sf_dir), corpus.LISTING_EXCLUDES)
+    out = corpus.head_text(f)
+    return out.select("project", "path", md5("head").alias("head_md5"),
+                      big(F.char_length("head")).alias("head_chars"))
+
+
+@query
+def tag_language(spark, sf_dir):
+    f = files_from_documents(spark, sf_dir)
+    return corpus.tag_language(f, _extensions(spark)).select("project", "path", "language")
+
+
+@query
+def corpus_profile(spark, sf_dir):
+    f = corpus.tag_language(files_from_documents(spark, sf_dir), _extensions(spark))
+    return corpus.corpus_profile(f)
+
+
+@query
+def files_block(spark, sf_dir):
+    f = corpus.tag_language(files_from_documents(spark, sf_dir), _extensions(spark))
+    out = corpus.files_block(f)
+    return out.select("project", "pack", "n_files", big(F.char_length("block")).alias("block_chars"),
+                      md5("block").alias("block_md5"))
+
+
+@query
+def build_snapshot(spark, sf_dir):
+    f = corpus.collect_corpus(files_from_documents(spark, sf_dir))
+    snap = corpus.build_snapshot(f, "python", "go")
+    flat = snap.select("root", "pack", "summary", F.posexplode("files").alias("pos", "f"))
+    return flat.select("root", "pack", "summary", big("pos").alias("pos"), F.col("f.path").alias("path"),
+                       F.col("f.language").alias("language"), md5("f.content").alias("content_md5"))
