@@ -209,3 +209,162 @@ FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
       FROM ({FILES}) f WHERE length <= 200000 AND {CORPUS}) t
 WHERE rn <= 40
 """
+
+# ---------------------------------------------------------------- ranges, versions, blocks
+
+LINES_P = f"SELECT 'doc/' || doc_id || '.txt' AS path, line_no, line FROM ({DOC_LINES}) dl"
+
+SELECTIONS = """
+SELECT doc_id AS sel_id,
+       CASE WHEN doc_id % 10 = 9 THEN 'doc/missing-' || doc_id || '.txt' ELSE 'doc/' || doc_id || '.txt' END AS path,
+       CAST(st AS BIGINT) AS start_line,
+       CAST(CASE WHEN doc_id % 23 = 5 THEN st - 1 ELSE st + doc_id % 4 END AS BIGINT) AS end_line
+FROM (SELECT doc_id, doc_id % 5 + 1 + CASE WHEN doc_id % 13 = 7 THEN 40 ELSE 0 END AS st FROM documents) d
+"""
+
+ORACLE["extract_ranges"] = f"""
+WITH l AS ({LINES_P}), s AS ({SELECTIONS}),
+n AS (SELECT path, max(line_no) AS nl FROM l GROUP BY path),
+e AS (SELECT s.*, n.nl,
+        CASE WHEN n.nl IS NULL THEN 'file not found'
+             WHEN start_line < 1 OR end_line < start_line THEN 'invalid range' END AS error
+      FROM s LEFT JOIN n ON n.path = s.path),
+x AS (SELECT e.sel_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet, count(*) AS k
+      FROM e JOIN l ON l.path = e.path AND l.line_no BETWEEN e.start_line AND e.end_line
+      WHERE e.error IS NULL GROUP BY e.sel_id)
+SELECT e.sel_id, e.path, e.start_line, e.end_line,
+       CASE WHEN e.error IS NULL THEN md5(coalesce(x.snippet, '')) END AS snippet_md5,
+       CASE WHEN e.error IS NULL THEN CAST(coalesce(x.k, 0) AS BIGINT) END AS n_snippet_lines,
+       e.error
+FROM e LEFT JOIN x ON x.sel_id = e.sel_id
+"""
+
+EDITS = """
+SELECT doc_id * 10 AS edit_id, 'doc/' || doc_id || '.txt' AS path, doc_id % 3 + 1 AS start_line,
+       doc_id % 3 + 1 + doc_id % 2 AS end_line, 'edited ' || doc_id || chr(10) || 'second line' AS snippet
+FROM documents
+UNION ALL SELECT doc_id * 10 + 1, 'doc/' || doc_id || '.txt', 6, 6, '' FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id * 10 + 2, 'doc/' || doc_id || '.txt', 2, 3, 'overlap' FROM documents WHERE doc_id % 9 = 0
+UNION ALL SELECT doc_id * 10 + 3, 'doc/' || doc_id || '.txt', 50, 60, 'tail' FROM documents WHERE doc_id % 7 = 3
+UNION ALL SELECT doc_id * 10 + 4, 'doc/missing-' || doc_id || '.txt', 1, 1, 'x' FROM documents WHERE doc_id % 11 = 1
+UNION ALL SELECT doc_id * 10 + 5, 'doc/' || doc_id || '.txt', 0, 1, 'bad' FROM documents WHERE doc_id % 17 = 2
+"""
+
+EDIT_CHECK = f"""
+l AS ({LINES_P}),
+n AS (SELECT path, max(line_no) AS nl FROM l GROUP BY path),
+e AS (SELECT ed.*, n.nl,
+        CASE WHEN n.nl IS NULL THEN 'file not found'
+             WHEN start_line < 1 OR end_line < start_line THEN 'invalid range' END AS err
+      FROM ({EDITS}) ed LEFT JOIN n ON n.path = ed.path),
+c AS (SELECT e.*, CASE WHEN err IS NOT NULL THEN err
+                       WHEN EXISTS (SELECT 1 FROM e e2 WHERE e2.err IS NULL AND e2.path = e.path
+                                    AND e2.edit_id <> e.edit_id AND e2.start_line <= e.end_line
+                                    AND e.start_line <= e2.end_line) THEN 'overlapping edit' END AS error
+      FROM e)
+"""
+
+ORACLE["edit_status"] = f"WITH {EDIT_CHECK} SELECT CAST(edit_id AS BIGINT) AS edit_id, path, error FROM c"
+
+ORACLE["apply_edits"] = f"""
+WITH {EDIT_CHECK},
+v AS (SELECT * FROM c WHERE error IS NULL),
+newl AS (SELECT path, least(start_line, nl + 1) AS anchor, start_line AS s0, edit_id AS e0, i AS seq,
+                arr[i] AS line
+         FROM (SELECT v.*, string_split(snippet, chr(10)) AS arr FROM v) v,
+              LATERAL generate_series(1, len(arr)) AS g(i)
+         WHERE NOT (i = len(arr) AND arr[i] = '')),
+kept AS (SELECT l.path, l.line_no AS anchor, 0 AS s0, 0 AS e0, 0 AS seq, l.line FROM l
+         WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.path = l.path
+                           AND l.line_no BETWEEN v.start_line AND v.end_line)),
+a AS (SELECT * FROM kept UNION ALL SELECT * FROM newl)
+SELECT path, CAST(count(*) AS BIGINT) AS n_lines,
+       md5(string_agg(line, chr(10) ORDER BY anchor, s0, e0, seq) || chr(10)) AS text_md5
+FROM a GROUP BY path
+"""
+
+ORACLE["duplicate_blocks"] = f"""
+WITH l AS ({LINES_P}),
+w AS (SELECT path, line_no, line || chr(10) || lead(line) OVER (PARTITION BY path ORDER BY line_no) AS blk
+      FROM l),
+h AS (SELECT path, line_no, sha256(blk) AS block_hash FROM w WHERE blk IS NOT NULL)
+SELECT block_hash, CAST(count(*) AS BIGINT) AS n,
+       arg_min(path, (path, line_no)) AS first_path,
+       CAST(arg_min(line_no, (path, line_no)) AS BIGINT) AS first_line
+FROM h GROUP BY block_hash HAVING count(*) > 1
+"""
+
+NEW_LINES = f"""
+SELECT path, line_no * 10 AS k,
+       CASE WHEN line_no % 5 = 2 THEN line || ' (edited)' ELSE line END AS line
+FROM ({LINES_P}) a WHERE line_no % 7 <> 3
+UNION ALL
+SELECT path, line_no * 10 + 2, 'added after line ' || line_no FROM ({LINES_P}) b WHERE line_no % 6 = 1
+"""
+
+VERSIONS = f"""
+WITH ed AS (SELECT path, string_agg(line, chr(10) ORDER BY k) AS text FROM ({NEW_LINES}) nl GROUP BY path),
+o AS (SELECT doc_id, 'doc/' || doc_id || '.txt' AS path, text FROM documents),
+nw AS (SELECT o.path, CASE WHEN o.doc_id % 4 = 1 THEN o.text ELSE ed.text END AS text
+       FROM o LEFT JOIN ed ON ed.path = o.path
+       WHERE o.doc_id % 11 <> 0 AND (CASE WHEN o.doc_id % 4 = 1 THEN o.text ELSE ed.text END) IS NOT NULL
+       UNION ALL
+       SELECT 'doc/' || doc_id || '-copy.txt', text FROM documents WHERE doc_id % 13 = 0)
+SELECT coalesce(o.path, nw.path) AS path, o.text AS old, nw.text AS new
+FROM o FULL OUTER JOIN nw ON nw.path = o.path
+"""
+
+STATUS = """CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed'
+                 WHEN old = new THEN 'same' ELSE 'modified' END"""
+
+
+def split_sql(src: str, key: str, text: str) -> str:
+    """Lines (no terminators) of ``text`` in ``src``; text holds only '\\n' breaks."""
+    return f"""
+SELECT {key}, arr[i] AS line FROM (SELECT {key}, string_split({text}, chr(10)) AS arr FROM {src}
+                                   WHERE {text} IS NOT NULL) t,
+       LATERAL generate_series(1, len(arr)) AS g(i)
+WHERE NOT (i = len(arr) AND arr[i] = '')"""
+
+
+ORACLE["snapshot_diff"] = f"""
+WITH v AS ({VERSIONS}),
+st AS (SELECT path, {STATUS} AS status, old, new FROM v),
+ch AS (SELECT * FROM st WHERE status <> 'same'),
+sl AS (SELECT path, line, -1 AS sign FROM ({split_sql('ch', 'path', 'old')}) a
+       UNION ALL SELECT path, line, 1 FROM ({split_sql('ch', 'path', 'new')}) b),
+pl AS (SELECT path, line, sum(sign) AS d FROM sl GROUP BY path, line),
+pf AS (SELECT path, sum(CASE WHEN d > 0 THEN d ELSE 0 END) AS a, sum(CASE WHEN d < 0 THEN -d ELSE 0 END) AS r
+       FROM pl GROUP BY path)
+SELECT st.path, st.status, CAST(coalesce(pf.a, 0) AS BIGINT) AS lines_added,
+       CAST(coalesce(pf.r, 0) AS BIGINT) AS lines_removed
+FROM st LEFT JOIN pf ON pf.path = st.path
+"""
+
+ORACLE["changed_only"] = f"""
+SELECT path, {STATUS} AS status, md5(old) AS old_md5, md5(new) AS new_md5
+FROM ({VERSIONS}) v WHERE old IS DISTINCT FROM new
+"""
+
+DELTA = f"""
+SELECT path, line_no * 10 AS seq,
+       CASE WHEN line_no % 7 = 3 OR line_no % 5 = 2 THEN '- ' ELSE '  ' END || line || chr(10) AS line
+FROM ({LINES_P}) a
+UNION ALL
+SELECT path, line_no * 10 + 1, '+ ' || line || ' (edited)' || chr(10)
+FROM ({LINES_P}) b WHERE line_no % 7 <> 3 AND line_no % 5 = 2
+UNION ALL
+SELECT path, line_no * 10 + 2, '+ added after line ' || line_no || chr(10)
+FROM ({LINES_P}) c WHERE line_no % 6 = 1
+"""
+
+ORACLE["restore_side"] = f"""
+WITH d AS ({DELTA})
+SELECT path, CAST(1 AS BIGINT) AS side, CAST(count(*) AS BIGINT) AS n_lines,
+       md5(string_agg(substring(line, 3), '' ORDER BY seq)) AS text_md5
+FROM d WHERE left(line, 2) IN ('  ', '- ') GROUP BY path
+UNION ALL
+SELECT path, CAST(2 AS BIGINT), CAST(count(*) AS BIGINT),
+       md5(string_agg(substring(line, 3), '' ORDER BY seq))
+FROM d WHERE left(line, 2) IN ('  ', '+ ') GROUP BY path
+"""

@@ -211,3 +211,62 @@ def build_snapshot(spark, sf_dir):
     flat = snap.select("root", "pack", "summary", F.posexplode("files").alias("pos", "f"))
     return flat.select("root", "pack", "summary", big("pos").alias("pos"), F.col("f.path").alias("path"),
                        F.col("f.language").alias("language"), md5("f.content").alias("content_md5"))
+
+
+# ---------------------------------------------------------------- ranges, versions, blocks
+
+from ..operators import hygiene, ranges, versions as vers  # noqa: E402
+from .tables import corpus_versions, doc_lines, edits, line_delta, selections  # noqa: E402
+
+
+@query
+def extract_ranges(spark, sf_dir):
+    out = ranges.extract_ranges(doc_lines(spark, sf_dir), selections(spark, sf_dir))
+    return out.select("sel_id", "path", big("start_line").alias("start_line"), big("end_line").alias("end_line"),
+                      md5("snippet").alias("snippet_md5"), "n_snippet_lines", "error")
+
+
+@query
+def apply_edits(spark, sf_dir):
+    new_lines, _ = ranges.apply_edits(doc_lines(spark, sf_dir), edits(spark, sf_dir))
+    joined = lines.join_lines(new_lines, ["path"])
+    return joined.select("path", "n_lines", md5("text").alias("text_md5"))
+
+
+@query
+def edit_status(spark, sf_dir):
+    _, status = ranges.apply_edits(doc_lines(spark, sf_dir), edits(spark, sf_dir))
+    return status.select("edit_id", "path", "error")
+
+
+@query
+def duplicate_blocks(spark, sf_dir):
+    return hygiene.duplicate_blocks(doc_lines(spark, sf_dir), k=2)
+
+
+@query
+def snapshot_diff(spark, sf_dir):
+    return vers.snapshot_diff(corpus_versions(spark, sf_dir))
+
+
+@query
+def changed_only(spark, sf_dir):
+    v = vers.changed_only(corpus_versions(spark, sf_dir))
+    return v.select("path", vers.status_col().alias("status"), md5("old").alias("old_md5"),
+                    md5("new").alias("new_md5"))
+
+
+@query
+def unified_diff(spark, sf_dir):
+    """Rows-only check: the line matcher is a per-row library."""
+    d = vers.unified_diff(corpus_versions(spark, sf_dir))
+    return d.select("path", big(F.size(F.split("diff", "\n")) - 1).alias("diff_lines"), md5("diff").alias("diff_md5"))
+
+
+@query
+def restore_side(spark, sf_dir):
+    delta = line_delta(spark, sf_dir)
+    s1 = vers.restore_side(delta, 1).withColumn("side", F.lit(1).cast("long"))
+    s2 = vers.restore_side(delta, 2).withColumn("side", F.lit(2).cast("long"))
+    out = s1.unionByName(s2)
+    return out.select("path", "side", "n_lines", md5("text").alias("text_md5"))

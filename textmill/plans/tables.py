@@ -52,3 +52,105 @@ def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "lang",
     )
+
+
+# ------------------------------------------------------------------ line renderings
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines(path, line_no, line)`` of every document (no terminators)."""
+    from ..operators.lines import split_lines
+
+    d = table(spark, sf_dir, "documents").select(doc_path().alias("path"), "text")
+    return split_lines(d, "text")
+
+
+def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One selection per document; some name a missing file, some are
+    invalid (end before start), some start past the end."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    path = F.when(i % 10 == 9, F.concat(F.lit("doc/missing-"), i.cast("string"), F.lit(".txt"))).otherwise(doc_path())
+    start = (i % 5 + 1 + F.when(i % 13 == 7, 40).otherwise(0)).cast("int")
+    end = F.when(i % 23 == 5, start - 1).otherwise(start + i % 4).cast("int")
+    return d.select(i.alias("sel_id"), path.alias("path"), start.alias("start_line"), end.alias("end_line"))
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits per document: a two-line replacement near the top; deletions,
+    overlapping edits, appends past the end, missing files and invalid
+    ranges on some documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    a_start = (i % 3 + 1).cast("int")
+    rows = [
+        (F.lit(True), i * 10, doc_path(), a_start, (a_start + i % 2).cast("int"),
+         F.concat(F.lit("edited "), i.cast("string"), F.lit("\nsecond line"))),
+        (i % 4 == 0, i * 10 + 1, doc_path(), F.lit(6), F.lit(6), F.lit("")),
+        (i % 9 == 0, i * 10 + 2, doc_path(), F.lit(2), F.lit(3), F.lit("overlap")),
+        (i % 7 == 3, i * 10 + 3, doc_path(), F.lit(50), F.lit(60), F.lit("tail")),
+        (i % 11 == 1, i * 10 + 4, F.concat(F.lit("doc/missing-"), i.cast("string"), F.lit(".txt")),
+         F.lit(1), F.lit(1), F.lit("x")),
+        (i % 17 == 2, i * 10 + 5, doc_path(), F.lit(0), F.lit(1), F.lit("bad")),
+    ]
+    arr = F.filter(
+        F.array(*[F.struct(c.alias("on"), e.cast("long").alias("edit_id"), p.alias("path"),
+                           s.cast("int").alias("start_line"), en.cast("int").alias("end_line"),
+                           sn.alias("snippet")) for c, e, p, s, en, sn in rows]),
+        lambda x: x["on"],
+    )
+    return d.select(F.explode(arr).alias("e")).select("e.edit_id", "e.path", "e.start_line", "e.end_line", "e.snippet")
+
+
+def new_version_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the second version: line_no % 7 == 3 dropped, % 5 == 2 edited,
+    a line added after % 6 == 1. Ordered by ``k``."""
+    ln = doc_lines(spark, sf_dir)
+    n = F.col("line_no")
+    own = F.when(n % 7 == 3, F.lit(None)).when(
+        n % 5 == 2, F.concat("line", F.lit(" (edited)"))).otherwise(F.col("line"))
+    add = F.when(n % 6 == 1, F.concat(F.lit("added after line "), n.cast("string")))
+    x = ln.select("path", "line_no", F.explode(F.array(
+        F.struct((n * 10).cast("long").alias("k"), own.alias("t")),
+        F.struct((n * 10 + 2).cast("long").alias("k"), add.alias("t")))).alias("x"))
+    return x.filter(F.col("x.t").isNotNull()).select("path", F.col("x.k").alias("k"), F.col("x.t").alias("line"))
+
+
+def corpus_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``versions(path, old, new)``: documents against a second version.
+    Ids % 4 == 1 unchanged, % 11 == 0 removed, % 13 == 0 also copied to a
+    new path (added)."""
+    from ..operators.lines import join_lines
+    from ..operators.versions import versions
+
+    d = table(spark, sf_dir, "documents")
+    old = d.select(doc_path().alias("path"), "text")
+    edited = join_lines(new_version_lines(spark, sf_dir), ["path"], "k", "line", "text", final_newline=False)
+    ids = d.select(doc_path().alias("path"), "doc_id", F.col("text").alias("orig"))
+    new = ids.join(edited.select("path", "text"), "path", "left").select(
+        "path", "doc_id", F.when(F.col("doc_id") % 4 == 1, F.col("orig")).otherwise(F.col("text")).alias("text"))
+    new = new.filter((F.col("doc_id") % 11 != 0) & F.col("text").isNotNull()).select("path", "text")
+    copies = d.filter(F.col("doc_id") % 13 == 0).select(
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("-copy.txt")).alias("path"), "text")
+    return versions(old, new.unionByName(copies))
+
+
+def line_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged delta ``(path, seq, line)`` between a document and its second
+    version, lines with terminators: '  ' kept, '- ' removed, '+ ' added."""
+    ln = doc_lines(spark, sf_dir)
+    n = F.col("line_no")
+    end = F.lit("\n")
+    items = F.array(
+        F.struct((n * 10).cast("long").alias("seq"),
+                 F.when(n % 7 == 3, F.concat(F.lit("- "), "line", end))
+                 .when(n % 5 == 2, F.concat(F.lit("- "), "line", end))
+                 .otherwise(F.concat(F.lit("  "), "line", end)).alias("t")),
+        F.struct((n * 10 + 1).cast("long").alias("seq"),
+                 F.when((n % 7 != 3) & (n % 5 == 2), F.concat(F.lit("+ "), "line", F.lit(" (edited)"), end))
+                 .alias("t")),
+        F.struct((n * 10 + 2).cast("long").alias("seq"),
+                 F.when(n % 6 == 1, F.concat(F.lit("+ added after line "), n.cast("string"), end)).alias("t")),
+    )
+    x = ln.select("path", F.explode(items).alias("x"))
+    return x.filter(F.col("x.t").isNotNull()).select("path", F.col("x.seq").alias("seq"), F.col("x.t").alias("line"))
