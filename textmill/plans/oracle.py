@@ -368,3 +368,195 @@ SELECT path, CAST(2 AS BIGINT), CAST(count(*) AS BIGINT),
        md5(string_agg(substring(line, 3), '' ORDER BY seq))
 FROM d WHERE left(line, 2) IN ('  ', '+ ') GROUP BY path
 """
+
+# ---------------------------------------------------------------- requests, answers
+
+REQUESTS = """
+SELECT conv_id AS session, turn,
+       CASE WHEN conv_id % 4 = 1 AND turn = 2 THEN ' EXIT '
+            WHEN conv_id % 6 = 2 AND turn = 1 THEN 'quit'
+            WHEN turn % 7 = 3 THEN '   ' ELSE text END AS text
+FROM conversations
+"""
+
+ORACLE["session_requests"] = f"""
+WITH r AS ({REQUESTS}),
+f AS (SELECT *, max(CASE WHEN lower({STRIP.format(x='text')}) IN ('exit', 'quit') THEN 1 ELSE 0 END)
+               OVER (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING) AS closed
+      FROM r)
+SELECT session, turn, md5(text) AS text_md5 FROM f
+WHERE closed = 0 AND {STRIP.format(x='text')} <> ''
+"""
+
+ROUTED = """
+SELECT conv_id, turn, CASE turn % 7
+    WHEN 0 THEN 'remove dead code in ' WHEN 1 THEN 'convert this project to go: '
+    WHEN 2 THEN 'check dependencies of ' WHEN 3 THEN 'simplify ' WHEN 4 THEN 'analyze '
+    WHEN 5 THEN 'refactor lines ' || (turn + 1) || '~' || (turn + 5) || ' of ' ELSE '' END || text AS text
+FROM conversations
+"""
+
+RANGE_RE = "(\\d+)\\s*[~-]\\s*(\\d+)"
+
+ORACLE["route_requests"] = f"""
+SELECT conv_id, turn,
+  CASE WHEN regexp_matches(lower(text), '{RANGE_RE}') THEN 'refactor_partial'
+       WHEN regexp_matches(lower(text), 'dead[ _-]?code') THEN 'refactor_dead_code'
+       WHEN regexp_matches(lower(text), 'convert|translate|migrate') THEN 'convert_language'
+       WHEN regexp_matches(lower(text), 'dependenc|package|requirement|version') THEN 'deps_analyze'
+       WHEN regexp_matches(lower(text), 'simplif|clean|refactor') THEN 'refactor_simplify'
+       WHEN regexp_matches(lower(text), 'analy[sz]|explain|review') THEN 'analyze' END AS tool,
+  CASE WHEN regexp_matches(lower(text), '{RANGE_RE}')
+       THEN TRY_CAST(regexp_extract(lower(text), '{RANGE_RE}', 1) AS BIGINT) END AS start_line,
+  CASE WHEN regexp_matches(lower(text), '{RANGE_RE}')
+       THEN TRY_CAST(regexp_extract(lower(text), '{RANGE_RE}', 2) AS BIGINT) END AS end_line
+FROM ({ROUTED}) r
+"""
+
+SPECS = """
+SELECT event_id AS request_id, CASE
+  WHEN event_id % 16 = 15 THEN 'tool=' || event_type
+  WHEN event_id % 8 = 0 THEN '{"tool": "analyze", "path": "src/' || user_id || '"}'
+  WHEN event_id % 8 = 1 THEN '{"tool": "refactor_partial", "path": "a.py", "start_line": ' || user_id
+       || ', "end_line": ' || (user_id + 3) || ', "kind": "' || event_type || '"}'
+  WHEN event_id % 8 = 2 THEN '{"tool": "refactor_partial", "path": "b.py", "start_line": "' || user_id || '"}'
+  WHEN event_id % 8 = 3 THEN '{"tool": "refactor_partial", "start_line": "ten"}'
+  WHEN event_id % 8 = 4 THEN '{"tool": "convert_language", "path": "proj", "src_lang": "python", "tgt_lang": "go"}'
+  WHEN event_id % 8 = 5 THEN '{"tool": "convert_language", "tgt_lang": "rust"}'
+  WHEN event_id % 8 = 6 THEN '[' || props || ']'
+  ELSE '{"tool": "deps_analyze", "summary": "false", ' || substring(props, 2) END AS body
+FROM events
+"""
+
+ORACLE["normalize_requests"] = f"""
+WITH s AS (SELECT request_id, body,
+                  CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' ELSE FALSE END AS obj
+           FROM ({SPECS}) x),
+g AS (SELECT request_id, obj,
+        CASE WHEN obj THEN json_extract_string(body, '$.tool') END AS tool,
+        CASE WHEN obj THEN json_extract_string(body, '$.path') END AS path,
+        CASE WHEN obj THEN json_type(body, '$.summary') END AS summary_t,
+        CASE WHEN obj THEN json_extract_string(body, '$.start_line') END AS start_s,
+        CASE WHEN obj THEN json_extract_string(body, '$.end_line') END AS end_s,
+        CASE WHEN obj THEN json_extract_string(body, '$.kind') END AS kind,
+        CASE WHEN obj THEN json_extract_string(body, '$.instruction') END AS instruction,
+        CASE WHEN obj THEN json_extract_string(body, '$.global_instruction') END AS global_instruction,
+        CASE WHEN obj THEN json_extract_string(body, '$.scope') END AS scope,
+        CASE WHEN obj THEN json_extract_string(body, '$.src_lang') END AS src_lang,
+        CASE WHEN obj THEN json_extract_string(body, '$.tgt_lang') END AS tgt_lang,
+        CASE WHEN obj THEN json_extract_string(body, '$.target_stack_desc') END AS tsd,
+        CASE WHEN obj THEN json_extract(body, '$.summary') END AS summary_j
+      FROM s)
+SELECT request_id,
+  CASE WHEN obj THEN tool END AS tool,
+  CASE WHEN obj THEN coalesce(path, '.') END AS path,
+  CASE WHEN obj THEN CASE WHEN summary_t = 'BOOLEAN' THEN CAST(summary_j AS BOOLEAN) ELSE TRUE END END AS summary,
+  CASE WHEN obj THEN coalesce(TRY_CAST(start_s AS BIGINT), 1) END AS start_line,
+  CASE WHEN obj THEN coalesce(TRY_CAST(end_s AS BIGINT), TRY_CAST(start_s AS BIGINT), 1) END AS end_line,
+  CASE WHEN obj THEN coalesce(kind, 'custom') END AS kind,
+  CASE WHEN obj THEN coalesce(kind, 'custom') IN ('style', 'bugfix', 'performance', 'readability',
+                                                  'cleanup', 'custom') END AS valid_kind,
+  CASE WHEN obj THEN coalesce(instruction, '') END AS instruction,
+  CASE WHEN obj THEN coalesce(global_instruction, '') END AS global_instruction,
+  CASE WHEN obj THEN coalesce(scope, 'auto') END AS scope,
+  CASE WHEN obj THEN src_lang END AS src_lang,
+  CASE WHEN obj THEN tgt_lang END AS tgt_lang,
+  CASE WHEN obj THEN coalesce(CASE WHEN tsd <> '' THEN tsd END,
+                              'An idiomatic ' || tgt_lang || ' project using its standard library.') END
+    AS target_stack_desc,
+  CASE WHEN NOT obj THEN 'not a JSON object'
+       WHEN tool IS NULL OR tool NOT IN ('analyze', 'refactor_dead_code', 'refactor_simplify',
+                                         'refactor_partial', 'convert_language', 'deps_analyze') THEN 'unknown tool'
+       WHEN summary_t IS NOT NULL AND summary_t <> 'NULL' AND summary_t <> 'BOOLEAN' THEN 'summary must be a boolean'
+       WHEN start_s IS NOT NULL AND TRY_CAST(start_s AS BIGINT) IS NULL THEN 'start_line is not an integer'
+       WHEN end_s IS NOT NULL AND TRY_CAST(end_s AS BIGINT) IS NULL THEN 'end_line is not an integer'
+       WHEN tool = 'convert_language' AND (coalesce(src_lang, '') = '' OR coalesce(tgt_lang, '') = '')
+         THEN 'src_lang and tgt_lang are required' END AS error
+FROM g
+"""
+
+ANSWERS = """
+SELECT event_id AS key, CASE event_id % 6
+  WHEN 0 THEN '{"files": [{"path": "src/e' || event_id || '.ts", "content": "v' || user_id
+       || '"}, {"path": ' || user_id || ', "content": "x"}, {"path": "p' || event_id
+       || '", "content": null}], "notes": "' || event_type || '"}'
+  WHEN 1 THEN '{"files": [], "notes": ' || user_id || '}'
+  WHEN 2 THEN '[1, 2, 3]'
+  WHEN 3 THEN '{"files": ' || props || ', "notes": "n"}'
+  WHEN 4 THEN '{"files": [' || props || ', "oops", {"path": "q.go", "content": "' || event_type || '"}]}'
+  ELSE 'not json ' || event_type END AS answer
+FROM events
+"""
+
+ORACLE["parse_answers"] = f"""
+WITH a AS (SELECT key, answer, CASE WHEN NOT json_valid(answer) THEN 'invalid'
+                                    WHEN json_type(answer) = 'OBJECT' THEN 'object'
+                                    WHEN json_type(answer) = 'ARRAY' THEN 'array' ELSE 'scalar' END AS kind
+           FROM ({ANSWERS}) x)
+SELECT key, kind,
+       CASE WHEN kind = 'invalid' THEN 'invalid JSON' WHEN kind <> 'object' THEN 'not a JSON object' END AS error,
+       CASE WHEN kind = 'object' THEN coalesce(json_extract_string(answer, '$.notes'), '') END AS notes
+FROM a
+"""
+
+ORACLE["converted_files"] = f"""
+WITH a AS (SELECT key, json_extract(answer, '$.files') AS files FROM ({ANSWERS}) x
+           WHERE CASE WHEN json_valid(answer) THEN json_type(answer) = 'OBJECT' ELSE FALSE END),
+e AS (SELECT key, i - 1 AS pos, json_extract(files, '$[' || (i - 1) || ']') AS e
+      FROM a, LATERAL generate_series(1, CAST(json_array_length(files) AS BIGINT)) AS g(i)
+      WHERE json_type(files) = 'ARRAY')
+SELECT key, CAST(pos AS BIGINT) AS pos, json_extract_string(e, '$.path') AS path,
+       md5(json_extract_string(e, '$.content')) AS content_md5
+FROM e WHERE json_type(e, '$.path') = 'VARCHAR' AND json_type(e, '$.content') = 'VARCHAR'
+"""
+
+ISSUE_TYPE = "['missing', 'unused', 'conflict', 'outdated', 'other', 'bogus'][l_linenumber % 6 + 1]"
+ISSUE_FILE = """CASE l_linenumber % 4 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'package.json'
+                WHEN 2 THEN 'docs/' || l_partkey || '.md' ELSE '' END"""
+
+ANALYSIS = f"""
+SELECT l_orderkey AS key, json_object(
+  'summary', 'order ' || l_orderkey,
+  'issues', CAST('[' || string_agg(CAST(json_object(
+     'type', {ISSUE_TYPE}, 'file', {ISSUE_FILE},
+     'detail', 'part ' || l_partkey, 'suggestion', 'supplier ' || l_suppkey) AS VARCHAR), ','
+     ORDER BY l_linenumber, {ISSUE_TYPE}, {ISSUE_FILE}, 'part ' || l_partkey, 'supplier ' || l_suppkey)
+     || ']' AS JSON)
+) AS answer
+FROM lineitem GROUP BY l_orderkey
+"""
+
+ISSUES = f"""
+WITH a AS (SELECT key, json_extract(answer, '$.issues') AS arr FROM ({ANALYSIS}) x),
+e AS (SELECT key, i - 1 AS pos, json_extract(arr, '$[' || (i - 1) || ']') AS e
+      FROM a, LATERAL generate_series(1, CAST(json_array_length(arr) AS BIGINT)) AS g(i)
+      WHERE json_type(arr) = 'ARRAY')
+SELECT key, CAST(pos AS BIGINT) AS pos, json_extract_string(e, '$.type') AS type,
+       json_extract_string(e, '$.file') AS file, json_extract_string(e, '$.detail') AS detail,
+       json_extract_string(e, '$.suggestion') AS suggestion,
+       coalesce(json_extract_string(e, '$.type') IN ('missing', 'unused', 'conflict', 'outdated', 'other'),
+                FALSE) AS type_ok
+FROM e
+"""
+
+ORACLE["issues_table"] = ISSUES
+
+ORACLE["issue_report"] = f"""
+WITH it AS ({ISSUES}),
+n AS (SELECT *, row_number() OVER (PARTITION BY key, file ORDER BY pos) AS n FROM it
+      WHERE file IS NOT NULL AND file <> ''),
+r AS (SELECT key, file, CAST(count(*) AS BIGINT) AS n_issues,
+             string_agg('[' || n || '] type=' || coalesce(type, 'None') || chr(10) || 'detail: '
+                        || coalesce(detail, 'None') || chr(10) || 'suggestion: '
+                        || coalesce(suggestion, 'None') || chr(10), chr(10) ORDER BY n) AS report
+      FROM n GROUP BY key, file),
+f AS (SELECT o_orderkey AS key, 'requirements.txt' AS path FROM orders
+      UNION ALL SELECT o_orderkey, 'package.json' FROM orders WHERE o_orderstatus = 'O')
+SELECT key, file, n_issues,
+       CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.key = r.key AND f.path = r.file) THEN 'ok' ELSE 'skipped' END
+         AS status,
+       md5(report) AS report_md5
+FROM r
+"""
+
+ORACLE["issue_counts"] = f"SELECT type, CAST(count(*) AS BIGINT) AS n FROM ({ISSUES}) i GROUP BY type"

@@ -270,3 +270,58 @@ def restore_side(spark, sf_dir):
     s2 = vers.restore_side(delta, 2).withColumn("side", F.lit(2).cast("long"))
     out = s1.unionByName(s2)
     return out.select("path", "side", "n_lines", md5("text").alias("text_md5"))
+
+
+# ---------------------------------------------------------------- requests, answers
+
+from ..operators import answers as ans, requests as req  # noqa: E402
+from .tables import (  # noqa: E402
+    analysis_answers, answers_from_events, project_files_from_orders, requests_from_conversations,
+    routed_requests, tool_specs,
+)
+
+
+@query
+def session_requests(spark, sf_dir):
+    r = req.session_requests(requests_from_conversations(spark, sf_dir))
+    return r.select("session", "turn", md5("text").alias("text_md5"))
+
+
+@query
+def route_requests(spark, sf_dir):
+    return req.route_requests(routed_requests(spark, sf_dir)).select("conv_id", "turn", "tool", "start_line", "end_line")
+
+
+@query
+def normalize_requests(spark, sf_dir):
+    return req.normalize_requests(tool_specs(spark, sf_dir)).drop("body")
+
+
+@query
+def parse_answers(spark, sf_dir):
+    p = ans.parse_answers(answers_from_events(spark, sf_dir))
+    return p.select("key", "kind", "error", ans.answer_notes(p).alias("notes"))
+
+
+@query
+def converted_files(spark, sf_dir):
+    p = ans.parse_answers(answers_from_events(spark, sf_dir))
+    f = ans.converted_files(p)
+    return f.select("key", "pos", "path", md5("content").alias("content_md5"))
+
+
+@query
+def issues_table(spark, sf_dir):
+    return ans.issues_table(ans.parse_answers(analysis_answers(spark, sf_dir)))
+
+
+@query
+def issue_report(spark, sf_dir):
+    it = ans.issues_table(ans.parse_answers(analysis_answers(spark, sf_dir)))
+    rep = ans.issue_report(it, project_files_from_orders(spark, sf_dir))
+    return rep.select("key", "file", "n_issues", "status", md5("report").alias("report_md5"))
+
+
+@query
+def issue_counts(spark, sf_dir):
+    return ans.issue_counts(ans.issues_table(ans.parse_answers(analysis_answers(spark, sf_dir))))

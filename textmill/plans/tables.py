@@ -154,3 +154,117 @@ def line_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     x = ln.select("path", F.explode(items).alias("x"))
     return x.filter(F.col("x.t").isNotNull()).select("path", F.col("x.seq").alias("seq"), F.col("x.t").alias("line"))
+
+
+# ------------------------------------------------------------------ requests, answers
+
+
+def requests_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``requests(session, turn, text)``: conversations with exit words and
+    blank requests put in by conversation and turn."""
+    c = table(spark, sf_dir, "conversations")
+    i, t = F.col("conv_id"), F.col("turn")
+    text = (
+        F.when((i % 4 == 1) & (t == 2), F.lit(" EXIT "))
+        .when((i % 6 == 2) & (t == 1), F.lit("quit"))
+        .when(t % 7 == 3, F.lit("   "))
+        .otherwise(F.col("text"))
+    )
+    return c.select(i.alias("session"), t.alias("turn"), text.alias("text"))
+
+
+# Request openings used to render routable requests.
+REQUEST_OPENINGS = ["remove dead code in ", "convert this project to go: ", "check dependencies of ",
+                    "simplify ", "analyze ", None, ""]
+
+
+def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    t = F.col("turn")
+    k = (t % 7).cast("int")
+    opening = F.when(k == 5, F.concat(F.lit("refactor lines "), (t + 1).cast("string"), F.lit("~"),
+                                      (t + 5).cast("string"), F.lit(" of ")))
+    for j, o in enumerate(REQUEST_OPENINGS):
+        if o is not None:
+            opening = opening.when(k == j, F.lit(o))
+    return c.select("conv_id", "turn", F.concat(opening, F.col("text")).alias("text"))
+
+
+def tool_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(request_id, body)`` JSON tool specs rendered from ``events``."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    u = F.col("user_id").cast("string")
+    k = (i % 8).cast("int")
+    body = (
+        F.when(i % 16 == 15, F.concat(F.lit("tool="), F.col("event_type")))
+        .when(k == 0, F.concat(F.lit('{"tool": "analyze", "path": "src/'), u, F.lit('"}')))
+        .when(k == 1, F.concat(F.lit('{"tool": "refactor_partial", "path": "a.py", "start_line": '), u,
+                               F.lit(', "end_line": '), (F.col("user_id") + 3).cast("string"),
+                               F.lit(', "kind": "'), F.col("event_type"), F.lit('"}')))
+        .when(k == 2, F.concat(F.lit('{"tool": "refactor_partial", "path": "b.py", "start_line": "'), u,
+                               F.lit('"}')))
+        .when(k == 3, F.lit('{"tool": "refactor_partial", "start_line": "ten"}'))
+        .when(k == 4, F.lit('{"tool": "convert_language", "path": "proj", "src_lang": "python", "tgt_lang": "go"}'))
+        .when(k == 5, F.lit('{"tool": "convert_language", "tgt_lang": "rust"}'))
+        .when(k == 6, F.concat(F.lit("["), F.col("props"), F.lit("]")))
+        .otherwise(F.concat(F.lit('{"tool": "deps_analyze", "summary": "false", '),
+                            F.expr("substring(props, 2)")))
+    )
+    return e.select(i.alias("request_id"), body.alias("body"))
+
+
+def answers_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``answers(key, answer)``: conversion answers rendered from ``events``:
+    good and bad file entries, numeric notes, arrays, bad JSON."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    s = i.cast("string")
+    u = F.col("user_id").cast("string")
+    k = (i % 6).cast("int")
+    ans = (
+        F.when(k == 0, F.concat(
+            F.lit('{"files": [{"path": "src/e'), s, F.lit('.ts", "content": "v'), u,
+            F.lit('"}, {"path": '), u, F.lit(', "content": "x"}, {"path": "p'), s,
+            F.lit('", "content": null}], "notes": "'), F.col("event_type"), F.lit('"}')))
+        .when(k == 1, F.concat(F.lit('{"files": [], "notes": '), u, F.lit("}")))
+        .when(k == 2, F.lit("[1, 2, 3]"))
+        .when(k == 3, F.concat(F.lit('{"files": '), F.col("props"), F.lit(', "notes": "n"}')))
+        .when(k == 4, F.concat(F.lit('{"files": ['), F.col("props"), F.lit(', "oops", {"path": "q.go", "content": "'),
+                               F.col("event_type"), F.lit('"}]}')))
+        .otherwise(F.concat(F.lit("not json "), F.col("event_type")))
+    )
+    return e.select(i.alias("key"), ans.alias("answer"))
+
+
+# Issue types used by the rendering (one outside the allowed set).
+RENDER_ISSUE_TYPES = ["missing", "unused", "conflict", "outdated", "other", "bogus"]
+
+
+def analysis_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``answers(key, answer)``: one dependency analysis per order, its
+    issues from the order's line items (JSON written by ``to_json``)."""
+    li = table(spark, sf_dir, "lineitem")
+    ln = F.col("l_linenumber")
+    typ = F.element_at(F.array(*[F.lit(x) for x in RENDER_ISSUE_TYPES]), (ln % 6 + 1).cast("int"))
+    file = (F.when(ln % 4 == 0, F.lit("requirements.txt")).when(ln % 4 == 1, F.lit("package.json"))
+            .when(ln % 4 == 2, F.concat(F.lit("docs/"), F.col("l_partkey").cast("string"), F.lit(".md")))
+            .otherwise(F.lit("")))
+    issue = F.struct(ln.alias("ln"), F.struct(
+        typ.alias("type"), file.alias("file"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("detail"),
+        F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("suggestion")).alias("i"))
+    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(issue)).alias("xs"))
+    body = F.to_json(F.struct(
+        F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("summary"),
+        F.transform("xs", lambda x: x["i"]).alias("issues")))
+    return g.select(F.col("l_orderkey").alias("key"), body.alias("answer"))
+
+
+def project_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files(key, path)``: every order has requirements.txt; open orders
+    also package.json."""
+    o = table(spark, sf_dir, "orders")
+    arr = F.when(F.col("o_orderstatus") == "O", F.array(F.lit("requirements.txt"), F.lit("package.json"))) \
+        .otherwise(F.array(F.lit("requirements.txt")))
+    return o.select(F.col("o_orderkey").alias("key"), F.explode(arr).alias("path"))
