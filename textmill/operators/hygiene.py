@@ -33,3 +33,43 @@ def duplicate_blocks(lines: DataFrame, k: int = 2) -> DataFrame:
         "block_hash", "n", F.col("_first.path").alias("first_path"),
         F.col("_first.line_no").cast("long").alias("first_line"),
     )
+
+
+# Definition grammars: (kind, pattern, group of the defined name).
+DEFINITIONS = [
+    ("import", r"^\s*import\s+[A-Za-z_][\w.]*\s+as\s+([A-Za-z_]\w*)\s*$", 1),
+    ("import", r"^\s*import\s+([A-Za-z_]\w*)\s*$", 1),
+    ("import", r"^\s*from\s+[\w.]+\s+import\s+[A-Za-z_]\w*\s+as\s+([A-Za-z_]\w*)\s*$", 1),
+    ("import", r"^\s*from\s+[\w.]+\s+import\s+([A-Za-z_]\w*)\s*$", 1),
+    ("function", r"^\s*def\s+([A-Za-z_]\w*)", 1),
+    ("class", r"^\s*class\s+([A-Za-z_]\w*)", 1),
+    ("variable", r"^([A-Za-z_]\w*)\s*=([^=]|$)", 1),
+]
+TOKEN = r"[A-Za-z_]\w*"
+
+
+def definitions(lines: DataFrame) -> DataFrame:
+    """``path, line_no, kind, name`` for each line that defines a name (first
+    matching grammar wins); names starting with '__' are skipped."""
+    kind = None
+    name = None
+    for k, pat, g in DEFINITIONS:
+        hit = F.col("line").rlike(pat)
+        kind = F.when(hit, F.lit(k)) if kind is None else kind.when(hit, F.lit(k))
+        name = F.when(hit, F.regexp_extract("line", pat, g)) if name is None else \
+            name.when(hit, F.regexp_extract("line", pat, g))
+    d = lines.select("path", "line_no", kind.alias("kind"), name.alias("name"))
+    return d.filter(F.col("name").isNotNull() & ~F.col("name").startswith("__"))
+
+
+def unused_definitions(lines: DataFrame) -> DataFrame:
+    """Imports, functions, classes and module-level variables whose name
+    occurs only once (at its definition) among the tokens of its file.
+
+    Token counts are grouped by ``(path, token)`` with partial aggregation,
+    so a large file spreads over the shuffle by token."""
+    toks = lines.select("path", F.explode(F.regexp_extract_all("line", F.lit(TOKEN), 0)).alias("name"))
+    counts = toks.groupBy("path", "name").agg(F.count("*").alias("_n"))
+    d = definitions(lines)
+    return d.join(counts.filter(F.col("_n") == 1), ["path", "name"], "left_semi").select(
+        "path", "line_no", "kind", "name")

@@ -560,3 +560,177 @@ FROM r
 """
 
 ORACLE["issue_counts"] = f"SELECT type, CAST(count(*) AS BIGINT) AS n FROM ({ISSUES}) i GROUP BY type"
+
+# ---------------------------------------------------------------- dependencies, hygiene
+
+MANIFEST = """
+SELECT 'order-' || o_orderkey AS project,
+       CASE WHEN starts_with(o_orderpriority, '1') THEN 'requirements-dev.txt' ELSE 'requirements.txt' END AS path,
+       l_linenumber AS line_no,
+       CASE WHEN l_partkey % 17 = 0 THEN '# pinned by ops'
+            WHEN l_linenumber % 6 = 0 THEN 'part_' || l_partkey || '==' || l_suppkey || '.' || l_linenumber
+            WHEN l_linenumber % 6 = 1 THEN 'Part-' || l_partkey || ' >= ' || l_suppkey || '.' || l_linenumber
+                                           || ' ; python_version >= "3.8"'
+            WHEN l_linenumber % 6 = 2 THEN 'part.' || l_partkey || '  # no pin'
+            WHEN l_linenumber % 6 = 3 THEN '-r base.txt'
+            WHEN l_linenumber % 6 = 4 THEN 'part-' || l_partkey || '[extra]~=' || l_suppkey || '.' || l_linenumber
+                                           || '  # compatible'
+            ELSE 'PyYAML==' || l_linenumber || '.0' END AS line
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+"""
+
+REQ_RE = "^([A-Za-z0-9][A-Za-z0-9._-]*)(\\[[^\\]]*\\])?\\s*(==|~=|!=|>=|<=|>|<)?\\s*([^;,\\s]*)[^;]*(?:;\\s*(.*))?$"
+
+
+def _norm(x):
+    return f"regexp_replace(lower({x}), '[-_.]+', '-', 'g')"
+
+
+REQS = f"""
+WITH m AS (SELECT project, path AS file, line_no,
+                  trim(regexp_replace(line, '(^|\\s)#.*$', '')) AS b FROM ({MANIFEST}) x
+           WHERE regexp_matches(path, '(^|/)requirements[^/]*\\.txt$')),
+k AS (SELECT *, CASE WHEN starts_with(b, '-') THEN 'directive'
+                     WHEN regexp_matches(b, '{REQ_RE}') THEN 'requirement' ELSE 'invalid' END AS kind
+      FROM m WHERE b <> '')
+SELECT project, file, CAST(line_no AS BIGINT) AS line_no,
+  CASE WHEN kind = 'requirement' THEN {_norm(f"regexp_extract(b, '{REQ_RE}', 1)")} END AS pkg,
+  CASE WHEN kind = 'requirement' THEN nullif(regexp_extract(b, '{REQ_RE}', 3), '') END AS op,
+  CASE WHEN kind = 'requirement' THEN nullif(regexp_extract(b, '{REQ_RE}', 4), '') END AS version,
+  CASE WHEN kind = 'requirement' THEN nullif(regexp_extract(b, '{REQ_RE}', 5), '') END AS marker,
+  kind
+FROM k
+"""
+
+ORACLE["parse_manifests"] = REQS
+
+CODE = """
+SELECT 'order-' || o_orderkey AS project, 'main.py' AS path, l_linenumber AS line_no,
+       'import part_' || l_partkey AS line
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N'
+UNION ALL SELECT 'order-' || (o_orderkey - 1), 'lib/helpers.py', l_linenumber,
+       'from part_' || l_partkey || '.sub import thing'
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'import os, sys as system'
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 2
+UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'from . import sibling'
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 3
+UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'from util import helper'
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 4
+UNION ALL SELECT 'order-' || o_orderkey, 'web/index.js', l_linenumber,
+       'const x = require(''@scope/part-' || l_partkey || '/sub'')'
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 5
+UNION ALL SELECT 'order-' || o_orderkey, 'web/index.js', l_linenumber, 'import y from ''lodash'''
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 6
+UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'import yaml'
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7
+"""
+
+IMPORTS = f"""
+WITH c AS ({CODE}),
+py_imp AS (SELECT project, path, line_no,
+                  regexp_extract(trim(x), '^([A-Za-z_]\\w*)', 1) AS module
+           FROM (SELECT *, unnest(string_split(regexp_extract(line, '^\\s*import\\s+(.+)$', 1), ',')) AS x
+                 FROM c WHERE ends_with(path, '.py') AND regexp_matches(line, '^\\s*import\\s+(.+)$')) a),
+py_from AS (SELECT project, path, line_no,
+                   regexp_extract(line, '^\\s*from\\s+([A-Za-z_]\\w*)[\\w.]*\\s+import\\b', 1) AS module
+            FROM c WHERE ends_with(path, '.py')
+              AND regexp_matches(line, '^\\s*from\\s+([A-Za-z_]\\w*)[\\w.]*\\s+import\\b')),
+js AS (SELECT project, path, line_no, regexp_extract(m, '^(@[^/]+/[^/]+|[^/]+)', 1) AS module
+       FROM (SELECT *, unnest(list_concat(
+                 regexp_extract_all(line, 'require\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1),
+                 regexp_extract_all(line, '\\bfrom\\s+[''"]([^''"]+)[''"]', 1))) AS m
+             FROM c WHERE regexp_matches(path, '\\.(js|jsx|ts|tsx|mjs|cjs)$')) b)
+SELECT project, path, CAST(line_no AS BIGINT) AS line_no, module
+FROM (SELECT * FROM py_imp UNION ALL SELECT * FROM py_from UNION ALL SELECT * FROM js) u
+WHERE module <> '' AND NOT starts_with(module, '.')
+"""
+
+ORACLE["extract_imports"] = IMPORTS
+
+ALIAS = "(VALUES ('yaml', 'PyYAML'), ('dotenv', 'python-dotenv'), ('sklearn', 'scikit-learn')) AS al(module, pkg)"
+
+IMPORTED = f"""
+SELECT DISTINCT i.project, i.module, coalesce({_norm('al.pkg')}, {_norm('i.module')}) AS pkg
+FROM ({IMPORTS}) i LEFT JOIN {ALIAS} ON al.module = i.module
+"""
+
+ORACLE["unused_deps"] = f"""
+SELECT r.project, r.file, r.line_no, r.pkg FROM ({REQS}) r
+WHERE r.kind = 'requirement'
+  AND NOT EXISTS (SELECT 1 FROM ({IMPORTED}) u WHERE u.project = r.project AND u.pkg = r.pkg)
+"""
+
+ORACLE["missing_deps"] = f"""
+WITH files AS (SELECT DISTINCT project, path FROM ({CODE}) c
+               UNION SELECT 'order-' || o_orderkey, 'util.py' FROM orders WHERE o_orderstatus = 'F'),
+mods AS (SELECT DISTINCT project, module FROM (
+           SELECT project, regexp_extract(path, '([A-Za-z_]\\w*)\\.py$', 1) AS module FROM files
+           UNION ALL SELECT project, CASE WHEN contains(path, '/')
+                                     THEN regexp_extract(path, '^([A-Za-z_]\\w*)/', 1) END FROM files) x
+         WHERE module IS NOT NULL AND module <> '')
+SELECT i.project, i.module, i.pkg FROM ({IMPORTED}) i
+WHERE NOT EXISTS (SELECT 1 FROM ({REQS}) r WHERE r.kind = 'requirement' AND r.project = i.project
+                  AND r.pkg = i.pkg)
+  AND i.module NOT IN ('os', 'sys', 'json', 're', 'typing', 'pathlib', 'collections')
+  AND NOT EXISTS (SELECT 1 FROM mods WHERE mods.project = i.project AND mods.module = i.module)
+"""
+
+ORACLE["version_conflicts"] = f"""
+WITH r AS (SELECT * FROM ({REQS}) x WHERE kind = 'requirement'),
+g AS (SELECT project, pkg,
+             list_sort(list_distinct(list(CASE WHEN op = '==' THEN version END))) AS pins,
+             min(CASE WHEN op IS NULL OR op IN ('>=', '>') OR version IS NULL THEN 1 ELSE 0 END) AS all_open
+      FROM r GROUP BY project, pkg)
+SELECT project, pkg, CAST(len(pins) AS BIGINT) AS n_pins, array_to_string(pins, ', ') AS pins,
+       CASE WHEN len(pins) > 1 THEN 'multiple pins' ELSE 'open range' END AS reason
+FROM g WHERE len(pins) > 1 OR all_open = 1
+"""
+
+
+def _vkey(x):
+    return f"list_transform(string_split({x}, '.'), lambda v: TRY_CAST(v AS INTEGER))"
+
+
+ORACLE["outdated_deps"] = f"""
+WITH r AS (SELECT * FROM ({REQS}) x WHERE kind = 'requirement' AND op = '=='),
+lt AS (SELECT 'part-' || p_partkey AS pkg, p_size || '.5' AS latest FROM part)
+SELECT r.project, r.file, r.line_no, r.pkg, r.version, lt.latest
+FROM r JOIN lt ON lt.pkg = r.pkg
+WHERE {_vkey('r.version')} < {_vkey('lt.latest')}
+"""
+
+PART_CODE = """
+SELECT 'brand' || regexp_extract(p_brand, '(\\d+)', 1) || '.py' AS path, p_partkey AS line_no,
+  CASE p_size % 6
+    WHEN 0 THEN 'import m' || p_size
+    WHEN 1 THEN 'def f' || p_partkey || '(x):'
+    WHEN 2 THEN '    return f' || (p_partkey - 1) || '(x) + v' || (p_partkey - 2)
+    WHEN 3 THEN 'v' || p_partkey || ' = ' || p_size
+    WHEN 4 THEN 'class C' || p_partkey || ':'
+    ELSE 'from pkg' || p_size || ' import name' || p_partkey || ' as alias' || p_partkey END AS line
+FROM part
+"""
+
+DEF_RULES = [
+    ("import", "^\\s*import\\s+[A-Za-z_][\\w.]*\\s+as\\s+([A-Za-z_]\\w*)\\s*$"),
+    ("import", "^\\s*import\\s+([A-Za-z_]\\w*)\\s*$"),
+    ("import", "^\\s*from\\s+[\\w.]+\\s+import\\s+[A-Za-z_]\\w*\\s+as\\s+([A-Za-z_]\\w*)\\s*$"),
+    ("import", "^\\s*from\\s+[\\w.]+\\s+import\\s+([A-Za-z_]\\w*)\\s*$"),
+    ("function", "^\\s*def\\s+([A-Za-z_]\\w*)"),
+    ("class", "^\\s*class\\s+([A-Za-z_]\\w*)"),
+    ("variable", "^([A-Za-z_]\\w*)\\s*=([^=]|$)"),
+]
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in DEF_RULES) + " END"
+_NAME = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN regexp_extract(line, '{p}', 1)"
+                           for k, p in DEF_RULES) + " END"
+
+ORACLE["unused_definitions"] = f"""
+WITH l AS ({PART_CODE}),
+d AS (SELECT path, line_no, {_KIND} AS kind, {_NAME} AS name FROM l),
+t AS (SELECT path, unnest(regexp_extract_all(line, '[A-Za-z_]\\w*')) AS name FROM l),
+c AS (SELECT path, name, count(*) AS n FROM t GROUP BY path, name)
+SELECT d.path, CAST(d.line_no AS BIGINT) AS line_no, d.kind, d.name
+FROM d JOIN c ON c.path = d.path AND c.name = d.name
+WHERE d.name IS NOT NULL AND NOT starts_with(d.name, '__') AND c.n = 1
+"""

@@ -325,3 +325,67 @@ def issue_report(spark, sf_dir):
 @query
 def issue_counts(spark, sf_dir):
     return ans.issue_counts(ans.issues_table(ans.parse_answers(analysis_answers(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------- dependencies, hygiene
+
+from ..operators import deps  # noqa: E402
+from .tables import (  # noqa: E402
+    ALIASES, STDLIB, code_file_lines, code_files, latest_versions, manifest_file_lines, part_code_lines,
+)
+
+
+def _reqs(spark, sf_dir):
+    return deps.parse_manifests(manifest_file_lines(spark, sf_dir))
+
+
+def _imports(spark, sf_dir):
+    return deps.extract_imports(code_file_lines(spark, sf_dir))
+
+
+def _alias(spark):
+    return spark.createDataFrame(ALIASES, "module string, pkg string")
+
+
+def _stdlib(spark):
+    return spark.createDataFrame([(m,) for m in STDLIB], "module string")
+
+
+@query
+def parse_manifests(spark, sf_dir):
+    return _reqs(spark, sf_dir).select("project", "file", big("line_no").alias("line_no"), "pkg", "op", "version",
+                                       "marker", "kind")
+
+
+@query
+def extract_imports(spark, sf_dir):
+    return _imports(spark, sf_dir).select("project", "path", big("line_no").alias("line_no"), "module")
+
+
+@query
+def unused_deps(spark, sf_dir):
+    out = deps.unused_deps(_reqs(spark, sf_dir), _imports(spark, sf_dir), _alias(spark))
+    return out.select("project", "file", big("line_no").alias("line_no"), "pkg")
+
+
+@query
+def missing_deps(spark, sf_dir):
+    mods = deps.project_modules(code_files(spark, sf_dir))
+    return deps.missing_deps(_reqs(spark, sf_dir), _imports(spark, sf_dir), _alias(spark), _stdlib(spark), mods)
+
+
+@query
+def version_conflicts(spark, sf_dir):
+    return deps.version_conflicts(_reqs(spark, sf_dir))
+
+
+@query
+def outdated_deps(spark, sf_dir):
+    out = deps.outdated_deps(_reqs(spark, sf_dir), latest_versions(spark, sf_dir))
+    return out.select("project", "file", big("line_no").alias("line_no"), "pkg", "version", "latest")
+
+
+@query
+def unused_definitions(spark, sf_dir):
+    out = hygiene.unused_definitions(part_code_lines(spark, sf_dir))
+    return out.select("path", big("line_no").alias("line_no"), "kind", "name")

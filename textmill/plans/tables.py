@@ -268,3 +268,107 @@ def project_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     arr = F.when(F.col("o_orderstatus") == "O", F.array(F.lit("requirements.txt"), F.lit("package.json"))) \
         .otherwise(F.array(F.lit("requirements.txt")))
     return o.select(F.col("o_orderkey").alias("key"), F.explode(arr).alias("path"))
+
+
+# ------------------------------------------------------------------ dependency renderings
+
+
+def _order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                 "l_returnflag")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return li.join(o, li.l_orderkey == o.o_orderkey)
+
+
+def _project(key) -> F.Column:
+    return F.concat(F.lit("order-"), key.cast("string"))
+
+
+def manifest_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines(project, path, line_no, line)`` of requirement files rendered
+    from orders joined with their line items."""
+    x = _order_items(spark, sf_dir)
+    pk, sk, ln = (F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber"))
+    k = (F.col("l_linenumber") % 6).cast("int")
+    line = (
+        F.when(F.col("l_partkey") % 17 == 0, F.lit("# pinned by ops"))
+        .when(k == 0, F.concat(F.lit("part_"), pk, F.lit("=="), sk, F.lit("."), ln))
+        .when(k == 1, F.concat(F.lit("Part-"), pk, F.lit(" >= "), sk, F.lit("."), ln,
+                               F.lit(' ; python_version >= "3.8"')))
+        .when(k == 2, F.concat(F.lit("part."), pk, F.lit("  # no pin")))
+        .when(k == 3, F.lit("-r base.txt"))
+        .when(k == 4, F.concat(F.lit("part-"), pk, F.lit("[extra]~="), sk, F.lit("."), ln, F.lit("  # compatible")))
+        .otherwise(F.concat(F.lit("PyYAML=="), ln, F.lit(".0")))
+    )
+    path = F.when(F.col("o_orderpriority").startswith("1"), F.lit("requirements-dev.txt")) \
+        .otherwise(F.lit("requirements.txt"))
+    return x.select(_project(F.col("o_orderkey")).alias("project"), path.alias("path"),
+                    F.col("l_linenumber").cast("int").alias("line_no"), line.alias("line"))
+
+
+def code_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines(project, path, line_no, line)`` of source files with imports
+    rendered from line items: returned-flag 'N' items import their part,
+    line numbers pick standard-library, relative, local, JavaScript and
+    aliased imports, and line 1 adds an import to the previous order."""
+    x = _order_items(spark, sf_dir)
+    pk = F.col("l_partkey").cast("string")
+    ln = F.col("l_linenumber")
+    own = _project(F.col("o_orderkey"))
+    items = [
+        (F.col("l_returnflag") == "N", own, "main.py", F.concat(F.lit("import part_"), pk)),
+        (ln == 1, _project(F.col("o_orderkey") - 1), "lib/helpers.py",
+         F.concat(F.lit("from part_"), pk, F.lit(".sub import thing"))),
+        (ln == 2, own, "main.py", F.lit("import os, sys as system")),
+        (ln == 3, own, "main.py", F.lit("from . import sibling")),
+        (ln == 4, own, "main.py", F.lit("from util import helper")),
+        (ln == 5, own, "web/index.js", F.concat(F.lit("const x = require('@scope/part-"), pk, F.lit("/sub')"))),
+        (ln == 6, own, "web/index.js", F.lit("import y from 'lodash'")),
+        (ln == 7, own, "main.py", F.lit("import yaml")),
+    ]
+    arr = F.filter(F.array(*[F.struct(c.alias("on"), p.alias("project"), F.lit(f).alias("path"), t.alias("line"))
+                             for c, p, f, t in items]), lambda s: s["on"])
+    out = x.select(ln.cast("int").alias("line_no"), F.explode(arr).alias("s"))
+    return out.select("s.project", "s.path", "line_no", "s.line")
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files(project, path)`` of the rendered source tree: the files that
+    have lines, plus ``util.py`` in finished orders."""
+    from_lines = code_file_lines(spark, sf_dir).select("project", "path")
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    util = o.select(_project(F.col("o_orderkey")).alias("project"), F.lit("util.py").alias("path"))
+    return from_lines.unionByName(util).distinct()
+
+
+# Caller tables for the dependency checks.
+ALIASES = [("yaml", "PyYAML"), ("dotenv", "python-dotenv"), ("sklearn", "scikit-learn")]
+STDLIB = ["os", "sys", "json", "re", "typing", "pathlib", "collections"]
+
+
+def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``latest(pkg, version)`` from ``part``: ``part-<key>`` at ``<size>.5``."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("pkg"),
+                    F.concat(F.col("p_size").cast("string"), F.lit(".5")).alias("version"))
+
+
+def part_code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines(path, line_no, line)``: one Python file per brand, one line per
+    part (line number = part key), the statement picked by size."""
+    p = table(spark, sf_dir, "part")
+    k = (F.col("p_size") % 6).cast("int")
+    pk = F.col("p_partkey")
+    s = F.col("p_size").cast("string")
+    line = (
+        F.when(k == 0, F.concat(F.lit("import m"), s))
+        .when(k == 1, F.concat(F.lit("def f"), pk.cast("string"), F.lit("(x):")))
+        .when(k == 2, F.concat(F.lit("    return f"), (pk - 1).cast("string"), F.lit("(x) + v"),
+                               (pk - 2).cast("string")))
+        .when(k == 3, F.concat(F.lit("v"), pk.cast("string"), F.lit(" = "), s))
+        .when(k == 4, F.concat(F.lit("class C"), pk.cast("string"), F.lit(":")))
+        .otherwise(F.concat(F.lit("from pkg"), s, F.lit(" import name"), pk.cast("string"), F.lit(" as alias"),
+                            pk.cast("string")))
+    )
+    path = F.concat(F.lit("brand"), F.regexp_extract("p_brand", r"(\d+)", 1), F.lit(".py"))
+    return p.select(path.alias("path"), pk.cast("int").alias("line_no"), line.alias("line"))
