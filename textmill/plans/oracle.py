@@ -734,3 +734,102 @@ SELECT d.path, CAST(d.line_no AS BIGINT) AS line_no, d.kind, d.name
 FROM d JOIN c ON c.path = d.path AND c.name = d.name
 WHERE d.name IS NOT NULL AND NOT starts_with(d.name, '__') AND c.n = 1
 """
+
+# ---------------------------------------------------------------- prompts, inference, rewrites
+
+import string as _string  # noqa: E402
+
+from ..operators.prompts import TEMPLATES  # noqa: E402
+
+
+def sql_render(template: str, fields: dict[str, str]) -> str:
+    """A template as a SQL concatenation (fields given as SQL expressions)."""
+    parts = []
+    for literal, name, _s, _c in _string.Formatter().parse(template):
+        if literal:
+            pieces = literal.replace("'", "''").split("\n")
+            parts.append(" || chr(10) || ".join(f"'{p}'" for p in pieces))
+        if name is not None:
+            parts.append(f"({fields[name]})")
+    return " || ".join(parts)
+
+
+DOC_FILES = "SELECT source AS project, 'doc/' || doc_id || '.txt' AS path, text AS code, doc_id FROM documents"
+DEAD_SYS, DEAD_USER = TEMPLATES["dead_code"]
+PY_STRIP = STRIP
+
+ORACLE["render_prompts"] = f"""
+SELECT path, md5({sql_render(DEAD_SYS, {})}) AS system_md5,
+       md5({sql_render(DEAD_USER, {'path': 'path', 'code': 'code'})}) AS user_md5,
+       CAST(length({sql_render(DEAD_USER, {'path': 'path', 'code': 'code'})}) AS BIGINT) AS user_chars
+FROM ({DOC_FILES}) f
+"""
+
+ORACLE["batch_infer"] = f"""
+SELECT path, md5({STRIP.format(x="replace(code, 'the', 'THE')")}) AS answer_md5, CAST(NULL AS VARCHAR) AS error
+FROM ({DOC_FILES}) f
+"""
+
+ORACLE["rewrite_corpus"] = f"""
+WITH v AS (SELECT project, path, doc_id, code AS old, {STRIP.format(x="replace(code, 'the', 'THE')")} AS new
+           FROM ({DOC_FILES}) f)
+SELECT project, path,
+       CASE WHEN old = new THEN 'unchanged' WHEN coalesce(l.quality = 1, FALSE) THEN 'would write'
+            ELSE 'rejected' END AS status,
+       md5(new) AS new_md5
+FROM v LEFT JOIN labels l ON l.doc_id = v.doc_id
+"""
+
+ORACLE["write_approved"] = f"""
+WITH v AS ({VERSIONS})
+SELECT v.path, CASE WHEN old IS NOT DISTINCT FROM new THEN 'unchanged'
+                    WHEN coalesce(l.quality = 1, FALSE) THEN 'would write' ELSE 'rejected' END AS status
+FROM v LEFT JOIN labels l ON 'doc/' || l.doc_id || '.txt' = v.path
+"""
+
+ORACLE["partial_rewrite"] = f"""
+WITH x AS ({ORACLE['extract_ranges'].replace('md5(coalesce(x.snippet,', 'md5(coalesce(x.snippet,')}),
+l AS ({LINES_P}), s AS ({SELECTIONS}),
+n AS (SELECT path, max(line_no) AS nl FROM l GROUP BY path),
+e AS (SELECT s.*, n.nl,
+        CASE WHEN n.nl IS NULL THEN 'file not found'
+             WHEN start_line < 1 OR end_line < start_line THEN 'invalid range' END AS error
+      FROM s LEFT JOIN n ON n.path = s.path),
+sn AS (SELECT e.sel_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no), '') AS snippet
+       FROM e LEFT JOIN l ON l.path = e.path AND l.line_no BETWEEN e.start_line AND e.end_line
+       WHERE e.error IS NULL GROUP BY e.sel_id)
+SELECT e.sel_id, e.path, e.start_line, e.end_line,
+       CASE WHEN e.error IS NULL THEN md5(sn.snippet) END AS original_md5,
+       CASE WHEN e.error IS NULL THEN md5({STRIP.format(x="replace(sn.snippet, 'the', 'THE')")}) END
+         AS refactored_md5,
+       FALSE AS applied, e.error
+FROM e LEFT JOIN sn ON sn.sel_id = e.sel_id
+"""
+
+ORACLE["place_outputs"] = f"""
+WITH cf AS ({ORACLE['converted_files'].replace("md5(json_extract_string(e, '$.content')) AS content_md5",
+                                                "json_extract_string(e, '$.content') AS content")}),
+o AS (SELECT event_id AS key, 'src/e' || event_id || '.py' AS orig_path, 'proj' || user_id AS root,
+             event_id % 2 = 0 AS single FROM events),
+c AS (SELECT cf.*, o.orig_path, o.root, o.single,
+             row_number() OVER (PARTITION BY cf.key ORDER BY cf.pos) AS rn,
+             regexp_extract(regexp_extract(cf.path, '[^/]*$', 0), '^.+(\\.[^.]+)$', 1) AS sfx
+      FROM cf JOIN o ON o.key = cf.key),
+t AS (SELECT *, CASE WHEN sfx = '' THEN orig_path
+                     ELSE CASE WHEN regexp_extract(regexp_extract(orig_path, '[^/]*$', 0), '^.+(\\.[^.]+)$', 1) = ''
+                               THEN orig_path
+                               ELSE left(orig_path, length(orig_path) - length(regexp_extract(
+                                    regexp_extract(orig_path, '[^/]*$', 0), '^.+(\\.[^.]+)$', 1))) END || sfx
+                END AS tgt
+      FROM c)
+SELECT key, pos, tgt AS target_path, CASE WHEN tgt <> orig_path THEN 'rename' ELSE 'replace' END AS action,
+       CAST(NULL AS VARCHAR) AS error
+FROM t WHERE single AND rn = 1
+UNION ALL
+SELECT key, pos,
+       CASE WHEN NOT (starts_with(path, '/') OR list_contains(string_split(path, '/'), '..'))
+            THEN root || '_converted_to_Type_Script/' || path END,
+       'write',
+       CASE WHEN starts_with(path, '/') OR list_contains(string_split(path, '/'), '..') THEN 'unsafe path' END
+FROM c WHERE NOT single
+"""

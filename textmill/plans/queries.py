@@ -389,3 +389,73 @@ def outdated_deps(spark, sf_dir):
 def unused_definitions(spark, sf_dir):
     out = hygiene.unused_definitions(part_code_lines(spark, sf_dir))
     return out.select("path", big("line_no").alias("line_no"), "kind", "name")
+
+
+# ---------------------------------------------------------------- prompts, inference, rewrites
+
+from ..operators import infer, prompts, rewrite  # noqa: E402
+
+STUB = infer.replace_stub("the", "THE")
+
+
+def _doc_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("project"), doc_path().alias("path"), F.col("text").alias("code"), "doc_id")
+
+
+from .tables import doc_path  # noqa: E402
+
+
+@query
+def render_prompts(spark, sf_dir):
+    p = prompts.render_prompts(_doc_files(spark, sf_dir), "dead_code")
+    return p.select("path", md5("system_prompt").alias("system_md5"), md5("user_prompt").alias("user_md5"),
+                    big(F.char_length("user_prompt")).alias("user_chars"))
+
+
+@query
+def batch_infer(spark, sf_dir):
+    p = prompts.render_prompts(_doc_files(spark, sf_dir), "dead_code")
+    a = infer.batch_infer(p, STUB)
+    return a.select("path", md5(T.strip_code_fences("answer")).alias("answer_md5"), "error")
+
+
+def _approvals(spark, sf_dir, files):
+    lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("approved"))
+    return files.select("project", "path", "doc_id").join(lab, "doc_id").drop("doc_id")
+
+
+@query
+def rewrite_corpus(spark, sf_dir):
+    f = _doc_files(spark, sf_dir).withColumnRenamed("code", "content")
+    out = rewrite.rewrite_corpus(f.drop("doc_id"), "dead_code", STUB, _approvals(spark, sf_dir, f))
+    return out.select("project", "path", "status", md5("new").alias("new_md5"))
+
+
+@query
+def write_approved(spark, sf_dir):
+    v = corpus_versions(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(doc_path().alias("path"), (F.col("quality") == 1).alias("approved"))
+    out = rewrite.write_approved(v, lab, dry_run=True, keys=("path",))
+    return out.select("path", "status")
+
+
+@query
+def partial_rewrite(spark, sf_dir):
+    res, _ = rewrite.partial_rewrite(doc_lines(spark, sf_dir), selections(spark, sf_dir), STUB)
+    return res.select("sel_id", "path", big("start_line").alias("start_line"), big("end_line").alias("end_line"),
+                      md5("original_snippet").alias("original_md5"),
+                      md5("refactored_snippet").alias("refactored_md5"), "applied", "error")
+
+
+@query
+def place_outputs(spark, sf_dir):
+    conv = ans.converted_files(ans.parse_answers(answers_from_events(spark, sf_dir)))
+    e = table(spark, sf_dir, "events")
+    orig = e.select(
+        F.col("event_id").alias("key"),
+        F.concat(F.lit("src/e"), F.col("event_id").cast("string"), F.lit(".py")).alias("orig_path"),
+        F.concat(F.lit("proj"), F.col("user_id").cast("string")).alias("root"),
+        (F.col("event_id") % 2 == 0).alias("single"),
+    )
+    return rewrite.place_outputs(conv, orig, "Type Script")
