@@ -833,3 +833,5 @@ SELECT key, pos,
        CASE WHEN starts_with(path, '/') OR list_contains(string_split(path, '/'), '..') THEN 'unsafe path' END
 FROM c WHERE NOT single
 """
+
+ORACLE["request_stream"] = ORACLE["session_requests"]

@@ -459,3 +459,27 @@ def place_outputs(spark, sf_dir):
         (F.col("event_id") % 2 == 0).alias("single"),
     )
     return rewrite.place_outputs(conv, orig, "Type Script")
+
+
+# ---------------------------------------------------------------- sources, streaming
+
+from ..sources import files as file_sources  # noqa: E402
+from ..streaming import requests as req_stream  # noqa: E402
+from .tables import render_requests  # noqa: E402
+
+
+@query
+def scan_files(spark, sf_dir):
+    """The table folder itself read as a file tree (rows-only check)."""
+    f = file_sources.read_text(file_sources.scan_files(spark, sf_dir, content=True))
+    return f.select("path", "length", "error")
+
+
+@query
+def request_stream(spark, sf_dir):
+    """The session rules on a stream of conversation files: same rows as
+    ``session_requests``."""
+    schema = table(spark, sf_dir, "conversations").schema
+    out = req_stream.request_stream(spark, sf_dir, schema, render_requests, file_glob="conversations.parquet")
+    good = spark.read.parquet(f"{out}/good")
+    return good.select("session", "turn", md5("text").alias("text_md5"))

@@ -159,10 +159,10 @@ def line_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ requests, answers
 
 
-def requests_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``requests(session, turn, text)``: conversations with exit words and
-    blank requests put in by conversation and turn."""
-    c = table(spark, sf_dir, "conversations")
+def render_requests(c: DataFrame) -> DataFrame:
+    """``requests(session, turn, text)`` from conversation rows, with exit
+    words and blank requests put in by conversation and turn. Works on
+    batch and streaming frames alike."""
     i, t = F.col("conv_id"), F.col("turn")
     text = (
         F.when((i % 4 == 1) & (t == 2), F.lit(" EXIT "))
@@ -173,6 +173,10 @@ def requests_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(i.alias("session"), t.alias("turn"), text.alias("text"))
 
 
+def requests_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_requests(table(spark, sf_dir, "conversations"))
+
+
 # Request openings used to render routable requests.
 REQUEST_OPENINGS = ["remove dead code in ", "convert this project to go: ", "check dependencies of ",
                     "simplify ", "analyze ", None, ""]
