@@ -30,11 +30,17 @@ def py_strip(col) -> Column:
 
 
 def split_lines_array(col, keepends: bool = False) -> Column:
-    """``str.splitlines(keepends)`` as an array; '' and NULL give []/NULL."""
-    with_ends = F.regexp_extract_all(_c(col), F.lit(f"({LINE_WITH_END})"), 1)
+    """``str.splitlines(keepends)`` as an array; '' gives [], NULL gives NULL."""
+    c = _c(col)
     if keepends:
-        return with_ends
-    return F.transform(with_ends, lambda s: F.regexp_replace(s, rf"(?:{LINE_BREAK})\z", ""))
+        return F.regexp_extract_all(c, F.lit(f"({LINE_WITH_END})"), 1)
+    parts = F.split(c, LINE_BREAK, -1)
+    n = F.size(parts)
+    return (
+        F.when(c == "", F.array().cast("array<string>"))
+        .when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1))
+        .otherwise(parts)
+    )
 
 
 def strip_code_fences(col) -> Column:

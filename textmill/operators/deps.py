@@ -50,24 +50,27 @@ def parse_manifests(lines: DataFrame, patterns=MANIFEST_PATTERNS) -> DataFrame:
     Blank and comment-only lines give no row."""
     m = manifest_lines(lines, patterns)
     body = F.trim(F.regexp_replace(F.col("line"), r"(^|\s)#.*$", ""))
-    m = m.select("project", F.col("path").alias("file"), "line_no", body.alias("_b")).filter(F.col("_b") != "")
-
-    def grp(i):
-        return F.nullif(F.regexp_extract("_b", REQUIREMENT, i), F.lit(""))
-
-    is_req = F.col("_b").rlike(REQUIREMENT)
-    kind = F.when(F.col("_b").startswith("-"), F.lit("directive")).when(is_req, F.lit("requirement")) \
-        .otherwise(F.lit("invalid"))
-    req = F.col("kind") == "requirement"
-    out = m.withColumn("kind", kind)
-    return out.select(
-        "project", "file", "line_no",
-        F.when(req, normalize_pkg(grp(1))).alias("pkg"),
-        F.when(req, grp(3)).alias("op"),
-        F.when(req, grp(4)).alias("version"),
-        F.when(req, grp(5)).alias("marker"),
-        "kind",
+    m = m.select("project", F.col("path").alias("file"), "line_no", body.alias("_b"))
+
+    # Each group is extracted once, in a projection below the generator; the
+    # grammar matched iff group 1 (the name, never empty) was found.
+    g = m.select("project", "file", "line_no", "_b",
+                 *[F.regexp_extract("_b", REQUIREMENT, i).alias(f"_g{i}") for i in (1, 3, 4, 5)])
+    kind = (F.when(F.col("_b") == "", F.lit("blank")).when(F.col("_b").startswith("-"), F.lit("directive"))
+            .when(F.col("_g1") != "", F.lit("requirement")).otherwise(F.lit("invalid")))
+    req = kind == "requirement"
+    # The parsed fields come out of one generator: filters on them (kind, op,
+    # join keys) stay above it instead of being pushed down and re-running
+    # the regex inside every predicate.
+    parsed = F.struct(
+        F.when(req, normalize_pkg("_g1")).alias("pkg"),
+        F.when(req, F.nullif(F.col("_g3"), F.lit(""))).alias("op"),
+        F.when(req, F.nullif(F.col("_g4"), F.lit(""))).alias("version"),
+        F.when(req, F.nullif(F.col("_g5"), F.lit(""))).alias("marker"),
+        kind.alias("kind"),
     )
+    out = g.select("project", "file", "line_no", F.inline(F.array(parsed)))
+    return out.filter(F.col("kind") != "blank")
 
 
 def extract_imports(lines: DataFrame) -> DataFrame:

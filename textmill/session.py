@@ -66,6 +66,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy row work gets at least ``min_partitions`` tasks
+    (default: the cluster's parallelism).
+
+    A scan of few large files (one parquet row group each) yields one task
+    per file; a round-robin repartition then spreads the rows. When the scan
+    already has enough splits, as any large input has, nothing changes and
+    no shuffle is added."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` only when it is proven to hold at most ``max_rows``.
 
