@@ -1,9 +1,12 @@
 """Request stream: arriving request files, per-session exit state, two sinks.
 
-``readStream`` over parquet files of requests; per session a tiny state (the
-turn of the first exit seen) kept by ``applyInPandasWithState``; each
-micro-batch is written by ``foreachBatch`` into ``good`` and ``dead``
-(blank requests and requests after the exit, which are the late data).
+``readStream`` over parquet files of requests (at most ``maxFilesPerTrigger``
+files per micro-batch); per session a tiny state (the turn of the first exit
+seen) kept by ``applyInPandasWithState``, which passes rows through chunk by
+chunk and adds one marker row per session with its exit turn; each
+micro-batch is split by ``foreachBatch`` (rows joined to the markers) into
+``good`` and ``dead`` (blank requests and requests after the exit, which are
+the late data).
 Batches are written under ``batch=<id>`` with overwrite, so a batch replayed
 after a failure replaces its own output instead of duplicating it.
 """
@@ -16,7 +19,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..session import scratch_path
 
@@ -24,7 +28,8 @@ OUT_SCHEMA = StructType([
     StructField("session", LongType()),
     StructField("turn", LongType()),
     StructField("text", StringType()),
-    StructField("status", StringType()),
+    StructField("marker", BooleanType()),
+    StructField("exit_turn", LongType()),
 ])
 STATE_SCHEMA = StructType([StructField("exit_turn", LongType())])
 # Words that end a session.
@@ -32,22 +37,22 @@ EXIT_WORDS = {"exit", "quit"}
 
 
 def _session_state(key, batches, state):
+    """Pass the session's rows through chunk by chunk (memory bounded by one
+    Arrow batch, however large the session) and end with one marker row
+    carrying the session's first exit turn (state and this batch)."""
     exit_turn = state.get[0] if state.exists else None
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
-    stripped = pdf["text"].fillna("").map(str.strip)
-    exits = pdf.loc[stripped.str.lower().isin(EXIT_WORDS), "turn"]
-    if len(exits):
-        first = int(exits.min())
-        exit_turn = first if exit_turn is None else min(exit_turn, first)
+    for pdf in batches:
+        is_exit = pdf["text"].fillna("").map(str.strip).str.lower().isin(EXIT_WORDS)
+        if is_exit.any():
+            first = int(pdf.loc[is_exit, "turn"].min())
+            exit_turn = first if exit_turn is None else min(exit_turn, first)
+        yield pd.DataFrame({
+            "session": pdf["session"].astype("int64"), "turn": pdf["turn"].astype("int64"),
+            "text": pdf["text"], "marker": False, "exit_turn": pd.Series([None] * len(pdf), dtype="Int64"),
+        })
     state.update((exit_turn,))
-    after = pdf["turn"] >= exit_turn if exit_turn is not None else pd.Series(False, index=pdf.index)
-    status = pd.Series("ok", index=pdf.index)
-    status[stripped == ""] = "blank"
-    status[after] = "after exit"
-    yield pd.DataFrame({
-        "session": pdf["session"].astype("int64"), "turn": pdf["turn"].astype("int64"),
-        "text": pdf["text"], "status": status,
-    })
+    yield pd.DataFrame({"session": [int(key[0])], "turn": pd.Series([None], dtype="Int64"), "text": [None],
+                        "marker": [True], "exit_turn": pd.Series([exit_turn], dtype="Int64")})
 
 
 def request_stream(
@@ -58,6 +63,7 @@ def request_stream(
     file_glob: str | None = None,
     out_dir: str | None = None,
     checkpoint: str | None = None,
+    max_files_per_trigger: int = 100,
 ) -> str:
     """Run the stream over everything available (``trigger(availableNow)``)
     in the folder ``source`` (files matching ``file_glob``) and return the
@@ -68,7 +74,7 @@ def request_stream(
     ``spark.checkpoint.dir``."""
     out_dir = out_dir or scratch_path(spark, "request-stream-out")
     checkpoint = checkpoint or scratch_path(spark, "request-stream-ckpt")
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     raw = reader.parquet(source)
@@ -78,8 +84,16 @@ def request_stream(
     )
 
     def sink(batch: DataFrame, batch_id: int):
-        good = batch.filter("status = 'ok'").drop("status")
-        dead = batch.filter("status <> 'ok'")
+        rows = batch.filter(~F.col("marker")).select("session", "turn", "text")
+        exits = batch.filter(F.col("marker")).select("session", "exit_turn")
+        after = F.col("exit_turn").isNotNull() & (F.col("turn") >= F.col("exit_turn"))
+        status = (F.when(after, F.lit("after exit"))
+                  .when(F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "") == "",
+                        F.lit("blank"))
+                  .otherwise(F.lit("ok")))
+        tagged_rows = rows.join(exits, "session", "left").withColumn("status", status).drop("exit_turn")
+        good = tagged_rows.filter("status = 'ok'").drop("status")
+        dead = tagged_rows.filter("status <> 'ok'")
         good.write.mode("overwrite").parquet(os.path.join(out_dir, "good", f"batch={batch_id}"))
         dead.write.mode("overwrite").parquet(os.path.join(out_dir, "dead", f"batch={batch_id}"))
 
