@@ -79,7 +79,7 @@ def extract_ranges(lines: DataFrame, selections: DataFrame, id_col: str = "sel_i
     )
 
 
-def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id") -> DataFrame:
+def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id"):
     """Validate edits ``(path, start_line, end_line, snippet)`` and compute
     where they land.
 
@@ -87,39 +87,39 @@ def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id") -> D
     overlap another edit of the same file are all rejected (the reference
     applies them in turn to shifted lines). Overlap is found with a running
     maximum of ``end_line`` and the next ``start_line`` in start order, so no
-    pairs are formed. Returns every edit with ``error`` and, for valid ones,
-    the clipped range ``_s.._e``, the number of new lines and the line shift
-    accumulated by earlier edits of the file.
+    pairs are formed. Returns ``(ok, status)``: the valid edits with the
+    clipped range ``_s.._e``, their new lines, the line change ``_delta``, the
+    shift accumulated by earlier edits of the file, the next edit's start and
+    the rank in the file; and one status row per edit with ``error``.
     """
     e = edits.join(file_lengths(lines), "path", "left")
-    w = Window.partitionBy("path").orderBy("start_line", "end_line", id_col)
     basic = (
         F.when(F.col("n_file_lines").isNull(), F.lit("file not found"))
         .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), F.lit("invalid range"))
     )
-    e = e.withColumn("error", basic)
-    good = e.filter(F.col("error").isNull())
-    good = good.withColumn(
+    e = e.withColumn("_basic", basic)
+    w = Window.partitionBy("path").orderBy("start_line", "end_line", id_col)
+    good = e.filter(F.col("_basic").isNull()).withColumn(
         "_prev_end", F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
     ).withColumn("_next_start", F.lead("start_line").over(w))
     overl = (F.col("_prev_end") >= F.col("start_line")) | (F.col("_next_start") <= F.col("end_line"))
     good = good.withColumn("error", F.when(overl, F.lit("overlapping edit")))
-    bad = e.filter(F.col("error").isNotNull())
-    checked = good.drop("_prev_end", "_next_start").unionByName(bad)
+    status = e.filter(F.col("_basic").isNotNull()).select(*edits.columns, F.col("_basic").alias("error")) \
+        .unionByName(good.select(*edits.columns, "error"))
 
-    ok = checked.filter(F.col("error").isNull())
     n = F.col("n_file_lines")
-    s = F.least(F.col("start_line"), n + 1)
-    en = F.least(F.col("end_line"), n)
-    ok = ok.withColumn("_s", s).withColumn("_e", en)
-    ok = ok.withColumn("_new", split_lines_array(F.coalesce("snippet", F.lit(""))))
+    ok = good.filter(F.col("error").isNull()).select(
+        *edits.columns, "n_file_lines",
+        F.least(F.col("start_line"), n + 1).alias("_s"),
+        F.least(F.col("end_line"), n).alias("_e"),
+        split_lines_array(F.coalesce("snippet", F.lit(""))).alias("_new"),
+    )
     ok = ok.withColumn("_delta", F.size("_new") - F.greatest(F.col("_e") - F.col("_s") + 1, F.lit(0)))
     wv = Window.partitionBy("path").orderBy("_s", "start_line", id_col)
     ok = ok.withColumn(
         "_shift_before", F.coalesce(F.sum("_delta").over(wv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("_next_s", F.lead("_s").over(wv)).withColumn("_rank", F.row_number().over(wv))
-    rest = checked.filter(F.col("error").isNotNull())
-    return ok, rest
+    return ok, status
 
 
 def apply_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id") -> tuple[DataFrame, DataFrame]:
@@ -130,25 +130,25 @@ def apply_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id") ->
 
     Line numbers are computed, not re-ranked: a kept line moves by the line
     change of the edits before it, found by one range join against the
-    kept segments between edits. No window spans a whole file.
+    segments between edits. No window spans a whole file.
     """
-    ok, rest = plan_edits(lines, edits, id_col)
-    # Segments of kept lines and their shift: before the first edit (shift 0)
-    # and after each edit up to the next one (or the end of the file).
-    after = ok.select(
-        "path",
-        (F.col("_e") + 1).alias("seg_s"),
-        F.coalesce(F.col("_next_s") - 1, F.col("n_file_lines")).alias("seg_e"),
-        (F.col("_shift_before") + F.col("_delta")).alias("shift"),
-        F.lit(False).alias("drop"),
+    ok, status = plan_edits(lines, edits, id_col)
+
+    def seg(s, e, shift, drop):
+        return F.struct(s.alias("seg_s"), e.alias("seg_e"), shift.cast("int").alias("shift"), F.lit(drop).alias("drop"))
+
+    # For every edit, in one pass: the dropped range, the kept segment after
+    # it (up to the next edit or the end of the file) with its shift, and for
+    # the first edit of the file the segment before it (shift 0).
+    segs = F.array(
+        seg(F.col("_s"), F.col("_e"), F.lit(0), True),
+        seg(F.col("_e") + 1, F.coalesce(F.col("_next_s") - 1, F.col("n_file_lines")),
+            F.col("_shift_before") + F.col("_delta"), False),
+        F.when(F.col("_rank") == 1, seg(F.lit(1), F.col("_s") - 1, F.lit(0), False)),
     )
-    before = ok.filter(F.col("_rank") == 1).select(
-        "path", F.lit(1).alias("seg_s"), (F.col("_s") - 1).alias("seg_e"), F.lit(0).alias("shift"),
-        F.lit(False).alias("drop"),
-    )
-    dropped = ok.select("path", F.col("_s").alias("seg_s"), F.col("_e").alias("seg_e"),
-                        F.lit(0).alias("shift"), F.lit(True).alias("drop"))
-    ranges = after.unionByName(before).unionByName(dropped).filter(F.col("seg_s") <= F.col("seg_e"))
+    ranges = ok.select("path", F.explode(segs).alias("g")).filter(
+        F.col("g").isNotNull() & (F.col("g.seg_s") <= F.col("g.seg_e"))
+    ).select("path", "g.*")
     tagged = range_join(lines.select("path", "line_no", "line"), ranges, "seg_s", "seg_e", how="left")
     kept = tagged.filter(~F.coalesce(F.col("drop"), F.lit(False))).select(
         "path", (F.col("line_no") + F.coalesce("shift", F.lit(0))).cast("int").alias("line_no"), "line"
@@ -156,8 +156,4 @@ def apply_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id") ->
     added = ok.select("path", "_s", "_shift_before", F.posexplode("_new").alias("_k", "line")).select(
         "path", (F.col("_s") + F.col("_shift_before") + F.col("_k")).cast("int").alias("line_no"), "line"
     )
-    new_lines = kept.unionByName(added)
-    status = ok.select(*edits.columns, F.lit(None).cast("string").alias("error")).unionByName(
-        rest.select(*edits.columns, "error")
-    )
-    return new_lines, status
+    return kept.unionByName(added), status
