@@ -321,21 +321,27 @@ def code_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pk = F.col("l_partkey").cast("string")
     ln = F.col("l_linenumber")
     own = _project(F.col("o_orderkey"))
-    items = [
-        (F.col("l_returnflag") == "N", own, "main.py", F.concat(F.lit("import part_"), pk)),
-        (ln == 1, _project(F.col("o_orderkey") - 1), "lib/helpers.py",
-         F.concat(F.lit("from part_"), pk, F.lit(".sub import thing"))),
-        (ln == 2, own, "main.py", F.lit("import os, sys as system")),
-        (ln == 3, own, "main.py", F.lit("from . import sibling")),
-        (ln == 4, own, "main.py", F.lit("from util import helper")),
-        (ln == 5, own, "web/index.js", F.concat(F.lit("const x = require('@scope/part-"), pk, F.lit("/sub')"))),
-        (ln == 6, own, "web/index.js", F.lit("import y from 'lodash'")),
-        (ln == 7, own, "main.py", F.lit("import yaml")),
-    ]
-    arr = F.filter(F.array(*[F.struct(c.alias("on"), p.alias("project"), F.lit(f).alias("path"), t.alias("line"))
-                             for c, p, f, t in items]), lambda s: s["on"])
-    out = x.select(ln.cast("int").alias("line_no"), F.explode(arr).alias("s"))
-    return out.select("s.project", "s.path", "line_no", "s.line")
+
+    def item(project, path, line):
+        return F.struct(project.alias("project"), F.lit(path).alias("path"), line.alias("line"))
+
+    # At most two lines per item: its own import when flagged 'N', and the
+    # line picked by its line number (the cases are exclusive, so only the
+    # matching branch is built).
+    flagged = F.when(F.col("l_returnflag") == "N", item(own, "main.py", F.concat(F.lit("import part_"), pk)))
+    by_number = (
+        F.when(ln == 1, item(_project(F.col("o_orderkey") - 1), "lib/helpers.py",
+                             F.concat(F.lit("from part_"), pk, F.lit(".sub import thing"))))
+        .when(ln == 2, item(own, "main.py", F.lit("import os, sys as system")))
+        .when(ln == 3, item(own, "main.py", F.lit("from . import sibling")))
+        .when(ln == 4, item(own, "main.py", F.lit("from util import helper")))
+        .when(ln == 5, item(own, "web/index.js", F.concat(F.lit("const x = require('@scope/part-"), pk,
+                                                          F.lit("/sub')"))))
+        .when(ln == 6, item(own, "web/index.js", F.lit("import y from 'lodash'")))
+        .when(ln == 7, item(own, "main.py", F.lit("import yaml")))
+    )
+    out = x.select(ln.cast("int").alias("line_no"), F.explode(F.array(flagged, by_number)).alias("s"))
+    return out.filter(F.col("s").isNotNull()).select("s.project", "s.path", "line_no", "s.line")
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,11 +71,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     (default: the cluster's parallelism).
 
     A scan of few large files (one parquet row group each) yields one task
-    per file; a round-robin repartition then spreads the rows. When the scan
-    already has enough splits, as any large input has, nothing changes and
-    no shuffle is added."""
+    per file. Rows are then hash-partitioned by their position in the scan
+    (``monotonically_increasing_id``): balanced whatever the values (exact
+    duplicate rows still differ in position), and repeatable on retry because
+    a file split is always read in the same order, so no sort is needed
+    before the exchange. When the scan already has enough splits, as any
+    large input has, nothing changes and no shuffle is added."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, F.monotonically_increasing_id())
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
