@@ -55,7 +55,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="textmill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    try:
+        spark.sparkContext.setCheckpointDir(root)
+    except Exception:  # no SparkContext in this client; written stages still use root
+        pass
     return root
 
 
@@ -77,8 +80,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     a file split is always read in the same order, so no sort is needed
     before the exchange. When the scan already has enough splits, as any
     large input has, nothing changes and no shuffle is added."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    try:
+        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the plan as it is
+        return df
+    if have >= n:
         return df
     return df.repartition(n, F.monotonically_increasing_id())
 
