@@ -59,15 +59,23 @@ def batch_infer(
     user: str = "user_prompt",
     materialize: bool = False,
 ) -> DataFrame:
-    """Add ``answer`` and ``error`` to every row of ``df``."""
-    keyed = df.withColumn("_pkey", F.sha2(F.concat_ws("\u0000", F.col(system), F.col(user)), 256))
-    prompts = keyed.groupBy("_pkey").agg(F.first(system).alias("s"), F.first(user).alias("u"))
+    """Add ``answer`` and ``error`` to every row of ``df``. Rows whose system
+    or user prompt is NULL are not sent and keep both NULL."""
+    has_prompt = F.col(system).isNotNull() & F.col(user).isNotNull()
+    key = F.sha2(F.concat_ws("\u0000", F.col(system), F.col(user)), 256)
+    keyed = df.withColumn("_pkey", F.when(has_prompt, key))
+    prompts = keyed.filter(F.col("_pkey").isNotNull()).groupBy("_pkey").agg(
+        F.first(system).alias("s"), F.first(user).alias("u"))
     answered = prompts.mapInPandas(_runner(predict_factory), "_pkey string, answer string, error string")
     if materialize:
         spark = df.sparkSession
         path = scratch_path(spark, "answers")
         answered.write.parquet(path)
         answered = spark.read.parquet(path)
+    # Rows without a prompt get a unique key that matches nothing, so they
+    # spread over the join instead of meeting in the NULL key's partition.
+    keyed = keyed.withColumn("_pkey", F.coalesce("_pkey", F.concat(
+        F.lit("-"), F.monotonically_increasing_id().cast("string"))))
     return keyed.join(answered, "_pkey", "left").drop("_pkey")
 
 

@@ -22,9 +22,10 @@ def write_approved(
     """Status per changed row and, unless ``dry_run``, a new version of the
     approved rows written under ``out`` partitioned by project.
 
-    ``changes(keys, old, new)``; ``approvals(keys, approved)``. Unchanged
-    rows are skipped first; missing approval means no. Status is
-    'unchanged', 'rejected', 'would write' (dry run) or 'written'."""
+    ``changes(keys, old, new[, error])``; ``approvals(keys, approved)``.
+    Rows with an ``error`` are never written (status 'error'); unchanged rows
+    are skipped; missing approval means no. Status is 'error', 'unchanged',
+    'rejected', 'would write' (dry run) or 'written'."""
     keys = list(keys)
     c = changes
     if approvals is not None:
@@ -33,8 +34,10 @@ def write_approved(
         c = c.withColumn("_ok", F.lit(False))
     changed = ~F.col("old").eqNullSafe(F.col("new"))
     ok = F.coalesce(F.col("_ok"), F.lit(False))
+    failed = F.col("error").isNotNull() if "error" in c.columns else F.lit(False)
     status = (
-        F.when(~changed, F.lit("unchanged"))
+        F.when(failed, F.lit("error"))
+        .when(~changed, F.lit("unchanged"))
         .when(~ok, F.lit("rejected"))
         .otherwise(F.lit("would write" if dry_run else "written"))
     )
@@ -62,13 +65,12 @@ def rewrite_corpus(
     fences, compare, gate on approvals, write. Returns ``project, path, old,
     new, error, status`` (status 'error' when the model failed)."""
     p = render_prompts(files.withColumnRenamed("content", "code"), task)
-    a = batch_infer(p, predict_factory)
+    # one pass over the answers: the model is called once per distinct prompt,
+    # and when files are written the answers are materialised first
+    a = batch_infer(p, predict_factory, materialize=not dry_run)
     v = a.select("project", "path", F.col("code").alias("old"),
                  F.when(F.col("error").isNull(), strip_code_fences("answer")).alias("new"), "error")
-    good = v.filter(F.col("error").isNull())
-    st = write_approved(good.drop("error"), approvals, out, dry_run).withColumn("error", F.lit(None).cast("string"))
-    bad = v.filter(F.col("error").isNotNull()).withColumn("status", F.lit("error"))
-    return st.unionByName(bad)
+    return write_approved(v, approvals, out, dry_run)
 
 
 def partial_rewrite(
@@ -90,21 +92,20 @@ def partial_rewrite(
     for c, default in (("kind", "custom"), ("instruction", "")):
         if c not in sel.columns:
             sel = sel.withColumn(c, F.lit(default))
-    ex = ranges.extract_ranges(lines, sel, id_col)
-    good = ex.filter(F.col("error").isNull()).drop("error", "n_snippet_lines")
-    good = good.withColumn("global_instruction", F.lit(global_instruction))
-    p = render_prompts(good.withColumnRenamed("snippet", "code"), "snippet")
+    ex = ranges.extract_ranges(lines, sel, id_col).withColumnRenamed("error", "_ex_error")
+    ex = ex.withColumn("global_instruction", F.lit(global_instruction)).withColumnRenamed("snippet", "code")
+    p = render_prompts(ex, "snippet")
+    # selections that failed to extract get no prompt and are never sent
+    p = p.withColumn("user_prompt", F.when(F.col("_ex_error").isNull(), F.col("user_prompt")))
     a = batch_infer(p, predict_factory, materialize=not dry_run)
     cleaned = drop_echo(strip_code_fences("answer"), F.col("code"))
-    done = a.select(
-        id_col, "path", "start_line", "end_line", F.col("code").alias("original_snippet"),
-        F.when(F.col("error").isNull(), cleaned).alias("refactored_snippet"),
-        F.when(F.col("error").isNotNull(), F.concat(F.lit("model error: "), "error")).alias("error"),
+    ok = F.col("_ex_error").isNull()
+    results = a.select(
+        id_col, "path", "start_line", "end_line",
+        F.when(ok, F.col("code")).alias("original_snippet"),
+        F.when(ok & F.col("error").isNull(), cleaned).alias("refactored_snippet"),
+        F.coalesce(F.col("_ex_error"), F.concat(F.lit("model error: "), F.col("error"))).alias("error"),
     )
-    failed = ex.filter(F.col("error").isNotNull()).select(
-        id_col, "path", "start_line", "end_line", F.lit(None).cast("string").alias("original_snippet"),
-        F.lit(None).cast("string").alias("refactored_snippet"), "error")
-    results = done.unionByName(failed)
     if dry_run:
         return results.withColumn("applied", F.lit(False)), None
     spark = lines.sparkSession

@@ -45,27 +45,22 @@ def snapshot_diff(v: DataFrame, keys=("path",)) -> DataFrame:
     the shuffle by line text."""
     keys = list(keys)
     st = v.select(*keys, status_col().alias("status"), "old", "new")
-    changed = st.filter(F.col("status") != "same")
-    signed = changed.select(
-        *keys,
-        F.explode(F.concat(
-            F.transform(F.coalesce(split_lines_array("old"), F.array().cast("array<string>")),
-                        lambda s: F.struct(s.alias("line"), F.lit(-1).alias("sign"))),
-            F.transform(F.coalesce(split_lines_array("new"), F.array().cast("array<string>")),
-                        lambda s: F.struct(s.alias("line"), F.lit(1).alias("sign"))),
-        )).alias("x"),
-    )
-    per_line = signed.groupBy(*keys, F.col("x.line").alias("line")).agg(F.sum("x.sign").alias("d"))
-    per_file = per_line.groupBy(*keys).agg(
+    empty = F.array().cast("array<string>")
+    changed = F.col("status") != "same"
+
+    def signed(col, sign):
+        lines = F.when(changed, F.coalesce(split_lines_array(col), empty)).otherwise(empty)
+        return F.transform(lines, lambda s: F.struct(s.alias("line"), F.lit(sign).alias("sign")))
+
+    # One sentinel per file keeps every file (and its status) through the
+    # aggregation, so no join back to the file list is needed.
+    sentinel = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("sign")))
+    rows = st.select(*keys, "status", F.explode(F.concat(sentinel, signed("old", -1), signed("new", 1))).alias("x"))
+    per_line = rows.groupBy(*keys, "status", F.col("x.line").alias("line")).agg(F.sum("x.sign").alias("d"))
+    return per_line.groupBy(*keys, "status").agg(
         F.sum(F.when(F.col("d") > 0, F.col("d")).otherwise(0)).cast("long").alias("lines_added"),
         F.sum(F.when(F.col("d") < 0, -F.col("d")).otherwise(0)).cast("long").alias("lines_removed"),
     )
-    out = st.select(*keys, "status").join(per_file, keys, "left")
-    return out.select(
-        *keys, "status",
-        F.coalesce("lines_added", F.lit(0).cast("long")).alias("lines_added"),
-        F.coalesce("lines_removed", F.lit(0).cast("long")).alias("lines_removed"),
-    )
 
 
 # The tags of a line delta and the side each belongs to.
