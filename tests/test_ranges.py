@@ -87,3 +87,36 @@ def test_split_join_round_trip(spark):
     for i, t in enumerate(texts):
         assert joined[i] == "\n".join(t.splitlines()) + "\n"
     assert F  # keep import used
+
+
+def test_random_edits_against_python(spark):
+    import random
+
+    rnd = random.Random(11)
+    files, edits, expected = {}, [], {}
+    eid = 0
+    for f in range(25):
+        n = rnd.randint(1, 30)
+        text = "\n".join(f"f{f}l{i}" for i in range(1, n + 1))
+        files[f"p{f}"] = text
+        # non-overlapping edits in original numbering, applied by a forward walk
+        cuts, pos = [], 1
+        while pos <= n + 2 and len(cuts) < 4:
+            s = pos + rnd.randint(0, 4)
+            e = s + rnd.randint(0, 3)
+            cuts.append((s, e, "\n".join(f"new{eid}_{k}" for k in range(rnd.randint(0, 3)))))
+            pos = e + 1
+        src, ls, cursor = text.splitlines(), [], 1
+        for s, e, snip in sorted(cuts):
+            s0, e0 = min(s, n + 1), min(e, n)
+            ls += src[cursor - 1: s0 - 1] + snip.splitlines()
+            cursor = max(cursor, e0 + 1)
+        ls += src[cursor - 1:]
+        expected[f"p{f}"] = "\n".join(ls) + "\n" if ls else None
+        for s, e, snip in cuts:
+            edits.append((eid, f"p{f}", s, e, snip))
+            eid += 1
+    got, st = apply(spark, files, edits)
+    assert all(v is None for v in st.values())
+    for p, want in expected.items():
+        assert got.get(p) == want, p

@@ -2,9 +2,10 @@
 
 ``scan_files`` gives ``files(project, path, length, content)`` for a file, a
 folder (every file below it) or a glob. The folder case is a Python Data
-Source (``filetree``): the driver only reads the first level of the folder,
-each sub-folder becomes one input partition, and the executors walk their
-own sub-tree, pruning excluded folders while walking. Unlike ``binaryFile``
+Source (``filetree``): the driver lists directories only, breadth first, until
+there are enough sub-trees for the cluster (``target_partitions``); each
+becomes one input partition and the executors walk their own sub-tree,
+pruning excluded folders while walking. Unlike ``binaryFile``
 it keeps names starting with '.' or '_' (``.env``, ``__init__.py``) when
 ``include_hidden`` is set.
 
@@ -46,6 +47,8 @@ class FileTreeReader(DataSourceReader):
         self.exclude = [s for s in options.get("exclude", "").split(",") if s]
         self.include_hidden = options.get("include_hidden", "true") == "true"
         self.with_content = options.get("content", "true") == "true"
+        self.target = int(options.get("target_partitions", "64"))
+        self.max_expand = int(options.get("max_expand", "10000"))
 
     def _skip(self, name: str) -> bool:
         return name in self.exclude or (not self.include_hidden and _hidden(name))
@@ -58,12 +61,18 @@ class FileTreeReader(DataSourceReader):
             return [_Part("list", c) for c in chunks] or [_Part("list", [])]
         if os.path.isfile(self.root):
             return [_Part("list", [self.root])]
-        parts = [_Part("top", self.root)]
-        with os.scandir(self.root) as it:
-            for e in sorted(it, key=lambda e: e.name):
-                if e.is_dir(follow_symlinks=False) and not self._skip(e.name):
-                    parts.append(_Part("dir", e.path))
-        return parts
+        # Breadth-first over directories only (never files) until there are
+        # enough sub-trees to keep every executor busy, so one huge folder
+        # does not become one task. Each expanded folder contributes its own
+        # files as one partition; each frontier folder is walked by a task.
+        expanded, frontier = [], [self.root]
+        while frontier and len(frontier) < self.target and len(expanded) < self.max_expand:
+            d = frontier.pop(0)
+            expanded.append(d)
+            with os.scandir(d) as it:
+                subs = sorted(e.path for e in it if e.is_dir(follow_symlinks=False) and not self._skip(e.name))
+            frontier.extend(subs)
+        return [_Part("top", d) for d in expanded] + [_Part("dir", d) for d in sorted(frontier)]
 
     def _row(self, full: str, rel: str):
         try:
@@ -93,7 +102,7 @@ class FileTreeReader(DataSourceReader):
             with os.scandir(partition.value) as it:
                 for e in sorted(it, key=lambda e: e.name):
                     if e.is_file() and not self._skip(e.name):
-                        row = self._row(e.path, e.name)
+                        row = self._row(e.path, os.path.relpath(e.path, self.root))
                         if row:
                             yield row
             return
@@ -120,6 +129,14 @@ class FileTreeSource(DataSource):
         return FileTreeReader(self.options)
 
 
+def _has_context(spark: SparkSession) -> bool:
+    try:
+        spark.sparkContext  # noqa: B018
+        return True
+    except Exception:
+        return False
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileTreeSource)
 
@@ -141,6 +158,7 @@ def scan_files(
         "exclude": ",".join(exclude or []),
         "include_hidden": "true" if include_hidden else "false",
         "content": "true" if content else "false",
+        "target_partitions": str(max(8, 4 * spark.sparkContext.defaultParallelism)) if _has_context(spark) else "64",
     }
     if os.path.exists(path):
         base = path if os.path.isdir(path) else os.path.dirname(path)

@@ -14,6 +14,7 @@ after a failure replaces its own output instead of duplicating it.
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -35,6 +36,10 @@ STATE_SCHEMA = StructType([StructField("exit_turn", LongType())])
 # Words that end a session.
 EXIT_WORDS = {"exit", "quit"}
 
+# Marker rows are mostly NULL by design; pandas warns about that when the
+# worker concatenates output frames.
+warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty or all-NA")
+
 
 def _session_state(key, batches, state):
     """Pass the session's rows through chunk by chunk (memory bounded by one
