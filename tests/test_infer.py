@@ -94,3 +94,15 @@ def test_place_outputs(spark):
     assert got[(2, 0)] == ("src/m.py", "replace", None)
     assert got[(3, 0)] == ("proj_converted_to_C___14/ok/a.go", "write", None)
     assert got[(3, 1)][2] == got[(3, 2)][2] == "unsafe path"
+
+
+def test_json_mode(spark):
+    def factory():
+        def predict(systems, users):
+            return ['{"files": []}' if u == "good" else "[1]" for u in users]
+        return predict
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad")], "id long, u string").withColumn("s", F.lit("x"))
+    got = {r.id: (r.error, r.answer_json is not None) for r in infer.batch_infer(df, factory, "s", "u", json=True)
+           .collect()}
+    assert got == {1: (None, True), 2: ("answer is not a JSON object", False)}

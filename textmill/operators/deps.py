@@ -95,20 +95,21 @@ def extract_imports(lines: DataFrame) -> DataFrame:
 
 
 def imported_packages(imports: DataFrame, alias: DataFrame | None = None, max_dim_rows: int = 1_000_000):
-    """``(project, module, pkg)``: module mapped by the alias table, else its
-    own normalised name."""
-    m = imports.select("project", "module").distinct()
+    """Distinct ``(project, module, pkg)``: module mapped by the alias table
+    (a bounded broadcast, so the mapping is narrow), else its own normalised
+    name; one aggregation, partial before the shuffle."""
+    m = imports.select("project", "module")
     if alias is None:
-        return m.withColumn("pkg", normalize_pkg("module"))
-    a = alias.select("module", normalize_pkg("pkg").alias("_apkg"))
+        return m.withColumn("pkg", normalize_pkg("module")).distinct()
+    a = alias.select("module", normalize_pkg("pkg").alias("_apkg")).dropDuplicates(["module"])
     out = m.join(bounded_broadcast(a, max_dim_rows), "module", "left")
-    return out.select("project", "module", F.coalesce("_apkg", normalize_pkg("module")).alias("pkg"))
+    return out.select("project", "module", F.coalesce("_apkg", normalize_pkg("module")).alias("pkg")).distinct()
 
 
 def unused_deps(reqs: DataFrame, imports: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     """Declared requirements whose package no file of the project imports."""
     declared = reqs.filter(F.col("kind") == "requirement").select("project", "file", "line_no", "pkg")
-    used = imported_packages(imports, alias).select("project", "pkg").distinct()
+    used = imported_packages(imports, alias).select("project", "pkg")
     return declared.join(used, ["project", "pkg"], "left_anti")
 
 

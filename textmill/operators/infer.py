@@ -58,9 +58,13 @@ def batch_infer(
     system: str = "system_prompt",
     user: str = "user_prompt",
     materialize: bool = False,
+    json: bool = False,
 ) -> DataFrame:
     """Add ``answer`` and ``error`` to every row of ``df``. Rows whose system
-    or user prompt is NULL are not sent and keep both NULL."""
+    or user prompt is NULL are not sent and keep both NULL.
+
+    ``json=True`` asks for JSON answers: ``answer_json`` (VARIANT) is added
+    and an answer that is not a JSON object becomes an ``error``."""
     has_prompt = F.col(system).isNotNull() & F.col(user).isNotNull()
     key = F.sha2(F.concat_ws("\u0000", F.col(system), F.col(user)), 256)
     keyed = df.withColumn("_pkey", F.when(has_prompt, key))
@@ -76,7 +80,14 @@ def batch_infer(
     # spread over the join instead of meeting in the NULL key's partition.
     keyed = keyed.withColumn("_pkey", F.coalesce("_pkey", F.concat(
         F.lit("-"), F.monotonically_increasing_id().cast("string"))))
-    return keyed.join(answered, "_pkey", "left").drop("_pkey")
+    out = keyed.join(answered, "_pkey", "left").drop("_pkey")
+    if json:
+        v = F.try_parse_json("answer")
+        is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        out = out.withColumn("answer_json", F.when(is_obj, v)).withColumn(
+            "error", F.when(F.col("answer").isNotNull() & ~is_obj, F.lit("answer is not a JSON object"))
+            .otherwise(F.col("error")))
+    return out
 
 
 def replace_stub(old: str = "the", new: str = "THE", fence: bool = True) -> Callable[[], Predict]:
