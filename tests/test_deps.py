@@ -67,3 +67,26 @@ def test_duplicate_blocks(spark):
     df = spark.createDataFrame(data, "path string, line_no int, line string")
     got = [(r.n, r.first_path, r.first_line) for r in H.duplicate_blocks(df, 2).collect()]
     assert got == [(3, "a", 1)]
+
+
+def test_duplicate_blocks_across_bucket_edges(spark):
+    from collections import Counter
+
+    import random
+
+    rnd = random.Random(3)
+    files = {f"p{f}": [rnd.choice("abc") for _ in range(rnd.randint(1, 40))] for f in range(6)}
+    data = [(p, i + 1, t) for p, ls in files.items() for i, t in enumerate(ls)]
+    df = spark.createDataFrame(data, "path string, line_no int, line string")
+    for k in (1, 2, 3, 5):
+        runs = Counter()
+        first = {}
+        for p in sorted(files):
+            ls = files[p]
+            for i in range(len(ls) - k + 1):
+                key = "\n".join(ls[i:i + k])
+                runs[key] += 1
+                first.setdefault(key, (p, i + 1))
+        want = sorted((n, *first[key]) for key, n in runs.items() if n > 1)
+        got = sorted((r.n, r.first_path, r.first_line) for r in H.duplicate_blocks(df, k, bucket=4).collect())
+        assert got == want, k

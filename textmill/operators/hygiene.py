@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def duplicate_blocks(lines: DataFrame, k: int = 2) -> DataFrame:
+BLOCK_BUCKET = 1024
+
+
+def duplicate_blocks(lines: DataFrame, k: int = 2, bucket: int = BLOCK_BUCKET) -> DataFrame:
     """Runs of ``k`` consecutive lines that occur more than once.
 
-    Each line is copied to the ``k`` windows it belongs to, keyed by
-    ``(path, first line)``; every group holds at most ``k`` rows, so no file
-    lands whole in one task. Full windows are hashed (SHA-256 of the lines
-    joined by '\\n') and counted with a map-side partial aggregation.
+    Lines are grouped by ``(path, bucket of `bucket` lines)``; the first
+    ``k - 1`` lines of each bucket are also copied to the previous bucket so
+    that runs crossing a bucket edge are seen whole. A rows window inside
+    each bounded group collects the ``k`` lines starting at every line, so
+    the shuffle carries each line about once and no file lands whole in one
+    task. Full runs of consecutive line numbers are hashed (SHA-256 of the
+    lines joined by '\\n') and counted with a map-side partial aggregation.
     Returns ``block_hash, n, first_path, first_line``.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    copies = lines.select(
-        "path", "line", "line_no", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j")
-    ).withColumn("_anchor", F.col("line_no") - F.col("_j")).filter(F.col("_anchor") >= 1)
-    parts = F.array_sort(F.collect_list(F.struct(F.col("_j").alias("j"), F.col("line").alias("t"))))
-    windows = copies.groupBy("path", "_anchor").agg(parts.alias("_w")).filter(F.size("_w") == k)
-    hashed = windows.select(
-        "path", F.col("_anchor").alias("line_no"),
-        F.sha2(F.array_join(F.transform("_w", lambda x: x["t"]), "\n"), 256).alias("block_hash"),
-    )
+    b = F.floor((F.col("line_no") - 1) / F.lit(bucket)).cast("long")
+    pos = (F.col("line_no") - 1) % bucket
+    own = F.struct(b.alias("b"), F.lit(True).alias("own"))
+    prev = F.when((pos < k - 1) & (b > 0), F.struct((b - 1).alias("b"), F.lit(False).alias("own")))
+    copies = lines.select("path", "line_no", "line", F.explode(F.array(own, prev)).alias("_t")) \
+        .filter(F.col("_t").isNotNull()).select("path", "line_no", "line", "_t.b", "_t.own")
+    w = Window.partitionBy("path", "b").orderBy("line_no").rowsBetween(0, k - 1)
+    runs = copies.select(
+        "path", "line_no", "own",
+        F.collect_list("line").over(w).alias("_w"),
+        F.max("line_no").over(w).alias("_last"),
+    ).filter(F.col("own") & (F.size("_w") == k) & (F.col("_last") - F.col("line_no") == k - 1))
+    hashed = runs.select("path", "line_no", F.sha2(F.array_join("_w", "\n"), 256).alias("block_hash"))
     return hashed.groupBy("block_hash").agg(
         F.count("*").cast("long").alias("n"),
         F.min(F.struct("path", "line_no")).alias("_first"),
