@@ -835,3 +835,37 @@ FROM c WHERE NOT single
 """
 
 ORACLE["request_stream"] = ORACLE["session_requests"]
+
+# Line chunks with carried lines (500 characters, overlap 200 -> 20 lines):
+# at a break, the lines carried are those of the closing chunk, among the last
+# 20, whose sum together with the next line fits; sums grow with the count, so
+# the count of fitting suffixes is the longest one.
+ORACLE["chunk_lines_overlap"] = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, line_no, line, length(line) AS len,
+         sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) AS cum0
+  FROM ({DOC_LINES_KEEPENDS}) x),
+r(doc_id, line_no, chunk_no, cur_start, cur_len) AS (
+  SELECT doc_id, line_no, 0, 1, len FROM l WHERE line_no = 1
+  UNION ALL
+  SELECT r.doc_id, n.line_no,
+         CASE WHEN r.cur_len + n.len <= 500 THEN r.chunk_no ELSE r.chunk_no + 1 END,
+         CASE WHEN r.cur_len + n.len <= 500 THEN r.cur_start
+              ELSE n.line_no - (SELECT count(*) FROM l l2
+                                WHERE l2.doc_id = r.doc_id
+                                  AND l2.line_no BETWEEN greatest(n.line_no - 20, r.cur_start) AND n.line_no - 1
+                                  AND n.cum0 - l2.cum0 + n.len <= 500) END,
+         CASE WHEN r.cur_len + n.len <= 500 THEN r.cur_len + n.len
+              ELSE n.len + coalesce((SELECT n.cum0 - min(l2.cum0) FROM l l2
+                                     WHERE l2.doc_id = r.doc_id
+                                       AND l2.line_no BETWEEN greatest(n.line_no - 20, r.cur_start) AND n.line_no - 1
+                                       AND n.cum0 - l2.cum0 + n.len <= 500), 0) END
+  FROM r JOIN l n ON n.doc_id = r.doc_id AND n.line_no = r.line_no + 1
+),
+c AS (SELECT doc_id, chunk_no, min(cur_start) AS s, max(line_no) AS e FROM r GROUP BY doc_id, chunk_no)
+SELECT c.doc_id, CAST(c.chunk_no AS BIGINT) AS chunk_no, CAST(c.s AS BIGINT) AS start_line,
+       CAST(sum(length(l.line)) AS BIGINT) AS chunk_chars,
+       md5(string_agg(l.line, '' ORDER BY l.line_no)) AS chunk_md5
+FROM c JOIN l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.s AND c.e
+GROUP BY c.doc_id, c.chunk_no, c.s
+"""
