@@ -8,9 +8,11 @@ distinct (a partial aggregation, so a prompt repeated a million times costs
 one call) and the answers joined back. A NULL answer or a raised error
 becomes ``error`` on that row only.
 
-Answers of a real model are not repeatable; callers that read them twice
-(preview, then apply) pass ``materialize=True`` so they are computed once
-and written to the shared checkpoint folder.
+Answers of a real model are not repeatable: if an executor is lost, Spark
+recomputes the lost partitions and would ask the model again. So unless the
+factory declares ``deterministic = True`` (the stubs here do), answers are
+materialised: computed once and written to the shared checkpoint folder, and
+every later stage reads that table.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def batch_infer(
     predict_factory: Callable[[], Predict],
     system: str = "system_prompt",
     user: str = "user_prompt",
-    materialize: bool = False,
+    materialize: bool | None = None,
     json: bool = False,
 ) -> DataFrame:
     """Add ``answer`` and ``error`` to every row of ``df``. Rows whose system
@@ -71,6 +73,8 @@ def batch_infer(
     prompts = keyed.filter(F.col("_pkey").isNotNull()).groupBy("_pkey").agg(
         F.first(system).alias("s"), F.first(user).alias("u"))
     answered = prompts.mapInPandas(_runner(predict_factory), "_pkey string, answer string, error string")
+    if materialize is None:
+        materialize = not getattr(predict_factory, "deterministic", False)
     if materialize:
         spark = df.sparkSession
         path = scratch_path(spark, "answers")
@@ -110,4 +114,5 @@ def replace_stub(old: str = "the", new: str = "THE", fence: bool = True) -> Call
 
         return predict
 
+    factory.deterministic = True
     return factory
