@@ -89,3 +89,13 @@ def test_size_filter_reaches_binary_scan(spark, tree):
     df = S.fast_scan(spark, str(tree), max_bytes=500)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "length" in plan and ("PushedFilters" in plan or "DataFilters" in plan)
+
+
+def test_large_flat_folder_is_sharded(spark, tmp_path):
+    for i in range(50):
+        (tmp_path / f"f{i:02d}.txt").write_text(str(i))
+    S.register(spark)
+    df = spark.read.format("filetree").options(path=str(tmp_path), project="p", exclude="",
+                                               files_per_partition="10").load()
+    assert df.rdd.getNumPartitions() == 5
+    assert sorted(r.path for r in df.collect()) == [f"f{i:02d}.txt" for i in range(50)]

@@ -5,7 +5,9 @@ folder (every file below it) or a glob. The folder case is a Python Data
 Source (``filetree``): the driver lists directories only, breadth first, until
 there are enough sub-trees for the cluster (``target_partitions``); each
 becomes one input partition and the executors walk their own sub-tree,
-pruning excluded folders while walking. Unlike ``binaryFile``
+pruning excluded folders while walking; a folder with more than
+``files_per_partition`` files of its own is split into hash shards. Unlike
+``binaryFile``
 it keeps names starting with '.' or '_' (``.env``, ``__init__.py``) when
 ``include_hidden`` is set.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import glob as _glob
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,7 @@ class FileTreeReader(DataSourceReader):
         self.with_content = options.get("content", "true") == "true"
         self.target = int(options.get("target_partitions", "64"))
         self.max_expand = int(options.get("max_expand", "10000"))
+        self.files_per_part = int(options.get("files_per_partition", "10000"))
 
     def _skip(self, name: str) -> bool:
         return name in self.exclude or (not self.include_hidden and _hidden(name))
@@ -65,14 +69,24 @@ class FileTreeReader(DataSourceReader):
         # enough sub-trees to keep every executor busy, so one huge folder
         # does not become one task. Each expanded folder contributes its own
         # files as one partition; each frontier folder is walked by a task.
-        expanded, frontier = [], [self.root]
+        expanded, frontier, parts = [], [self.root], []
         while frontier and len(frontier) < self.target and len(expanded) < self.max_expand:
             d = frontier.pop(0)
             expanded.append(d)
+            n_files, subs = 0, []
             with os.scandir(d) as it:
-                subs = sorted(e.path for e in it if e.is_dir(follow_symlinks=False) and not self._skip(e.name))
-            frontier.extend(subs)
-        return [_Part("top", d) for d in expanded] + [_Part("dir", d) for d in sorted(frontier)]
+                for e in it:
+                    if e.is_dir(follow_symlinks=False):
+                        if not self._skip(e.name):
+                            subs.append(e.path)
+                    else:
+                        n_files += 1
+            frontier.extend(sorted(subs))
+            # a large flat folder is read by several tasks, each keeping the
+            # files whose name hashes to its shard
+            shards = max(1, -(-n_files // self.files_per_part))
+            parts.extend(_Part("top", (d, i, shards)) for i in range(shards))
+        return parts + [_Part("dir", d) for d in sorted(frontier)]
 
     def _row(self, full: str, rel: str):
         try:
@@ -99,12 +113,16 @@ class FileTreeReader(DataSourceReader):
                     yield row
             return
         if partition.kind == "top":
-            with os.scandir(partition.value) as it:
+            folder, shard, shards = partition.value
+            with os.scandir(folder) as it:
                 for e in sorted(it, key=lambda e: e.name):
-                    if e.is_file() and not self._skip(e.name):
-                        row = self._row(e.path, os.path.relpath(e.path, self.root))
-                        if row:
-                            yield row
+                    if not e.is_file() or self._skip(e.name):
+                        continue
+                    if shards > 1 and zlib.crc32(e.name.encode()) % shards != shard:
+                        continue
+                    row = self._row(e.path, os.path.relpath(e.path, self.root))
+                    if row:
+                        yield row
             return
         for dirpath, dirnames, filenames in os.walk(partition.value):
             dirnames[:] = sorted(d for d in dirnames if not self._skip(d))
