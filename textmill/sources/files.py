@@ -7,9 +7,8 @@ there are enough sub-trees for the cluster (``target_partitions``); each
 becomes one input partition and the executors walk their own sub-tree,
 pruning excluded folders while walking; a folder with more than
 ``files_per_partition`` files of its own is split into hash shards. Unlike
-``binaryFile``
-it keeps names starting with '.' or '_' (``.env``, ``__init__.py``) when
-``include_hidden`` is set.
+``binaryFile`` it keeps names starting with '.' or '_' (``.env``,
+``__init__.py``) when ``include_hidden`` is set.
 
 Spark's own ``binaryFile`` source is the fast path for very large trees
 where hidden files do not matter: ``fast_scan``.
