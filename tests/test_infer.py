@@ -106,3 +106,17 @@ def test_json_mode(spark):
     got = {r.id: (r.error, r.answer_json is not None) for r in infer.batch_infer(df, factory, "s", "u", json=True)
            .collect()}
     assert got == {1: (None, True), 2: ("answer is not a JSON object", False)}
+
+
+def test_row_path_without_dedupe(spark):
+    def factory():
+        def predict(systems, users):
+            if any("boom" in u for u in users):
+                raise RuntimeError("boom")
+            return [u[::-1] for u in users]
+        return predict
+
+    df = spark.createDataFrame([(1, "abc"), (2, "boom"), (3, None)], "id long, u string").withColumn("s", F.lit("x"))
+    got = {r.id: (r.answer, r.error) for r in infer.batch_infer(df, factory, "s", "u", dedupe=False).collect()}
+    assert got[1] == ("cba", None) and got[3] == (None, None)
+    assert got[2][0] is None and got[2][1].startswith("model error")

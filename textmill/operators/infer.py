@@ -17,11 +17,12 @@ every later stage reads that table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import scratch_path
 from .prompts import CODE_CLOSE, CODE_OPEN
@@ -33,27 +34,51 @@ def _runner(predict_factory: Callable[[], Predict]):
     def run(batches):
         predict = predict_factory()
         for pdf in batches:
-            systems, users = pdf["s"].tolist(), pdf["u"].tolist()
-            try:
-                answers = list(predict(systems, users))
-                if len(answers) != len(users):
-                    raise ValueError("predict returned a wrong number of answers")
-                errors = [None if a is not None else "empty answer" for a in answers]
-            except Exception:  # isolate the failing rows
-                answers, errors = [], []
-                for s, u in zip(systems, users):
-                    try:
-                        a = list(predict([s], [u]))[0]
-                        answers.append(a)
-                        errors.append(None if a is not None else "empty answer")
-                    except Exception as e:  # noqa: BLE001 - reported per row
-                        answers.append(None)
-                        errors.append(f"model error: {e}")
+            answers, errors = _answer_batch(predict, pdf["s"].tolist(), pdf["u"].tolist())
             yield pd.DataFrame({"_pkey": pdf["_pkey"], "answer": answers, "error": errors})
 
     return run
 
 
+ANSWER_TYPE = StructType([StructField("answer", StringType()), StructField("error", StringType())])
+
+
+def _answer_batch(predict, systems, users):
+    """Answers and errors for one batch; NULL prompts are not sent."""
+    idx = [i for i, (s, u) in enumerate(zip(systems, users)) if s is not None and u is not None]
+    answers, errors = [None] * len(users), [None] * len(users)
+    if not idx:
+        return answers, errors
+    s_in, u_in = [systems[i] for i in idx], [users[i] for i in idx]
+    try:
+        got = list(predict(s_in, u_in))
+        if len(got) != len(idx):
+            raise ValueError("predict returned a wrong number of answers")
+        pairs = [(a, None if a is not None else "empty answer") for a in got]
+    except Exception:  # isolate the failing rows
+        pairs = []
+        for s, u in zip(s_in, u_in):
+            try:
+                a = list(predict([s], [u]))[0]
+                pairs.append((a, None if a is not None else "empty answer"))
+            except Exception as e:  # noqa: BLE001 - reported per row
+                pairs.append((None, f"model error: {e}"))
+    for i, (a, e) in zip(idx, pairs):
+        answers[i], errors[i] = a, e
+    return answers, errors
+
+
+def _row_udf(predict_factory):
+    @F.pandas_udf(ANSWER_TYPE)
+    def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        predict = predict_factory()
+        for s, u in batches:
+            a, e = _answer_batch(predict, s.tolist(), u.tolist())
+            yield pd.DataFrame({"answer": a, "error": e})
+
+    return answer
+
+
 def batch_infer(
     df: DataFrame,
     predict_factory: Callable[[], Predict],
@@ -61,20 +86,35 @@ def batch_infer(
     user: str = "user_prompt",
     materialize: bool | None = None,
     json: bool = False,
+    dedupe: bool = True,
 ) -> DataFrame:
     """Add ``answer`` and ``error`` to every row of ``df``. Rows whose system
     or user prompt is NULL are not sent and keep both NULL.
 
     ``json=True`` asks for JSON answers: ``answer_json`` (VARIANT) is added
-    and an answer that is not a JSON object becomes an ``error``."""
+    and an answer that is not a JSON object becomes an ``error``.
+
+    ``dedupe=False`` is for prompts known to be unique (they carry a path):
+    an iterator pandas UDF over the two prompt columns, factory once per
+    partition, no shuffle and no join back."""
+    if materialize is None:
+        materialize = not getattr(predict_factory, "deterministic", False)
+    if not dedupe:
+        r = _row_udf(predict_factory)(F.col(system), F.col(user))
+        out = df.withColumn("_r", r).select(*df.columns, F.col("_r.answer").alias("answer"),
+                                            F.col("_r.error").alias("error"))
+        if materialize:
+            spark = df.sparkSession
+            path = scratch_path(spark, "answers")
+            out.write.parquet(path)
+            out = spark.read.parquet(path)
+        return _json_check(out) if json else out
     has_prompt = F.col(system).isNotNull() & F.col(user).isNotNull()
     key = F.sha2(F.concat_ws("\u0000", F.col(system), F.col(user)), 256)
     keyed = df.withColumn("_pkey", F.when(has_prompt, key))
     prompts = keyed.filter(F.col("_pkey").isNotNull()).groupBy("_pkey").agg(
         F.first(system).alias("s"), F.first(user).alias("u"))
     answered = prompts.mapInPandas(_runner(predict_factory), "_pkey string, answer string, error string")
-    if materialize is None:
-        materialize = not getattr(predict_factory, "deterministic", False)
     if materialize:
         spark = df.sparkSession
         path = scratch_path(spark, "answers")
@@ -85,13 +125,15 @@ def batch_infer(
     keyed = keyed.withColumn("_pkey", F.coalesce("_pkey", F.concat(
         F.lit("-"), F.monotonically_increasing_id().cast("string"))))
     out = keyed.join(answered, "_pkey", "left").drop("_pkey")
-    if json:
-        v = F.try_parse_json("answer")
-        is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-        out = out.withColumn("answer_json", F.when(is_obj, v)).withColumn(
-            "error", F.when(F.col("answer").isNotNull() & ~is_obj, F.lit("answer is not a JSON object"))
-            .otherwise(F.col("error")))
-    return out
+    return _json_check(out) if json else out
+
+
+def _json_check(out: DataFrame) -> DataFrame:
+    v = F.try_parse_json("answer")
+    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return out.withColumn("answer_json", F.when(is_obj, v)).withColumn(
+        "error", F.when(F.col("answer").isNotNull() & ~is_obj, F.lit("answer is not a JSON object"))
+        .otherwise(F.col("error")))
 
 
 def replace_stub(old: str = "the", new: str = "THE", fence: bool = True) -> Callable[[], Predict]:

@@ -67,7 +67,8 @@ def rewrite_corpus(
     p = render_prompts(files.withColumnRenamed("content", "code"), task)
     # one pass over the answers: the model is called once per distinct prompt,
     # and when files are written the answers are materialised first
-    a = batch_infer(p, predict_factory, materialize=None if dry_run else True)
+    # prompts carry the path, so they are unique: no de-duplication pass
+    a = batch_infer(p, predict_factory, materialize=None if dry_run else True, dedupe=False)
     v = a.select("project", "path", F.col("code").alias("old"),
                  F.when(F.col("error").isNull(), strip_code_fences("answer")).alias("new"), "error")
     return write_approved(v, approvals, out, dry_run)
@@ -97,7 +98,8 @@ def partial_rewrite(
     p = render_prompts(ex, "snippet")
     # selections that failed to extract get no prompt and are never sent
     p = p.withColumn("user_prompt", F.when(F.col("_ex_error").isNull(), F.col("user_prompt")))
-    a = batch_infer(p, predict_factory, materialize=None if dry_run else True)
+    # prompts carry path and line range, so they are unique: no de-duplication
+    a = batch_infer(p, predict_factory, materialize=None if dry_run else True, dedupe=False)
     cleaned = drop_echo(strip_code_fences("answer"), F.col("code"))
     ok = F.col("_ex_error").isNull()
     results = a.select(
