@@ -120,3 +120,21 @@ def test_row_path_without_dedupe(spark):
     got = {r.id: (r.answer, r.error) for r in infer.batch_infer(df, factory, "s", "u", dedupe=False).collect()}
     assert got[1] == ("cba", None) and got[3] == (None, None)
     assert got[2][0] is None and got[2][1].startswith("model error")
+
+
+def test_convert_projects(spark):
+    files = spark.createDataFrame([("p", "a.py", "the x", "python"), ("p", "pkg/b.py", "y", "python"),
+                                   ("q", "c.py", "z", "python")],
+                                  "project string, path string, content string, language string")
+    out, notes = rewrite.convert_projects(files, "python", "Type Script", infer.convert_stub(".ts"))
+    got = sorted((r.project, r.pos, r.target_path, r.content) for r in out.collect())
+    assert got == [("p", 0, "p_converted_to_Type_Script/a.ts", "THE x"),
+                   ("p", 1, "p_converted_to_Type_Script/pkg/b.ts", "y"),
+                   ("q", 0, "q_converted_to_Type_Script/c.ts", "z")]
+    assert {r.project: r.notes for r in notes.collect()} == {"p": "2 files converted", "q": "1 files converted"}
+
+    def bad_factory():
+        return lambda systems, users: ["[1, 2]" for _ in users]
+
+    _, bad = rewrite.convert_projects(files, "python", "go", bad_factory)
+    assert {r.error for r in bad.collect()} == {"not a JSON object"}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import drop_echo, path_suffix, safe_name, strip_code_fences, swap_suffix
 from ..session import scratch_path
 from . import ranges
+from .answers import answer_notes, converted_files, parse_answers
+from .corpus import files_block
 from .infer import batch_infer
 from .prompts import render_prompts
 
@@ -155,3 +157,40 @@ def place_outputs(converted: DataFrame, originals: DataFrame, tgt_lang: str, key
         F.when(unsafe, F.lit("unsafe path")).alias("error"),
     )
     return single.unionByName(proj)
+
+
+def convert_projects(
+    files: DataFrame,
+    src_lang: str,
+    tgt_lang: str,
+    predict_factory,
+    target_stack_desc: str | None = None,
+    max_pack_chars: int = 4_000_000,
+) -> tuple[DataFrame, DataFrame]:
+    """Project conversion: one prompt per project (per pack of a large
+    project) with all its files, a JSON answer, the returned files validated
+    and placed under ``<project>_converted_to_<safe target>/``.
+
+    Returns ``(files_out, notes)``: ``project, pack, pos, path, content,
+    target_path, action, error`` per returned file, and ``project, pack,
+    notes, error`` per answer (a non-object answer is an error there)."""
+    desc = target_stack_desc or f"An idiomatic {tgt_lang} project using its standard library."
+    blocks = files_block(files, max_pack_chars).select(
+        "project", "pack", F.col("block").alias("files_block"),
+        F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang"),
+        F.lit(desc).alias("target_stack_desc"),
+        F.lit(f"Project to convert from {src_lang} to {tgt_lang}.").alias("summary"),
+    )
+    p = render_prompts(blocks, "convert")
+    a = batch_infer(p, predict_factory, dedupe=False).select(
+        "project", "pack", "answer", F.col("error").alias("_model_error"))
+    parsed = parse_answers(a)
+    notes = parsed.select("project", "pack", answer_notes(parsed).alias("notes"),
+                          F.coalesce(F.concat(F.lit("model error: "), "_model_error"), "error").alias("error"))
+    conv = converted_files(parsed, keys=("project", "pack"))
+    originals = blocks.select("project", "pack", F.lit(None).cast("string").alias("orig_path"),
+                              F.col("project").alias("root"), F.lit(False).alias("single"))
+    placed = place_outputs(conv, originals, tgt_lang, keys=("project", "pack"))
+    out = conv.join(placed, ["project", "pack", "pos"])
+    return out, notes
+

@@ -869,3 +869,18 @@ SELECT c.doc_id, CAST(c.chunk_no AS BIGINT) AS chunk_no, CAST(c.s AS BIGINT) AS
 FROM c JOIN l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.s AND c.e
 GROUP BY c.doc_id, c.chunk_no, c.s
 """
+
+ORACLE["convert_projects"] = f"""
+WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
+                          FROM ({FILES}) x WHERE length <= 200000 AND {CORPUS}) t WHERE rn <= 40),
+s AS (SELECT project, path, content, rn,
+             regexp_extract(regexp_extract(path, '[^/]*$', 0), '^.+(\\.[^.]+)$', 1) AS sfx FROM f),
+c AS (SELECT project, rn, content,
+             CASE WHEN sfx = '' THEN path ELSE left(path, length(path) - length(sfx)) END || '.go' AS newpath
+      FROM s)
+SELECT project, CAST(0 AS BIGINT) AS pack, CAST(rn - 1 AS BIGINT) AS pos, newpath AS path,
+       project || '_converted_to_go/' || newpath AS target_path, 'write' AS action,
+       md5(replace(content, 'the', 'THE')) AS content_md5, CAST(NULL AS VARCHAR) AS error
+FROM c
+"""
+

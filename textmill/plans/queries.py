@@ -461,6 +461,16 @@ def place_outputs(spark, sf_dir):
     return rewrite.place_outputs(conv, orig, "Type Script")
 
 
+@query
+def convert_projects(spark, sf_dir):
+    """Whole projects converted to Go by a deterministic stand-in model."""
+    f = corpus.collect_corpus(files_from_documents(spark, sf_dir)).select("project", "path", "content")
+    f = f.withColumn("language", F.lit("unknown"))
+    out, _ = rewrite.convert_projects(f, "python", "go", infer.convert_stub(".go"))
+    return out.select("project", "pack", "pos", "path", "target_path", "action", md5("content").alias("content_md5"),
+                      "error")
+
+
 # ---------------------------------------------------------------- sources, streaming
 
 from ..sources import files as file_sources  # noqa: E402
