@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..session import scratch_path
+from ..session import python_partitions, scratch_path
 from .prompts import CODE_CLOSE, CODE_OPEN
 
 Predict = Callable[[Sequence[str], Sequence[str]], Sequence[str | None]]
@@ -99,9 +99,11 @@ def batch_infer(
     partition, no shuffle and no join back."""
     if materialize is None:
         materialize = not getattr(predict_factory, "deterministic", False)
+    n_tasks = python_partitions(df.sparkSession)
     if not dedupe:
         r = _row_udf(predict_factory)(F.col(system), F.col(user))
-        out = df.withColumn("_r", r).select(*df.columns, F.col("_r.answer").alias("answer"),
+        # calls cost per row: spread them over a fixed number of tasks
+        out = df.repartition(n_tasks).withColumn("_r", r).select(*df.columns, F.col("_r.answer").alias("answer"),
                                             F.col("_r.error").alias("error"))
         if materialize:
             spark = df.sparkSession
@@ -114,7 +116,8 @@ def batch_infer(
     keyed = df.withColumn("_pkey", F.when(has_prompt, key))
     prompts = keyed.filter(F.col("_pkey").isNotNull()).groupBy("_pkey").agg(
         F.first(system).alias("s"), F.first(user).alias("u"))
-    answered = prompts.mapInPandas(_runner(predict_factory), "_pkey string, answer string, error string")
+    answered = prompts.repartition(n_tasks, "_pkey").mapInPandas(
+        _runner(predict_factory), "_pkey string, answer string, error string")
     if materialize:
         spark = df.sparkSession
         path = scratch_path(spark, "answers")

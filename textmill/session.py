@@ -90,6 +90,18 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(n, F.monotonically_increasing_id())
 
 
+def python_partitions(spark: SparkSession) -> int:
+    """Task count for a Python stage (model calls, difflib): these cost per
+    row, not per byte, so they get at least two tasks per core and never
+    fewer than the configured shuffle partitions (AQE does not coalesce a
+    repartition to a fixed number)."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        return max(n, 2 * spark.sparkContext.defaultParallelism)
+    except Exception:
+        return n
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` only when it is proven to hold at most ``max_rows``.
 
