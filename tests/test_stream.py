@@ -1,10 +1,8 @@
 """Request stream: state carries across micro-batches; late requests after exit go to dead letters."""
 
-import os
-
 import pandas as pd
 
-from textmill.streaming.requests import request_stream
+from textmill.streaming.requests import read_sink, request_stream
 
 
 def test_stream_two_batches(spark, tmp_path):
@@ -17,7 +15,7 @@ def test_stream_two_batches(spark, tmp_path):
     # a second file arrives later: session 1 is closed, session 2 goes on
     pd.DataFrame({"session": [1, 2, 2], "turn": [2, 1, 2], "text": ["late", "  ", "c"]}).to_parquet(src / "p2.parquet")
     request_stream(spark, str(src), schema, lambda df: df, out_dir=out, checkpoint=str(tmp_path / "ckpt"))
-    good = sorted((r.session, r.turn, r.text) for r in spark.read.parquet(os.path.join(out, "good")).collect())
-    dead = sorted((r.session, r.turn, r.status) for r in spark.read.parquet(os.path.join(out, "dead")).collect())
+    good = sorted((r.session, r.turn, r.text) for r in read_sink(spark, out, "good").collect())
+    dead = sorted((r.session, r.turn, r.status) for r in read_sink(spark, out, "dead").collect())
     assert good == [(1, 0, "a"), (2, 0, "b"), (2, 2, "c")]
     assert dead == [(1, 1, "after exit"), (1, 2, "after exit"), (2, 1, "blank")]

@@ -491,5 +491,5 @@ def request_stream(spark, sf_dir):
     ``session_requests``."""
     schema = table(spark, sf_dir, "conversations").schema
     out = req_stream.request_stream(spark, sf_dir, schema, render_requests, file_glob="conversations.parquet")
-    good = spark.read.parquet(f"{out}/good")
+    good = req_stream.read_sink(spark, out, "good")
     return good.select("session", "turn", md5("text").alias("text_md5"))

@@ -4,9 +4,9 @@
 files per micro-batch); per session a tiny state (the turn of the first exit
 seen) kept by ``applyInPandasWithState``, which passes rows through chunk by
 chunk and adds one marker row per session with its exit turn; each
-micro-batch is split by ``foreachBatch`` (rows joined to the markers) into
-``good`` and ``dead`` (blank requests and requests after the exit, which are
-the late data).
+micro-batch is classified by ``foreachBatch`` (rows joined to the markers)
+and written once, partitioned into the sinks ``good`` and ``dead`` (blank
+requests and requests after the exit, which are the late data).
 Batches are written under ``batch=<id>`` with overwrite, so a batch replayed
 after a failure replaces its own output instead of duplicating it.
 """
@@ -72,7 +72,8 @@ def request_stream(
 ) -> str:
     """Run the stream over everything available (``trigger(availableNow)``)
     in the folder ``source`` (files matching ``file_glob``) and return the
-    output folder with ``good/`` and ``dead/``.
+    output folder; read its two sinks with ``read_sink(spark, out, "good")``
+    and ``read_sink(spark, out, "dead")``.
 
     ``render`` turns the raw rows into ``requests(session, turn, text)``.
     Checkpoint and output default to fresh folders under the session's
@@ -97,12 +98,20 @@ def request_stream(
                         F.lit("blank"))
                   .otherwise(F.lit("ok")))
         tagged_rows = rows.join(exits, "session", "left").withColumn("status", status).drop("exit_turn")
-        good = tagged_rows.filter("status = 'ok'").drop("status")
-        dead = tagged_rows.filter("status <> 'ok'")
-        good.write.mode("overwrite").parquet(os.path.join(out_dir, "good", f"batch={batch_id}"))
-        dead.write.mode("overwrite").parquet(os.path.join(out_dir, "dead", f"batch={batch_id}"))
+        # one pass over the batch: good rows and dead letters are two
+        # partitions of the same write
+        out = tagged_rows.withColumn("sink", F.when(F.col("status") == "ok", "good").otherwise("dead"))
+        out.write.mode("overwrite").partitionBy("sink").parquet(os.path.join(out_dir, f"batch={batch_id}"))
 
     q = (tagged.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out_dir
+
+
+def read_sink(spark: SparkSession, out_dir: str, sink: str) -> DataFrame:
+    """Rows of one sink ('good' or 'dead') over all micro-batches."""
+    df = spark.read.parquet(out_dir).filter(F.col("sink") == sink)
+    cols = ["session", "turn", "text"] + (["status"] if sink == "dead" else [])
+    return df.select(*cols)
+
