@@ -9,11 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking
-from .tables import table
+from ..functions import text as T
+from ..operators import answers as ans
+from ..operators import chunking, corpus, deps, hygiene, infer, lines, prompts, ranges, rewrite
+from ..operators import requests as req
+from ..operators import versions as vers
+from ..sources import files as file_sources
+from ..streaming import requests as req_stream
+from .tables import (
+    ALIASES, STDLIB, analysis_answers, answers_from_events, code_file_lines, code_files, corpus_versions,
+    doc_lines, doc_path, edits, files_from_documents, latest_versions, line_delta, manifest_file_lines,
+    part_code_lines, project_files_from_orders, render_requests, requests_from_conversations,
+    routed_requests, selections, table, tool_specs,
+)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -80,10 +92,6 @@ def chunk_lines_overlap(spark, sf_dir):
 
 # ---------------------------------------------------------------- lines, strings
 
-from ..functions import text as T  # noqa: E402
-from ..operators import corpus, lines  # noqa: E402
-from .tables import FOLDERS, files_from_documents  # noqa: E402,F401
-
 
 @query
 def split_lines(spark, sf_dir):
@@ -153,7 +161,6 @@ def suffix_safe_name(spark, sf_dir):
 
 # ---------------------------------------------------------------- corpus
 
-from pyspark.sql import Window  # noqa: E402
 
 # The caller's extension table used by the language queries.
 EXTENSIONS = [(".py", "python"), (".js", "javascript"), (".go", "go")]
@@ -215,9 +222,6 @@ def build_snapshot(spark, sf_dir):
 
 # ---------------------------------------------------------------- ranges, versions, blocks
 
-from ..operators import hygiene, ranges, versions as vers  # noqa: E402
-from .tables import corpus_versions, doc_lines, edits, line_delta, selections  # noqa: E402
-
 
 @query
 def extract_ranges(spark, sf_dir):
@@ -274,12 +278,6 @@ def restore_side(spark, sf_dir):
 
 # ---------------------------------------------------------------- requests, answers
 
-from ..operators import answers as ans, requests as req  # noqa: E402
-from .tables import (  # noqa: E402
-    analysis_answers, answers_from_events, project_files_from_orders, requests_from_conversations,
-    routed_requests, tool_specs,
-)
-
 
 @query
 def session_requests(spark, sf_dir):
@@ -329,11 +327,6 @@ def issue_counts(spark, sf_dir):
 
 # ---------------------------------------------------------------- dependencies, hygiene
 
-from ..operators import deps  # noqa: E402
-from .tables import (  # noqa: E402
-    ALIASES, STDLIB, code_file_lines, code_files, latest_versions, manifest_file_lines, part_code_lines,
-)
-
 
 def _reqs(spark, sf_dir):
     return deps.parse_manifests(manifest_file_lines(spark, sf_dir))
@@ -393,7 +386,6 @@ def unused_definitions(spark, sf_dir):
 
 # ---------------------------------------------------------------- prompts, inference, rewrites
 
-from ..operators import infer, prompts, rewrite  # noqa: E402
 
 STUB = infer.replace_stub("the", "THE")
 
@@ -403,9 +395,6 @@ def _doc_files(spark, sf_dir):
     return d.select(F.col("source").alias("project"), doc_path().alias("path"), F.col("text").alias("code"), "doc_id")
 
 
-from .tables import doc_path  # noqa: E402
-
-
 @query
 def render_prompts(spark, sf_dir):
     p = prompts.render_prompts(_doc_files(spark, sf_dir), "dead_code")
@@ -473,10 +462,6 @@ def convert_projects(spark, sf_dir):
 
 # ---------------------------------------------------------------- sources, streaming
 
-from ..sources import files as file_sources  # noqa: E402
-from ..streaming import requests as req_stream  # noqa: E402
-from .tables import render_requests  # noqa: E402
-
 
 @query
 def scan_files(spark, sf_dir):
