@@ -52,3 +52,27 @@ def test_restore_side(spark):
     assert V.restore_side(df, 2).first()["text"] == "".join(difflib.restore(delta, 2)) == new
     with pytest.raises(ValueError):
         V.restore_side(df, 3)
+
+
+def test_snapshot_diff_random_against_counter(spark):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(5)
+
+    def text():
+        return "\n".join(rnd.choice(["a", "b", "c", ""]) for _ in range(rnd.randint(0, 12)))
+
+    rows = []
+    for i in range(40):
+        old = None if i % 9 == 0 else text()
+        new = None if i % 7 == 0 else (old if i % 5 == 0 else text())
+        if old is None and new is None:
+            continue
+        rows.append((f"f{i}", old, new))
+    got = {r.path: (r.status, r.lines_added, r.lines_removed) for r in V.snapshot_diff(vdf(spark, rows)).collect()}
+    for p, old, new in rows:
+        a, b = Counter((old or "").splitlines()), Counter((new or "").splitlines())
+        status = "added" if old is None else "removed" if new is None else "same" if old == new else "modified"
+        want = (status, 0, 0) if status == "same" else (status, sum((b - a).values()), sum((a - b).values()))
+        assert got[p] == want, p
