@@ -29,18 +29,30 @@ def py_strip(col) -> Column:
     return F.regexp_replace(_c(col), rf"(?U)^{WS}+|{WS}+\z", "")
 
 
+# Line breaks other than '\n'; text without any of them takes the fast path.
+OTHER_BREAK = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
 def split_lines_array(col, keepends: bool = False) -> Column:
-    """``str.splitlines(keepends)`` as an array; '' gives [], NULL gives NULL."""
+    """``str.splitlines(keepends)`` as an array; '' gives [], NULL gives NULL.
+
+    Text whose only line break is '\n' (one character-class scan decides) is
+    split on that single character, which Java does without a regex engine;
+    other text goes through the full line-boundary pattern."""
     c = _c(col)
-    if keepends:
-        return F.regexp_extract_all(c, F.lit(f"({LINE_WITH_END})"), 1)
-    parts = F.split(c, LINE_BREAK, -1)
+    empty = F.array().cast("array<string>")
+    parts = F.split(c, "\n", -1)
     n = F.size(parts)
-    return (
-        F.when(c == "", F.array().cast("array<string>"))
-        .when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1))
-        .otherwise(parts)
-    )
+    if keepends:
+        with_ends = F.transform(parts, lambda x, i: F.when(i < n - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+        slow = F.regexp_extract_all(c, F.lit(f"({LINE_WITH_END})"), 1)
+    else:
+        with_ends = parts
+        slow_parts = F.split(c, LINE_BREAK, -1)
+        slow = F.when(F.element_at(slow_parts, -1) == "", F.slice(slow_parts, 1, F.size(slow_parts) - 1)) \
+            .otherwise(slow_parts)
+    fast = F.when(F.element_at(parts, -1) == "", F.slice(with_ends, 1, n - 1)).otherwise(with_ends)
+    return F.when(c == "", empty).when(c.rlike(OTHER_BREAK), slow).otherwise(fast)
 
 
 def strip_code_fences(col) -> Column:
