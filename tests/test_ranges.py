@@ -120,3 +120,29 @@ def test_random_edits_against_python(spark):
     assert all(v is None for v in st.values())
     for p, want in expected.items():
         assert got.get(p) == want, p
+
+
+def test_one_file_edits_spread_over_partitions(spark):
+    # 60 edits of one file over 16 range partitions: shifts and overlap
+    # checks must carry across partition boundaries
+    text = "\n".join(f"l{i}" for i in range(1, 301))
+    edits = [(i, "f", 5 * i + 1, 5 * i + 2, f"n{i}a\nn{i}b\nn{i}c") for i in range(60)]
+    edits.append((100, "f", 299, 300, "end"))
+    edits.append((101, "f", 7, 8, "clash"))  # overlaps edit 1 (lines 6-7)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    bound = ranges.WINDOW_MAX_ROWS
+    ranges.WINDOW_MAX_ROWS = 10  # force the distributed scan
+    try:
+        got, st = apply(spark, {"f": text}, edits)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        ranges.WINDOW_MAX_ROWS = bound
+    assert st[1] == st[101] == "overlapping edit"
+    assert sum(v is None for v in st.values()) == 60
+    ls, out, cursor = text.splitlines(), [], 1
+    for _, _, s, e, snip in sorted((x for x in edits if x[0] not in (1, 101)), key=lambda x: x[2]):
+        out += ls[cursor - 1: s - 1] + snip.splitlines()
+        cursor = e + 1
+    out += ls[cursor - 1:]
+    assert got["f"] == "\n".join(out) + "\n"

@@ -43,6 +43,71 @@ def range_join(lines: DataFrame, ranges: DataFrame, start: str, end: str, how: s
     return lb.join(rb, cond, how).drop("_b", "_rpath")
 
 
+# Above this many edits in one file, running values use the distributed scan.
+WINDOW_MAX_ROWS = 100_000
+
+
+def ordered_scan(
+    df: DataFrame, group: str, order: list, max_col=None, sum_col=None, next_col=None, bounded: bool = False
+) -> DataFrame:
+    """Running values over the rows of each ``group`` in ``order`` without a
+    window over a whole group: ``_prev_max`` (max of ``max_col`` over earlier
+    rows), ``_sum_before`` (sum of ``sum_col`` over earlier rows), ``_next``
+    (``next_col`` of the next row) and ``_first`` (first row of the group).
+
+    Rows are range-partitioned on ``(group, order)``, so a huge group spreads
+    over many partitions; windows run inside each (partition, group) piece,
+    and a small per-piece summary, scanned across the pieces of a group,
+    supplies what comes from earlier partitions. Range partitioning samples
+    its bounds deterministically, so a retried task sees the same pieces.
+
+    ``bounded=True`` (the caller has proven every group small) uses plain
+    windows over the group instead: same columns, fewer shuffles."""
+    if bounded:
+        w = Window.partitionBy(group).orderBy(*order)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            *df.columns,
+            (F.max(max_col).over(before) if max_col else F.lit(None).cast("long")).alias("_prev_max"),
+            (F.coalesce(F.sum(sum_col).over(before), F.lit(0)) if sum_col else F.lit(0)).alias("_sum_before"),
+            (F.lead(next_col).over(w) if next_col else F.lit(None).cast("long")).alias("_next"),
+            (F.row_number().over(w) == 1).alias("_first"),
+        )
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", group).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    mx = F.col(max_col) if max_col else F.lit(None).cast("long")
+    sm = F.col(sum_col) if sum_col else F.lit(0)
+    nx = F.col(next_col) if next_col else F.lit(None).cast("long")
+    d = d.withColumn("_mx", mx).withColumn("_sm", sm).withColumn("_nx", nx)
+    d = (d.withColumn("_lmax", F.max("_mx").over(before))
+         .withColumn("_lsum", F.sum("_sm").over(before))
+         .withColumn("_lnext", F.lead("_nx").over(w))
+         .withColumn("_lfirst", F.row_number().over(w) == 1))
+    summ = d.groupBy("_pid", group).agg(
+        F.max("_mx").alias("_pmax"), F.sum("_sm").alias("_psum"),
+        F.min_by("_nx", F.struct(*order)).alias("_pnext"))
+    ws = Window.partitionBy(group).orderBy("_pid")
+    wb = ws.rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(
+        "_pid", group,
+        F.max("_pmax").over(wb).alias("_cmax"),
+        F.sum("_psum").over(wb).alias("_csum"),
+        F.lead("_pnext").over(ws).alias("_cnext"),
+        (F.row_number().over(ws) == 1).alias("_cfirst"),
+    )
+    out = d.join(summ, ["_pid", group])
+    return out.select(
+        *df.columns,
+        F.greatest("_lmax", "_cmax").alias("_prev_max"),
+        (F.coalesce("_lsum", F.lit(0)) + F.coalesce("_csum", F.lit(0))).alias("_sum_before"),
+        F.coalesce("_lnext", "_cnext").alias("_next"),
+        (F.col("_lfirst") & F.col("_cfirst")).alias("_first"),
+    )
+
+
 def file_lengths(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(F.max("line_no").alias("n_file_lines"))
 
@@ -87,7 +152,10 @@ def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id"):
     overlap another edit of the same file are all rejected (the reference
     applies them in turn to shifted lines). Overlap is found with a running
     maximum of ``end_line`` and the next ``start_line`` in start order, so no
-    pairs are formed. Returns ``(ok, status)``: the valid edits with the
+    pairs are formed. Running values come from ``ordered_scan``: plain
+    windows when a size check proves every file has few edits, else a
+    distributed scan, so no unbounded window spans the edits of a file. Returns ``(ok, status)``: the valid
+    edits with the
     clipped range ``_s.._e``, their new lines, the line change ``_delta``, the
     shift accumulated by earlier edits of the file, the next edit's start and
     the rank in the file; and one status row per edit with ``error``.
@@ -98,11 +166,15 @@ def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id"):
         .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), F.lit("invalid range"))
     )
     e = e.withColumn("_basic", basic)
-    w = Window.partitionBy("path").orderBy("start_line", "end_line", id_col)
-    good = e.filter(F.col("_basic").isNull()).withColumn(
-        "_prev_end", F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ).withColumn("_next_start", F.lead("start_line").over(w))
-    overl = (F.col("_prev_end") >= F.col("start_line")) | (F.col("_next_start") <= F.col("end_line"))
+    # size check: with at most WINDOW_MAX_ROWS edits per file plain windows
+    # are bounded; beyond it the distributed scan takes over
+    most = edits.groupBy("path").count().agg(F.max("count")).first()[0]
+    bounded = most is None or most <= WINDOW_MAX_ROWS
+    # overlaps: the max end of earlier edits and the start of the next one,
+    # in (start, end, id) order within the file
+    good = ordered_scan(e.filter(F.col("_basic").isNull()), "path", ["start_line", "end_line", id_col],
+                        max_col="end_line", next_col="start_line", bounded=bounded)
+    overl = (F.col("_prev_max") >= F.col("start_line")) | (F.col("_next") <= F.col("end_line"))
     good = good.withColumn("error", F.when(overl, F.lit("overlapping edit")))
     status = e.filter(F.col("_basic").isNotNull()).select(*edits.columns, F.col("_basic").alias("error")) \
         .unionByName(good.select(*edits.columns, "error"))
@@ -115,10 +187,12 @@ def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id"):
         split_lines_array(F.coalesce("snippet", F.lit(""))).alias("_new"),
     )
     ok = ok.withColumn("_delta", F.size("_new") - F.greatest(F.col("_e") - F.col("_s") + 1, F.lit(0)))
-    wv = Window.partitionBy("path").orderBy("_s", "start_line", id_col)
-    ok = ok.withColumn(
-        "_shift_before", F.coalesce(F.sum("_delta").over(wv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn("_next_s", F.lead("_s").over(wv)).withColumn("_rank", F.row_number().over(wv))
+    # line shift from earlier edits, the next edit's start, first edit of the file
+    ok = ordered_scan(ok, "path", ["_s", "start_line", id_col], sum_col="_delta", next_col="_s",
+                      bounded=bounded)
+    ok = ok.select(*[c for c in ok.columns if not c.startswith("_") or c in ("_s", "_e", "_new", "_delta")],
+                   F.col("_sum_before").alias("_shift_before"), F.col("_next").alias("_next_s"),
+                   F.when(F.col("_first"), 1).otherwise(2).alias("_rank"))
     return ok, status
 
 
