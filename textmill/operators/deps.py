@@ -122,12 +122,14 @@ def missing_deps(
     max_dim_rows: int = 1_000_000,
 ) -> DataFrame:
     """Imported modules that are not declared, not standard library and not a
-    module of the project itself: three anti joins."""
+    module of the project itself: three anti joins, the broadcast one
+    (standard library) first so fewer rows reach the shuffled ones. The
+    right sides need no de-duplication for an anti join."""
     imp = imported_packages(imports, alias)
-    declared = reqs.filter(F.col("kind") == "requirement").select("project", "pkg").distinct()
-    out = imp.join(declared, ["project", "pkg"], "left_anti")
-    out = out.join(bounded_broadcast(stdlib.select("module").distinct(), max_dim_rows), "module", "left_anti")
-    return out.join(project_modules.select("project", "module").distinct(), ["project", "module"], "left_anti")
+    out = imp.join(bounded_broadcast(stdlib.select("module").distinct(), max_dim_rows), "module", "left_anti")
+    declared = reqs.filter(F.col("kind") == "requirement").select("project", "pkg")
+    out = out.join(declared, ["project", "pkg"], "left_anti")
+    return out.join(project_modules.select("project", "module"), ["project", "module"], "left_anti")
 
 
 def project_modules(files: DataFrame) -> DataFrame:
