@@ -138,3 +138,24 @@ def test_convert_projects(spark):
 
     _, bad = rewrite.convert_projects(files, "python", "go", bad_factory)
     assert {r.error for r in bad.collect()} == {"not a JSON object"}
+
+
+def test_every_template_renders(spark):
+    import string
+
+    fields = set()
+    for system, user in prompts.TEMPLATES.values():
+        for t in (system, user):
+            fields |= {n for _, n, _, _ in string.Formatter().parse(t) if n}
+    row = {f: f"<{f}>" for f in sorted(fields)}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{f} string" for f in row))
+    for task in prompts.TEMPLATES:
+        r = prompts.render_prompts(df, task).first()
+        assert r.system_prompt and r.user_prompt and "{" not in r.user_prompt.replace("{{", "")
+        for f in fields:
+            if "{" + f + "}" in prompts.TEMPLATES[task][1]:
+                assert f"<{f}>" in r.user_prompt
+    import pytest
+
+    with pytest.raises(ValueError):
+        prompts.render_prompts(df, "nope")
