@@ -58,3 +58,17 @@ def test_size_filter_and_pruning_reach_parquet(spark):
     df = corpus.collect_corpus(files_from_documents(spark, SF)).select("project", "path")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in plan or "ReadSchema" in plan
+
+
+def test_cli_list_and_run(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    names = subprocess.run([sys.executable, "-m", "textmill", "list"], cwd=root, capture_output=True, text=True,
+                           timeout=120).stdout.split()
+    assert "chunk_counts" in names and len(names) == len(entry.queries())
+    out = tmp_path / "res"
+    done = subprocess.run([sys.executable, "-m", "textmill", "run", "chunk_counts", SF, "--out", str(out),
+                           "--master", "local[2]"], cwd=root, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0 and any(p.suffix == ".parquet" for p in out.iterdir())
