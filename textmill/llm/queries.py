@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textmill.llm.byte_bpe import bpe_digests
 from textmill.llm.common import table
 from textmill.llm.exact_dedup import exact_groups
 from textmill.llm.mixing import mix_totals
+from textmill.llm.token_counts import token_counts
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +28,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_byte_bpe": op2_byte_bpe,
     "op5_source_mix": op5_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
 }
