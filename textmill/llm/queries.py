@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textmill.llm import language_id, quality
 from textmill.llm.byte_bpe import bpe_digests
-from textmill.llm.common import table
+from textmill.llm.common import fold, table
 from textmill.llm.exact_dedup import exact_groups
 from textmill.llm.mixing import mix_totals
 from textmill.llm.token_counts import token_counts
@@ -19,6 +21,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.identify(docs, language_id.learn(docs))
+    held = (fold(F.col("doc_id")) == 0).alias("held_out")
+    rejected = (F.col("lang").isNull() & (F.col("lang_best") != language_id.UNKNOWN)).alias("rejected")
+    return out.select("doc_id", held, F.col("lang_best").alias("lang_pred"), "score", "margin", rejected)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(table(spark, sf_dir, "documents"))
 
@@ -27,11 +37,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, machine)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_language_id": op3_language_id,
     "op5_source_mix": op5_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_fm": op9_quality_fm,
 }
 
 _OP5 = r"""
