@@ -23,7 +23,7 @@ from textmill.llm.common import fold
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of text compressed at once.
-BLOCK = 8192
+BLOCK = 2048
 #: Score: size differences count in units of 1/SHARPNESS of the best size.
 SHARPNESS = 60.0
 UNKNOWN = "und"
@@ -67,7 +67,8 @@ def learn(
     block_chars: int = 512,
     dict_bytes: int = 131_072,
 ) -> dict[str, bytes]:
-    """A raw-content dictionary for each language of the rows outside fold 0.
+    """A raw-content dictionary, lower-cased, for each language of the rows outside
+    fold 0; the language with most rows comes first.
 
     What reaches the driver is ``dict_bytes`` characters a language at most; a
     language is a label value, so their number does not grow with the rows."""
@@ -75,7 +76,10 @@ def learn(
     parts: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
         parts.setdefault(r["lang"], []).append(r["block"])
-    return {lang: "\n".join(blocks).encode()[-dict_bytes:] for lang, blocks in parts.items()}
+    taught = docs.where((fold(F.col(f"`{id_col}`")) != 0) & F.col(f"`{lang_col}`").isNotNull())
+    counts = {r[0]: r[1] for r in taught.groupBy(F.col(f"`{lang_col}`")).count().collect()}
+    order = sorted(parts, key=lambda lang: (-counts[lang], lang))
+    return {lang: "\n".join(parts[lang]).lower().encode()[-dict_bytes:] for lang in order}
 
 
 class Compressors:
@@ -84,7 +88,7 @@ class Compressors:
 
         self.langs = [lang for lang, _ in dictionaries]
         params = zstandard.ZstdCompressionParameters.from_level(
-            level, write_content_size=False, write_checksum=False, write_dict_id=False
+            level, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False
         )
         self.all = []
         for _, content in dictionaries:
@@ -93,7 +97,7 @@ class Compressors:
             self.all.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
 
     def sizes(self, text: str) -> list[int]:
-        data = text.encode()
+        data = text.lower().encode()
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.all]
 
@@ -119,7 +123,7 @@ def identify(
     dictionaries: dict[str, bytes],
     id_col: str = "doc_id",
     text_col: str = "text",
-    level: int = 3,
+    level: int = 9,
     min_margin: float = 0.005,
 ) -> DataFrame:
     """One row per input row: ``id, lang_best, score, margin, lang``.
@@ -127,10 +131,10 @@ def identify(
     ``lang`` is the best language, or null where the margin to the second is
     below ``min_margin`` (rejected). A text that is null or has no letter is
     ``und`` with score 0, and so is any text if no language was learned. Equal
-    sizes go to the language that sorts first. Only id and text are read."""
+    sizes go to the language that was learned from more rows. Only id and text are read."""
     spark = docs.sparkSession
     # bounded: dict_bytes a language
-    shared = spark.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
+    shared = spark.sparkContext.broadcast(tuple(dictionaries.items()))
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
     extra = {"lang_best": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0)}
     schema = rows.drop("_text").withColumns(extra).schema

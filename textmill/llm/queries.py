@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import language_id, quality
+from textmill.llm import language_id, license_scan, quality
 from textmill.llm.byte_bpe import bpe_digests
 from textmill.llm.common import fold, table
 from textmill.llm.exact_dedup import exact_groups
 from textmill.llm.mixing import mix_totals
 from textmill.llm.token_counts import token_counts
+from textmill.llm.weighted_sampling import edit_report
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,13 +48,19 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, machine)
 
 
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
     "op5_source_mix": op5_source_mix,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_fm": op9_quality_fm,
+    "op10_weighted_sampling": op10_weighted_sampling,
 }
 
 _OP5 = r"""
@@ -98,4 +109,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op5_source_mix": _OP5, "op8_exact_dedup": _OP8}
+ORACLE = {"op5_source_mix": _OP5, "op7_license_scan": license_scan.ORACLE, "op8_exact_dedup": _OP8}
