@@ -269,18 +269,31 @@ def default_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_texts(docs: DataFrame, text_col: str = "text", ranks: tuple[str, str] | None = None, out: str = "ids") -> DataFrame:
-    """``docs`` with a column ``ids`` (array of int): the token ids of the whole
-    text; empty for a null or empty text. All rows and columns stay."""
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
+    """One row per input row: ``id, n_tokens, ids`` (array of int), and
+    ``lossless``: whether the ids decode to the text's bytes. A null or empty
+    text has no ids."""
     path, pattern = ranks or default_ranks()
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
+    extra = {"n_tokens": F.lit(0).cast("long"), "ids": F.array().cast("array<int>"), "lossless": F.lit(True)}
+    schema = rows.drop("_text").withColumns(extra).schema
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in texts:
-            yield pd.Series([np.frombuffer(x, "<u4").astype("int32") for x in c.encode([t or "" for t in batch])])
+        for keys, texts in grouped(batches):
+            encoded = c.encode(texts)
+            for at in range(0, len(texts), 2000):
+                part, done = texts[at : at + 2000], encoded[at : at + 2000]
+                sizes = [len(x) // 4 for x in done]
+                flat = pa.array(np.frombuffer(b"".join(done), "<u4").astype("int32"))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype("int32")), flat)
+                same = [c.decode(x) == t.encode() for x, t in zip(done, part)]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(at, len(part)), pa.array(sizes, pa.int64()), lists, pa.array(same, pa.bool_())],
+                    names=[id_col, "n_tokens", "ids", "lossless"],
+                )
 
-    return docs.withColumn(out, ids(F.col(f"`{text_col}`")))
+    return rows.mapInArrow(run, schema)
 
 
 def decode_ids(docs: DataFrame, ids_col: str = "ids", ranks: tuple[str, str] | None = None, out: str = "decoded") -> DataFrame:

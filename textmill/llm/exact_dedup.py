@@ -113,10 +113,20 @@ def exact_groups(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: all columns of one row per distinct text.
-
-    The dropped ids are an anti join; AQE broadcasts them only at a measured
-    small size. A row whose id is null stays (it cannot be named)."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept and " + f"`{id_col}` is not null")
-    drop = dropped.select(F.col(f"`{id_col}`").alias("_drop"))
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")
+    """One row of ``docs`` for each distinct text, with all its columns: that of
+    the largest id; of rows that repeat id and text, any one. Rows whose ids are
+    null stay if no other row has their text, and one of them does."""
+    groups = materialize(exact_groups(docs, id_col, text_col), "dedup-groups")
+    ident = F.col(f"`{id_col}`")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    drop = groups.where("not kept").select(ident.alias("_id"), F.col("text_sha256").alias("_sha"))
+    again = groups.where("kept").groupBy(ident.alias("_id"), F.col("text_sha256").alias("_sha")).count().where("count > 1")
+    sha = F.sha2(text.cast("binary"), 256)
+    same = lambda other: ident.eqNullSafe(other["_id"]) & (F.col("_of") == other["_sha"])
+    rest = docs.withColumn("_of", sha).join(drop, same(drop), "left_anti")
+    again = materialize(again.select("_id", "_sha"), "dedup-again")
+    if again.isEmpty():
+        return rest.drop("_of")
+    single = rest.join(again, same(again), "left_anti")
+    repeated = rest.join(again, same(again), "left_semi").dropDuplicates([id_col, "_of"])
+    return single.unionByName(repeated).drop("_of")

@@ -9,6 +9,7 @@ from textmill.llm import language_id, license_scan, quality
 from textmill.llm.byte_bpe import bpe_digests
 from textmill.llm.common import fold, table
 from textmill.llm.exact_dedup import exact_groups
+from textmill.llm.jaccard_join import jaccard_components
 from textmill.llm.mixing import mix_totals
 from textmill.llm.token_counts import token_counts
 from textmill.llm.weighted_sampling import edit_report
@@ -30,6 +31,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held, F.col("lang_best").alias("lang_pred"), "score", "margin", rejected)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_source_mix": op5_source_mix,
     "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,

@@ -62,5 +62,5 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for i in range(min(size, len(words))):
         h = mix(h * np.uint64(3) + words[i : i + n] + np.uint64(i + 1))
     if len(words) < size:
-        h = mix(h + np.uint64(len(words)) * np.uint64(0xA0761D6478BD642F))
+        h = mix(h + np.uint64(len(words) * 0xA0761D6478BD642F & (1 << 64) - 1))
     return np.unique(h)
