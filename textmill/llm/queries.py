@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import language_id, license_scan, quality
+from textmill.llm import language_id, license_scan, merkle, quality
 from textmill.llm.byte_bpe import bpe_digests
 from textmill.llm.common import fold, table
 from textmill.llm.exact_dedup import exact_groups
@@ -39,6 +39,31 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(table(spark, sf_dir, "documents"))
 
 
+def damaged(records: DataFrame) -> DataFrame:
+    """A second replica of rendered archives: by rule of the page id, a byte is
+    flipped, the record's end is lost, or the record is missing or doubled."""
+    n = F.col("page_id") % 211
+    flip = F.concat(F.expr("substring(payload, 1, 40)"), F.lit("#").cast("binary"), F.expr("substring(payload, 42)"))
+    payload = F.when(n == 17, flip).when(n == 40, F.expr("substring(payload, 1, octet_length(payload) - 2)"))
+    copies = F.when(n == 60, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = records.where(~F.coalesce(n == 83, F.lit(False)))
+    rows = rows.select("archive", "offset", payload.alias("p"), "payload", F.explode(copies).alias("copy"))
+    return rows.select("archive", (F.col("offset") + F.col("copy")).alias("offset"), F.coalesce("p", "payload").alias("payload"))
+
+
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages against a damaged replica: one row an archive with
+    both roots, its leaves that differ and its damaged records."""
+    records = merkle.archives_of(table(spark, sf_dir, "pages"))
+    roots, leaves, bad = merkle.audit(records.drop("page_id"), damaged(records), leaf_bytes=1 << 16, fanout=16)
+    n_leaves = leaves.groupBy("archive").agg(F.count("*").alias("n_leaves"))
+    kinds = [F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}") for s in ("changed", "missing", "extra")]
+    found = bad.groupBy("archive").agg(*kinds, F.min("offset").alias("first_bad"), F.max("offset").alias("last_bad"))
+    out = roots.join(n_leaves, "archive", "left").join(found, "archive", "left")
+    out = out.fillna(0, ["n_leaves", "n_changed", "n_missing", "n_extra"])
+    return out.withColumn("intact", F.col("root_a").eqNullSafe(F.col("root_b")))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -63,6 +88,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_source_mix": op5_source_mix,
+    "op6_merkle_fixity": op6_merkle_fixity,
     "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_fm": op9_quality_fm,
@@ -115,4 +141,53 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op5_source_mix": _OP5, "op7_license_scan": license_scan.ORACLE, "op8_exact_dedup": _OP8}
+#: The same trees, node by node, without descending: leaves and two levels above them.
+_OP6 = r"""
+WITH r AS (
+  SELECT page_id, page_id // 500 AS archive, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html
+    || chr(13) || chr(10) || chr(13) || chr(10)) AS payload FROM pages),
+o AS (
+  SELECT *, CAST(coalesce(sum(octet_length(payload)) OVER (PARTITION BY archive ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offs FROM r),
+x AS (
+  SELECT 'a' AS rep, archive, offs, sha256(payload) AS digest FROM o
+  UNION ALL
+  SELECT 'b', archive, offs + c.c, sha256(CASE page_id % 211
+      WHEN 17 THEN array_slice(payload, 1, 40) || encode('#') || array_slice(payload, 42, octet_length(payload))
+      WHEN 40 THEN array_slice(payload, 1, octet_length(payload) - 2) ELSE payload END)
+  FROM o, (VALUES (0), (1)) c(c) WHERE page_id % 211 <> 83 AND (c.c = 0 OR page_id % 211 = 60)),
+l0 AS (
+  SELECT rep, archive, offs // 65536 AS node, count(*) AS n,
+    sha256(string_agg(offs || ':' || digest, chr(10) ORDER BY offs, digest)) AS digest FROM x GROUP BY ALL),
+l1 AS (SELECT rep, archive, node // 16 AS node, sum(n) AS n, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY l0.node)) AS digest
+       FROM l0 GROUP BY rep, archive, l0.node // 16),
+l2 AS (SELECT rep, archive, node // 16 AS node, sum(n) AS n, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY l1.node)) AS digest
+       FROM l1 GROUP BY rep, archive, l1.node // 16),
+l3 AS (SELECT rep, archive, node // 16 AS node, sum(n) AS n, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY l2.node)) AS digest
+       FROM l2 GROUP BY rep, archive, l2.node // 16),
+depth AS (SELECT CASE WHEN max(node) = 0 THEN 0 WHEN max(node) < 16 THEN 1 WHEN max(node) < 256 THEN 2 ELSE 3 END AS d FROM l0),
+root AS (
+  SELECT * FROM l0 WHERE (SELECT d FROM depth) = 0 UNION ALL SELECT * FROM l1 WHERE (SELECT d FROM depth) = 1
+  UNION ALL SELECT * FROM l2 WHERE (SELECT d FROM depth) = 2 UNION ALL SELECT * FROM l3 WHERE (SELECT d FROM depth) = 3),
+leaf AS (
+  SELECT coalesce(p.archive, q.archive) AS archive, count(*) AS n_leaves
+  FROM (SELECT * FROM l0 WHERE rep = 'a') p FULL JOIN (SELECT * FROM l0 WHERE rep = 'b') q USING (archive, node)
+  WHERE p.digest IS DISTINCT FROM q.digest GROUP BY 1),
+bad AS (
+  SELECT coalesce(p.archive, q.archive) AS archive, coalesce(p.offs, q.offs) AS offs,
+    CASE WHEN q.digest IS NULL THEN 'missing' WHEN p.digest IS NULL THEN 'extra' ELSE 'changed' END AS status
+  FROM (SELECT * FROM x WHERE rep = 'a') p FULL JOIN (SELECT * FROM x WHERE rep = 'b') q USING (archive, offs)
+  WHERE p.digest IS DISTINCT FROM q.digest),
+found AS (
+  SELECT archive, count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'missing') AS n_missing,
+    count(*) FILTER (status = 'extra') AS n_extra, min(offs) AS first_bad, max(offs) AS last_bad FROM bad GROUP BY archive)
+SELECT archive, a.digest AS root_a, CAST(a.n AS BIGINT) AS n_a, b.digest AS root_b, CAST(b.n AS BIGINT) AS n_b,
+  coalesce(n_leaves, 0) AS n_leaves, coalesce(n_changed, 0) AS n_changed, coalesce(n_missing, 0) AS n_missing,
+  coalesce(n_extra, 0) AS n_extra, first_bad, last_bad, a.digest IS NOT DISTINCT FROM b.digest AS intact
+FROM (SELECT * FROM root WHERE rep = 'a') a FULL JOIN (SELECT * FROM root WHERE rep = 'b') b USING (archive)
+LEFT JOIN leaf USING (archive) LEFT JOIN found USING (archive)
+"""
+
+ORACLE = {"op5_source_mix": _OP5, "op6_merkle_fixity": _OP6, "op7_license_scan": license_scan.ORACLE, "op8_exact_dedup": _OP8}
