@@ -17,40 +17,28 @@ def lines_(spark, text, m, o):
     return [(r.start_line, r.chunk) for r in chunk_lines(df, "text", m, o).orderBy("chunk_no").collect()]
 
 
-def py_chunk_chars(text, m, o):
-    if len(text) <= m:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
-        end = start + m
-        out.append(text[start:end])
-        if end >= len(text):
-            break
-        start = max(0, end - o)
-    return out
-
-
-def py_chunk_lines(text, m, o):
-    """Our corrected greedy rule: true start lines, carried lines must fit."""
+def check_lines(text, got, limit, overlap):
+    """What line chunks must satisfy, without building them again."""
     lines = text.splitlines(keepends=True)
-    carry = o // 10
-    out, cur, cur_len, start = [], [], 0, 0
-    for i, ln in enumerate(lines):
-        if cur_len + len(ln) <= m or not cur:
-            cur.append(ln)
-            cur_len += len(ln)
-            continue
-        out.append((start + 1, "".join(cur)))
-        j, s = 0, 0
-        while j < min(carry, len(cur)) and s + len(cur[-1 - j]) + len(ln) <= m:
-            s += len(cur[-1 - j])
-            j += 1
-        cur = (cur[len(cur) - j:] if j else []) + [ln]
-        start = i - j
-        cur_len = s + len(ln)
-    if cur:
-        out.append((start + 1, "".join(cur)))
-    return out
+    assert [] == got if not lines else got
+    end = 0  # lines covered so far
+    for i, (start, chunk) in enumerate(got):
+        n = len(chunk.splitlines(keepends=True))
+        assert "".join(lines[start - 1:start - 1 + n]) == chunk  # true start lines
+        assert len(chunk) <= limit or n == 1
+        carried = end - (start - 1)
+        assert 0 <= carried <= overlap // 10 and (i > 0 or carried == 0)
+        assert start - 1 + n > end  # at least one new line
+        if i:
+            # the first new line did not fit the chunk before
+            assert len(got[i - 1][1]) + len(lines[end]) > limit
+            # one line more would not have been carried: too many, all of the chunk, or no room
+            before = len(got[i - 1][1].splitlines(keepends=True))
+            if carried < min(overlap // 10, before):
+                kept = sum(map(len, lines[end - carried - 1:end]))
+                assert kept + len(lines[end]) > limit
+        end = start - 1 + n
+    assert end == len(lines)
 
 
 def test_short_text_is_one_chunk(spark):
@@ -72,7 +60,7 @@ def test_250_at_100_0(spark):
 def test_overlap_of_5(spark):
     text = "".join(chr(97 + i % 26) for i in range(30))
     got = [c for _, _, c in chars(spark, text, 15, 5)]
-    assert got == py_chunk_chars(text, 15, 5)
+    assert got == [text[0:15], text[10:25], text[20:30]]
     assert got[0][-5:] == got[1][:5]
 
 
@@ -80,7 +68,7 @@ def test_rebuild_500_at_120_20(spark):
     text = "".join(chr(65 + i % 50) for i in range(500))
     got = chars(spark, text, 120, 20)
     rebuilt = got[0][2] + "".join(c[20:] for _, _, c in got[1:])
-    assert rebuilt == text and [c for _, _, c in got] == py_chunk_chars(text, 120, 20)
+    assert rebuilt == text and [len(c) for _, _, c in got] == [120] * 4 + [100]
 
 
 @pytest.mark.parametrize("m,o", [(0, 0), (10, -1), (10, 10)])
@@ -120,7 +108,7 @@ def test_lines_overlap_true_start_lines(spark):
     # overlap 20 -> two lines carried; the reference would report line 1 for every chunk
     text = "".join(f"l{i:03d}\n" for i in range(30))  # 5 chars each
     got = lines_(spark, text, 25, 20)
-    assert got == py_chunk_lines(text, 25, 20)
+    check_lines(text, got, 25, 20)
     assert [s for s, _ in got][:3] == [1, 4, 7]
 
 
@@ -133,7 +121,7 @@ def test_lines_kept_lines_that_leave_no_room_end(spark):
     # the reference loops for ever here: carried lines plus the long line never fit
     text = "aaaa\nbbbb\n" + "c" * 30 + "\n"
     got = lines_(spark, text, 12, 200)
-    assert got == py_chunk_lines(text, 12, 200)
+    check_lines(text, got, 12, 200)
     assert got[-1] == (3, "c" * 30 + "\n")
 
 
@@ -146,4 +134,4 @@ def test_lines_random_against_python(spark):
         for r in chunk_lines(df, "text", m, o).orderBy("key", "chunk_no").collect():
             got.setdefault(r.key, []).append((r.start_line, r.chunk))
         for k, t in enumerate(texts):
-            assert got.get(k, []) == py_chunk_lines(t, m, o), (k, m, o)
+            check_lines(t, got.get(k, []), m, o)

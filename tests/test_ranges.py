@@ -122,22 +122,15 @@ def test_random_edits_against_python(spark):
         assert got.get(p) == want, p
 
 
-def test_one_file_edits_spread_over_partitions(spark):
-    # 60 edits of one file over 16 range partitions: shifts and overlap
-    # checks must carry across partition boundaries
+def test_running_values_cross_pieces(spark, monkeypatch):
+    # 60 edits of one file over many pieces: shifts and overlap checks must
+    # carry across their borders
+    monkeypatch.setattr(ranges, "PIECE_LINES", 16)
     text = "\n".join(f"l{i}" for i in range(1, 301))
     edits = [(i, "f", 5 * i + 1, 5 * i + 2, f"n{i}a\nn{i}b\nn{i}c") for i in range(60)]
     edits.append((100, "f", 299, 300, "end"))
     edits.append((101, "f", 7, 8, "clash"))  # overlaps edit 1 (lines 6-7)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    bound = ranges.WINDOW_MAX_ROWS
-    ranges.WINDOW_MAX_ROWS = 10  # force the distributed scan
-    try:
-        got, st = apply(spark, {"f": text}, edits)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        ranges.WINDOW_MAX_ROWS = bound
+    got, st = apply(spark, {"f": text}, edits)
     assert st[1] == st[101] == "overlapping edit"
     assert sum(v is None for v in st.values()) == 60
     ls, out, cursor = text.splitlines(), [], 1
@@ -146,3 +139,36 @@ def test_one_file_edits_spread_over_partitions(spark):
         cursor = e + 1
     out += ls[cursor - 1:]
     assert got["f"] == "\n".join(out) + "\n"
+
+
+def test_many_edits_of_one_file(spark):
+    # every fourth line of 400,000 becomes two lines, every eighth is deleted
+    n = 400_000
+    lines = spark.range(1, n + 1).select(
+        F.lit("big").alias("path"), F.col("id").cast("int").alias("line_no"), F.concat(F.lit("l"), F.col("id")).alias("line"))
+    at = (F.col("id") * 4).cast("int")
+    edits = spark.range(1, n // 4 + 1).select(
+        F.col("id").alias("edit_id"), F.lit("big").alias("path"), at.alias("start_line"), at.alias("end_line"),
+        F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("a"), at, F.lit("\nb"), at)).alias("snippet"))
+    new, status = ranges.apply_edits(lines, edits)
+    assert status.where("error is not null").count() == 0
+    got = new.agg(F.count("*"), F.count_distinct("line_no"), F.max("line_no"), F.min("line_no")).first()
+    assert tuple(got) == (n, n, n, 1)  # as many lines come as go
+    # line 8k + 4 became two lines at its place, line 8k is gone
+    k = F.regexp_extract("line", r"(\d+)", 1).cast("int")
+    kind = F.substring("line", 1, 1)
+    want = F.when(kind == "b", k + 1).otherwise(k) + F.when((k % 8 > 4) & (kind == "l"), 1).otherwise(0)
+    assert new.where(F.col("line_no") != want).count() == 0
+
+
+def test_empty_files_and_full_deletion(spark):
+    lines = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "path string, line_no int, line string")
+    files = spark.createDataFrame([("a", 2), ("b", 1), ("none", 0)], "path string, n_lines long")
+    edits = spark.createDataFrame(
+        [(1, "a", 1, 9, ""), (2, "none", 1, 1, "new"), (3, "gone", 1, 1, "x")],
+        "edit_id long, path string, start_line int, end_line int, snippet string")
+    new, status = ranges.apply_edits(lines, edits, files=files)
+    assert {r["edit_id"]: r["error"] for r in status.collect()} == {1: None, 2: None, 3: "file not found"}
+    assert sorted(map(tuple, new.collect())) == [("b", 1, "z"), ("none", 1, "new")]
+    left = ranges.edited_files(lines, edits, files)
+    assert {r["path"]: r["n_lines"] for r in left.collect()} == {"a": 0, "b": 1, "none": 1}

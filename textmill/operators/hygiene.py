@@ -12,9 +12,10 @@ BLOCK_BUCKET = 1024
 def duplicate_blocks(lines: DataFrame, k: int = 2, bucket: int = BLOCK_BUCKET) -> DataFrame:
     """Runs of ``k`` consecutive lines that occur more than once.
 
-    Lines are grouped by ``(path, bucket of `bucket` lines)``; the first
-    ``k - 1`` lines of each bucket are also copied to the previous bucket so
-    that runs crossing a bucket edge are seen whole. A rows window inside
+    Lines are grouped by ``(path, bucket of `bucket` lines)``, a bucket having
+    at least ``k`` lines; the first ``k - 1`` lines of each bucket are also
+    copied to the previous bucket so that runs crossing a bucket edge are seen
+    whole. A rows window inside
     each bounded group collects the ``k`` lines starting at every line, so
     the shuffle carries each line about once and no file lands whole in one
     task. Full runs of consecutive line numbers are hashed (SHA-256 of the
@@ -23,6 +24,7 @@ def duplicate_blocks(lines: DataFrame, k: int = 2, bucket: int = BLOCK_BUCKET) -
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    bucket = max(bucket, k)  # a run then touches two buckets at most
     b = F.floor((F.col("line_no") - 1) / F.lit(bucket)).cast("long")
     pos = (F.col("line_no") - 1) % bucket
     own = F.struct(b.alias("b"), F.lit(True).alias("own"))

@@ -43,62 +43,49 @@ def range_join(lines: DataFrame, ranges: DataFrame, start: str, end: str, how: s
     return lb.join(rb, cond, how).drop("_b", "_rpath")
 
 
-# Above this many edits in one file, running values use the distributed scan.
-WINDOW_MAX_ROWS = 100_000
+# Lines a piece of a file spans in running values over its edits.
+PIECE_LINES = 65_536
 
 
-def ordered_scan(
-    df: DataFrame, group: str, order: list, max_col=None, sum_col=None, next_col=None, bounded: bool = False
-) -> DataFrame:
+def ordered_scan(df: DataFrame, group: str, at: str, order: list, max_col=None, sum_col=None, next_col=None) -> DataFrame:
     """Running values over the rows of each ``group`` in ``order`` without a
     window over a whole group: ``_prev_max`` (max of ``max_col`` over earlier
     rows), ``_sum_before`` (sum of ``sum_col`` over earlier rows), ``_next``
     (``next_col`` of the next row) and ``_first`` (first row of the group).
 
-    Rows are range-partitioned on ``(group, order)``, so a huge group spreads
-    over many partitions; windows run inside each (partition, group) piece,
-    and a small per-piece summary, scanned across the pieces of a group,
-    supplies what comes from earlier partitions. Range partitioning samples
-    its bounds deterministically, so a retried task sees the same pieces.
-
-    ``bounded=True`` (the caller has proven every group small) uses plain
-    windows over the group instead: same columns, fewer shuffles."""
-    if bounded:
-        w = Window.partitionBy(group).orderBy(*order)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            *df.columns,
-            (F.max(max_col).over(before) if max_col else F.lit(None).cast("long")).alias("_prev_max"),
-            (F.coalesce(F.sum(sum_col).over(before), F.lit(0)) if sum_col else F.lit(0)).alias("_sum_before"),
-            (F.lead(next_col).over(w) if next_col else F.lit(None).cast("long")).alias("_next"),
-            (F.row_number().over(w) == 1).alias("_first"),
-        )
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    d = df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", group).orderBy(*order)
+    A row belongs to the piece ``at div PIECE_LINES`` of its group, ``at`` being
+    the first column of ``order``, so pieces are in order and do not depend on
+    how the data is partitioned. Windows run inside each (group, piece); one
+    row a piece, scanned across the pieces of the group, supplies what comes
+    before and after. Both sides are dealt by the same two columns."""
+    d = df.withColumn("_piece", F.floor(F.col(at) / PIECE_LINES).cast("long"))
+    w = Window.partitionBy(group, "_piece").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    mx = F.col(max_col) if max_col else F.lit(None).cast("long")
-    sm = F.col(sum_col) if sum_col else F.lit(0)
-    nx = F.col(next_col) if next_col else F.lit(None).cast("long")
-    d = d.withColumn("_mx", mx).withColumn("_sm", sm).withColumn("_nx", nx)
-    d = (d.withColumn("_lmax", F.max("_mx").over(before))
-         .withColumn("_lsum", F.sum("_sm").over(before))
-         .withColumn("_lnext", F.lead("_nx").over(w))
-         .withColumn("_lfirst", F.row_number().over(w) == 1))
-    summ = d.groupBy("_pid", group).agg(
-        F.max("_mx").alias("_pmax"), F.sum("_sm").alias("_psum"),
-        F.min_by("_nx", F.struct(*order)).alias("_pnext"))
-    ws = Window.partitionBy(group).orderBy("_pid")
+    none = F.lit(None).cast("long")
+    d = d.withColumns({
+        "_mx": F.col(max_col).cast("long") if max_col else none,
+        "_sm": F.col(sum_col).cast("long") if sum_col else F.lit(0).cast("long"),
+        "_nx": F.col(next_col).cast("long") if next_col else none,
+    })
+    summary = d.groupBy(group, "_piece").agg(
+        F.max("_mx").alias("_pmax"), F.sum("_sm").alias("_psum"), F.min_by("_nx", F.struct(*order)).alias("_pnext")
+    )
+    ws = Window.partitionBy(group).orderBy("_piece")
     wb = ws.rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(
-        "_pid", group,
+    summary = summary.select(
+        group, "_piece",
         F.max("_pmax").over(wb).alias("_cmax"),
         F.sum("_psum").over(wb).alias("_csum"),
         F.lead("_pnext").over(ws).alias("_cnext"),
         (F.row_number().over(ws) == 1).alias("_cfirst"),
     )
-    out = d.join(summ, ["_pid", group])
+    d = d.withColumns({
+        "_lmax": F.max("_mx").over(before),
+        "_lsum": F.sum("_sm").over(before),
+        "_lnext": F.lead("_nx").over(w),
+        "_lfirst": F.row_number().over(w) == 1,
+    })
+    out = d.join(summary, [group, "_piece"])
     return out.select(
         *df.columns,
         F.greatest("_lmax", "_cmax").alias("_prev_max"),
@@ -108,18 +95,25 @@ def ordered_scan(
     )
 
 
-def file_lengths(lines: DataFrame) -> DataFrame:
+def file_lengths(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``path, n_file_lines``: from ``files(path, n_lines)``, which also names
+    empty files, or else from the lines that are there."""
+    if files is not None:
+        return files.select("path", F.col("n_lines").alias("n_file_lines"))
     return lines.groupBy("path").agg(F.max("line_no").alias("n_file_lines"))
 
 
-def extract_ranges(lines: DataFrame, selections: DataFrame, id_col: str = "sel_id") -> DataFrame:
+def extract_ranges(
+    lines: DataFrame, selections: DataFrame, id_col: str = "sel_id", files: DataFrame | None = None
+) -> DataFrame:
     """Text of lines ``start_line..end_line`` (1-based, inclusive) for each
     selection, joined by '\\n'. A range past the end is cut, as slices are.
 
     Adds ``snippet``, ``n_snippet_lines`` and ``error``: 'file not found' when
-    the path has no lines, 'invalid range' unless ``1 <= start <= end``.
+    the path is neither in ``files(path, n_lines)`` nor, without that table, in
+    the lines; 'invalid range' unless ``1 <= start <= end``.
     """
-    sel = selections.join(file_lengths(lines), "path", "left")
+    sel = selections.join(file_lengths(lines, files), "path", "left")
     error = (
         F.when(F.col("n_file_lines").isNull(), F.lit("file not found"))
         .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), F.lit("invalid range"))
@@ -144,7 +138,7 @@ def extract_ranges(lines: DataFrame, selections: DataFrame, id_col: str = "sel_i
     )
 
 
-def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id"):
+def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id", files: DataFrame | None = None):
     """Validate edits ``(path, start_line, end_line, snippet)`` and compute
     where they land.
 
@@ -152,28 +146,22 @@ def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id"):
     overlap another edit of the same file are all rejected (the reference
     applies them in turn to shifted lines). Overlap is found with a running
     maximum of ``end_line`` and the next ``start_line`` in start order, so no
-    pairs are formed. Running values come from ``ordered_scan``: plain
-    windows when a size check proves every file has few edits, else a
-    distributed scan, so no unbounded window spans the edits of a file. Returns ``(ok, status)``: the valid
-    edits with the
-    clipped range ``_s.._e``, their new lines, the line change ``_delta``, the
-    shift accumulated by earlier edits of the file, the next edit's start and
-    the rank in the file; and one status row per edit with ``error``.
+    pairs are formed; running values come from ``ordered_scan``, so no window
+    spans the edits of a file. Returns ``(ok, status)``: the valid edits with
+    the clipped range ``_s.._e``, their new lines, the line change ``_delta``,
+    the shift accumulated by earlier edits of the file, the next edit's start
+    and the rank in the file; and one status row per edit with ``error``.
     """
-    e = edits.join(file_lengths(lines), "path", "left")
+    e = edits.join(file_lengths(lines, files), "path", "left")
     basic = (
         F.when(F.col("n_file_lines").isNull(), F.lit("file not found"))
         .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), F.lit("invalid range"))
     )
     e = e.withColumn("_basic", basic)
-    # size check: with at most WINDOW_MAX_ROWS edits per file plain windows
-    # are bounded; beyond it the distributed scan takes over
-    most = edits.groupBy("path").count().agg(F.max("count")).first()[0]
-    bounded = most is None or most <= WINDOW_MAX_ROWS
     # overlaps: the max end of earlier edits and the start of the next one,
     # in (start, end, id) order within the file
-    good = ordered_scan(e.filter(F.col("_basic").isNull()), "path", ["start_line", "end_line", id_col],
-                        max_col="end_line", next_col="start_line", bounded=bounded)
+    good = ordered_scan(e.filter(F.col("_basic").isNull()), "path", "start_line", ["start_line", "end_line", id_col],
+                        max_col="end_line", next_col="start_line")
     overl = (F.col("_prev_max") >= F.col("start_line")) | (F.col("_next") <= F.col("end_line"))
     good = good.withColumn("error", F.when(overl, F.lit("overlapping edit")))
     status = e.filter(F.col("_basic").isNotNull()).select(*edits.columns, F.col("_basic").alias("error")) \
@@ -188,25 +176,36 @@ def plan_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id"):
     )
     ok = ok.withColumn("_delta", F.size("_new") - F.greatest(F.col("_e") - F.col("_s") + 1, F.lit(0)))
     # line shift from earlier edits, the next edit's start, first edit of the file
-    ok = ordered_scan(ok, "path", ["_s", "start_line", id_col], sum_col="_delta", next_col="_s",
-                      bounded=bounded)
+    ok = ordered_scan(ok, "path", "_s", ["_s", "start_line", id_col], sum_col="_delta", next_col="_s")
     ok = ok.select(*[c for c in ok.columns if not c.startswith("_") or c in ("_s", "_e", "_new", "_delta")],
                    F.col("_sum_before").alias("_shift_before"), F.col("_next").alias("_next_s"),
                    F.when(F.col("_first"), 1).otherwise(2).alias("_rank"))
     return ok, status
 
 
-def apply_edits(lines: DataFrame, edits: DataFrame, id_col: str = "edit_id") -> tuple[DataFrame, DataFrame]:
+def edited_files(lines: DataFrame, edits: DataFrame, files: DataFrame | None = None, id_col: str = "edit_id") -> DataFrame:
+    """``path, n_lines`` of every file after its edits, empty ones included."""
+    ok, _ = plan_edits(lines, edits, id_col, files)
+    change = ok.groupBy("path").agg(F.sum("_delta").alias("_change"))
+    out = file_lengths(lines, files).join(change, "path", "left")
+    return out.select("path", (F.col("n_file_lines") + F.coalesce("_change", F.lit(0))).cast("long").alias("n_lines"))
+
+
+def apply_edits(
+    lines: DataFrame, edits: DataFrame, id_col: str = "edit_id", files: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Replace lines ``start..end`` of each file by the edit's lines; all
     other lines are kept. Returns ``(new_lines, status)``: the new
     ``lines(path, line_no, line)`` of every file (files without edits pass
-    through unchanged) and one status row per edit with ``error``.
+    through unchanged) and one status row per edit with ``error``. Which files
+    exist is taken from ``files(path, n_lines)`` if given, so an empty file can
+    be edited; ``edited_files`` says which files are left without lines.
 
     Line numbers are computed, not re-ranked: a kept line moves by the line
     change of the edits before it, found by one range join against the
     segments between edits. No window spans a whole file.
     """
-    ok, status = plan_edits(lines, edits, id_col)
+    ok, status = plan_edits(lines, edits, id_col, files)
 
     def seg(s, e, shift, drop):
         return F.struct(s.alias("seg_s"), e.alias("seg_e"), shift.cast("int").alias("shift"), F.lit(drop).alias("drop"))
