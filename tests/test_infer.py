@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators import infer, prompts, rewrite
 from textmill.operators import lines as L
+from textmill.plans import stubs
 
 
 def test_prompt_defaults(spark):
@@ -60,12 +61,12 @@ def test_partial_rewrite_applies_the_preview(spark):
                                   "path string, line_no int, line string")
     sel = spark.createDataFrame([(1, "f", 2, 3), (2, "g", 1, 1)], "sel_id long, path string, start_line int, "
                                                                    "end_line int")
-    res, new_lines = rewrite.partial_rewrite(lines, sel, infer.replace_stub(), dry_run=False)
+    res, new_lines = rewrite.partial_rewrite(lines, sel, stubs.replace_stub(), dry_run=False)
     r = {x.sel_id: x for x in res.collect()}
     assert r[1].refactored_snippet == "THE one\nTHE two" and r[1].applied
     assert r[2].error == "file not found" and not r[2].applied
     assert L.join_lines(new_lines, ["path"]).first().text == "keep\nTHE one\nTHE two\nend\n"
-    dry, none = rewrite.partial_rewrite(lines, sel, infer.replace_stub(), dry_run=True)
+    dry, none = rewrite.partial_rewrite(lines, sel, stubs.replace_stub(), dry_run=True)
     assert none is None and not any(x.applied for x in dry.collect())
 
 
@@ -126,7 +127,7 @@ def test_convert_projects(spark):
     files = spark.createDataFrame([("p", "a.py", "the x", "python"), ("p", "pkg/b.py", "y", "python"),
                                    ("q", "c.py", "z", "python")],
                                   "project string, path string, content string, language string")
-    out, notes = rewrite.convert_projects(files, "python", "Type Script", infer.convert_stub(".ts"))
+    out, notes = rewrite.convert_projects(files, "python", "Type Script", stubs.convert_stub(".ts"))
     got = sorted((r.project, r.pos, r.target_path, r.content) for r in out.collect())
     assert got == [("p", 0, "p_converted_to_Type_Script/a.ts", "THE x"),
                    ("p", 1, "p_converted_to_Type_Script/pkg/b.ts", "y"),

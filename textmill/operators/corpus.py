@@ -1,10 +1,10 @@
 """Corpus operators over ``files(project, path, length, content)``.
 
 Exclusion and size tests work on metadata columns only, so Catalyst prunes
-``content`` from the scan until it is needed and pushes the size filter into
-the source. Per-project caps and "first file" use ``row_number() <= k``,
-which Spark plans as a ``WindowGroupLimit`` (top-k per group before the
-shuffle), so a project of any size sends at most ``k`` rows per partition.
+``content`` from the scan until it is needed. A per-project cap, where the
+caller gives one, uses ``row_number() <= k``, which Spark plans as a
+``WindowGroupLimit`` (top-k per group before the shuffle), so a project of any
+size sends at most ``k`` paths per partition.
 """
 
 from __future__ import annotations
@@ -13,15 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import path_suffix, split_lines_array
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, scratch_path
 
 # The two sets of excluded path segments.
 LISTING_EXCLUDES = ["node_modules", "dist", "build"]
 CORPUS_EXCLUDES = [".git", ".hg", ".svn", ".venv", "venv", "node_modules", "dist", "build", "__pycache__"]
-# The reference's corpus limits.
-MAX_FILES = 40
-MAX_BYTES = 200_000
-HEAD_CHARS = 8000
+# Bytes of text that share a pack of a large project.
+PACK_BYTES = 4_000_000
 
 
 def exclude_paths(df: DataFrame, segments=LISTING_EXCLUDES, path: str = "path") -> DataFrame:
@@ -30,33 +28,43 @@ def exclude_paths(df: DataFrame, segments=LISTING_EXCLUDES, path: str = "path")
     return df.filter(~F.arrays_overlap(F.split(F.col(path), "/"), segs))
 
 
-def valid_utf8(df: DataFrame, content: str = "content") -> DataFrame:
-    """Keep rows whose content decodes as UTF-8 (binary or string column)."""
-    t = dict(df.dtypes)[content]
-    c = F.col(content).cast("string") if t == "binary" else F.col(content)
-    return df.filter(F.is_valid_utf8(c))
+def corpus_status(
+    files: DataFrame, max_files: int | None = None, max_bytes: int | None = None, segments=CORPUS_EXCLUDES
+) -> DataFrame:
+    """Every file with its ``status``: 'excluded' (a path segment), 'too large'
+    (over ``max_bytes``), 'not UTF-8', 'over the cap' (not among the project's
+    first ``max_files`` of the others, by path) or 'kept'. Without limits no
+    file is too large or over the cap."""
+    segs = F.array(*[F.lit(s) for s in segments])
+    content = F.col("content").cast("string") if dict(files.dtypes)["content"] == "binary" else F.col("content")
+    first = F.when(F.arrays_overlap(F.split("path", "/"), segs), "excluded")
+    if max_bytes is not None:
+        first = first.when(F.col("length") > max_bytes, "too large")
+    first = first.when(~F.coalesce(F.is_valid_utf8(content), F.lit(True)), "not UTF-8")
+    out = files.withColumn("_why", first)
+    if max_files is None:
+        return out.withColumn("status", F.coalesce("_why", F.lit("kept"))).drop("_why")
+    # the cap counts survivors: only paths move to rank them
+    ranked = out.where("_why is null").select(F.col("project").alias("_p"), F.col("path").alias("_f"))
+    top = ranked.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_f"))).where(F.col("_rn") <= max_files)
+    out = out.join(top, F.col("project").eqNullSafe(F.col("_p")) & F.col("path").eqNullSafe(F.col("_f")), "left")
+    kept = F.when(F.col("_rn").isNotNull(), "kept").otherwise("over the cap")
+    return out.withColumn("status", F.coalesce("_why", kept)).drop("_why", "_p", "_f", "_rn")
 
 
 def collect_corpus(
-    files: DataFrame,
-    max_files: int = MAX_FILES,
-    max_bytes: int = MAX_BYTES,
-    segments=CORPUS_EXCLUDES,
+    files: DataFrame, max_files: int | None = None, max_bytes: int | None = None, segments=CORPUS_EXCLUDES
 ) -> DataFrame:
-    """Files of each project: not excluded, at most ``max_bytes`` bytes, valid
-    UTF-8, then the first ``max_files`` by path. The cap counts survivors, so
-    it is applied last."""
-    kept = exclude_paths(files.filter(F.col("length") <= max_bytes), segments)
-    kept = valid_utf8(kept)
-    w = Window.partitionBy("project").orderBy("path")
-    return kept.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_files).drop("_rn")
+    """The files that ``corpus_status`` keeps; limits hold only if the caller gives them."""
+    return corpus_status(files, max_files, max_bytes, segments).where("status = 'kept'").drop("status")
 
 
-def head_text(files: DataFrame, n: int = HEAD_CHARS) -> DataFrame:
-    """First file of each project by path, cut to ``n`` characters."""
-    w = Window.partitionBy("project").orderBy("path")
-    first = files.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    return first.withColumn("head", F.substring("content", 1, n))
+def head_text(files: DataFrame, n: int | None = None) -> DataFrame:
+    """First file of each project by path; ``head`` is its text, or the first
+    ``n`` characters if the caller asks for so many."""
+    first = files.groupBy("project").agg(F.min("path").alias("path"))
+    out = files.join(first, ["project", "path"], "left_semi")
+    return out.withColumn("head", F.col("content") if n is None else F.substring("content", 1, n))
 
 
 def tag_language(files: DataFrame, extensions: DataFrame | None = None, max_dim_rows: int = 100_000) -> DataFrame:
@@ -93,17 +101,29 @@ def corpus_profile(files: DataFrame) -> DataFrame:
     )
 
 
-def _packs(files: DataFrame, max_pack_chars: int) -> DataFrame:
-    """Split large projects into packs of about ``max_pack_chars`` characters.
-
-    A project's size comes from a partial aggregation; files are spread over
-    ``ceil(size / max_pack_chars)`` packs by a hash of the path, so no single
-    text or group grows with the project. Small projects have one pack 0.
-    """
-    sizes = files.groupBy("project").agg(F.sum(F.char_length("content")).alias("_size"))
-    n = F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(max_pack_chars)))
-    out = files.join(sizes, "project")
-    return out.withColumn("pack", F.pmod(F.xxhash64("path"), n).cast("long")).drop("_size")
+def _packs(files: DataFrame, pack_bytes: int) -> DataFrame:
+    """Add ``pack``: the bytes of the project's files before this one, in path
+    order, divided by ``pack_bytes``. So packs follow path order, whatever the
+    project's size, and one holds ``pack_bytes`` and its last file at most.
+
+    Only paths and sizes move for the running sum. They are range-partitioned
+    and written once with their partition's number; each window covers a
+    project's rows of one partition, and one row a partition carries the sum."""
+    spark = files.sparkSession
+    size = F.col("length") if "length" in files.columns else F.octet_length("content")
+    narrow = files.select("project", "path", F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    path = scratch_path(spark, "packs")
+    narrow.repartitionByRange(parts, "project", "path").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    narrow = spark.read.parquet(path)
+    w = Window.partitionBy("project", "_part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    sums = narrow.groupBy("project", "_part").agg(F.sum("_size").alias("_sum"))
+    up = Window.partitionBy("project").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("project", "_part", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_base"))
+    before = F.coalesce(F.sum("_size").over(w), F.lit(0))
+    at = narrow.withColumn("_before", before).join(sums, ["project", "_part"])
+    at = at.select("project", "path", F.floor((F.col("_base") + F.col("_before")) / pack_bytes).cast("long").alias("pack"))
+    return files.join(at, ["project", "path"])
 
 
 def file_block(path="path", language="language", content="content") -> F.Column:
@@ -111,15 +131,15 @@ def file_block(path="path", language="language", content="content") -> F.Column:
     return F.concat(
         F.lit("### file: "), F.col(path), F.lit("\n### language: "),
         F.coalesce(F.col(language), F.lit("unknown")), F.lit("\n"),
-        F.col(content), F.lit("\n### end of file"),
+        F.coalesce(F.col(content), F.lit("")), F.lit("\n### end of file"),
     )
 
 
-def files_block(files: DataFrame, max_pack_chars: int = 4_000_000) -> DataFrame:
-    """One text per project (per pack for very large projects): each file's
-    block in path order, separated by a blank line."""
+def files_block(files: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """One text per pack of a project: each file's block in path order, separated
+    by a blank line. A file without content has an empty block."""
     f = files if "language" in files.columns else files.withColumn("language", F.lit("unknown"))
-    f = _packs(f, max_pack_chars)
+    f = _packs(f, pack_bytes)
     blocks = F.array_sort(F.collect_list(F.struct(F.col("path").alias("p"), file_block().alias("b"))))
     return f.groupBy("project", "pack").agg(
         F.array_join(F.transform(blocks, lambda x: x["b"]), "\n\n").alias("block"),
@@ -127,11 +147,11 @@ def files_block(files: DataFrame, max_pack_chars: int = 4_000_000) -> DataFrame:
     )
 
 
-def build_snapshot(files: DataFrame, src_lang: str, tgt_lang: str, max_pack_chars: int = 4_000_000) -> DataFrame:
+def build_snapshot(files: DataFrame, src_lang: str, tgt_lang: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """One row per project (pack) with the files as an ordered
     ``array<struct<path, language, content>>`` and a fixed summary."""
     f = files if "language" in files.columns else files.withColumn("language", F.lit("unknown"))
-    f = _packs(f, max_pack_chars)
+    f = _packs(f, pack_bytes)
     arr = F.array_sort(F.collect_list(F.struct("path", "language", "content")))
     return f.groupBy("project", "pack").agg(arr.alias("files")).select(
         F.col("project").alias("root"), "pack",

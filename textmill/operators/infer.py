@@ -10,7 +10,7 @@ becomes ``error`` on that row only.
 
 Answers of a real model are not repeatable: if an executor is lost, Spark
 recomputes the lost partitions and would ask the model again. So unless the
-factory declares ``deterministic = True`` (the stubs here do), answers are
+factory declares ``deterministic = True`` (as stand-ins in tests do), answers are
 materialised: computed once and written to the shared checkpoint folder, and
 every later stage reads that table.
 """
@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..session import python_partitions, scratch_path
-from .prompts import CODE_CLOSE, CODE_OPEN
+from ..session import scratch_path
 
 Predict = Callable[[Sequence[str], Sequence[str]], Sequence[str | None]]
 
@@ -99,11 +98,10 @@ def batch_infer(
     partition, no shuffle and no join back."""
     if materialize is None:
         materialize = not getattr(predict_factory, "deterministic", False)
-    n_tasks = python_partitions(df.sparkSession)
     if not dedupe:
         r = _row_udf(predict_factory)(F.col(system), F.col(user))
-        # calls cost per row: spread them over a fixed number of tasks
-        out = df.repartition(n_tasks).withColumn("_r", r).select(*df.columns, F.col("_r.answer").alias("answer"),
+        # calls run where the rows are: as many tasks as the input has
+        out = df.withColumn("_r", r).select(*df.columns, F.col("_r.answer").alias("answer"),
                                             F.col("_r.error").alias("error"))
         if materialize:
             spark = df.sparkSession
@@ -116,7 +114,7 @@ def batch_infer(
     keyed = df.withColumn("_pkey", F.when(has_prompt, key))
     prompts = keyed.filter(F.col("_pkey").isNotNull()).groupBy("_pkey").agg(
         F.first(system).alias("s"), F.first(user).alias("u"))
-    answered = prompts.repartition(n_tasks, "_pkey").mapInPandas(
+    answered = prompts.mapInPandas(
         _runner(predict_factory), "_pkey string, answer string, error string")
     if materialize:
         spark = df.sparkSession
@@ -137,55 +135,3 @@ def _json_check(out: DataFrame) -> DataFrame:
     return out.withColumn("answer_json", F.when(is_obj, v)).withColumn(
         "error", F.when(F.col("answer").isNotNull() & ~is_obj, F.lit("answer is not a JSON object"))
         .otherwise(F.col("error")))
-
-
-def replace_stub(old: str = "the", new: str = "THE", fence: bool = True) -> Callable[[], Predict]:
-    """A deterministic stand-in for a model: takes the code between the
-    prompt's code markers, replaces ``old`` by ``new`` and answers it inside
-    a fenced block. Prompts without markers get no answer."""
-
-    def factory() -> Predict:
-        def predict(systems, users):
-            out = []
-            for u in users:
-                i = u.find(CODE_OPEN)
-                j = u.rfind(CODE_CLOSE)
-                if i < 0 or j < i:
-                    out.append(None)
-                    continue
-                code = u[i + len(CODE_OPEN):j].replace(old, new)
-                out.append(f"```\n{code}\n```" if fence else code)
-            return out
-
-        return predict
-
-    factory.deterministic = True
-    return factory
-
-
-def convert_stub(new_suffix: str = ".go", old: str = "the", new: str = "THE") -> Callable[[], Predict]:
-    """A deterministic stand-in for a conversion model: reads the files block
-    of the prompt and answers ``{"files": [{"path", "content"}], "notes"}``
-    with each path's suffix swapped and ``old`` replaced by ``new``."""
-    import json as _json
-    import re as _re
-    from pathlib import PurePosixPath
-
-    block = _re.compile(r"### file: (.*?)\n### language: [^\n]*\n(.*?)\n### end of file", _re.S)
-
-    def factory() -> Predict:
-        def predict(systems, users):
-            out = []
-            for u in users:
-                files = []
-                for path, content in block.findall(u):
-                    target = str(PurePosixPath(path).with_suffix(new_suffix)) if PurePosixPath(path).name else path
-                    files.append({"path": target, "content": content.replace(old, new)})
-                out.append(_json.dumps({"files": files, "notes": f"{len(files)} files converted"}))
-            return out
-
-        return predict
-
-    factory.deterministic = True
-    return factory
-

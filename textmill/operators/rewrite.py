@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.text import drop_echo, path_suffix, safe_name, strip_code_fence
 from ..session import scratch_path
 from . import ranges
 from .answers import answer_notes, converted_files, parse_answers
-from .corpus import files_block
+from .corpus import PACK_BYTES, files_block
 from .infer import batch_infer
 from .prompts import render_prompts
 
@@ -20,18 +22,22 @@ def write_approved(
     out: str | None = None,
     dry_run: bool = True,
     keys=("project", "path"),
+    version: str | None = None,
 ) -> DataFrame:
     """Status per changed row and, unless ``dry_run``, a new version of the
     approved rows written under ``out`` partitioned by project.
 
     ``changes(keys, old, new[, error])``; ``approvals(keys, approved)``.
     Rows with an ``error`` are never written (status 'error'); unchanged rows
-    are skipped; missing approval means no. Status is 'error', 'unchanged',
-    'rejected', 'would write' (dry run) or 'written'."""
+    are skipped; missing approval means no, and of several approvals of a row
+    any refusal counts. Status is 'error', 'unchanged', 'rejected', 'would
+    write' (dry run) or 'written'. Each call writes a version of its own
+    (``version=<name>``, by default the time), so earlier rounds stay."""
     keys = list(keys)
     c = changes
     if approvals is not None:
-        c = c.join(approvals.select(*keys, F.col("approved").alias("_ok")), keys, "left")
+        once = approvals.groupBy(*keys).agg(F.min(F.coalesce("approved", F.lit(False))).alias("_ok"))
+        c = c.join(once, keys, "left")
     else:
         c = c.withColumn("_ok", F.lit(False))
     changed = ~F.col("old").eqNullSafe(F.col("new"))
@@ -48,13 +54,19 @@ def write_approved(
         if out is None:
             raise ValueError("out is required unless dry_run")
         todo = result.filter(F.col("status") == "written").select(*keys, F.col("new").alias("content"))
-        writer = todo.write.mode("overwrite")
-        if "project" in keys:
-            writer = writer.partitionBy("project")
-        writer.parquet(out)
+        name = version or f"{time.time_ns():020d}"
+        writer = todo.withColumn("version", F.lit(name)).write.mode("append")
+        writer.partitionBy("version", *(["project"] if "project" in keys else [])).parquet(out)
     return result.drop("_ok")
 
 
+def read_written(spark, out: str, keys=("project", "path")) -> DataFrame:
+    """The newest written content of each row over all versions below ``out``."""
+    rows = spark.read.option("basePath", out).parquet(out).withColumn("version", F.col("version").cast("string"))
+    newest = rows.groupBy(*keys).agg(F.max("version").alias("version"))
+    return rows.join(newest, [*keys, "version"]).select(*keys, "version", "content")
+
+
 def rewrite_corpus(
     files: DataFrame,
     task: str,
@@ -165,7 +177,7 @@ def convert_projects(
     tgt_lang: str,
     predict_factory,
     target_stack_desc: str | None = None,
-    max_pack_chars: int = 4_000_000,
+    pack_bytes: int = PACK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """Project conversion: one prompt per project (per pack of a large
     project) with all its files, a JSON answer, the returned files validated
@@ -175,7 +187,7 @@ def convert_projects(
     target_path, action, error`` per returned file, and ``project, pack,
     notes, error`` per answer (a non-object answer is an error there)."""
     desc = target_stack_desc or f"An idiomatic {tgt_lang} project using its standard library."
-    blocks = files_block(files, max_pack_chars).select(
+    blocks = files_block(files, pack_bytes).select(
         "project", "pack", F.col("block").alias("files_block"),
         F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang"),
         F.lit(desc).alias("target_stack_desc"),

@@ -100,7 +100,5 @@ def unified_diff(v: DataFrame, path: str = "path") -> DataFrame:
     """Unified diff text (3 context lines, the path in both headers) for each
     changed row; equal rows are dropped before the Arrow UDF runs, since
     Catalyst cannot see into it."""
-    from ..session import python_partitions
-
-    changed = changed_only(v).repartition(python_partitions(v.sparkSession))
+    changed = changed_only(v)
     return changed.withColumn("diff", _unified(F.col(path), F.col("old"), F.col("new")))

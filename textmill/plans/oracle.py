@@ -157,18 +157,21 @@ CORPUS = ("NOT list_has_any(string_split(path, '/'), "
 ORACLE["exclude_paths"] = f"SELECT project, path FROM ({FILES}) f WHERE {LISTING}"
 
 ORACLE["corpus_cap"] = f"""
-SELECT project, path, length, md5(content) AS content_md5 FROM (
-  SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
-  FROM ({FILES}) f WHERE length <= 16000 AND {CORPUS}) t
-WHERE rn <= 8
+WITH e AS (
+  SELECT project, path, length, CASE WHEN NOT ({CORPUS}) THEN 'excluded' WHEN length > 16000 THEN 'too large' END AS why
+  FROM ({FILES}) f)
+SELECT project, path, length,
+  coalesce(why, CASE WHEN row_number() OVER (PARTITION BY project, why ORDER BY path) <= 8 THEN 'kept' ELSE 'over the cap' END)
+    AS status
+FROM e
 """
 
+ORACLE["collect_corpus"] = f"SELECT project, path, length, md5(content) AS content_md5 FROM ({FILES}) f WHERE {CORPUS}"
+
 ORACLE["head_text"] = f"""
-SELECT project, path, md5(substring(content, 1, 8000)) AS head_md5,
-       CAST(length(substring(content, 1, 8000)) AS BIGINT) AS head_chars
-FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
-      FROM ({FILES}) f WHERE {LISTING}) t
-WHERE rn = 1
+SELECT project, min(path) AS path, md5(arg_min(content, path)) AS head_md5,
+       CAST(length(arg_min(content, path)) AS BIGINT) AS head_chars
+FROM ({FILES}) f WHERE {LISTING} GROUP BY project
 """
 
 ORACLE["tag_language"] = f"SELECT project, path, language FROM ({TAGGED}) t"
@@ -189,25 +192,27 @@ FROM t LEFT JOIN pf ON pf.project = t.project AND pf.path = t.path
 GROUP BY t.project, t.language
 """
 
+# bytes of the project's files before this one, in path order, over 4,000,000
+PACK = """coalesce(sum(length) OVER (PARTITION BY project ORDER BY path
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000000"""
+
 ORACLE["files_block"] = f"""
 WITH b AS (
-  SELECT project, path, '### file: ' || path || chr(10) || '### language: ' || language || chr(10)
-         || content || chr(10) || '### end of file' AS blk
+  SELECT project, path, CAST({PACK} AS BIGINT) AS pack, '### file: ' || path || chr(10) || '### language: ' || language
+         || chr(10) || content || chr(10) || '### end of file' AS blk
   FROM ({TAGGED}) t)
-SELECT project, CAST(0 AS BIGINT) AS pack, CAST(count(*) AS BIGINT) AS n_files,
+SELECT project, pack, CAST(count(*) AS BIGINT) AS n_files,
        CAST(length(string_agg(blk, chr(10) || chr(10) ORDER BY path)) AS BIGINT) AS block_chars,
        md5(string_agg(blk, chr(10) || chr(10) ORDER BY path)) AS block_md5
-FROM b GROUP BY project
+FROM b GROUP BY project, pack
 """
 
 ORACLE["build_snapshot"] = f"""
-SELECT project AS root, CAST(0 AS BIGINT) AS pack,
-       'Project to convert from python to go.' AS summary,
-       CAST(row_number() OVER (PARTITION BY project ORDER BY path) - 1 AS BIGINT) AS pos,
+WITH p AS (SELECT project, path, content, CAST({PACK} AS BIGINT) AS pack FROM ({FILES}) f WHERE {CORPUS})
+SELECT project AS root, pack, 'Project to convert from python to go.' AS summary,
+       CAST(row_number() OVER (PARTITION BY project, pack ORDER BY path) - 1 AS BIGINT) AS pos,
        path, 'unknown' AS language, md5(content) AS content_md5
-FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
-      FROM ({FILES}) f WHERE length <= 200000 AND {CORPUS}) t
-WHERE rn <= 40
+FROM p
 """
 
 # ---------------------------------------------------------------- ranges, versions, blocks
@@ -283,6 +288,54 @@ SELECT path, CAST(count(*) AS BIGINT) AS n_lines,
 FROM a GROUP BY path
 """
 
+# the same edits over a tree that has empty files, and whole files deleted
+TREE_EDITS = f"""
+SELECT * FROM ({EDITS}) o WHERE path NOT IN (SELECT 'doc/' || doc_id || '.txt' FROM documents WHERE doc_id % 19 = 4)
+UNION ALL SELECT doc_id * 10 + 6, 'doc/' || doc_id || '.txt', 1, 1000000, '' FROM documents WHERE doc_id % 19 = 4
+UNION ALL SELECT doc_id * 10 + 7, 'empty/' || doc_id || '.txt', 1, 1, 'first line' FROM documents WHERE doc_id % 29 = 3
+"""
+
+TREE = f"""
+l AS ({LINES_P}),
+n AS (SELECT 'doc/' || d.doc_id || '.txt' AS path, (SELECT count(*) FROM l WHERE l.path = 'doc/' || d.doc_id || '.txt') AS nl
+      FROM documents d
+      UNION ALL SELECT 'empty/' || doc_id || '.txt', 0 FROM documents WHERE doc_id % 29 = 3),
+e AS (SELECT ed.*, n.nl,
+        CASE WHEN n.nl IS NULL THEN 'file not found'
+             WHEN start_line < 1 OR end_line < start_line THEN 'invalid range' END AS err
+      FROM ({TREE_EDITS}) ed LEFT JOIN n ON n.path = ed.path),
+c AS (SELECT e.*, CASE WHEN err IS NOT NULL THEN err
+                       WHEN EXISTS (SELECT 1 FROM e e2 WHERE e2.err IS NULL AND e2.path = e.path
+                                    AND e2.edit_id <> e.edit_id AND e2.start_line <= e.end_line
+                                    AND e.start_line <= e2.end_line) THEN 'overlapping edit' END AS error
+      FROM e),
+after AS (
+  SELECT n.path, CAST(n.nl - coalesce((SELECT count(*) FROM l JOIN c ON c.path = l.path AND c.error IS NULL
+                                        AND l.line_no BETWEEN c.start_line AND c.end_line WHERE l.path = n.path), 0)
+    + coalesce((SELECT sum(CASE WHEN c.snippet = '' THEN 0 ELSE len(string_split(c.snippet, chr(10))) END)
+                FROM c WHERE c.path = n.path AND c.error IS NULL), 0) AS BIGINT) AS n_lines
+  FROM n)
+"""
+
+ORACLE["edited_files"] = f"WITH {TREE} SELECT path, n_lines FROM after"
+
+ORACLE["edit_tree_status"] = f"""
+WITH {TREE}
+SELECT CAST(c.edit_id AS BIGINT) AS edit_id, c.path, c.error, nullif(a.n_lines, 0) AS n_lines, nullif(a.n_lines, 0) AS last_line
+FROM c LEFT JOIN after a ON a.path = c.path
+"""
+
+ORACLE["duplicate_long_blocks"] = f"""
+WITH l AS ({LINES_P}),
+w AS (SELECT path, line_no, string_agg(line, chr(10)) OVER r AS blk, count(*) OVER r AS k
+      FROM l WINDOW r AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+h AS (SELECT path, line_no, sha256(blk) AS block_hash FROM w WHERE k = 5)
+SELECT block_hash, CAST(count(*) AS BIGINT) AS n,
+       arg_min(path, (path, line_no)) AS first_path,
+       CAST(arg_min(line_no, (path, line_no)) AS BIGINT) AS first_line
+FROM h GROUP BY block_hash HAVING count(*) > 1
+"""
+
 ORACLE["duplicate_blocks"] = f"""
 WITH l AS ({LINES_P}),
 w AS (SELECT path, line_no, line || chr(10) || lead(line) OVER (PARTITION BY path ORDER BY line_no) AS blk
@@ -787,6 +840,30 @@ SELECT v.path, CASE WHEN old IS NOT DISTINCT FROM new THEN 'unchanged'
 FROM v LEFT JOIN labels l ON 'doc/' || l.doc_id || '.txt' = v.path
 """
 
+ORACLE["write_rounds"] = f"""
+WITH v AS ({VERSIONS}),
+c AS (SELECT v.*, l.quality, l.toxic FROM v JOIN labels l ON 'doc/' || l.doc_id || '.txt' = v.path
+      WHERE old IS DISTINCT FROM new)
+SELECT path, CASE WHEN toxic = 1 THEN '2' ELSE '1' END AS version, md5(new) AS content_md5
+FROM c WHERE quality = 1 OR toxic = 1
+"""
+
+ORACLE["partial_rewrite_apply"] = f"""
+WITH l AS ({LINES_P}), s AS ({SELECTIONS}),
+v AS (SELECT * FROM s WHERE end_line >= start_line AND path IN (SELECT path FROM l)),
+sn AS (SELECT v.sel_id, v.path, v.start_line, string_agg(l.line, chr(10) ORDER BY l.line_no) AS t
+       FROM v LEFT JOIN l ON l.path = v.path AND l.line_no BETWEEN v.start_line AND v.end_line GROUP BY ALL),
+r AS (SELECT sel_id, path, start_line, {STRIP.format(x="replace(coalesce(t, ''), 'the', 'THE')")} AS t FROM sn),
+nw AS (SELECT path, start_line AS anchor, i AS seq, arr[i] AS line
+       FROM (SELECT r.*, string_split(t, chr(10)) AS arr FROM r) q, LATERAL generate_series(1, len(arr)) AS g(i)
+       WHERE NOT (i = len(arr) AND arr[i] = '')),
+kept AS (SELECT l.path, l.line_no AS anchor, 0 AS seq, l.line FROM l
+         WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.path = l.path AND l.line_no BETWEEN v.start_line AND v.end_line)),
+a AS (SELECT * FROM kept UNION ALL SELECT * FROM nw)
+SELECT path, CAST(count(*) AS BIGINT) AS n_lines, md5(string_agg(line, chr(10) ORDER BY anchor, seq) || chr(10)) AS text_md5
+FROM a GROUP BY path
+"""
+
 ORACLE["partial_rewrite"] = f"""
 WITH x AS ({ORACLE['extract_ranges'].replace('md5(coalesce(x.snippet,', 'md5(coalesce(x.snippet,')}),
 l AS ({LINES_P}), s AS ({SELECTIONS}),
@@ -871,14 +948,14 @@ GROUP BY c.doc_id, c.chunk_no, c.s
 """
 
 ORACLE["convert_projects"] = f"""
-WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
-                          FROM ({FILES}) x WHERE length <= 200000 AND {CORPUS}) t WHERE rn <= 40),
-s AS (SELECT project, path, content, rn,
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY project, pack ORDER BY path) AS rn
+           FROM (SELECT *, CAST({PACK} AS BIGINT) AS pack FROM ({FILES}) x WHERE {CORPUS}) t),
+s AS (SELECT project, pack, path, content, rn,
              regexp_extract(regexp_extract(path, '[^/]*$', 0), '^.+(\\.[^.]+)$', 1) AS sfx FROM f),
-c AS (SELECT project, rn, content,
+c AS (SELECT project, pack, rn, content,
              CASE WHEN sfx = '' THEN path ELSE left(path, length(path) - length(sfx)) END || '.go' AS newpath
       FROM s)
-SELECT project, CAST(0 AS BIGINT) AS pack, CAST(rn - 1 AS BIGINT) AS pos, newpath AS path,
+SELECT project, pack, CAST(rn - 1 AS BIGINT) AS pos, newpath AS path,
        project || '_converted_to_go/' || newpath AS target_path, 'write' AS action,
        md5(replace(content, 'the', 'THE')) AS content_md5, CAST(NULL AS VARCHAR) AS error
 FROM c

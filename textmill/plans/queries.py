@@ -17,11 +17,12 @@ from ..operators import answers as ans
 from ..operators import chunking, corpus, deps, hygiene, infer, lines, prompts, ranges, rewrite
 from ..operators import requests as req
 from ..operators import versions as vers
-from ..sources import files as file_sources
+from ..session import scratch_path
 from ..streaming import requests as req_stream
+from . import stubs
 from .tables import (
     ALIASES, STDLIB, analysis_answers, answers_from_events, code_file_lines, code_files, corpus_versions,
-    doc_lines, doc_path, edits, files_from_documents, latest_versions, line_delta, manifest_file_lines,
+    doc_lines, doc_path, edited_tree, edits, files_from_documents, latest_versions, line_delta, manifest_file_lines,
     part_code_lines, project_files_from_orders, render_requests, requests_from_conversations,
     routed_requests, selections, table, tool_specs,
 )
@@ -178,8 +179,15 @@ def exclude_paths(spark, sf_dir):
 
 @query
 def corpus_cap(spark, sf_dir):
+    """Every file with what becomes of it under a caller's limits."""
     f = files_from_documents(spark, sf_dir)
-    out = corpus.collect_corpus(f, max_files=8, max_bytes=16_000)
+    out = corpus.corpus_status(f, max_files=8, max_bytes=16_000)
+    return out.select("project", "path", "length", "status")
+
+
+@query
+def collect_corpus(spark, sf_dir):
+    out = corpus.collect_corpus(files_from_documents(spark, sf_dir))
     return out.select("project", "path", "length", md5("content").alias("content_md5"))
 
 
@@ -243,11 +251,32 @@ def edit_status(spark, sf_dir):
     return status.select("edit_id", "path", "error")
 
 
+@query
+def edited_files(spark, sf_dir):
+    """Lines of every file after its edits; empty files and whole deletions too."""
+    files, changes = edited_tree(spark, sf_dir)
+    return ranges.edited_files(doc_lines(spark, sf_dir), changes, files)
+
+
+@query
+def edit_tree_status(spark, sf_dir):
+    files, changes = edited_tree(spark, sf_dir)
+    new_lines, status = ranges.apply_edits(doc_lines(spark, sf_dir), changes, files=files)
+    n = new_lines.groupBy("path").agg(F.count("*").alias("n_lines"), F.max("line_no").cast("long").alias("last_line"))
+    return status.select("edit_id", "path", "error").join(n, "path", "left")
+
+
 @query
 def duplicate_blocks(spark, sf_dir):
     return hygiene.duplicate_blocks(doc_lines(spark, sf_dir), k=2)
 
 
+@query
+def duplicate_long_blocks(spark, sf_dir):
+    """Runs longer than the bucket that lines are grouped by."""
+    return hygiene.duplicate_blocks(doc_lines(spark, sf_dir), k=5, bucket=3)
+
+
 @query
 def snapshot_diff(spark, sf_dir):
     return vers.snapshot_diff(corpus_versions(spark, sf_dir))
@@ -260,13 +289,6 @@ def changed_only(spark, sf_dir):
                     md5("new").alias("new_md5"))
 
 
-@query
-def unified_diff(spark, sf_dir):
-    """Rows-only check: the line matcher is a per-row library."""
-    d = vers.unified_diff(corpus_versions(spark, sf_dir))
-    return d.select("path", big(F.size(F.split("diff", "\n")) - 1).alias("diff_lines"), md5("diff").alias("diff_md5"))
-
-
 @query
 def restore_side(spark, sf_dir):
     delta = line_delta(spark, sf_dir)
@@ -387,7 +409,7 @@ def unused_definitions(spark, sf_dir):
 # ---------------------------------------------------------------- prompts, inference, rewrites
 
 
-STUB = infer.replace_stub("the", "THE")
+STUB = stubs.replace_stub("the", "THE")
 
 
 def _doc_files(spark, sf_dir):
@@ -429,6 +451,28 @@ def write_approved(spark, sf_dir):
     return out.select("path", "status")
 
 
+@query
+def write_rounds(spark, sf_dir):
+    """Two rounds of approvals written and read back: the second adds a version."""
+    v = corpus_versions(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(doc_path().alias("path"), "quality", "toxic")
+    out = scratch_path(spark, "write-rounds")
+    for name, rule in (("1", F.col("quality") == 1), ("2", F.col("toxic") == 1)):
+        approvals = lab.select("path", rule.alias("approved"))
+        twice = approvals.unionByName(approvals)  # a repeated approval changes nothing
+        rewrite.write_approved(v, twice, out, dry_run=False, keys=("path",), version=name)
+    got = rewrite.read_written(spark, out, keys=("path",))
+    return got.select("path", "version", md5("content").alias("content_md5"))
+
+
+@query
+def partial_rewrite_apply(spark, sf_dir):
+    """The selections rewritten and applied: the lines afterwards."""
+    _, new_lines = rewrite.partial_rewrite(doc_lines(spark, sf_dir), selections(spark, sf_dir), STUB, dry_run=False)
+    joined = lines.join_lines(new_lines, ["path"])
+    return joined.select("path", "n_lines", md5("text").alias("text_md5"))
+
+
 @query
 def partial_rewrite(spark, sf_dir):
     res, _ = rewrite.partial_rewrite(doc_lines(spark, sf_dir), selections(spark, sf_dir), STUB)
@@ -455,19 +499,12 @@ def convert_projects(spark, sf_dir):
     """Whole projects converted to Go by a deterministic stand-in model."""
     f = corpus.collect_corpus(files_from_documents(spark, sf_dir)).select("project", "path", "content")
     f = f.withColumn("language", F.lit("unknown"))
-    out, _ = rewrite.convert_projects(f, "python", "go", infer.convert_stub(".go"))
+    out, _ = rewrite.convert_projects(f, "python", "go", stubs.convert_stub(".go"))
     return out.select("project", "pack", "pos", "path", "target_path", "action", md5("content").alias("content_md5"),
                       "error")
 
 
-# ---------------------------------------------------------------- sources, streaming
-
-
-@query
-def scan_files(spark, sf_dir):
-    """The table folder itself read as a file tree (rows-only check)."""
-    f = file_sources.read_text(file_sources.scan_files(spark, sf_dir, content=True))
-    return f.select("path", "length", "error")
+# ---------------------------------------------------------------- streaming
 
 
 @query

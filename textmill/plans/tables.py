@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -20,6 +19,27 @@ TABLES = (
 ).split()
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy row work gets at least ``min_partitions`` tasks
+    (default: the cluster's parallelism).
+
+    A scan of few large files (one parquet row group each) yields one task
+    per file. Rows are then hash-partitioned by their position in the scan
+    (``monotonically_increasing_id``): balanced whatever the values (exact
+    duplicate rows still differ in position), and repeatable on retry because
+    a file split is always read in the same order, so no sort is needed
+    before the exchange. When the scan already has enough splits, as any
+    large input has, nothing changes and no shuffle is added."""
+    try:
+        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the plan as it is
+        return df
+    if have >= n:
+        return df
+    return df.repartition(n, F.monotonically_increasing_id())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
@@ -78,6 +98,27 @@ def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.alias("sel_id"), path.alias("path"), start.alias("start_line"), end.alias("end_line"))
 
 
+def edited_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(files, edits)``: a file for each document and, for some, an empty one
+    beside it; the edits of ``edits``, and others that delete whole files or
+    put a first line into an empty one."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    lengths = doc_lines(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n_lines"))
+    empty = F.concat(F.lit("empty/"), i.cast("string"), F.lit(".txt"))
+    named = d.select(doc_path().alias("path")).unionByName(d.where(i % 29 == 3).select(empty.alias("path")))
+    files = named.join(lengths, "path", "left").select("path", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"))
+    whole = d.where(i % 19 == 4).select(
+        (i * 10 + 6).alias("edit_id"), F.concat(F.lit("doc/"), i.cast("string"), F.lit(".txt")).alias("path"),
+        F.lit(1).alias("start_line"), F.lit(1_000_000).alias("end_line"), F.lit("").alias("snippet"))
+    first = d.where(i % 29 == 3).select(
+        (i * 10 + 7).alias("edit_id"), empty.alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+        F.lit("first line").alias("snippet"))
+    gone = whole.select(F.col("path").alias("_p"))
+    others = edits(spark, sf_dir)
+    return files, others.join(gone, others["path"] == F.col("_p"), "left_anti").unionByName(whole).unionByName(first)
+
+
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits per document: a two-line replacement near the top; deletions,
     overlapping edits, appends past the end, missing files and invalid

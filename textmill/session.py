@@ -47,12 +47,16 @@ def get_spark(
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised stages.
 
-    Taken from ``spark.checkpoint.dir`` as the cluster names it. Only when the
-    setting is absent (local runs and tests) a fresh scratch folder is made
-    and recorded in the session, so every later call agrees on it.
+    Taken from ``spark.checkpoint.dir`` as the cluster names it. Only in a local
+    session (tests), where driver and executors are one process, a fresh
+    scratch folder stands in for it and is recorded in the session; elsewhere a
+    missing setting is an error, since executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="textmill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     try:
@@ -69,39 +73,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Make sure CPU-heavy row work gets at least ``min_partitions`` tasks
-    (default: the cluster's parallelism).
-
-    A scan of few large files (one parquet row group each) yields one task
-    per file. Rows are then hash-partitioned by their position in the scan
-    (``monotonically_increasing_id``): balanced whatever the values (exact
-    duplicate rows still differ in position), and repeatable on retry because
-    a file split is always read in the same order, so no sort is needed
-    before the exchange. When the scan already has enough splits, as any
-    large input has, nothing changes and no shuffle is added."""
-    try:
-        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the plan as it is
-        return df
-    if have >= n:
-        return df
-    return df.repartition(n, F.monotonically_increasing_id())
-
-
-def python_partitions(spark: SparkSession) -> int:
-    """Task count for a Python stage (model calls, difflib): these cost per
-    row, not per byte, so they get at least two tasks per core and never
-    fewer than the configured shuffle partitions (AQE does not coalesce a
-    repartition to a fixed number)."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        return max(n, 2 * spark.sparkContext.defaultParallelism)
-    except Exception:
-        return n
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` only when it is proven to hold at most ``max_rows``.
 
