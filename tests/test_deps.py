@@ -28,6 +28,51 @@ def test_parse_manifests(spark):
     assert (r[8].pkg, r[8].op, r[8].version) == ("flask", None, None)
 
 
+def test_requirement_grammar(spark):
+    text = "\tnumpy\na>=1.0,<2.0\nc===1.2\nb @ https://x.org/b.whl ; os_name == 'nt'\nd [x, y] (>= 1, != 1.5)\n!!\ne 1.0\nf==1.*"
+    got = [(x.line_no, x.clause, x.pkg, x.op, x.version, x.kind)
+           for x in D.parse_manifests(lines(spark, {("p", "requirements.txt"): text})).orderBy("line_no", "clause").collect()]
+    assert got == [
+        (1, 0, "numpy", None, None, "requirement"), (2, 0, "a", ">=", "1.0", "requirement"), (2, 1, "a", "<", "2.0", "requirement"),
+        (3, 0, "c", "===", "1.2", "requirement"), (4, 0, "b", None, None, "url"), (5, 0, "d", ">=", "1", "requirement"),
+        (5, 1, "d", "!=", "1.5", "requirement"), (6, 0, None, None, None, "invalid"), (7, 0, None, None, None, "invalid"),
+        (8, 0, "f", "==", "1.*", "requirement")]
+    conf = {x.pkg: x.reason for x in D.version_conflicts(D.parse_manifests(lines(spark, {("p", "requirements.txt"): text}))).collect()}
+    assert conf == {"numpy": "open range", "d": "open range"}
+
+
+def test_version_order(spark):
+    order = ["1.0.dev1", "1.0a2", "1.0b1", "1.0rc1", "1.0.0", "1.0.post1", "1.0.1", "1.9", "1.10", "2"]
+    df = spark.createDataFrame(list(enumerate(order)), "i int, v string")
+    assert [r.v for r in df.orderBy(D.version_key("v")).collect()] == order
+    one = spark.createDataFrame([("1.0", "1", "1.*", "x")], "a string, b string, c string, d string")
+    r = one.select((D.version_key("a") == D.version_key("b")).alias("same"), D.version_key("c").alias("c"), D.version_key("d").alias("d")).first()
+    assert r.same and r.c is None and r.d is None
+
+
+def test_latest_is_reduced_and_wildcards_stay_out(spark):
+    reqs = D.parse_manifests(lines(spark, {("p", "requirements.txt"): "a==1.0\nb==1.*\nc==2.0rc1\nd==1.0"}))
+    latest = spark.createDataFrame([("a", "1.0.0"), ("a", "0.9"), ("b", "1.5"), ("c", "2.0"), ("c", "1.0"), ("d", "1.0.1"), ("d", "1.0.1")],
+                                   "pkg string, version string")
+    assert sorted((x.pkg, x.latest) for x in D.outdated_deps(reqs, latest).collect()) == [("c", "2.0"), ("d", "1.0.1")]
+
+
+def test_package_json(spark):
+    files = [("p", "package.json", '{"dependencies": {"Lodash": "^4.17.0", "x": "latest", "y": "file:../y"}, "devDependencies": {"jest": "29.1"}}'),
+             ("p", "a/package.json", "[]"), ("p", "b/package.json", "{"), ("p", "c/package.json", "{}"), ("p", "package.json.md", "{}")]
+    got = sorted((x.file, x.pkg or "", x.op, x.version, x.marker, x.kind)
+                 for x in D.parse_package_json(spark.createDataFrame(files, "project string, path string, content string")).collect())
+    assert got == [("a/package.json", "", None, None, None, "invalid"), ("b/package.json", "", None, None, None, "invalid"),
+                   ("package.json", "jest", "=", "29.1", "dev", "requirement"), ("package.json", "lodash", "^", "4.17.0", None, "requirement"),
+                   ("package.json", "x", None, None, None, "requirement"), ("package.json", "y", None, None, None, "url")]
+
+
+def test_import_comments_and_joined_statements(spark):
+    text = "import os  # read, write\nimport json; import re\nx = 1; from a.b import c\nprint('import z')\n# import q"
+    got = sorted((x.line_no, x.module) for x in D.extract_imports(lines(spark, {("p", "m.py"): text})).collect())
+    assert got == [(1, "os"), (2, "json"), (2, "re"), (3, "a")]
+
+
 def test_imports(spark):
     got = sorted((x.path, x.module) for x in D.extract_imports(lines(spark, FILES)).collect())
     assert ("main.py", "os") in got and ("main.py", "sys") in got and ("main.py", "numpy") in got

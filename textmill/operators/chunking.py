@@ -19,9 +19,9 @@ DEFAULT_OVERLAP = 200
 
 def _check(max_chars: int, overlap: int) -> None:
     if max_chars <= 0:
-        raise ValueError("max_chars must be > 0")
+        raise ValueError(f"a window needs at least one character, not {max_chars}")
     if overlap < 0:
-        raise ValueError("overlap must be >= 0")
+        raise ValueError(f"windows cannot overlap by {overlap} characters")
 
 
 def chunk_count(length: Column, max_chars: int, overlap: int) -> Column:
@@ -51,16 +51,20 @@ def chunk_chars(
     step = max_chars - overlap
     n = chunk_count(F.char_length(F.col(text)), max_chars, overlap)
     cols = [c for c in df.columns if keep_text or c != text]
-    exploded = df.select(
-        *df.columns,
-        F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk_no"),
+    # one pass cuts the text into blocks of one step; a window is a block and the
+    # start of those after it
+    ahead = -(-max_chars // step)
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    exploded = df.select(*df.columns, n.alias("_n"), blocks.alias("_blocks")).select(
+        *cols,
+        "_blocks",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("chunk_no"),
     )
-    start = F.col("chunk_no") * step
     return exploded.select(
         *cols,
         "chunk_no",
-        start.alias("start"),
-        F.substring(F.col(text), (start + 1).cast("int"), F.lit(max_chars)).alias("chunk"),
+        (F.col("chunk_no") * step).alias("start"),
+        F.substring(F.array_join(F.slice("_blocks", F.col("chunk_no").cast("int") + 1, F.lit(ahead)), ""), 1, max_chars).alias("chunk"),
     )
 
 

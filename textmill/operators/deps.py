@@ -12,18 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from ..session import bounded_broadcast
 
 # Manifest file names recognised without caller patterns.
 MANIFEST_PATTERNS = [r"(^|/)requirements[^/]*\.txt$"]
-# Requirement line grammar (first clause only), applied after trimming and
-# cutting a " #" comment.
-REQUIREMENT = (
-    r"^([A-Za-z0-9][A-Za-z0-9._-]*)(\[[^\]]*\])?\s*(==|~=|!=|>=|<=|>|<)?\s*([^;,\s]*)[^;]*(?:;\s*(.*))?$"
-)
+# Requirement lines, after cutting a " #" comment and white space at both ends:
+# the part before ";" is a name, extras in brackets and what follows; that is
+# nothing, "@ address", or clauses joined by commas, maybe in parentheses.
+NAME = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(.*)$"
+CLAUSE = r"^(===|==|~=|!=|<=|>=|<|>)\s*(\S+)$"
+# A version: release numbers, then maybe a pre-release or post-release tag.
+VERSION = r"^v?(\d+(?:\.\d+)*)(?:[._-]?(dev|a|alpha|b|beta|c|rc|post)[._-]?(\d*))?$"
+# package.json: a range operator and a version.
+SEMVER = r"^(\^|~|>=|<=|>|<|=)?\s*v?(\d\S*)$"
 # Import grammars.
-PY_FROM = r"^\s*from\s+([A-Za-z_]\w*)[\w.]*\s+import\b"
-PY_IMPORT = r"^\s*import\s+(.+)$"
+PY_FROM = r"^from\s+([A-Za-z_]\w*)[\w.]*\s+import\b"
+PY_IMPORT = r"^import\s+(.+)$"
 JS_REQUIRE = r"require\(\s*['\"]([^'\"]+)['\"]\s*\)"
 JS_FROM = r"\bfrom\s+['\"]([^'\"]+)['\"]"
 JS_SUFFIXES = r"\.(js|jsx|ts|tsx|mjs|cjs)$"
@@ -44,71 +49,120 @@ def manifest_lines(lines: DataFrame, patterns=MANIFEST_PATTERNS) -> DataFrame:
 
 
 def parse_manifests(lines: DataFrame, patterns=MANIFEST_PATTERNS) -> DataFrame:
-    """One row per requirement or directive line of the manifest files:
-    ``project, file, line_no, pkg, op, version, marker, kind`` with kind
-    'requirement', 'directive' (lines starting with '-') or 'invalid'.
-    Blank and comment-only lines give no row."""
+    """One row per clause of a requirement line, and one per other line that is
+    not blank or only a comment: ``project, file, line_no, clause, pkg, op,
+    version, marker, kind``. Kind is 'requirement' (``op`` and ``version`` null
+    without a clause), 'url' (``name @ address``), 'directive' (lines starting
+    with '-') or 'invalid' (a line that fits none of these)."""
     m = manifest_lines(lines, patterns)
-    body = F.trim(F.regexp_replace(F.col("line"), r"(^|\s)#.*$", ""))
+    body = py_strip(F.regexp_replace(F.col("line"), r"(^|\s)#.*$", ""))
     m = m.select("project", F.col("path").alias("file"), "line_no", body.alias("_b"))
-
-    # Each group is extracted once, in a projection below the generator; the
-    # grammar matched iff group 1 (the name, never empty) was found.
-    g = m.select("project", "file", "line_no", "_b",
-                 *[F.regexp_extract("_b", REQUIREMENT, i).alias(f"_g{i}") for i in (1, 3, 4, 5)])
+    head = py_strip(F.substring_index("_b", ";", 1))
+    tail = F.when(F.instr("_b", ";") > 0, py_strip(F.regexp_replace("_b", r"^[^;]*;", "")))
+    g = m.select("project", "file", "line_no", "_b", tail.alias("_marker"),
+                 F.regexp_extract(head, NAME, 1).alias("_name"), F.regexp_extract(head, NAME, 2).alias("_rest"))
+    bare = py_strip(F.regexp_replace("_rest", r"^\((.*)\)$", "$1"))
+    clauses = F.transform(F.split(bare, ","), lambda c: F.trim(c))
+    g = g.withColumn("_clauses", F.when(bare != "", clauses).otherwise(F.array().cast("array<string>")))
+    fits = F.forall("_clauses", lambda c: c.rlike(CLAUSE))
     kind = (F.when(F.col("_b") == "", F.lit("blank")).when(F.col("_b").startswith("-"), F.lit("directive"))
-            .when(F.col("_g1") != "", F.lit("requirement")).otherwise(F.lit("invalid")))
-    req = kind == "requirement"
-    # The parsed fields come out of one generator: filters on them (kind, op,
-    # join keys) stay above it instead of being pushed down and re-running
-    # the regex inside every predicate.
-    parsed = F.struct(
-        F.when(req, normalize_pkg("_g1")).alias("pkg"),
-        F.when(req, F.nullif(F.col("_g3"), F.lit(""))).alias("op"),
-        F.when(req, F.nullif(F.col("_g4"), F.lit(""))).alias("version"),
-        F.when(req, F.nullif(F.col("_g5"), F.lit(""))).alias("marker"),
-        kind.alias("kind"),
-    )
-    out = g.select("project", "file", "line_no", F.inline(F.array(parsed)))
-    return out.filter(F.col("kind") != "blank")
+            .when(F.col("_name") == "", F.lit("invalid")).when(F.col("_rest").startswith("@"), F.lit("url"))
+            .when(fits, F.lit("requirement")).otherwise(F.lit("invalid")))
+    g = g.withColumn("kind", kind)
+    named = F.col("kind").isin("requirement", "url")
+
+    def row(number, op, version):
+        return F.struct(
+            number.cast("long").alias("clause"),
+            F.when(named, normalize_pkg("_name")).alias("pkg"),
+            op.alias("op"),
+            version.alias("version"),
+            F.when(named, F.nullif(F.col("_marker"), F.lit(""))).alias("marker"),
+            F.col("kind").alias("kind"),
+        )
+
+    none = F.lit(None).cast("string")
+    per_clause = F.transform("_clauses", lambda c, i: row(i, F.regexp_extract(c, CLAUSE, 1), F.regexp_extract(c, CLAUSE, 2)))
+    rows = F.when((F.col("kind") == "requirement") & (F.size("_clauses") > 0), per_clause).otherwise(
+        F.array(row(F.lit(0), none, none)))
+    # the parsed fields come out of one generator: filters on them stay above it
+    # instead of re-running the patterns inside every predicate
+    return g.select("project", "file", "line_no", F.inline(rows)).filter(F.col("kind") != "blank")
+
+
+def parse_package_json(files: DataFrame) -> DataFrame:
+    """Dependencies of ``package.json`` files ``(project, path, content)``, in the
+    columns of ``parse_manifests`` without line numbers: kind 'requirement'
+    with ``op`` and ``version`` (both null for '*', 'latest' and the like), 'url'
+    for addresses and paths, 'directive' never, 'invalid' for a file that is no
+    JSON object. The marker is 'dev' for development dependencies."""
+    f = files.filter(F.col("path").rlike(r"(^|/)package\.json$"))
+    shape = "struct<dependencies: map<string, string>, devDependencies: map<string, string>>"
+    ok = F.json_object_keys("content").isNotNull()
+    f = f.select("project", F.col("path").alias("file"), ok.alias("_ok"), F.from_json("content", shape).alias("_j"))
+
+    def entries(field, marker):
+        pairs = F.map_entries(F.coalesce(F.col(f"_j.{field}"), F.create_map().cast("map<string,string>")))
+        return F.transform(pairs, lambda e: F.struct(e["key"].alias("name"), F.trim(e["value"]).alias("spec"), F.lit(marker).alias("marker")))
+
+    broken = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("spec"), F.lit(None).cast("string").alias("marker")))
+    found = F.when(F.col("_ok"), F.concat(entries("dependencies", None), entries("devDependencies", "dev"))).otherwise(broken)
+    d = f.select("project", "file", "_ok", F.explode(found).alias("d"))
+    spec = F.col("d.spec")
+    plain = F.coalesce(spec.rlike(SEMVER), F.lit(False))
+    kind = (F.when(~F.col("_ok"), "invalid").when(plain | ~F.coalesce(spec.rlike("[:/]"), F.lit(False)), "requirement")
+            .otherwise("url"))
+    return d.select(
+        "project", "file", F.lit(None).cast("int").alias("line_no"), F.lit(0).cast("long").alias("clause"),
+        F.lower("d.name").alias("pkg"),
+        F.when(plain, F.coalesce(F.nullif(F.regexp_extract(spec, SEMVER, 1), F.lit("")), F.lit("="))).alias("op"),
+        F.when(plain, F.regexp_extract(spec, SEMVER, 2)).alias("version"),
+        F.col("d.marker").cast("string").alias("marker"), kind.alias("kind"))
 
 
 def extract_imports(lines: DataFrame) -> DataFrame:
     """Top-level modules imported per line: Python ``import a, b.c as d`` and
-    ``from a.b import c`` (relative imports dropped) in ``.py`` files;
+    ``from a.b import c`` (relative imports dropped) in ``.py`` files, in each
+    of the statements that ``;`` joins and without comments;
     ``require('x')`` and ``from 'x'`` in JavaScript files, scoped names keep
     two parts, relative paths dropped. ``project, path, line_no, module``."""
     is_py = F.col("path").endswith(".py")
     is_js = F.col("path").rlike(JS_SUFFIXES)
-    imp_list = F.regexp_extract("line", PY_IMPORT, 1)
-    py_import = F.when(is_py & F.col("line").rlike(PY_IMPORT), F.transform(
-        F.split(imp_list, ","), lambda x: F.regexp_extract(F.trim(x), r"^([A-Za-z_]\w*)", 1)))
-    py_from = F.when(is_py & F.col("line").rlike(PY_FROM), F.array(F.regexp_extract("line", PY_FROM, 1)))
+    statements = F.transform(F.split(F.regexp_replace("line", r"#.*$", ""), ";"), lambda x: py_strip(x))
+    names = F.transform(statements, lambda x: F.concat(
+        F.transform(F.split(F.regexp_extract(x, PY_IMPORT, 1), ","),
+                    lambda y: F.regexp_extract(F.trim(y), r"^([A-Za-z_]\w*)", 1)),
+        F.array(F.regexp_extract(x, PY_FROM, 1))))
+    py = F.when(is_py & F.col("line").contains("import"), F.filter(F.flatten(names), lambda x: x != ""))
     js = F.when(is_js, F.concat(F.regexp_extract_all("line", F.lit(JS_REQUIRE), 1),
                                 F.regexp_extract_all("line", F.lit(JS_FROM), 1)))
     js = F.transform(js, lambda m: F.regexp_extract(m, r"^(@[^/]+/[^/]+|[^/]+)", 1))
-    mods = F.concat(F.coalesce(py_import, F.array().cast("array<string>")),
-                    F.coalesce(py_from, F.array().cast("array<string>")),
+    mods = F.concat(F.coalesce(py, F.array().cast("array<string>")),
                     F.coalesce(js, F.array().cast("array<string>")))
     out = lines.select("project", "path", "line_no", F.explode(mods).alias("module"))
     return out.filter((F.col("module") != "") & ~F.col("module").startswith("."))
 
 
 def imported_packages(imports: DataFrame, alias: DataFrame | None = None, max_dim_rows: int = 1_000_000):
-    """Distinct ``(project, module, pkg)``: module mapped by the alias table
+    """``(project, module, pkg)`` of every import: module mapped by the alias table
     (a bounded broadcast, so the mapping is narrow), else its own normalised
-    name; one aggregation, partial before the shuffle."""
+    name. Rows repeat as imports do."""
     m = imports.select("project", "module")
     if alias is None:
-        return m.withColumn("pkg", normalize_pkg("module")).distinct()
+        return m.withColumn("pkg", normalize_pkg("module"))
     a = alias.select("module", normalize_pkg("pkg").alias("_apkg")).dropDuplicates(["module"])
     out = m.join(bounded_broadcast(a, max_dim_rows), "module", "left")
-    return out.select("project", "module", F.coalesce("_apkg", normalize_pkg("module")).alias("pkg")).distinct()
+    return out.select("project", "module", F.coalesce("_apkg", normalize_pkg("module")).alias("pkg"))
+
+
+def declared_packages(reqs: DataFrame) -> DataFrame:
+    """First clause of each declared requirement or address."""
+    return reqs.filter(F.col("kind").isin("requirement", "url") & (F.col("clause") == 0))
 
 
 def unused_deps(reqs: DataFrame, imports: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     """Declared requirements whose package no file of the project imports."""
-    declared = reqs.filter(F.col("kind") == "requirement").select("project", "file", "line_no", "pkg")
+    declared = declared_packages(reqs).select("project", "file", "line_no", "pkg")
     used = imported_packages(imports, alias).select("project", "pkg")
     return declared.join(used, ["project", "pkg"], "left_anti")
 
@@ -122,14 +176,20 @@ def missing_deps(
     max_dim_rows: int = 1_000_000,
 ) -> DataFrame:
     """Imported modules that are not declared, not standard library and not a
-    module of the project itself: three anti joins, the broadcast one
-    (standard library) first so fewer rows reach the shuffled ones. The
-    right sides need no de-duplication for an anti join."""
-    imp = imported_packages(imports, alias)
-    out = imp.join(bounded_broadcast(stdlib.select("module").distinct(), max_dim_rows), "module", "left_anti")
-    declared = reqs.filter(F.col("kind") == "requirement").select("project", "pkg")
-    out = out.join(declared, ["project", "pkg"], "left_anti")
-    return out.join(project_modules.select("project", "module"), ["project", "module"], "left_anti")
+    module of the project itself: ``project, module, pkg``.
+
+    Imports, declarations and own modules meet in one aggregation by project and
+    package, with map-side partial sets of module names; the standard library
+    goes first, by a bounded broadcast."""
+    imp = imports.join(bounded_broadcast(stdlib.select("module").distinct(), max_dim_rows), "module", "left_anti")
+    none = F.lit(None).cast("string")
+    imp = imported_packages(imp, alias, max_dim_rows).select("project", "pkg", F.col("module").alias("used"), none.alias("own"), F.lit(False).alias("declared"))
+    own = imported_packages(project_modules, alias, max_dim_rows).select("project", "pkg", none.alias("used"), F.col("module").alias("own"), F.lit(False).alias("declared"))
+    decl = declared_packages(reqs).select("project", "pkg", none.alias("used"), none.alias("own"), F.lit(True).alias("declared"))
+    every = imp.unionByName(own).unionByName(decl).groupBy("project", "pkg").agg(
+        F.collect_set("used").alias("used"), F.collect_set("own").alias("own"), F.max("declared").alias("declared"))
+    left = every.filter(~F.col("declared")).select("project", F.explode(F.array_except("used", "own")).alias("module"), "pkg")
+    return left.select("project", "module", "pkg")
 
 
 def project_modules(files: DataFrame) -> DataFrame:
@@ -138,40 +198,45 @@ def project_modules(files: DataFrame) -> DataFrame:
     stem = F.regexp_extract("path", r"([A-Za-z_]\w*)\.py$", 1)
     top = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^([A-Za-z_]\w*)/", 1))
     out = files.select("project", F.explode(F.array(stem, top)).alias("module"))
-    return out.filter(F.col("module").isNotNull() & (F.col("module") != "")).distinct()
-
-
-def _unbounded(op) -> F.Column:
-    return op.isNull() | op.isin(">=", ">")
+    return out.filter(F.col("module").isNotNull() & (F.col("module") != ""))
 
 
 def version_conflicts(reqs: DataFrame) -> DataFrame:
-    """Per ``(project, pkg)``: more than one exact pin (``==``) is
-    'multiple pins'; only open ranges (no version, or ``>=``/``>``) is
-    'open range'. ``n_pins`` and ``pins`` (sorted, ', ') describe the pins."""
+    """Per ``(project, pkg)``: more than one exact pin (``==`` or ``===`` without a
+    wildcard) is 'multiple pins'; requirements without any upper bound (no
+    ``==``, ``===``, ``~=``, ``<`` or ``<=``) are an 'open range'. ``n_pins`` and
+    ``pins`` (sorted, ', ') describe the pins."""
     r = reqs.filter(F.col("kind") == "requirement")
-    pin = F.when(F.col("op") == "==", F.col("version"))
-    g = r.groupBy("project", "pkg").agg(
-        F.array_sort(F.collect_set(pin)).alias("_pins"),
-        F.min(F.when(_unbounded(F.col("op")) | F.col("version").isNull(), 1).otherwise(0)).alias("_all_open"),
-    )
-    reason = F.when(F.size("_pins") > 1, F.lit("multiple pins")).when(F.col("_all_open") == 1, F.lit("open range"))
+    pin = F.when(F.col("op").isin("==", "===") & ~F.col("version").contains("*"), F.col("version"))
+    bound = F.coalesce(F.col("op").isin("==", "===", "~=", "<", "<="), F.lit(False))
+    g = r.groupBy("project", "pkg").agg(F.array_sort(F.collect_set(pin)).alias("_pins"), F.max(bound).alias("_bound"))
+    reason = F.when(F.size("_pins") > 1, F.lit("multiple pins")).when(~F.col("_bound"), F.lit("open range"))
     out = g.withColumn("reason", reason).filter(F.col("reason").isNotNull())
     return out.select("project", "pkg", F.size("_pins").cast("long").alias("n_pins"),
                       F.array_join("_pins", ", ").alias("pins"), "reason")
 
 
 def version_key(col) -> F.Column:
-    """Dotted version as an integer array, compared element by element
-    (so 1.10 > 1.9)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.transform(F.split(c, r"\."), lambda x: x.try_cast("int"))
+    """What versions are ordered by: release numbers without zeros at the end (so
+    1.0 is 1.0.0 and 1.10 is above 1.9), then development, alpha, beta, candidate,
+    final and post releases, then the tag's number. Null for anything else,
+    wildcards too."""
+    c = F.lower(F.col(col) if isinstance(col, str) else col)
+    numbers = F.transform(F.split(F.regexp_replace(F.regexp_extract(c, VERSION, 1), r"(\.0+)+$", ""), r"\."), lambda x: x.try_cast("long"))
+    tag = F.regexp_extract(c, VERSION, 2)
+    rank = (F.when(tag == "dev", 0).when(tag.isin("a", "alpha"), 1).when(tag.isin("b", "beta"), 2)
+            .when(tag.isin("c", "rc"), 3).when(tag == "post", 5).otherwise(4))
+    number = F.coalesce(F.regexp_extract(c, VERSION, 3).try_cast("long"), F.lit(0).cast("long"))
+    return F.when(c.rlike(VERSION), F.struct(numbers.alias("r"), rank.alias("k"), number.alias("n")))
 
 
 def outdated_deps(reqs: DataFrame, latest: DataFrame) -> DataFrame:
-    """Exact pins lower than the newest known version of the package."""
-    pins = reqs.filter((F.col("kind") == "requirement") & (F.col("op") == "=="))
-    lt = latest.select(normalize_pkg("pkg").alias("pkg"), F.col("version").alias("latest"))
+    """Exact pins lower than the newest known version of the package; of several
+    rows for a package in ``latest`` the highest counts. Pins that are no plain
+    version (wildcards, addresses) are not compared."""
+    pins = reqs.filter((F.col("kind") == "requirement") & F.col("op").isin("==", "==="))
+    lt = latest.select(normalize_pkg("pkg").alias("pkg"), "version", version_key("version").alias("_k"))
+    lt = lt.filter(F.col("_k").isNotNull()).groupBy("pkg").agg(F.max(F.struct("_k", "version")).alias("_l"))
     out = pins.join(lt, "pkg")
-    return out.filter(version_key("version") < version_key("latest")).select(
-        "project", "file", "line_no", "pkg", "version", "latest")
+    return out.filter(version_key("version") < F.col("_l._k")).select(
+        "project", "file", "line_no", "pkg", "version", F.col("_l.version").alias("latest"))

@@ -621,6 +621,12 @@ SELECT 'order-' || o_orderkey AS project,
        CASE WHEN starts_with(o_orderpriority, '1') THEN 'requirements-dev.txt' ELSE 'requirements.txt' END AS path,
        l_linenumber AS line_no,
        CASE WHEN l_partkey % 17 = 0 THEN '# pinned by ops'
+            WHEN l_partkey % 13 = 5 THEN chr(9) || 'part-' || l_partkey || '>=' || l_linenumber || '.0,<' || l_suppkey || '.5'
+            WHEN l_partkey % 13 = 6 THEN 'part-' || l_partkey || '===' || l_linenumber || '.0'
+            WHEN l_partkey % 13 = 7 THEN 'part-' || l_partkey || ' @ https://example.org/p-' || l_partkey || '.whl'
+            WHEN l_partkey % 13 = 8 THEN 'part-' || l_partkey || ' >= 1 or so'
+            WHEN l_partkey % 13 = 9 THEN 'part-' || l_partkey || '==' || l_linenumber || '.*'
+            WHEN l_partkey % 13 = 10 THEN 'part-' || l_partkey || ' (==' || l_linenumber || '.5.0rc1)'
             WHEN l_linenumber % 6 = 0 THEN 'part_' || l_partkey || '==' || l_suppkey || '.' || l_linenumber
             WHEN l_linenumber % 6 = 1 THEN 'Part-' || l_partkey || ' >= ' || l_suppkey || '.' || l_linenumber
                                            || ' ; python_version >= "3.8"'
@@ -632,31 +638,52 @@ SELECT 'order-' || o_orderkey AS project,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
-REQ_RE = "^([A-Za-z0-9][A-Za-z0-9._-]*)(\\[[^\\]]*\\])?\\s*(==|~=|!=|>=|<=|>|<)?\\s*([^;,\\s]*)[^;]*(?:;\\s*(.*))?$"
-
-
 def _norm(x):
     return f"regexp_replace(lower({x}), '[-_.]+', '-', 'g')"
 
 
+# Written from the rule: split off the marker, then the name, then each clause.
 REQS = f"""
-WITH m AS (SELECT project, path AS file, line_no,
-                  trim(regexp_replace(line, '(^|\\s)#.*$', '')) AS b FROM ({MANIFEST}) x
-           WHERE regexp_matches(path, '(^|/)requirements[^/]*\\.txt$')),
-k AS (SELECT *, CASE WHEN starts_with(b, '-') THEN 'directive'
-                     WHEN regexp_matches(b, '{REQ_RE}') THEN 'requirement' ELSE 'invalid' END AS kind
-      FROM m WHERE b <> '')
-SELECT project, file, CAST(line_no AS BIGINT) AS line_no,
-  CASE WHEN kind = 'requirement' THEN {_norm(f"regexp_extract(b, '{REQ_RE}', 1)")} END AS pkg,
-  CASE WHEN kind = 'requirement' THEN nullif(regexp_extract(b, '{REQ_RE}', 3), '') END AS op,
-  CASE WHEN kind = 'requirement' THEN nullif(regexp_extract(b, '{REQ_RE}', 4), '') END AS version,
-  CASE WHEN kind = 'requirement' THEN nullif(regexp_extract(b, '{REQ_RE}', 5), '') END AS marker,
-  kind
-FROM k
+WITH m AS (SELECT project, path AS file, line_no, trim(regexp_replace(line, '(^|\\s)#.*$', ''), ' ' || chr(9)) AS b
+           FROM ({MANIFEST}) x WHERE regexp_matches(path, '(^|/)requirements[^/]*\\.txt$')),
+h AS (SELECT *, trim(split_part(b, ';', 1)) AS head,
+             CASE WHEN contains(b, ';') THEN nullif(trim(substring(b, strpos(b, ';') + 1)), '') END AS mark
+      FROM m WHERE b <> ''),
+n AS (SELECT *, regexp_extract(head, '^[A-Za-z0-9][A-Za-z0-9._-]*') AS name FROM h),
+r AS (SELECT *, trim(regexp_replace(trim(substring(head, length(name) + 1)), '^\\[[^\\]]*\\]', '')) AS rest FROM n),
+c AS (SELECT *, list_transform(list_filter(string_split(trim(rest, '()'), ','), lambda y: y <> ''), lambda x: trim(x)) AS cl FROM r),
+k AS (SELECT *, CASE WHEN starts_with(b, '-') THEN 'directive' WHEN name = '' THEN 'invalid'
+                     WHEN starts_with(rest, '@') THEN 'url'
+                     WHEN len(list_filter(cl, lambda x: NOT regexp_full_match(x, '[=~!<>]+\\s*[^\\s]+')
+                                                        OR regexp_extract(x, '^[=~!<>]+') NOT IN
+                                                           ('===', '==', '~=', '!=', '<=', '>=', '<', '>'))) > 0 THEN 'invalid'
+                     ELSE 'requirement' END AS kind FROM c),
+u AS (SELECT *, unnest(CASE WHEN kind = 'requirement' AND len(cl) > 0 THEN range(len(cl)) ELSE [0] END) AS i FROM k)
+SELECT project, file, CAST(line_no AS BIGINT) AS line_no, CAST(i AS BIGINT) AS clause,
+  CASE WHEN kind IN ('requirement', 'url') THEN {_norm('name')} END AS pkg,
+  CASE WHEN kind = 'requirement' AND len(cl) > 0 THEN regexp_extract(cl[i + 1], '^[=~!<>]+') END AS op,
+  CASE WHEN kind = 'requirement' AND len(cl) > 0 THEN trim(regexp_replace(cl[i + 1], '^[=~!<>]+', '')) END AS version,
+  CASE WHEN kind IN ('requirement', 'url') THEN mark END AS marker, kind
+FROM u
 """
 
 ORACLE["parse_manifests"] = REQS
 
+# The items that package.json files are rendered from, read without JSON.
+ORACLE["package_json"] = """
+WITH i AS (
+  SELECT l_orderkey, lower('@p/Part-' || l_partkey || '-' || l_linenumber) AS pkg, l_linenumber AS n, min(l_suppkey) AS s
+  FROM lineitem WHERE l_orderkey % 50 <> 0 GROUP BY l_orderkey, l_partkey, l_linenumber)
+SELECT 'order-' || l_orderkey AS project, 'web/package.json' AS file, pkg,
+  CASE n WHEN 1 THEN '^' WHEN 3 THEN '=' WHEN 5 THEN '>=' END AS op,
+  CASE n WHEN 1 THEN s || '.0.0' WHEN 3 THEN s || '.1.0-beta' WHEN 5 THEN s || '.2' END AS version,
+  CASE n WHEN 3 THEN 'dev' END AS marker, CASE n WHEN 4 THEN 'url' ELSE 'requirement' END AS kind
+FROM i
+UNION ALL
+SELECT DISTINCT 'order-' || l_orderkey, 'web/package.json', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+  CAST(NULL AS VARCHAR), 'invalid' FROM lineitem WHERE l_orderkey % 50 = 0
+"""
+
 CODE = """
 SELECT 'order-' || o_orderkey AS project, 'main.py' AS path, l_linenumber AS line_no,
        'import part_' || l_partkey AS line
@@ -664,7 +691,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N'
 UNION ALL SELECT 'order-' || (o_orderkey - 1), 'lib/helpers.py', l_linenumber,
        'from part_' || l_partkey || '.sub import thing'
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1
-UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'import os, sys as system'
+UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'import os, sys as system  # read, write'
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 2
 UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'from . import sibling'
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 3
@@ -675,20 +702,17 @@ UNION ALL SELECT 'order-' || o_orderkey, 'web/index.js', l_linenumber,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 5
 UNION ALL SELECT 'order-' || o_orderkey, 'web/index.js', l_linenumber, 'import y from ''lodash'''
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 6
-UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'import yaml'
+UNION ALL SELECT 'order-' || o_orderkey, 'main.py', l_linenumber, 'import yaml; import re'
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7
 """
 
 IMPORTS = f"""
 WITH c AS ({CODE}),
-py_imp AS (SELECT project, path, line_no,
-                  regexp_extract(trim(x), '^([A-Za-z_]\\w*)', 1) AS module
-           FROM (SELECT *, unnest(string_split(regexp_extract(line, '^\\s*import\\s+(.+)$', 1), ',')) AS x
-                 FROM c WHERE ends_with(path, '.py') AND regexp_matches(line, '^\\s*import\\s+(.+)$')) a),
-py_from AS (SELECT project, path, line_no,
-                   regexp_extract(line, '^\\s*from\\s+([A-Za-z_]\\w*)[\\w.]*\\s+import\\b', 1) AS module
-            FROM c WHERE ends_with(path, '.py')
-              AND regexp_matches(line, '^\\s*from\\s+([A-Za-z_]\\w*)[\\w.]*\\s+import\\b')),
+st AS (SELECT project, path, line_no, unnest(string_split(split_part(line, '#', 1), ';')) AS x FROM c WHERE ends_with(path, '.py')),
+py_imp AS (SELECT project, path, line_no, regexp_extract(trim(y), '^([A-Za-z_]\\w*)', 1) AS module
+           FROM (SELECT *, unnest(string_split(substring(trim(x), 8), ',')) AS y FROM st WHERE starts_with(trim(x), 'import ')) a),
+py_from AS (SELECT project, path, line_no, regexp_extract(trim(x), '^from\\s+([A-Za-z_]\\w*)[\\w.]*\\s+import\\b', 1) AS module
+            FROM st WHERE starts_with(trim(x), 'from ')),
 js AS (SELECT project, path, line_no, regexp_extract(m, '^(@[^/]+/[^/]+|[^/]+)', 1) AS module
        FROM (SELECT *, unnest(list_concat(
                  regexp_extract_all(line, 'require\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1),
@@ -710,7 +734,7 @@ FROM ({IMPORTS}) i LEFT JOIN {ALIAS} ON al.module = i.module
 
 ORACLE["unused_deps"] = f"""
 SELECT r.project, r.file, r.line_no, r.pkg FROM ({REQS}) r
-WHERE r.kind = 'requirement'
+WHERE r.kind IN ('requirement', 'url') AND r.clause = 0
   AND NOT EXISTS (SELECT 1 FROM ({IMPORTED}) u WHERE u.project = r.project AND u.pkg = r.pkg)
 """
 
@@ -723,7 +747,7 @@ mods AS (SELECT DISTINCT project, module FROM (
                                      THEN regexp_extract(path, '^([A-Za-z_]\\w*)/', 1) END FROM files) x
          WHERE module IS NOT NULL AND module <> '')
 SELECT i.project, i.module, i.pkg FROM ({IMPORTED}) i
-WHERE NOT EXISTS (SELECT 1 FROM ({REQS}) r WHERE r.kind = 'requirement' AND r.project = i.project
+WHERE NOT EXISTS (SELECT 1 FROM ({REQS}) r WHERE r.kind IN ('requirement', 'url') AND r.project = i.project
                   AND r.pkg = i.pkg)
   AND i.module NOT IN ('os', 'sys', 'json', 're', 'typing', 'pathlib', 'collections')
   AND NOT EXISTS (SELECT 1 FROM mods WHERE mods.project = i.project AND mods.module = i.module)
@@ -732,21 +756,23 @@ WHERE NOT EXISTS (SELECT 1 FROM ({REQS}) r WHERE r.kind = 'requirement' AND r.pr
 ORACLE["version_conflicts"] = f"""
 WITH r AS (SELECT * FROM ({REQS}) x WHERE kind = 'requirement'),
 g AS (SELECT project, pkg,
-             list_sort(list_distinct(list(CASE WHEN op = '==' THEN version END))) AS pins,
-             min(CASE WHEN op IS NULL OR op IN ('>=', '>') OR version IS NULL THEN 1 ELSE 0 END) AS all_open
+             list_sort(list_distinct(list(CASE WHEN op IN ('==', '===') AND NOT contains(version, '*') THEN version END))) AS pins,
+             max(CASE WHEN op IN ('==', '===', '~=', '<', '<=') THEN 1 ELSE 0 END) AS bound
       FROM r GROUP BY project, pkg)
 SELECT project, pkg, CAST(len(pins) AS BIGINT) AS n_pins, array_to_string(pins, ', ') AS pins,
        CASE WHEN len(pins) > 1 THEN 'multiple pins' ELSE 'open range' END AS reason
-FROM g WHERE len(pins) > 1 OR all_open = 1
+FROM g WHERE len(pins) > 1 OR bound = 0
 """
 
 
+# Versions of the rendered files: release numbers and maybe rc1, padded to four numbers.
 def _vkey(x):
-    return f"list_transform(string_split({x}, '.'), lambda v: TRY_CAST(v AS INTEGER))"
+    numbers = ", ".join(f"coalesce(TRY_CAST(split_part(regexp_replace({x}, 'rc1$', ''), '.', {i}) AS BIGINT), 0)" for i in range(1, 5))
+    return f"[{numbers}, CASE WHEN ends_with({x}, 'rc1') THEN 0 ELSE 1 END]"
 
 
 ORACLE["outdated_deps"] = f"""
-WITH r AS (SELECT * FROM ({REQS}) x WHERE kind = 'requirement' AND op = '=='),
+WITH r AS (SELECT * FROM ({REQS}) x WHERE kind = 'requirement' AND op IN ('==', '===') AND NOT contains(version, '*')),
 lt AS (SELECT 'part-' || p_partkey AS pkg, p_size || '.5' AS latest FROM part)
 SELECT r.project, r.file, r.line_no, r.pkg, r.version, lt.latest
 FROM r JOIN lt ON lt.pkg = r.pkg

@@ -22,7 +22,7 @@ from ..streaming import requests as req_stream
 from . import stubs
 from .tables import (
     ALIASES, STDLIB, analysis_answers, answers_from_events, code_file_lines, code_files, corpus_versions,
-    doc_lines, doc_path, edited_tree, edits, files_from_documents, latest_versions, line_delta, manifest_file_lines,
+    doc_lines, doc_path, edited_tree, edits, files_from_documents, latest_versions, line_delta, manifest_file_lines, package_files,
     part_code_lines, project_files_from_orders, render_requests, requests_from_conversations,
     routed_requests, selections, table, tool_specs,
 )
@@ -368,8 +368,13 @@ def _stdlib(spark):
 
 @query
 def parse_manifests(spark, sf_dir):
-    return _reqs(spark, sf_dir).select("project", "file", big("line_no").alias("line_no"), "pkg", "op", "version",
-                                       "marker", "kind")
+    return _reqs(spark, sf_dir).select("project", "file", big("line_no").alias("line_no"), "clause", "pkg", "op",
+                                       "version", "marker", "kind")
+
+
+@query
+def package_json(spark, sf_dir):
+    return deps.parse_package_json(package_files(spark, sf_dir)).drop("line_no", "clause")
 
 
 @query

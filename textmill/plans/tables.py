@@ -339,6 +339,12 @@ def manifest_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("l_linenumber") % 6).cast("int")
     line = (
         F.when(F.col("l_partkey") % 17 == 0, F.lit("# pinned by ops"))
+        .when(F.col("l_partkey") % 13 == 5, F.concat(F.lit("\tpart-"), pk, F.lit(">="), ln, F.lit(".0,<"), sk, F.lit(".5")))
+        .when(F.col("l_partkey") % 13 == 6, F.concat(F.lit("part-"), pk, F.lit("==="), ln, F.lit(".0")))
+        .when(F.col("l_partkey") % 13 == 7, F.concat(F.lit("part-"), pk, F.lit(" @ https://example.org/p-"), pk, F.lit(".whl")))
+        .when(F.col("l_partkey") % 13 == 8, F.concat(F.lit("part-"), pk, F.lit(" >= 1 or so")))
+        .when(F.col("l_partkey") % 13 == 9, F.concat(F.lit("part-"), pk, F.lit("=="), ln, F.lit(".*")))
+        .when(F.col("l_partkey") % 13 == 10, F.concat(F.lit("part-"), pk, F.lit(" (=="), ln, F.lit(".5.0rc1)")))
         .when(k == 0, F.concat(F.lit("part_"), pk, F.lit("=="), sk, F.lit("."), ln))
         .when(k == 1, F.concat(F.lit("Part-"), pk, F.lit(" >= "), sk, F.lit("."), ln,
                                F.lit(' ; python_version >= "3.8"')))
@@ -353,6 +359,26 @@ def manifest_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_linenumber").cast("int").alias("line_no"), line.alias("line"))
 
 
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files(project, path, content)``: a package.json for each order, its items
+    as dependencies (line 3 as a development one); some are no JSON."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
+    pk, sk, ln = (F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber"))
+    spec = (F.when(F.col("l_linenumber") == 1, F.concat(F.lit("^"), sk, F.lit(".0.0")))
+            .when(F.col("l_linenumber") == 2, F.lit("*"))
+            .when(F.col("l_linenumber") == 3, F.concat(sk, F.lit(".1.0-beta")))
+            .when(F.col("l_linenumber") == 4, F.lit("git+https://example.org/x.git"))
+            .when(F.col("l_linenumber") == 5, F.concat(F.lit(">= "), sk, F.lit(".2")))
+            .otherwise(F.lit("latest")))
+    item = F.concat(F.lit('"@p/Part-'), pk, F.lit("-"), ln, F.lit('": "'), spec, F.lit('"'))
+    dev = F.col("l_linenumber") == 3
+    both = [F.array_join(F.array_sort(F.collect_list(F.when(c, item))), ", ").alias(n) for n, c in (("a", ~dev), ("b", dev))]
+    g = li.groupBy("l_orderkey").agg(*both)
+    content = F.when(F.col("l_orderkey") % 50 == 0, F.lit("[1, 2]")).otherwise(
+        F.concat(F.lit('{"dependencies": {'), "a", F.lit('}, "devDependencies": {'), "b", F.lit("}}")))
+    return g.select(_project(F.col("l_orderkey")).alias("project"), F.lit("web/package.json").alias("path"), content.alias("content"))
+
+
 def code_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lines(project, path, line_no, line)`` of source files with imports
     rendered from line items: returned-flag 'N' items import their part,
@@ -373,13 +399,13 @@ def code_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_number = (
         F.when(ln == 1, item(_project(F.col("o_orderkey") - 1), "lib/helpers.py",
                              F.concat(F.lit("from part_"), pk, F.lit(".sub import thing"))))
-        .when(ln == 2, item(own, "main.py", F.lit("import os, sys as system")))
+        .when(ln == 2, item(own, "main.py", F.lit("import os, sys as system  # read, write")))
         .when(ln == 3, item(own, "main.py", F.lit("from . import sibling")))
         .when(ln == 4, item(own, "main.py", F.lit("from util import helper")))
         .when(ln == 5, item(own, "web/index.js", F.concat(F.lit("const x = require('@scope/part-"), pk,
                                                           F.lit("/sub')"))))
         .when(ln == 6, item(own, "web/index.js", F.lit("import y from 'lodash'")))
-        .when(ln == 7, item(own, "main.py", F.lit("import yaml")))
+        .when(ln == 7, item(own, "main.py", F.lit("import yaml; import re")))
     )
     out = x.select(ln.cast("int").alias("line_no"), F.explode(F.array(flagged, by_number)).alias("s"))
     return out.filter(F.col("s").isNotNull()).select("s.project", "s.path", "line_no", "s.line")
