@@ -939,6 +939,14 @@ FROM c WHERE NOT single
 
 ORACLE["request_stream"] = ORACLE["session_requests"]
 
+ORACLE["request_stream_dead"] = f"""
+WITH r AS ({REQUESTS}),
+f AS (SELECT *, max(CASE WHEN lower({STRIP.format(x='text')}) IN ('exit', 'quit') THEN 1 ELSE 0 END)
+               OVER (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING) AS closed FROM r)
+SELECT session, turn, CASE WHEN closed = 1 THEN 'after exit' ELSE 'blank' END AS status
+FROM f WHERE closed = 1 OR {STRIP.format(x='text')} = ''
+"""
+
 # Line chunks with carried lines (500 characters, overlap 200 -> 20 lines):
 # at a break, the lines carried are those of the closing chunk, among the last
 # 20, whose sum together with the next line fits; sums grow with the count, so

@@ -512,6 +512,15 @@ def convert_projects(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 
+@query
+def request_stream_dead(spark, sf_dir):
+    """The other sink of the stream: blank requests and those after an exit."""
+    schema = table(spark, sf_dir, "conversations").schema
+    out = req_stream.request_stream(spark, sf_dir, schema, render_requests, file_glob="conversations.parquet")
+    dead = req_stream.read_sink(spark, out, "dead")
+    return dead.select("session", "turn", "status")
+
+
 @query
 def request_stream(spark, sf_dir):
     """The session rules on a stream of conversation files: same rows as

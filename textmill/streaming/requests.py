@@ -1,63 +1,47 @@
-"""Request stream: arriving request files, per-session exit state, two sinks.
+"""Request stream: arriving request files, per-session exits, two sinks.
 
 ``readStream`` over parquet files of requests (at most ``maxFilesPerTrigger``
-files per micro-batch); per session a tiny state (the turn of the first exit
-seen) kept by ``applyInPandasWithState``, which passes rows through chunk by
-chunk and adds one marker row per session with its exit turn; each
-micro-batch is classified by ``foreachBatch`` (rows joined to the markers)
-and written once, partitioned into the sinks ``good`` and ``dead`` (blank
-requests and requests after the exit, which are the late data).
-Batches are written under ``batch=<id>`` with overwrite, so a batch replayed
-after a failure replaces its own output instead of duplicating it.
+files per micro-batch). ``foreachBatch`` writes each micro-batch once, then
+works from that copy: the first exit turn of each session in the batch is a
+partial aggregation, kept as ``exits/batch=<id>``; the earliest exit over this
+and all earlier batches says which requests come after the end of their
+session. Rows go to the sinks ``good`` and ``dead`` (blank requests and
+requests after the exit, which are the late data) in one write.
+
+A row's session is only a join key against one row per session, so a session
+with very many requests is split like any skewed join; no Python and no state
+store. Every folder of a batch is overwritten when the batch is replayed.
 """
 
 from __future__ import annotations
 
 import os
-import warnings
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
+from ..functions.text import py_strip
 from ..session import scratch_path
 
-OUT_SCHEMA = StructType([
-    StructField("session", LongType()),
-    StructField("turn", LongType()),
-    StructField("text", StringType()),
-    StructField("marker", BooleanType()),
-    StructField("exit_turn", LongType()),
-])
-STATE_SCHEMA = StructType([StructField("exit_turn", LongType())])
 # Words that end a session.
-EXIT_WORDS = {"exit", "quit"}
-
-# Marker rows are mostly NULL by design; pandas warns about that when the
-# worker concatenates output frames.
-warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty or all-NA")
-
-
-def _session_state(key, batches, state):
-    """Pass the session's rows through chunk by chunk (memory bounded by one
-    Arrow batch, however large the session) and end with one marker row
-    carrying the session's first exit turn (state and this batch)."""
-    exit_turn = state.get[0] if state.exists else None
-    for pdf in batches:
-        is_exit = pdf["text"].fillna("").map(str.strip).str.lower().isin(EXIT_WORDS)
-        if is_exit.any():
-            first = int(pdf.loc[is_exit, "turn"].min())
-            exit_turn = first if exit_turn is None else min(exit_turn, first)
-        yield pd.DataFrame({
-            "session": pdf["session"].astype("int64"), "turn": pdf["turn"].astype("int64"),
-            "text": pdf["text"], "marker": False, "exit_turn": pd.Series([None] * len(pdf), dtype="Int64"),
-        })
-    state.update((exit_turn,))
-    yield pd.DataFrame({"session": [int(key[0])], "turn": pd.Series([None], dtype="Int64"), "text": [None],
-                        "marker": [True], "exit_turn": pd.Series([exit_turn], dtype="Int64")})
+EXIT_WORDS = ["exit", "quit"]
+
+
+def classify(rows: DataFrame, exits: DataFrame) -> DataFrame:
+    """``status`` of requests ``(session, turn, text)``: 'after exit', 'blank' or
+    'ok', given ``exits(session, exit_turn)`` with one row a session."""
+    after = F.col("exit_turn").isNotNull() & (F.col("turn") >= F.col("exit_turn"))
+    blank = py_strip(F.coalesce("text", F.lit(""))) == ""
+    status = F.when(after, F.lit("after exit")).when(blank, F.lit("blank")).otherwise(F.lit("ok"))
+    return rows.join(exits, "session", "left").withColumn("status", status).drop("exit_turn")
+
+
+def first_exits(rows: DataFrame) -> DataFrame:
+    """``session, exit_turn``: the first turn of each session that is an exit word."""
+    ends = F.lower(py_strip("text")).isin(EXIT_WORDS)
+    return rows.filter(ends).groupBy("session").agg(F.min("turn").alias("exit_turn"))
 
 
 def request_stream(
@@ -85,25 +69,22 @@ def request_stream(
         reader = reader.option("pathGlobFilter", file_glob)
     raw = reader.parquet(source)
     reqs = render(raw).select("session", "turn", "text")
-    tagged = reqs.groupBy("session").applyInPandasWithState(
-        _session_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    seen_dir, exit_dir, sink_dir = (os.path.join(out_dir, n) for n in ("seen", "exits", "sinks"))
 
     def sink(batch: DataFrame, batch_id: int):
-        rows = batch.filter(~F.col("marker")).select("session", "turn", "text")
-        exits = batch.filter(F.col("marker")).select("session", "exit_turn")
-        after = F.col("exit_turn").isNotNull() & (F.col("turn") >= F.col("exit_turn"))
-        status = (F.when(after, F.lit("after exit"))
-                  .when(F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "") == "",
-                        F.lit("blank"))
-                  .otherwise(F.lit("ok")))
-        tagged_rows = rows.join(exits, "session", "left").withColumn("status", status).drop("exit_turn")
-        # one pass over the batch: good rows and dead letters are two
-        # partitions of the same write
-        out = tagged_rows.withColumn("sink", F.when(F.col("status") == "ok", "good").otherwise("dead"))
-        out.write.mode("overwrite").partitionBy("sink").parquet(os.path.join(out_dir, f"batch={batch_id}"))
-
-    q = (tagged.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        session = batch.sparkSession
+        here = os.path.join(seen_dir, f"batch={batch_id}")
+        batch.write.mode("overwrite").parquet(here)
+        rows = session.read.schema(batch.schema).parquet(here)
+        mine = first_exits(rows)
+        mine.write.mode("overwrite").parquet(os.path.join(exit_dir, f"batch={batch_id}"))
+        known = session.read.option("basePath", exit_dir).schema(mine.schema.add("batch", "long")).parquet(exit_dir)
+        exits = known.filter(F.col("batch") <= batch_id).groupBy("session").agg(F.min("exit_turn").alias("exit_turn"))
+        out = classify(rows, exits)
+        out = out.withColumn("sink", F.when(F.col("status") == "ok", "good").otherwise("dead"))
+        out.write.mode("overwrite").partitionBy("sink").parquet(os.path.join(sink_dir, f"batch={batch_id}"))
+
+    q = (reqs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out_dir
@@ -111,7 +92,7 @@ def request_stream(
 
 def read_sink(spark: SparkSession, out_dir: str, sink: str) -> DataFrame:
     """Rows of one sink ('good' or 'dead') over all micro-batches."""
-    df = spark.read.parquet(out_dir).filter(F.col("sink") == sink)
+    df = spark.read.parquet(os.path.join(out_dir, "sinks")).filter(F.col("sink") == sink)
     cols = ["session", "turn", "text"] + (["status"] if sink == "dead" else [])
     return df.select(*cols)
 
