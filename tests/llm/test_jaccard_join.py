@@ -93,7 +93,9 @@ def test_linked_sets_share_a_root_region():
                 common = np.intersect1d(a, b).size
                 assert th.linked(common, len(a), len(b))
                 if common < n:
-                    assert np.intersect1d(region_keys(a, th), region_keys(b, th)).size, (n, percent)
+                    for known in (0, 0.2, 0.5, 1):
+                        often = np.unique(union[rng.random(n) < known])
+                        assert np.intersect1d(region_keys(a, th, often), region_keys(b, th, often)).size, (n, percent)
 
 
 def test_components_of_a_long_path(spark):

@@ -10,7 +10,9 @@ nothing. The join therefore begins with small pivots and goes on with documents.
 2. Root regions. The shingle space is cut into as many parts as two linked sets
    of that size can differ in, and one more (a little more for sets that leave
    parts empty): linked sets agree on a whole part. A part's content is a pivot
-   set at distance 0, and the points that have it are its region. Sizes come in
+   set at distance 0, and the points that have it are its region. Shingles that
+   very many documents have are left out where a set has enough others, so that
+   a passage that many documents share makes no region. Sizes come in
    classes; a point is replicated to the class above if a partner can be there,
    the window |x| >= t |y| that the triangle inequality gives for the empty set
    as a pivot. Points joined by regions, directly or through others, form a
@@ -74,34 +76,82 @@ class Threshold:
         return 100 * common >= self.percent * (n + m - common)
 
 
-def region_keys(shingles: np.ndarray, th: Threshold) -> np.ndarray:
-    """Keys of the root regions of a set (ascending distinct hashes)."""
+def region_keys(shingles: np.ndarray, th: Threshold, common: np.ndarray) -> np.ndarray:
+    """Keys of the root regions of a set (ascending distinct hashes).
+
+    ``common`` (ascending) are shingles that many documents have. Linked sets
+    differ in no more of their other shingles than of all, so where a set has
+    enough others they alone are cut into parts. Sets near that bound have
+    the keys of both ways, so that a pair always meets in one of them."""
     n = len(shingles)
     out = []
+    at = np.searchsorted(common, shingles)
+    known = np.zeros(n, bool)
+    inside = at < len(common)
+    known[inside] = common[at[inside]] == shingles[inside]
+    rest = shingles[~known]
     for c in th.classes(n) if n else ():
         differ = th.differ(c)
         if differ == 0:
             continue  # only equal sets link
-        spare = differ // 16
-        parts = differ + 1 + spare
-        h = shingles
-        for family in range(FAMILIES):
-            cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1).astype(np.uint64))
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(mix(h ^ np.uint64(_GOLD)), out=total[1:])
-            content = total[cut[1:]] - total[cut[:-1]]
-            filled = cut[1:] > cut[:-1]
-            empty = parts - int(filled.sum())
-            last = family == FAMILIES - 1
-            tag = np.uint64((c * FAMILIES + family) << 32) + np.arange(parts).astype(np.uint64)
-            keys = mix(content + mix(tag + np.uint64(1)))
-            out.append(keys if last else keys[filled])
-            if empty <= spare:
-                break
-            h = np.sort(mix(h + np.uint64(family + 1)))
+        enough = 3 * (differ + 1)
+        if len(rest) >= enough:
+            out += part_keys(rest, c, differ, 0)
+        if len(rest) < enough + differ:
+            out += part_keys(shingles, c, differ, 1)
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
+def part_keys(h: np.ndarray, size_class: int, differ: int, way: int) -> list[np.ndarray]:
+    """Keys of the parts of a set, of which sets that differ in ``differ`` at most share one.
+
+    There are ``spare`` parts more than the argument needs, so that as many may be
+    empty. A set with more empty ones has keys of another partition too; linked
+    sets meet in the first partition in which one of them has enough filled
+    parts, or in the last, where empty parts are keys as well."""
+    out, n = [], len(h)
+    spare = differ // 8
+    parts = differ + 1 + spare
+    for family in range(FAMILIES):
+        cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1).astype(np.uint64))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(h ^ np.uint64(_GOLD)), out=total[1:])
+        content = total[cut[1:]] - total[cut[:-1]]
+        filled = cut[1:] > cut[:-1]
+        last = family == FAMILIES - 1
+        tag = np.uint64((size_class * 2 + way) * FAMILIES + family << 32) + np.arange(parts).astype(np.uint64)
+        keys = mix(content + mix(tag + np.uint64(1)))
+        out.append(keys if last else keys[filled])
+        if parts - int(filled.sum()) <= spare:
+            break
+        h = np.sort(mix(h + np.uint64(family + 1)))
+    return out
+
+
+def common_shingles(
+    docs: DataFrame, id_col: str, text_col: str, words: int, one_in: int = 16, least: int = 3, most: int = 1 << 20
+) -> np.ndarray:
+    """Shingles that at least ``least`` of one document in ``one_in`` have, the
+    ``most`` most frequent of them, ascending.
+
+    Which shingles these are changes only how many candidates meet, not what is
+    linked: any fixed list gives the same join. So a sample by id and a bound on
+    the list (8 MB, broadcast) are allowed here."""
+    ident = F.col(f"`{id_col}`")
+    drawn = docs.where(F.pmod(F.xxhash64(ident, F.lit("common")), F.lit(one_in)) == 0)
+    rows = drawn.select(F.col(f"`{text_col}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                sets = [shingles_of(t.as_py(), words) for t in whole.slice(at, 500).column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
+
+    counts = rows.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    top = counts.orderBy(F.desc("c"), "s").limit(most).select("s")
+    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
+
+
 def shingles_of(text: str | None, size: int) -> np.ndarray:
     return shingle_hashes(word_hashes((text or "").encode())[0], size)
 
@@ -113,12 +163,13 @@ def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def point_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def point_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, common: np.ndarray) -> DataFrame:
     """``id, n, point, check, keys`` for each row: size and hashes of its set, and
     the keys of its root regions. One pass over the texts; nothing is shuffled.
     Of equal sets in one partition only the first has the keys, so copies are
     gathered before the keys move."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # of bounded length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         th, seen = Threshold(percent), set()
@@ -132,7 +183,7 @@ def point_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent
                     n.append(len(s))
                     a.append(p)
                     b.append(q)
-                    keys.append(region_keys(s if (p, q) not in seen else s[:0], th))
+                    keys.append(region_keys(s if (p, q) not in seen else s[:0], th, shared.value))
                     seen.add((p, q))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
@@ -349,13 +400,14 @@ def links_of(
     text_col: str = "text",
     words: int = 4,
     percent: int = 85,
-    leaf_points: int = 4000,
-    leaf_shingles: int = 4_000_000,
+    leaf_points: int = 16_000,
+    leaf_shingles: int = 6_000_000,
     pivots: int = 16,
     levels: int = 6,
 ) -> tuple[DataFrame, DataFrame]:
     """``(points, found)``: the point of each row, and the leaves' edges and counts."""
-    points = materialize(point_table(docs, id_col, text_col, words, percent), "jaccard-points")
+    common = common_shingles(docs, id_col, text_col, words)
+    points = materialize(point_table(docs, id_col, text_col, words, percent, common), "jaccard-points")
     sets = points.where("n > 0").groupBy("point").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
     sets = materialize(sets, "jaccard-sets")
     if not sets.where("c0 <> c1").isEmpty():
