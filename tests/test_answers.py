@@ -43,7 +43,7 @@ def test_issue_report(spark):
     rep = {r.file: r for r in A.issue_report(it, files).collect()}
     assert set(rep) == {"requirements.txt", "gone.txt"}
     assert rep["gone.txt"].status == "skipped" and rep["requirements.txt"].status == "ok"
-    assert rep["requirements.txt"].report.startswith("[1] type=unused\ndetail: d1")
-    assert "[2] type=missing" in rep["requirements.txt"].report
+    assert rep["requirements.txt"].report.startswith("#1 unused\n  what: d1")
+    assert "#2 missing" in rep["requirements.txt"].report
     counts = {r.type: r.n for r in A.issue_counts(it).collect()}
     assert counts == {"unused": 1, "bogus": 1, "missing": 1, "other": 1}

@@ -8,7 +8,7 @@ does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Issue types the analysis may report.
@@ -58,6 +58,21 @@ def converted_files(parsed: DataFrame, keys=("key",)) -> DataFrame:
     )
 
 
+def answer_summary(parsed: DataFrame, keys=("key",)) -> DataFrame:
+    """One row per answer, bad ones too: ``summary`` and ``notes`` ('' when
+    missing, null for a bad answer), ``n_issues`` (0 unless a list) and
+    ``error``."""
+    issues = F.try_variant_get("v", "$.issues", "array<variant>")
+    good = F.col("v").isNotNull()
+    return parsed.select(
+        *keys,
+        F.when(good, F.coalesce(F.try_variant_get("v", "$.summary", "string"), F.lit(""))).alias("summary"),
+        answer_notes(parsed).alias("notes"),
+        F.coalesce(F.size(issues), F.lit(0)).cast("long").alias("n_issues"),
+        "error",
+    )
+
+
 def issues_table(parsed: DataFrame, keys=("key",)) -> DataFrame:
     """One row per entry of ``issues``: ``pos, type, file, detail,
     suggestion`` and ``type_ok``. A missing or non-list ``issues`` gives none."""
@@ -79,22 +94,23 @@ def issue_report(issues: DataFrame, files: DataFrame, keys=("key",)) -> DataFram
     order, rendered as one text; files that are absent from ``files`` (keys +
     ``path``) are reported as ``skipped``. NULL and '' targets are dropped.
 
-    Numbering is a window over ``(keys, file)`` only; the report per file is
-    an ordered aggregation, then a left semi/anti split on ``files``."""
+    A file's issues are numbered inside the aggregation that gathers them; a
+    left join on ``files`` tells which files are there. The report's layout is
+    this package's own: a numbered line with the type, then detail and
+    suggestion."""
     keys = list(keys)
     it = issues.filter(F.col("file").isNotNull() & (F.col("file") != ""))
-    w = Window.partitionBy(*keys, "file").orderBy("pos")
-    it = it.withColumn("n", F.row_number().over(w))
-    entry = F.concat(
-        F.lit("["), F.col("n").cast("string"), F.lit("] type="), F.coalesce("type", F.lit("None")),
-        F.lit("\ndetail: "), F.coalesce("detail", F.lit("None")),
-        F.lit("\nsuggestion: "), F.coalesce("suggestion", F.lit("None")), F.lit("\n"),
-    )
-    parts = F.array_sort(F.collect_list(F.struct(F.col("n").alias("n"), entry.alias("t"))))
-    rep = it.groupBy(*keys, "file").agg(
-        F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("report"),
-        F.count("*").cast("long").alias("n_issues"),
-    )
+    parts = F.array_sort(F.collect_list(F.struct("pos", "type", "detail", "suggestion")))
+
+    def entry(x, i):
+        return F.concat(
+            F.lit("#"), (i + 1).cast("string"), F.lit(" "), F.coalesce(x["type"], F.lit("unknown")),
+            F.lit("\n  what: "), F.coalesce(x["detail"], F.lit("-")),
+            F.lit("\n  fix: "), F.coalesce(x["suggestion"], F.lit("-")), F.lit("\n"),
+        )
+
+    rep = it.groupBy(*keys, "file").agg(parts.alias("_p"), F.count("*").cast("long").alias("n_issues"))
+    rep = rep.withColumn("report", F.array_join(F.transform("_p", entry), "\n")).drop("_p")
     present = files.select(*keys, F.col("path").alias("file")).distinct().withColumn("_present", F.lit(True))
     out = rep.join(present, keys + ["file"], "left")
     return out.select(

@@ -240,3 +240,25 @@ def outdated_deps(reqs: DataFrame, latest: DataFrame) -> DataFrame:
     out = pins.join(lt, "pkg")
     return out.filter(version_key("version") < F.col("_l._k")).select(
         "project", "file", "line_no", "pkg", "version", F.col("_l.version").alias("latest"))
+
+
+def deps_issues(unused: DataFrame, missing: DataFrame, conflicts: DataFrame, outdated: DataFrame) -> DataFrame:
+    """The four checks as one issue table ``project, type, file, detail,
+    suggestion, pos``: types 'unused', 'missing', 'conflict' and 'outdated'.
+    Findings without a manifest line of their own name no file (''). ``pos``
+    orders a file's issues: the line they are on, others last."""
+    def issue(df, kind, detail, suggestion, file=F.lit(""), pos=F.lit(None)):
+        return df.select("project", F.lit(kind).alias("type"), file.alias("file"), detail.alias("detail"),
+                         suggestion.alias("suggestion"), F.coalesce(pos.cast("long"), F.lit(1 << 40)).alias("pos"))
+
+    pkg = F.col("pkg")
+    file, line = F.col("file"), F.col("line_no")
+    return (
+        issue(unused, "unused", F.concat(pkg, F.lit(" is never imported")), F.concat(F.lit("remove "), pkg), file, line)
+        .unionByName(issue(missing, "missing", F.concat(F.col("module"), F.lit(" is imported but not declared")),
+                           F.concat(F.lit("add "), pkg)))
+        .unionByName(issue(conflicts, "conflict", F.concat(pkg, F.lit(": "), F.col("reason")),
+                           F.when(F.col("n_pins") > 1, F.concat(F.lit("keep one of "), F.col("pins"))).otherwise(F.lit("set an upper bound"))))
+        .unionByName(issue(outdated, "outdated", F.concat(pkg, F.lit(" "), F.col("version")),
+                           F.concat(F.lit("raise to "), F.col("latest")), file, line))
+    )

@@ -117,3 +117,31 @@ def normalize_requests(df: DataFrame, body: str = "body") -> DataFrame:
         error.alias("error"),
     )
     return out
+
+
+def resolve_scope(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """What a conversion request means by its path: adds ``target`` 'file' or
+    'project', ``n_files`` and ``error``, given ``files(path)``.
+
+    A path that is a file, or a folder of files ('.' is the folder of all); with
+    scope 'auto' what it is decides, 'file' needs a file and 'project' a folder
+    (for a file, its own folder). A folder's files are counted over the parent
+    folders of every file, an aggregation with map-side partial sums."""
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit(".")).otherwise(F.array_join(F.slice(parts, 1, i), "/")))
+    folders = files.select(F.explode(ups).alias("_folder")).groupBy("_folder").agg(F.count("*").alias("_n"))
+    named = files.select(F.col("path").alias("_file")).distinct()
+    clean = F.regexp_replace(F.regexp_replace("path", r"^\./(?=.)", ""), r"(?<=.)/+$", "")
+    r = requests.withColumn("_path", F.when(clean == "", F.lit(".")).otherwise(clean))
+    r = r.join(named, F.col("_path") == F.col("_file"), "left")
+    parent = F.when(F.instr("_path", "/") > 0, F.regexp_replace("_path", "/[^/]*$", "")).otherwise(F.lit("."))
+    is_file = F.col("_file").isNotNull()
+    r = r.withColumn("_at", F.when(is_file & (F.col("scope") == "project"), parent).otherwise(F.col("_path")))
+    r = r.join(folders, F.col("_at") == F.col("_folder"), "left")
+    is_folder = F.col("_folder").isNotNull()
+    target = (F.when(F.col("scope") == "file", F.when(is_file, "file")).when(F.col("scope") == "project", F.when(is_folder, "project"))
+              .otherwise(F.when(is_file, "file").when(is_folder, "project")))
+    error = F.when(target.isNull(), F.when(is_file | is_folder, F.concat(F.lit("not a "), F.col("scope"))).otherwise(F.lit("no such path")))
+    return r.select(*requests.columns, target.alias("target"),
+                    F.when(target == "file", 1).when(target == "project", F.col("_n")).otherwise(0).cast("long").alias("n_files"),
+                    error.alias("scope_error"))

@@ -599,9 +599,9 @@ WITH it AS ({ISSUES}),
 n AS (SELECT *, row_number() OVER (PARTITION BY key, file ORDER BY pos) AS n FROM it
       WHERE file IS NOT NULL AND file <> ''),
 r AS (SELECT key, file, CAST(count(*) AS BIGINT) AS n_issues,
-             string_agg('[' || n || '] type=' || coalesce(type, 'None') || chr(10) || 'detail: '
-                        || coalesce(detail, 'None') || chr(10) || 'suggestion: '
-                        || coalesce(suggestion, 'None') || chr(10), chr(10) ORDER BY n) AS report
+             string_agg('#' || n || ' ' || coalesce(type, 'unknown') || chr(10) || '  what: '
+                        || coalesce(detail, '-') || chr(10) || '  fix: '
+                        || coalesce(suggestion, '-') || chr(10), chr(10) ORDER BY n) AS report
       FROM n GROUP BY key, file),
 f AS (SELECT o_orderkey AS key, 'requirements.txt' AS path FROM orders
       UNION ALL SELECT o_orderkey, 'package.json' FROM orders WHERE o_orderstatus = 'O')
@@ -779,6 +779,41 @@ FROM r JOIN lt ON lt.pkg = r.pkg
 WHERE {_vkey('r.version')} < {_vkey('lt.latest')}
 """
 
+ORACLE["deps_issues"] = f"""
+SELECT project, 'unused' AS type, file, pkg || ' is never imported' AS detail, 'remove ' || pkg AS suggestion
+FROM ({ORACLE['unused_deps']}) a
+UNION ALL SELECT project, 'missing', '', module || ' is imported but not declared', 'add ' || pkg FROM ({ORACLE['missing_deps']}) b
+UNION ALL SELECT project, 'conflict', '', pkg || ': ' || reason,
+  CASE WHEN n_pins > 1 THEN 'keep one of ' || pins ELSE 'set an upper bound' END FROM ({ORACLE['version_conflicts']}) c
+UNION ALL SELECT project, 'outdated', file, pkg || ' ' || version, 'raise to ' || latest FROM ({ORACLE['outdated_deps']}) d
+"""
+
+ORACLE["answer_summary"] = f"""
+WITH a AS (SELECT 'o' || key AS key, CAST(answer AS VARCHAR) AS answer FROM ({ANALYSIS}) x
+           UNION ALL SELECT 'e' || key, answer FROM ({ANSWERS}) y),
+k AS (SELECT key, answer, CASE WHEN NOT json_valid(answer) THEN 'invalid JSON'
+                               WHEN json_type(answer) <> 'OBJECT' THEN 'not a JSON object' END AS error FROM a)
+SELECT key, CASE WHEN error IS NULL THEN coalesce(json_extract_string(answer, '$.summary'), '') END AS summary,
+  CAST(CASE WHEN error IS NULL AND json_type(answer, '$.issues') = 'ARRAY' THEN json_array_length(answer, '$.issues') ELSE 0 END AS BIGINT)
+    AS n_issues, error
+FROM k
+"""
+
+ORACLE["resolve_scope"] = f"""
+WITH f AS ({FILES}),
+q AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN './' || split_part(path, '/', 1) || '/' WHEN 2 THEN '.' WHEN 3 THEN 'gone/' || path
+                     ELSE path END AS path, ['auto', 'file', 'project'][doc_id % 3 + 1] AS scope, path AS orig,
+             CASE doc_id % 5 WHEN 1 THEN 'folder' WHEN 2 THEN 'all' WHEN 3 THEN 'none' ELSE 'file' END AS what FROM f),
+n AS (SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM f GROUP BY 1),
+t AS (SELECT q.*, CASE WHEN what = 'none' THEN NULL WHEN scope = 'file' THEN CASE WHEN what = 'file' THEN 'file' END
+                       WHEN scope = 'project' THEN 'project' WHEN what = 'file' THEN 'file' ELSE 'project' END AS target FROM q)
+SELECT doc_id, path, scope, target,
+  CAST(CASE WHEN target = 'file' THEN 1 WHEN target IS NULL THEN 0 WHEN what = 'all' THEN (SELECT count(*) FROM f)
+            ELSE (SELECT n FROM n WHERE folder = split_part(orig, '/', 1)) END AS BIGINT) AS n_files,
+  CASE WHEN target IS NULL THEN CASE WHEN what = 'none' THEN 'no such path' ELSE 'not a ' || scope END END AS scope_error
+FROM t
+"""
+
 PART_CODE = """
 SELECT 'brand' || regexp_extract(p_brand, '(\\d+)', 1) || '.py' AS path, p_partkey AS line_no,
   CASE p_size % 6

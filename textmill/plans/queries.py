@@ -330,6 +330,28 @@ def converted_files(spark, sf_dir):
     return f.select("key", "pos", "path", md5("content").alias("content_md5"))
 
 
+@query
+def answer_summary(spark, sf_dir):
+    """Good and bad answers, one row each."""
+    good = analysis_answers(spark, sf_dir).select(F.concat(F.lit("o"), F.col("key").cast("string")).alias("key"), "answer")
+    other = answers_from_events(spark, sf_dir).select(F.concat(F.lit("e"), F.col("key").cast("string")).alias("key"), "answer")
+    out = ans.answer_summary(ans.parse_answers(good.unionByName(other)))
+    return out.select("key", "summary", "n_issues", "error")
+
+
+@query
+def resolve_scope(spark, sf_dir):
+    """Conversion requests that name files, folders and neither."""
+    files = files_from_documents(spark, sf_dir)
+    i = F.col("doc_id")
+    folder = F.split("path", "/")[0]
+    path = (F.when(i % 5 == 0, F.col("path")).when(i % 5 == 1, F.concat(F.lit("./"), folder, F.lit("/"))).when(i % 5 == 2, F.lit("."))
+            .when(i % 5 == 3, F.concat(F.lit("gone/"), F.col("path"))).otherwise(F.col("path")))
+    scope = F.element_at(F.array(F.lit("auto"), F.lit("file"), F.lit("project")), (i % 3 + 1).cast("int"))
+    requests = files.select("doc_id", path.alias("path"), scope.alias("scope"))
+    return req.resolve_scope(requests, files.select("path"))
+
+
 @query
 def issues_table(spark, sf_dir):
     return ans.issues_table(ans.parse_answers(analysis_answers(spark, sf_dir)))
@@ -405,6 +427,19 @@ def outdated_deps(spark, sf_dir):
     return out.select("project", "file", big("line_no").alias("line_no"), "pkg", "version", "latest")
 
 
+@query
+def deps_issues(spark, sf_dir):
+    """The four dependency checks as one issue table."""
+    reqs, imps, alias = _reqs(spark, sf_dir), _imports(spark, sf_dir), _alias(spark)
+    mods = deps.project_modules(code_files(spark, sf_dir))
+    return deps.deps_issues(
+        deps.unused_deps(reqs, imps, alias),
+        deps.missing_deps(reqs, imps, alias, _stdlib(spark), mods),
+        deps.version_conflicts(reqs),
+        deps.outdated_deps(reqs, latest_versions(spark, sf_dir)),
+    ).drop("pos")
+
+
 @query
 def unused_definitions(spark, sf_dir):
     out = hygiene.unused_definitions(part_code_lines(spark, sf_dir))

@@ -199,7 +199,7 @@ def fast_scan(spark: SparkSession, path: str, exclude=LISTING_EXCLUDES, max_byte
         df = df.filter(F.col("length") <= max_bytes)
     out = df.select(
         F.lit(os.path.basename(os.path.abspath(path))).alias("project"),
-        F.regexp_replace(F.col("path"), "^" + root.replace(".", r"\."), "").alias("path"),
+        F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, F.lit(1 << 30))).otherwise(F.col("path")).alias("path"),
         "length", "content",
     )
     segs = F.array(*[F.lit(s) for s in (exclude or [])])
