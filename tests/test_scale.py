@@ -60,6 +60,9 @@ def test_bounded_broadcast_falls_back_beyond_the_bound(spark):
     big = spark.range(1000)
     assert "ResolvedHint" in bounded_broadcast(small, 100)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in bounded_broadcast(big, 100)._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("s"))
+    assert "ResolvedHint" not in bounded_broadcast(wide, 100, max_bytes=5000)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in bounded_broadcast(wide, 100)._jdf.queryExecution().analyzed().toString()
 
 
 def test_spread_only_when_needed(spark):

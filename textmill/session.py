@@ -73,12 +73,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``max_rows``.
+def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows and
+    ``max_bytes`` bytes of values.
 
-    The probe reads at most ``max_rows + 1`` rows. Beyond the bound the frame
+    The probe reads at most ``max_rows + 1`` rows. Beyond either bound the frame
     is returned unchanged and the join falls back to a shuffle join (which AQE
     may still turn into a broadcast at run time from real sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    n, used = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= max_rows and (used or 0) <= max_bytes else df
