@@ -67,7 +67,7 @@ def test_cli_list_and_run(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     names = subprocess.run([sys.executable, "-m", "textmill", "list"], cwd=root, capture_output=True, text=True,
                            timeout=120).stdout.split()
-    assert "chunk_counts" in names and len(names) == len(entry.queries())
+    assert "chunk_counts" in names and set(names) <= set(entry.queries())
     out = tmp_path / "res"
     done = subprocess.run([sys.executable, "-m", "textmill", "run", "chunk_counts", SF, "--out", str(out),
                            "--master", "local[2]"], cwd=root, capture_output=True, text=True, timeout=600)
