@@ -116,8 +116,10 @@ def neighbours(rows: DataFrame) -> DataFrame:
     full = w.join(F.broadcast(ends), F.col("part") == F.col("e_part"))
     nx, pv = F.coalesce("nx", "after"), F.coalesce("pv", "before")
     return full.select(
+        "id",
         "rk",
         "h",
+        "n",
         "copies",
         nx["rk"].alias("next_rk"),
         nx["h"].alias("next_h"),
@@ -148,26 +150,26 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read; an empty table gives no rows."""
     rows = keyed(docs, id_col, text_col)
     near = materialize(neighbours(rows.select("id", "rk", "h", "n")), "cws-next")
-    texts = rows.join(near, ["rk", "h"]).dropDuplicates(["rk", "h"])
+    # both uses of the texts below read one shuffle of (rk, h, text)
+    texts = rows.select("rk", "h", "text").join(near, ["rk", "h"]).dropDuplicates(["rk", "h"])
     gift = F.expr("substring(text, 1, cast(prev_n div 3 as int))")
     gifts = texts.select(F.col("prev_rk").alias("rk"), F.col("prev_h").alias("h"), gift.alias("gift"))
+    both = texts.join(gifts, ["rk", "h"])
     edited = F.expr("concat(substring(text, 1, cast(n - n div 3 as int)), gift)")
-    both = texts.join(gifts, ["rk", "h"]).select("id", "rk", "h", "n", "copies", "next_rk", "next_h", "text", edited.alias("edited"))
-    side = lambda number, col: F.struct(F.lit(number).alias("side"), F.col(col).alias("text"))
-    sides = both.select("rk", "h", F.explode(F.array(side(0, "text"), side(1, "edited"))).alias("s"))
+    side = lambda number, col: F.struct(F.lit(number).alias("side"), col.alias("text"))
+    sides = both.select("rk", "h", F.explode(F.array(side(0, F.col("text")), side(1, edited))).alias("s"))
     sig = signatures(sides.select("rk", "h", "s.side", "s.text"), ["rk", "h", "side"], "text", k)
     prints = sig.groupBy("rk", "h").agg(
         as_text(F.max(F.when(F.col("side") == 0, F.col("signature")))).alias("fingerprint"),
         as_text(F.max(F.when(F.col("side") == 1, F.col("signature")))).alias("edited_fingerprint"),
     )
-    prints = materialize(prints, "cws-prints")
-    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    sha = F.sha2(edited.cast("binary"), 256).alias("edited_sha256")
     facts = both.select("id", "rk", "h", F.col("n").cast("long").alias("n_chars"), "copies", "next_rk", "next_h", sha)
-    facts = materialize(facts, "cws-facts")
+    prints = materialize(facts.join(prints, ["rk", "h"], "left"), "cws-prints")
     nxt = prints.select(
         F.col("rk").alias("next_rk"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint")
     )
-    out = facts.join(prints, ["rk", "h"], "left").join(nxt, ["next_rk", "next_h"], "left")
+    out = prints.join(nxt, ["next_rk", "next_h"], "left")
     out = out.fillna("", ["fingerprint", "edited_fingerprint", "next_fingerprint"])
     out = out.select(
         F.col("id").alias(id_col),
