@@ -6,7 +6,10 @@ every document from any few pivots: pivots chosen from the whole corpus cut
 nothing. The join therefore begins with small pivots and goes on with documents.
 
 1. Sets. Equal shingle sets are one point (by a 64-bit hash; two sets that
-   share it stop the join instead of being mixed up).
+   share it stop the join instead of being mixed up). A point with more than
+   n (1 - t) shingles that no other point has is at more than 1 - t from all
+   others: it links with nothing and goes no further. Shingles are counted for
+   a fixed share of the shingle space, which can only keep points, not lose them.
 2. Root regions. The shingle space is cut into as many parts as two linked sets
    of that size can differ in, and one more (a little more for sets that leave
    parts empty): linked sets agree on a whole part. A part's content is a pivot
@@ -45,7 +48,9 @@ from textmill.llm.common import materialize
 from textmill.llm.words import mix, shingle_hashes, word_hashes
 
 #: Families of partitions tried for sets that leave parts empty; the last counts empty parts as equal.
-FAMILIES = 6
+FAMILIES = 10
+#: Shingles that a part of the smaller set of a pair has on average, at least.
+PART_SHINGLES = 2.5
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -54,10 +59,14 @@ class Threshold:
 
     def __init__(self, percent: int):
         self.percent = percent
+        # a class spans about two steps of the window, or less where parts would get
+        # so small that many are empty: a pair's smaller set has t times the class's
+        # first size at least, and the class's last size says how many parts there are
+        t = percent / 100
+        growth = min(t**-2, t / (2 * (1 - t) / (1 + t) * 9 / 8 * PART_SHINGLES)) if percent < 100 else 2.0
         self.bounds = [1]  # first size of each class
         while self.bounds[-1] < 1 << 40:
-            # a class spans about two steps of the window, at least one size
-            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * (100 / percent) ** 2)))
+            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * growth)))
         self.starts = np.array(self.bounds, np.int64)
 
     def size_class(self, n: int) -> int:
@@ -163,66 +172,106 @@ def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def point_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """``id, n, point, check, keys`` for each row: size and hashes of its set, and
-    the keys of its root regions. One pass over the texts; nothing is shuffled.
-    Of equal sets in one partition only the first has the keys, so copies are
-    gathered before the keys move."""
+def point_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``id, n, point, check`` for each row: size and two hashes of its set. One
+    pass over the texts; nothing is shuffled."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # of bounded length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        th, seen = Threshold(percent), set()
+        for batch in batches:
+            got = []
+            for t in batch.column(1):
+                s = shingles_of(t.as_py(), words)
+                got.append((len(s), *(set_hashes(s) if len(s) else (0, 0))))
+            n, a, b = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                names=["id", "n", "point", "check"],
+            )
+
+    schema = f"id {dict(rows.dtypes)['id']}, n long, point long, check long"
+    return rows.mapInArrow(run, schema)
+
+
+def own_shingles(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+    """``point, own``: how many shingles a point has that no other point has, counted
+    in the lowest ``2 (1 - t)`` of the hash space, so that a point whose shingles
+    are its own by half can be told. Counts are partial before they move; of
+    equal sets in one partition only the first is counted."""
+    top = np.uint64(min(2**64 - 1, int(2**64 * 2 * (100 - percent) / 100)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                n, a, b, keys = [], [], [], []
-                for t in batch.column(1):
+                points, low = [], []
+                for t in whole.slice(at, 500).column(0):
                     s = shingles_of(t.as_py(), words)
-                    p, q = set_hashes(s) if len(s) else (0, 0)
-                    n.append(len(s))
-                    a.append(p)
-                    b.append(q)
-                    keys.append(region_keys(s if (p, q) not in seen else s[:0], th, shared.value))
-                    seen.add((p, q))
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists],
-                    names=["id", "n", "point", "check", "keys"],
-                )
-
-    schema = f"id {dict(rows.dtypes)['id']}, n long, point long, check long, keys array<long>"
-    return rows.mapInArrow(run, schema)
+                    if not len(s) or (p := set_hashes(s)[0]) in seen:
+                        continue
+                    seen.add(p)
+                    s = s[: np.searchsorted(s, top)]
+                    points.append(np.full(len(s), p, np.int64))
+                    low.append(s.view(np.int64))
+                if low:
+                    cols = [pa.array(np.concatenate(low)), pa.array(np.concatenate(points))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["s", "point"])
+
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "s long, point long")
+    owner = rows.groupBy("s").agg(F.min("point").alias("point"), F.max("point").alias("other")).where("point = other")
+    return owner.groupBy("point").agg(F.count("*").alias("own"))
 
 
 def smallest_reachable(edges: DataFrame, name: str) -> DataFrame:
     """``(node, root)`` for each node of ``edges(a, b)``: the smallest node that is
-    reachable. Each round takes the smallest label among a node's neighbours
-    and then that label's own label, so paths halve; rounds are written to the
-    shared folder and end when none changes. Labels move as partial minima, so
-    a node with very many links is no single group."""
+    reachable. In each round a node and its label take the smallest label among
+    the node's neighbours (so whole trees hang on to smaller ones), then every
+    node takes its label's label. Rounds are written to the shared folder and
+    end when none changes; their number grows with the logarithm of the longest
+    path. Labels move as partial minima, so a node with very many links is no
+    single group."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     both = materialize(both.distinct(), f"{name}-edges")
-    labels = materialize(
-        both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), f"{name}-labels"
-    )
+    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
+    labels = materialize(labels, f"{name}-labels")
     while True:
         seen = both.join(labels.withColumnsRenamed({"node": "v"}), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
+        step = labels.join(seen, "node")
+        lower = F.least("root", "near")
+        told = F.explode(F.array(
+            F.struct(F.col("node").alias("to"), lower.alias("label"), F.col("root").alias("old")),
+            F.struct(F.col("root").alias("to"), lower.alias("label"), F.lit(None).cast("long").alias("old")),
+        ))
+        hung = step.select(told.alias("t")).groupBy(F.col("t.to").alias("node")).agg(F.min("t.label").alias("root"), F.max("t.old").alias("old"))
+        jump = hung.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = hung.join(jump, "root").select("node", "old", F.least("root", "far").alias("root"))
         new = materialize(new, f"{name}-labels")
         if new.where("old <> root").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")
 
 
-def root_components(points: DataFrame) -> DataFrame:
+def root_components(members: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
     """``(node, root)``: points that share a root region, directly or through others."""
-    rows = points.select("point", F.explode("keys").alias("key"))
+    shared = members.sparkSession.sparkContext.broadcast(common)  # of bounded length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        th = Threshold(percent)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                points, keys = [], []
+                part = whole.slice(at, 500)
+                for p, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    k = region_keys(np.frombuffer(b, "<u8"), th, shared.value)
+                    points.append(np.full(len(k), p, np.int64))
+                    keys.append(k)
+                if keys:
+                    cols = [pa.array(np.concatenate(points)), pa.array(np.concatenate(keys))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["point", "key"])
+
+    rows = members.select("point", "shingles").mapInArrow(run, "point long, key long")
     # a region's points in order of their number: the window streams, it holds one
     # 16-byte row at a time
     first = F.first("point").over(Window.partitionBy("key").orderBy("point"))
@@ -407,17 +456,17 @@ def links_of(
 ) -> tuple[DataFrame, DataFrame]:
     """``(points, found)``: the point of each row, and the leaves' edges and counts."""
     common = common_shingles(docs, id_col, text_col, words)
-    points = materialize(point_table(docs, id_col, text_col, words, percent, common), "jaccard-points")
-    sets = points.where("n > 0").groupBy("point").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    points = materialize(point_table(docs, id_col, text_col, words), "jaccard-points")
+    sets = points.where("n > 0").groupBy("point").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")
+    )
     sets = materialize(sets, "jaccard-sets")
     if not sets.where("c0 <> c1").isEmpty():
         raise ValueError("two different shingle sets share a 64-bit hash; join them under another hash")
-    roots = root_components(points.where("n > 0"))
-    # only points of a component need their shingles again
-    wanted = roots.join(sets.select(F.col("point").alias("node"), "copies", "n"), "node")
-    wanted = materialize(wanted.select(F.col("node").alias("point"), F.col("root").alias("region"), "copies", "n"), "jaccard-wanted")
-    carriers = points.where("n > 0").groupBy("point").agg(F.min("id").alias("id")).join(wanted, "point")
-    carriers = carriers.select(F.col("id").alias("c_id"), F.col("point").alias("c_point"), "region", "copies")
+    own = own_shingles(docs, text_col, words, percent).withColumnRenamed("point", "o_point")
+    near = sets.join(own, F.col("point") == F.col("o_point"), "left")
+    near = near.where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
+    carriers = materialize(near.select(F.col("id").alias("c_id"), F.col("point").alias("c_point"), "copies"), "jaccard-carriers")
     ident = F.col(f"`{id_col}`")
     texts = docs.select(ident.alias("id"), F.col(f"`{text_col}`").alias("text")).join(carriers, F.col("id").eqNullSafe(F.col("c_id")))
 
@@ -428,16 +477,14 @@ def links_of(
                 got = [shingles_of(t.as_py(), words) for t in batch.column(0)]
                 same = [len(s) > 0 and set_hashes(s)[0] == p for s, p in zip(got, batch.column(1).to_pylist())]
                 made = pa.array([s.astype("<u8").tobytes() for s in got], pa.binary())
-                out = pa.RecordBatch.from_arrays(
-                    [batch.column(2), batch.column(1), pa.array([True] * len(got), pa.bool_()), batch.column(3), made],
-                    names=["region", "point", "home", "copies", "shingles"],
-                )
+                out = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), made], names=["point", "copies", "shingles"])
                 yield out.filter(pa.array(same, pa.bool_()))
 
-    members = texts.select("text", "c_point", "region", "copies").mapInArrow(
-        sets_again, "region long, point long, home boolean, copies long, shingles binary"
-    )
-    members = materialize(members.dropDuplicates(["region", "point"]), "jaccard-members")
+    kept = texts.select("text", "c_point", "copies").mapInArrow(sets_again, "point long, copies long, shingles binary")
+    kept = materialize(kept.dropDuplicates(["point"]), "jaccard-kept")
+    roots = root_components(kept, percent, common)
+    members = kept.join(roots, F.col("point") == F.col("node"))
+    members = materialize(members.select(F.col("root").alias("region"), "point", F.lit(True).alias("home"), "copies", "shingles"), "jaccard-members")
     found = None
 
     def add(rows: DataFrame, name: str) -> None:
