@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's cache of encoded words; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 250_000
 #: Longest word that is cached.
 CACHED_LENGTH = 64
 #: Characters of text whose new words are encoded together.
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 8_000_000
 #: A space with other characters on both sides always starts a pre-token.
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s\s|^ | $")
@@ -243,14 +243,17 @@ class Codec:
             cache.clear()
             new = first | {" " + x for x in rest}
         del first, rest
-        got = self.fresh(new)
-        known = cache | got if new else cache
+        cache.update(self.fresh(new))
         out = []
         for t in texts:
             parts = self.words(t)
-            out.append(b"".join([known[w] for w in parts[:1]] + [known[" " + w] for w in parts[1:]]))
-        if len(known) <= CACHE:
-            cache.update((w, x) for w, x in got.items() if len(w) <= CACHED_LENGTH)
+            out.append(b"".join([cache[w] for w in parts[:1]] + [cache[" " + w] for w in parts[1:]]))
+        if len(cache) > CACHE:
+            cache.clear()
+        else:
+            for w in new:
+                if len(w) > CACHED_LENGTH:
+                    del cache[w]
         return out
 
     def decode(self, ids: bytes) -> bytes:
