@@ -150,8 +150,10 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read; an empty table gives no rows."""
     rows = keyed(docs, id_col, text_col)
     near = materialize(neighbours(rows.select("id", "rk", "h", "n")), "cws-next")
-    # both uses of the texts below read one shuffle of (rk, h, text)
-    texts = rows.select("rk", "h", "text").join(near, ["rk", "h"]).dropDuplicates(["rk", "h"])
+    # the uses of texts and gifts below read one shuffle of each; rows that repeat
+    # are equal in every column, so max() keeps one
+    texts = rows.select("rk", "h", "text").join(near, ["rk", "h"])
+    texts = texts.groupBy("rk", "h").agg(*[F.max(c).alias(c) for c in texts.columns if c not in ("rk", "h")])
     gift = F.expr("substring(text, 1, cast(prev_n div 3 as int))")
     gifts = texts.select(F.col("prev_rk").alias("rk"), F.col("prev_h").alias("h"), gift.alias("gift"))
     both = texts.join(gifts, ["rk", "h"])
