@@ -33,6 +33,8 @@ CACHE = 250_000
 CACHED_LENGTH = 64
 #: Characters of text whose new words are encoded together.
 BATCH_CHARS = 8_000_000
+#: New words that share one queue; its arrays and buckets take some 300 bytes a word.
+QUEUE_WORDS = 150_000
 #: A space with other characters on both sides always starts a pre-token.
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s\s|^ | $")
@@ -219,8 +221,13 @@ class Codec:
         return INNER_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
 
     def fresh(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Encode words that the cache lacks, all in one queue."""
-        words = list(words)
+        """Encode words that the cache lacks, ``QUEUE_WORDS`` of them in one queue."""
+        words, out = list(words), {}
+        for at in range(0, len(words), QUEUE_WORDS):
+            out.update(self.queued(words[at : at + QUEUE_WORDS]))
+        return out
+
+    def queued(self, words: list[str]) -> dict[str, bytes]:
         pieces: dict[bytes, int] = {}
         split, made = self.split, []
         for w in words:
@@ -341,6 +348,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """Keys and texts of (key, text) batches, in groups of some ``BATCH_CHARS``."""
+    pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
     keys, texts, held = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
