@@ -468,7 +468,10 @@ def links_of(
     near = near.where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
     carriers = materialize(near.select(F.col("id").alias("c_id"), F.col("point").alias("c_point"), "copies"), "jaccard-carriers")
     ident = F.col(f"`{id_col}`")
-    texts = docs.select(ident.alias("id"), F.col(f"`{text_col}`").alias("text")).join(carriers, F.col("id").eqNullSafe(F.col("c_id")))
+    # carriers grow with the corpus: always a shuffle join, at every size the same plan
+    texts = docs.select(ident.alias("id"), F.col(f"`{text_col}`").alias("text")).join(
+        carriers.hint("merge"), F.col("id").eqNullSafe(F.col("c_id"))
+    )
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
