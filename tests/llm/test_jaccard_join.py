@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from textmill.llm import jaccard_join
 from textmill.llm.jaccard_join import Threshold, jaccard_components, region_keys, smallest_reachable
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,6 +70,35 @@ def test_large_regions_are_cut_by_pivots_and_blocks(spark, groups, how):
     assert sorted(map(tuple, jaccard_components(df, **how).collect()), key=repr) == brute(groups, 4, 85)
 
 
+def test_a_tight_group_is_not_copied_by_every_cut(spark, monkeypatch):
+    """Near copies, all with different texts, at default levels: pivots cannot cut
+    them, so they go to blocks and no level has more than SPREAD rows a point."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        t[rng.randrange(len(t))] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    levels, written = [], jaccard_join.materialize
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "jaccard-members":
+            levels.append(out.count())
+            assert levels[-1] <= 4 * len(rows), levels
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_components(df, leaf_points=40).collect()), key=repr)
+    assert got == brute(rows, 4, 85)
+    assert len(levels) >= 2, levels
+    # by shingles alone: few points to a region, blocks by weight
+    got = sorted(map(tuple, jaccard_components(df, leaf_shingles=9_000).collect()), key=repr)
+    assert got == brute(rows, 4, 85)
+
+
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     got = sorted(map(tuple, jaccard_components(odd_docs).collect()), key=repr)
     assert got == brute(odd_rows, 4, 85)

@@ -26,7 +26,10 @@ nothing. The join therefore begins with small pivots and goes on with documents.
    with r_q the radius of q's region and eps = 1 - t. Points at 1 - eps or more
    from each pivot form a region of their own; those near it, beyond
    1 - 2 eps, are replicated to that. Regions are cut again until they are small
-   enough; one that does not shrink is compared in blocks.
+   enough. A cut is made only if all its rows are at most ``SPREAD`` times the
+   points at home in the region; each point is at home once, so no level has more
+   than ``SPREAD`` times the points. A region that is not cut, and a new one with
+   more than half of its parent's rows, is compared in blocks.
 4. Leaves. In a leaf the points of few pivots are windows again: x and y link
    only if |d(x, p) - d(y, p)| <= eps for each p. What passes is counted exactly.
 
@@ -51,6 +54,8 @@ from textmill.llm.words import mix, shingle_hashes, word_hashes
 FAMILIES = 10
 #: Shingles that a part of the smaller set of a pair has on average, at least.
 PART_SHINGLES = 2.5
+#: Rows that a cut may make for each point at home; beyond it the region is compared in blocks.
+SPREAD = 4
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -361,11 +366,13 @@ def join_leaves(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("region").applyInPandas(run, LEAF)
 
 
-def block_pairs(members: DataFrame, sizes: DataFrame, leaf_points: int) -> DataFrame:
+def block_pairs(members: DataFrame, sizes: DataFrame, leaf_points: int, leaf_shingles: int) -> DataFrame:
     """Members of regions that pivots do not shrink, dealt to pairs of blocks: block
-    i is at home with each block j, so each point meets all others. Returns the
-    rows of leaves ``(region, i, j)``; a point's links add up over j."""
-    dealt = members.join(sizes, "region").withColumn("blocks", F.ceil(F.col("count") / (leaf_points / 2)).cast("int"))
+    i is at home with each block j, so each point meets all others. Blocks are as
+    many as the points and the shingles of ``sizes(region, count, weight)`` need.
+    Returns the rows of leaves ``(region, i, j)``; a point's links add up over j."""
+    need = F.greatest(F.ceil(F.col("count") / (leaf_points / 2)), F.ceil(F.col("weight") / (leaf_shingles / 2)))
+    dealt = members.join(sizes, "region").withColumn("blocks", F.least(need, "count").cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("point", F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     at_home = dealt.select("*", other.alias("j")).where("home or j = own").withColumn("leaf", F.xxhash64("region", "own", "j"))
@@ -405,7 +412,9 @@ def join_blocks(members: DataFrame, percent: int) -> DataFrame:
 def voronoi_step(members: DataFrame, percent: int, pivots: int, level: int) -> DataFrame:
     """Cut each region of ``members`` by ``pivots`` of its own points; rows of the
     new regions, with ``home`` true in exactly one region for each point that was
-    at home."""
+    at home. The cut is counted before a set is copied: a region whose cut makes
+    more than ``SPREAD`` rows for each point at home stays as it is, with
+    ``stalled`` true, which also marks new regions of more than half its rows."""
     eps = 1 - percent / 100
     order = Window.partitionBy("region").orderBy(F.xxhash64("point", F.lit(level)))
     narrow = members.select("region", "point").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
@@ -436,11 +445,21 @@ def voronoi_step(members: DataFrame, percent: int, pivots: int, level: int) -> D
     to = F.filter(F.transform("d", lambda x, i: F.when(replicated(x, i) & (i != F.col("p")), i)), lambda i: i.isNotNull())
     far = F.when((F.col("p") >= 0) & (F.col("near") >= 1 - 2 * eps - slack), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
     targets = F.concat(F.array(F.struct(F.col("p").alias("q"), F.col("home").alias("home"))), F.transform(F.concat(to, far), lambda q: F.struct(q.alias("q"), F.lit(False).alias("home"))))
-    out = d.select("region", "point", "copies", "shingles", F.explode(targets).alias("t"))
-    out = out.select(F.xxhash64("region", "t.q", F.lit(level)).alias("region"), "point", "t.home", "copies", "shingles")
+    d = d.withColumn("targets", targets)
+    parts = d.select("region", F.explode("targets").alias("t")).groupBy("region", "t.q").agg(
+        F.count("*").alias("rows"), F.sum(F.col("t.home").cast("long")).alias("homes")
+    )
     # a region without a point at home finds nothing
-    lived = out.where("home").select("region").distinct()
-    return out.join(lived, "region", "left_semi")
+    parts = parts.where("homes > 0").join(members.groupBy("region").agg(F.count("*").alias("before")), "region")
+    # ``pivots`` + 1 entries a region
+    stalled = F.map_from_entries(F.collect_list(F.struct("q", F.col("rows") * 2 > F.col("before"))))
+    fate = parts.groupBy("region").agg((F.sum("rows") <= SPREAD * F.sum("homes")).alias("cut"), stalled.alias("parts"))
+    into = F.transform(F.filter("targets", lambda t: F.map_contains_key("parts", t["q"])), lambda t: F.struct(
+        F.xxhash64("region", t["q"], F.lit(level)).alias("region"), t["home"].alias("home"), F.try_element_at("parts", t["q"]).alias("stalled")
+    ))
+    stay = F.array(F.struct("region", "home", F.lit(True).alias("stalled")))
+    out = d.join(materialize(fate, "jaccard-cuts"), "region").withColumn("t", F.explode(F.when(F.col("cut"), into).otherwise(stay)))
+    return out.select("t.region", "point", "t.home", "copies", "shingles", "t.stalled")
 
 
 def links_of(
@@ -487,7 +506,8 @@ def links_of(
     kept = materialize(kept.dropDuplicates(["point"]), "jaccard-kept")
     roots = root_components(kept, percent, common)
     members = kept.join(roots, F.col("point") == F.col("node"))
-    members = materialize(members.select(F.col("root").alias("region"), "point", F.lit(True).alias("home"), "copies", "shingles"), "jaccard-members")
+    members = members.select(F.col("root").alias("region"), "point", F.lit(True).alias("home"), "copies", "shingles")
+    members = materialize(members.withColumn("stalled", F.lit(False)), "jaccard-members")
     found = None
 
     def add(rows: DataFrame, name: str) -> None:
@@ -496,18 +516,22 @@ def links_of(
         found = rows if found is None else found.unionByName(rows)
 
     for level in range(levels + 1):
-        sizes = members.groupBy("region").agg(F.count("*").alias("count"), F.sum(F.octet_length("shingles") / 8).alias("weight"))
-        sizes = materialize(sizes, "jaccard-region-sizes")
+        weight = F.sum(F.octet_length("shingles") / 8).alias("weight")
+        sizes = members.groupBy("region").agg(F.count("*").alias("count"), weight, F.max("stalled").alias("last"))
+        sizes = materialize(sizes.withColumn("last", F.col("last") | F.lit(level == levels)), "jaccard-region-sizes")
         small = (F.col("count") <= leaf_points) & (F.col("weight") <= leaf_shingles)
-        fits, large = sizes.where(small).select("region"), sizes.where(~small).select("region", "count")
+        fits, large = sizes.where(small).select("region"), sizes.where(~small)
         add(join_leaves(members.join(fits, "region"), percent), "jaccard-links")
         if large.isEmpty():
             break
-        rest = members.join(large.select("region"), "region")
-        if level == levels:
-            add(join_blocks(block_pairs(rest, large, leaf_points), percent), "jaccard-links")
+        whole = large.where("last").select("region", "count", "weight")
+        if not whole.isEmpty():
+            rest = members.join(whole.select("region"), "region")
+            add(join_blocks(block_pairs(rest, whole, leaf_points, leaf_shingles), percent), "jaccard-links")
+        again = large.where(~F.col("last")).select("region")
+        if again.isEmpty():
             break
-        members = materialize(voronoi_step(rest, percent, pivots, level), "jaccard-members")
+        members = materialize(voronoi_step(members.join(again, "region"), percent, pivots, level), "jaccard-members")
     return points, found
 
 
