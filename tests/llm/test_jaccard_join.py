@@ -105,6 +105,25 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert jaccard_components(no_docs).collect() == []
 
 
+def test_texts_of_one_id_meet_only_their_own_carrier(spark, groups, monkeypatch):
+    """All ids null or one: each text of a set is made a set again once, not once
+    for each carrier of the id."""
+    made, written = [], jaccard_join.materialize
+
+    def counted(df, name):
+        if name == "jaccard-kept":
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            made.extend(line for line in plan.splitlines() if "Join Inner" in line)
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    for ident in (None, 7):
+        rows = [(ident, t) for _, t in groups]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, jaccard_components(df).collect()), key=repr) == brute(rows, 4, 85)
+    assert made and all("<=>" in line and "h#" in line and "c_h#" in line for line in made), made
+
+
 def test_corpus(sf_docs):
     rows = [tuple(r) for r in sf_docs.select("doc_id", "text").collect()]
     assert sorted(map(tuple, jaccard_components(sf_docs).collect()), key=repr) == brute(rows, 4, 85)

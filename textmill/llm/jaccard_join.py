@@ -178,9 +178,10 @@ def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def point_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id, n, point, check`` for each row: size and two hashes of its set. One
-    pass over the texts; nothing is shuffled."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    """``id, h, n, point, check`` for each row: a hash of its text, and size and two
+    hashes of its set. One pass over the texts; nothing is shuffled."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,11 +191,11 @@ def point_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> Data
                 got.append((len(s), *(set_hashes(s) if len(s) else (0, 0))))
             n, a, b = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                names=["id", "n", "point", "check"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                names=["id", "h", "n", "point", "check"],
             )
 
-    schema = f"id {dict(rows.dtypes)['id']}, n long, point long, check long"
+    schema = f"id {dict(rows.dtypes)['id']}, h long, n long, point long, check long"
     return rows.mapInArrow(run, schema)
 
 
@@ -477,7 +478,7 @@ def links_of(
     common = common_shingles(docs, id_col, text_col, words)
     points = materialize(point_table(docs, id_col, text_col, words), "jaccard-points")
     sets = points.where("n > 0").groupBy("point").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")
+        F.min(F.struct("id", "h")).alias("carrier"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")
     )
     sets = materialize(sets, "jaccard-sets")
     if not sets.where("c0 <> c1").isEmpty():
@@ -485,11 +486,13 @@ def links_of(
     own = own_shingles(docs, text_col, words, percent).withColumnRenamed("point", "o_point")
     near = sets.join(own, F.col("point") == F.col("o_point"), "left")
     near = near.where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
-    carriers = materialize(near.select(F.col("id").alias("c_id"), F.col("point").alias("c_point"), "copies"), "jaccard-carriers")
-    ident = F.col(f"`{id_col}`")
-    # carriers grow with the corpus: always a shuffle join, at every size the same plan
-    texts = docs.select(ident.alias("id"), F.col(f"`{text_col}`").alias("text")).join(
-        carriers.hint("merge"), F.col("id").eqNullSafe(F.col("c_id"))
+    carriers = near.select(F.col("carrier.id").alias("c_id"), F.col("carrier.h").alias("c_h"), F.col("point").alias("c_point"), "copies")
+    carriers = materialize(carriers, "jaccard-carriers")
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # carriers grow with the corpus: always a shuffle join, at every size the same plan;
+    # by id and text hash, so that rows of one id (or none) do not all meet its carriers
+    texts = docs.select(ident.alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).join(
+        carriers.hint("merge"), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h"))
     )
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
