@@ -7,7 +7,8 @@ the columns of ``documents``:
 1. quality classifier: rejected documents go;
 2. exact dedup: of equal texts the one with the largest id stays;
 3. n-gram Jaccard join on five-word shingles at 0.8: of each group of linked
-   documents the one with the smallest id stays;
+   documents one row stays, that with the smallest id (null last; of rows with
+   one id, by a hash of the text; of rows that repeat both, any one);
 4. mixing sources to target weights: one row for each time a document is taken;
    where a source's target ends inside a document, only its first words;
 5. byte-level BPE: token ids, and whether they decode to the text.
@@ -32,9 +33,23 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.jaccard_components(docs, words=5, percent=80)
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    # a row's key, in the order in which rows are kept: rows of one id and without an
+    # id are told apart by two hashes of the text
+    text = F.coalesce("text", F.lit(""))
+    ident = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")]
+    key = F.struct(*ident, F.xxhash64(text).alias("h"), F.xxhash64(F.lit("near"), text).alias("g"))
+    keyed = docs.withColumn("_key", key)
+    groups = jaccard_join.jaccard_components(keyed, id_col="_key", words=5, percent=80)
+    groups = materialize(groups.select("_key", "component_id", "n_shingles"), "near-groups")
+    drop = groups.where("_key <> component_id").select(F.col("_key").alias("_drop"))
+    rest = keyed.join(drop, F.col("_key") == F.col("_drop"), "left_anti")
+    again = groups.where("_key = component_id and n_shingles > 0").groupBy(F.col("_key").alias("_again")).count()
+    again = materialize(again.where("count > 1").select("_again"), "near-again")
+    if again.isEmpty():
+        return rest.drop("_key")
+    single = rest.join(again, F.col("_key") == F.col("_again"), "left_anti")
+    repeated = rest.join(again, F.col("_key") == F.col("_again"), "left_semi").dropDuplicates(["_key"])
+    return single.unionByName(repeated).drop("_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

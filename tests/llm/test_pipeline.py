@@ -50,3 +50,24 @@ def test_mixture_and_tokens(stages):
     assert all(before[r["doc_id"]] == r["text"] or before[r["doc_id"]].split()[: len(r["text"].split())] == r["text"].split() for r in mixed.collect())
     assert mixed.where(F.char_length("text") != F.col("n_chars")).count() == 0
     assert last.count() == mixed.count() and last.where("not lossless or n_tokens <> size(ids)").count() == 0
+
+
+def test_near_dedup_decides_by_row_not_by_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(base + [x]) for x in ("p", "q", "r"))
+    clean = " ".join(f"z{i}" for i in range(40))
+    rows = [
+        (1, a), (5, b), (5, clean),  # 5 has a near copy and a clean text
+        (None, "n " + clean[::-1]), (None, "m " + clean[::-1]), (None, c),  # near copies without ids
+        (8, " ".join("k" + w for w in base)), (8, " ".join("k" + w for w in base + ["s"])),  # near copies of one id
+        (9, "twice the same text of one id"), (9, "twice the same text of one id"),
+        (10, " "), (10, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = P.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = [tuple(r) for r in out.collect()]
+    assert set(kept) <= set(rows)
+    assert sorted(i for i, _ in kept if i is not None) == [1, 5, 8, 9, 10, 10]
+    assert (1, a) in kept and (5, clean) in kept
+    assert len([t for i, t in kept if i is None]) == 1 and (None, c) not in kept
