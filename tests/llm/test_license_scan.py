@@ -1,6 +1,6 @@
 import re
 
-from textmill.llm.license_scan import TEMPLATES, license_scan
+from textmill.llm.license_scan import TEMPLATES, license_blocks, license_scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
@@ -43,3 +43,26 @@ def test_rows_equal_brute_force(spark, sf_docs, odd_docs, odd_rows, no_docs):
     assert sorted(map(tuple, license_scan(sf_docs).collect())) == sorted((i, *brute(t)) for i, t in texts)
     assert sorted(map(tuple, license_scan(odd_docs).collect()), key=repr) == sorted(((i, *brute(t)) for i, t in odd_rows), key=repr)
     assert license_scan(no_docs).collect() == []
+
+
+def test_blocks_are_those_of_brute_force(spark, sf_docs, no_docs):
+    rows = [
+        (1, "x " * 30 + "Licensed under the Apache License, Version 2.0" + " y" * 30),
+        (2, "released under the MIT license; " * 5),
+        (3, "the mit license"),
+        (4, None),
+        (None, "released under the mit license"),
+    ]
+    rows += [tuple(r) for r in sf_docs.select("doc_id", "text").collect()]
+    want = []
+    for ident, text in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        for label, wording in TEMPLATES:
+            t, size = set(wording.split()), len(wording.split())
+            for i in range(0, len(w), size):
+                shared = t & set(w[i : i + 2 * size])
+                if 5 * len(shared) >= 4 * len(t):
+                    want.append((ident, label, i, sorted(shared)))
+    got = map(tuple, license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 6
+    assert license_blocks(no_docs).collect() == []

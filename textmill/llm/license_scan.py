@@ -82,8 +82,8 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def template_hits(words: Column, hits: Column, n: Column, t: Template) -> Column:
-    """The most words of ``t`` that a block holds, if that is enough; else null.
+def template_blocks(words: Column, hits: Column, n: Column, t: Template) -> Column:
+    """The blocks that match ``t``: (first word, words of ``t`` that it holds).
     ``hits``: (place in the text, word) of all prefix words in the text."""
     prefix = _strings(t.prefix)
     own = F.filter(hits, lambda h: F.array_contains(prefix, h["w"]))
@@ -95,10 +95,17 @@ def template_hits(words: Column, hits: Column, n: Column, t: Template) -> Column
         block = F.slice(words, b * t.length + 1, F.lit(2 * t.length))
         first = F.array_position(F.transform(prefix, lambda w: F.array_contains(block, w)), True)
         bound = F.least(F.lit(len(t.tokens) + 1) - first, F.size(block))
-        return F.when((first > 0) & (bound >= t.need), F.size(F.array_intersect(block, _strings(t.tokens)))).otherwise(0)
+        shared = F.array_intersect(block, _strings(t.tokens))
+        return F.when((first > 0) & (bound >= t.need), shared).otherwise(F.array().cast("array<string>"))
+
+    found = F.transform(blocks, lambda b: F.struct((b * t.length).alias("start"), held(b).alias("shared")))
+    found = F.filter(found, lambda m: F.size(m["shared"]) >= t.need)
+    return F.when(F.arrays_overlap(words, prefix) & (n >= t.need), found)
 
-    best = F.array_max(F.transform(blocks, held))
-    return F.when(F.arrays_overlap(words, prefix) & (n >= t.need), F.when(best >= t.need, best))
+
+def template_hits(words: Column, hits: Column, n: Column, t: Template) -> Column:
+    """The most words of ``t`` that a block holds, if that is enough; else null."""
+    return F.array_max(F.transform(template_blocks(words, hits, n, t), lambda m: F.size(m["shared"])))
 
 
 def phrase_places(words: Column, n: Column, phrase: list[str]) -> Column:
@@ -117,6 +124,36 @@ def phrase_places(words: Column, n: Column, phrase: list[str]) -> Column:
     return F.when(here, F.filter(every, stands)).otherwise(F.array().cast("array<int>"))
 
 
+def texts_with_hits(docs: DataFrame, id_col: str, text_col: str, plans: list[Template]) -> DataFrame:
+    """``id, words, n, hits``: the words of each text, and place and word of those
+    that are in the prefix of a template (null if there are none)."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), words_of(F.col(f"`{text_col}`")).alias("words"))
+    heads = _strings(sorted({w for t in plans for w in t.prefix}))
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    hits = F.when(F.arrays_overlap("words", heads), F.filter(numbered, lambda h: F.array_contains(heads, h["w"])))
+    return rows.withColumns({"n": F.size("words"), "hits": hits})
+
+
+def license_blocks(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    threshold: tuple[int, int] = (4, 5),
+) -> DataFrame:
+    """One row per matched block of each input row: ``id, label, start, shared``,
+    the number of its first word from 0 and the template's words that it holds."""
+    plans = ordered_templates(docs, text_col, templates, threshold)
+    rows = texts_with_hits(docs, id_col, text_col, plans)
+
+    def found(t: Template) -> Column:
+        blocks = F.coalesce(template_blocks(F.col("words"), F.col("hits"), F.col("n"), t), F.array())
+        return F.transform(blocks, lambda m: F.struct(F.lit(t.label).alias("label"), m["start"].cast("long").alias("start"), F.array_sort(m["shared"]).alias("shared")))
+
+    rows = rows.select("id", F.explode(F.concat(*[found(t) for t in plans])).alias("m"))
+    return rows.select(F.col("id").alias(id_col), "m.label", "m.start", "m.shared")
+
+
 def license_scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -134,16 +171,12 @@ def license_scan(
     a matching block holds, else 0. A null text has no words. Rows may repeat;
     other columns are not read."""
     plans = ordered_templates(docs, text_col, templates, threshold)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), words_of(F.col(f"`{text_col}`")).alias("words"))
-    rows = rows.withColumn("n", F.size("words"))
+    rows = texts_with_hits(docs, id_col, text_col, plans)
     words, n = F.col("words"), F.col("n")
-    heads = sorted({w for t in plans for w in t.prefix})
-    numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    hits = F.when(F.arrays_overlap(words, _strings(heads)), F.filter(numbered, lambda h: F.array_contains(_strings(heads), h["w"])))
     places = []
     for phrase, _ in PHRASES:
         places.append(phrase_places(words, n, phrase.split()))
-    rows = rows.select("id", "words", "n", hits.alias("hits"), *[p.alias(f"p{i}") for i, p in enumerate(places)])
+    rows = rows.select("id", "words", "n", "hits", *[p.alias(f"p{i}") for i, p in enumerate(places)])
     found = [template_hits(F.col("words"), F.col("hits"), F.col("n"), t).alias(f"t{i}") for i, t in enumerate(plans)]
     rows = rows.select("id", "n", *[f"p{i}" for i in range(len(PHRASES))], *found)
     starts = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])
