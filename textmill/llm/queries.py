@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import language_id, license_scan, merkle, quality
+from textmill.llm import language_id, lexical_search, license_scan, merkle, quality, sharding, whitening
 from textmill.llm.byte_bpe import bpe_digests
 from textmill.llm.common import fold, table
 from textmill.llm.exact_dedup import exact_groups
@@ -82,6 +82,43 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(table(spark, sf_dir, "documents"))
 
 
+def grid(vector: Column) -> Column:
+    """Whole 64ths, moved by a million."""
+    return F.transform(vector, lambda c: F.floor(c.cast("double") * 64) + F.lit(1_000_000))
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = rows.where(F.col("embedding").isNotNull() & finite).select("vec_id", grid(F.col("embedding")).alias("x"))
+    learnt = whitening.learn(rows, "x", components=16)
+    shares = F.array(*[F.lit(float(e)) for e in learnt.explained]) if learnt else F.array().cast("array<double>")
+    out = whitening.whiten(rows, learnt, "vec_id", "x").select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(learnt.n if learnt else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(learnt.identity_error if learnt else 0.0).alias("identity_error"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest is taken from the rows that the shuffle has written."""
+    docs = sharding.shuffle_shards(table(spark, sf_dir, "documents"), n_shards=16, bucket_bytes=16 << 20)
+    size = sharding.text_size(F.col("text"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
@@ -93,6 +130,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_fm": op9_quality_fm,
     "op10_weighted_sampling": op10_weighted_sampling,
+    "op11_whitening": op11_whitening,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_shuffle_shards": op13_shuffle_shards,
 }
 
 _OP5 = r"""
@@ -190,4 +230,31 @@ FROM (SELECT * FROM root WHERE rep = 'a') a FULL JOIN (SELECT * FROM root WHERE
 LEFT JOIN leaf USING (archive) LEFT JOIN found USING (archive)
 """
 
-ORACLE = {"op5_source_mix": _OP5, "op6_merkle_fixity": _OP6, "op7_license_scan": license_scan.ORACLE, "op8_exact_dedup": _OP8}
+_OP12 = r"""
+WITH words AS (
+  SELECT doc_id, term
+  FROM (SELECT doc_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents)),
+tfs AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM words GROUP BY doc_id, term),
+lens AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY doc_id),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lens),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tfs, corpus GROUP BY term),
+items AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS q
+  FROM (SELECT item_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN tfs USING (term) JOIN lens USING (doc_id), corpus
+  GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 20
+"""
+
+ORACLE = {"op5_source_mix": _OP5, "op6_merkle_fixity": _OP6, "op7_license_scan": license_scan.ORACLE, "op8_exact_dedup": _OP8,
+          "op12_lexical_search": _OP12}
