@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..session import bounded_broadcast
+from .lexical import code_lines
 
 # Manifest file names recognised without caller patterns.
 MANIFEST_PATTERNS = [r"(^|/)requirements[^/]*\.txt$"]
@@ -123,23 +124,25 @@ def parse_package_json(files: DataFrame) -> DataFrame:
 def extract_imports(lines: DataFrame) -> DataFrame:
     """Top-level modules imported per line: Python ``import a, b.c as d`` and
     ``from a.b import c`` (relative imports dropped) in ``.py`` files, in each
-    of the statements that ``;`` joins and without comments;
+    of the statements that ``;`` joins, where the line starts as code: not in
+    comments and strings, docstrings of many lines included;
     ``require('x')`` and ``from 'x'`` in JavaScript files, scoped names keep
     two parts, relative paths dropped. ``project, path, line_no, module``."""
     is_py = F.col("path").endswith(".py")
     is_js = F.col("path").rlike(JS_SUFFIXES)
-    statements = F.transform(F.split(F.regexp_replace("line", r"#.*$", ""), ";"), lambda x: py_strip(x))
+    statements = F.transform(F.split("code", ";"), lambda x: py_strip(x))
     names = F.transform(statements, lambda x: F.concat(
         F.transform(F.split(F.regexp_extract(x, PY_IMPORT, 1), ","),
                     lambda y: F.regexp_extract(F.trim(y), r"^([A-Za-z_]\w*)", 1)),
         F.array(F.regexp_extract(x, PY_FROM, 1))))
-    py = F.when(is_py & F.col("line").contains("import"), F.filter(F.flatten(names), lambda x: x != ""))
+    py = F.when(F.col("code").contains("import"), F.filter(F.flatten(names), lambda x: x != ""))
     js = F.when(is_js, F.concat(F.regexp_extract_all("line", F.lit(JS_REQUIRE), 1),
                                 F.regexp_extract_all("line", F.lit(JS_FROM), 1)))
     js = F.transform(js, lambda m: F.regexp_extract(m, r"^(@[^/]+/[^/]+|[^/]+)", 1))
-    mods = F.concat(F.coalesce(py, F.array().cast("array<string>")),
-                    F.coalesce(js, F.array().cast("array<string>")))
-    out = lines.select("project", "path", "line_no", F.explode(mods).alias("module"))
+    src = lines.select("project", "path", "line_no", "line")
+    code = code_lines(src.where(is_py), ("project", "path"), only="import").where("state = 0")
+    out = code.select("project", "path", "line_no", F.explode(py).alias("module")).unionByName(
+        src.select("project", "path", "line_no", F.explode(js).alias("module")))
     return out.filter((F.col("module") != "") & ~F.col("module").startswith("."))
 
 

@@ -1,10 +1,13 @@
-"""Code-hygiene jobs: repeated blocks of lines and unused definitions."""
+"""Code-hygiene jobs: repeated blocks of lines and unused definitions.
+
+Maximal repeated runs are in ``repeats``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lexical import code_lines
 
 BLOCK_BUCKET = 1024
 
@@ -78,10 +81,13 @@ def unused_definitions(lines: DataFrame) -> DataFrame:
     """Imports, functions, classes and module-level variables whose name
     occurs only once (at its definition) among the tokens of its file.
 
-    Token counts are grouped by ``(path, token)`` with partial aggregation,
-    so a large file spreads over the shuffle by token."""
-    toks = lines.select("path", F.explode(F.regexp_extract_all("line", F.lit(TOKEN), 0)).alias("name"))
+    Only code counts: names in comments and strings, docstrings of many lines
+    included, are no uses, and lines inside strings define nothing. Token counts
+    are grouped by ``(path, token)`` with partial aggregation, so a large file
+    spreads over the shuffle by token."""
+    code = code_lines(lines.select("path", "line_no", "line")).drop("line").withColumnRenamed("code", "line")
+    toks = code.select("path", F.explode(F.regexp_extract_all("line", F.lit(TOKEN), 0)).alias("name"))
     counts = toks.groupBy("path", "name").agg(F.count("*").alias("_n"))
-    d = definitions(lines)
+    d = definitions(code.where("state = 0"))
     return d.join(counts.filter(F.col("_n") == 1), ["path", "name"], "left_semi").select(
         "path", "line_no", "kind", "name")

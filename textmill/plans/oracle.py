@@ -347,6 +347,34 @@ SELECT block_hash, CAST(count(*) AS BIGINT) AS n,
 FROM h GROUP BY block_hash HAVING count(*) > 1
 """
 
+
+
+def run_places_sql(k: int) -> str:
+    """Places of maximal repeated runs, from the counts of k and k + 1 lines."""
+    def lines_from(n):
+        return " || chr(10) || ".join(["line", *[f"lead(line, {i}) OVER f" for i in range(1, n)]])
+
+    return f"""
+WITH l AS ({LINES_P}),
+w AS (SELECT path, line_no, sha256({lines_from(k)}) AS u, sha256({lines_from(k + 1)}) AS uv
+      FROM l WINDOW f AS (PARTITION BY path ORDER BY line_no)),
+c AS (SELECT *, count(*) OVER (PARTITION BY u) AS n, count(*) OVER (PARTITION BY uv) AS n_uv FROM w WHERE u IS NOT NULL),
+e AS (SELECT *, uv IS NOT NULL AND n_uv = n AND lead(n) OVER (PARTITION BY path ORDER BY line_no) = n AS linked FROM c),
+g AS (SELECT *, CASE WHEN coalesce(lag(linked) OVER (PARTITION BY path ORDER BY line_no), false) THEN 0 ELSE 1 END AS starts FROM e),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY path ORDER BY line_no) AS run FROM g)
+SELECT path, CAST(min(line_no) AS BIGINT) AS first_line, CAST(count(*) + {k - 1} AS BIGINT) AS n_lines,
+       arg_min(u, line_no) AS block_hash, CAST(min(n) AS BIGINT) AS n
+FROM s WHERE n > 1 GROUP BY path, run"""
+
+
+ORACLE["run_places"] = run_places_sql(4)
+
+ORACLE["repeated_runs"] = f"""
+SELECT block_hash, max(n_lines) AS n_lines, max(n) AS n, arg_min(path, (path, first_line)) AS first_path,
+       arg_min(first_line, (path, first_line)) AS first_line
+FROM ({run_places_sql(2)}) r GROUP BY block_hash
+"""
+
 NEW_LINES = f"""
 SELECT path, line_no * 10 AS k,
        CASE WHEN line_no % 5 = 2 THEN line || ' (edited)' ELSE line END AS line

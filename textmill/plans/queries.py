@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers as ans
-from ..operators import chunking, corpus, deps, hygiene, infer, lines, prompts, ranges, rewrite
+from ..operators import chunking, corpus, deps, hygiene, includes, infer, lexical, lines, prompts, ranges, repeats, rewrite
 from ..operators import requests as req
+from ..operators import version_ranges
 from ..operators import versions as vers
 from ..session import scratch_path
 from ..streaming import requests as req_stream
 from . import stubs
 from .tables import (
     ALIASES, STDLIB, analysis_answers, answers_from_events, code_file_lines, code_files, corpus_versions,
-    doc_lines, doc_path, edited_tree, edits, files_from_documents, latest_versions, line_delta, manifest_file_lines, package_files,
-    part_code_lines, project_files_from_orders, render_requests, requests_from_conversations,
+    doc_lines, doc_path, edited_tree, edits, files_from_documents, include_file_lines, latest_versions, line_delta, manifest_file_lines, package_files,
+    part_code_lines, part_script_lines, project_files_from_orders, range_file_lines, render_requests, requests_from_conversations,
     routed_requests, selections, table, tool_specs,
 )
 
@@ -277,6 +278,16 @@ def duplicate_long_blocks(spark, sf_dir):
     return hygiene.duplicate_blocks(doc_lines(spark, sf_dir), k=5, bucket=3)
 
 
+@query
+def repeated_runs(spark, sf_dir):
+    return repeats.repeated_runs(doc_lines(spark, sf_dir), k=2)
+
+
+@query
+def run_places(spark, sf_dir):
+    return repeats.run_places(doc_lines(spark, sf_dir), k=4)
+
+
 @query
 def snapshot_diff(spark, sf_dir):
     return vers.snapshot_diff(corpus_versions(spark, sf_dir))
@@ -421,6 +432,29 @@ def version_conflicts(spark, sf_dir):
     return deps.version_conflicts(_reqs(spark, sf_dir))
 
 
+@query
+def unsatisfiable_ranges(spark, sf_dir):
+    return version_ranges.unsatisfiable(deps.parse_manifests(range_file_lines(spark, sf_dir)))
+
+
+@query
+def manifest_includes(spark, sf_dir):
+    files, _ = includes.resolve_includes(include_file_lines(spark, sf_dir))
+    return files.select("project", "file", "kind", big("depth").alias("depth"))
+
+
+@query
+def include_errors(spark, sf_dir):
+    _, errors = includes.resolve_includes(include_file_lines(spark, sf_dir))
+    return errors.select("project", "file", big("line_no").alias("line_no"), "target", "error")
+
+
+@query
+def manifest_closure(spark, sf_dir):
+    rows, _ = includes.parse_closure(include_file_lines(spark, sf_dir))
+    return rows.select("project", "file", big("line_no").alias("line_no"), "pkg", "op", "version", "kind")
+
+
 @query
 def outdated_deps(spark, sf_dir):
     out = deps.outdated_deps(_reqs(spark, sf_dir), latest_versions(spark, sf_dir))
@@ -446,6 +480,24 @@ def unused_definitions(spark, sf_dir):
     return out.select("path", big("line_no").alias("line_no"), "kind", "name")
 
 
+@query
+def code_lines(spark, sf_dir):
+    out = lexical.code_lines(part_script_lines(spark, sf_dir), ("project", "path"))
+    return out.select("path", big("line_no").alias("line_no"), big("state").alias("state"), "code")
+
+
+@query
+def unused_in_code(spark, sf_dir):
+    out = hygiene.unused_definitions(part_script_lines(spark, sf_dir))
+    return out.select("path", big("line_no").alias("line_no"), "kind", "name")
+
+
+@query
+def imports_in_code(spark, sf_dir):
+    out = deps.extract_imports(part_script_lines(spark, sf_dir))
+    return out.select("path", big("line_no").alias("line_no"), "module")
+
+
 # ---------------------------------------------------------------- prompts, inference, rewrites
 
 

@@ -9,7 +9,7 @@ identical data. All renderings read whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -451,3 +451,82 @@ def part_code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = F.concat(F.lit("brand"), F.regexp_extract("p_brand", r"(\d+)", 1), F.lit(".py"))
     return p.select(path.alias("path"), pk.cast("int").alias("line_no"), line.alias("line"))
+
+
+def part_script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines(project, path, line_no, line)``: one Python file per brand with
+    comments, docstrings, strings that open and close over many lines, f-strings
+    and continued lines around its definitions and uses."""
+    p = table(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    own, prev, back = (x.cast("string") for x in (pk, pk - 1, pk - 2))
+    s = F.col("p_size").cast("string")
+
+    def text(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    kinds = [
+        text("import m", own),
+        text("def f", own, "(x):"),
+        text("    return f", prev, "(x) + v", back),
+        text("v", own, " = ", s),
+        text("class C", own, ":"),
+        text("from pkg", s, " import name", own, " as alias", own),
+        text("# f", prev, " is old, 'see v", back),
+        text('    """ doc of f', prev, ' """'),
+        text('text = """starts with v', prev),
+        text("ends v", back, '""" + f', prev, "(1)"),
+        text("w", own, " = 'it\\'s # no comment' + v", prev),
+        text("y", own, " = 1 + \\"),
+        text("s", own, " = r'part one \\"),
+        text('print(f"{v', prev, "} is # v", back, '")'),
+        text("x = '''a''' ; import os", own, " # v", prev),
+    ]
+    line = F.element_at(F.array(*kinds), (F.col("p_size") % len(kinds) + 1).cast("int"))
+    path = F.concat(F.lit("brand"), F.regexp_extract("p_brand", r"(\d+)", 1), F.lit(".py"))
+    number = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return p.select(F.lit("parts").alias("project"), path.alias("path"), number.alias("line_no"), line.alias("line"))
+
+
+def range_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines(project, path, line_no, line)``: requirement files in which several
+    lines bound the same two packages of an order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    a = F.col("l_suppkey") % 3 + 1
+    b = F.floor(F.col("l_partkey") / 10) % 4
+    v = F.concat(a.cast("string"), F.lit("."), b.cast("string"))
+    clauses = ["==", ">=", "<", "<=", ">", "!=", "==", "~=", "!=", ">="]
+    ends = [v, v, v, F.concat(v, F.lit("rc1")), v, v, F.concat(a.cast("string"), F.lit(".*")), v,
+            F.concat(a.cast("string"), F.lit(".*")), F.concat(v, F.lit(",<"), (a + 1).cast("string"), F.lit(".0"))]
+    spec = F.element_at(F.array(*[F.concat(F.lit(c), e) for c, e in zip(clauses, ends)]), (F.col("l_partkey") % 10 + 1).cast("int"))
+    line = F.concat(F.lit("lib-"), (F.col("l_linenumber") % 2).cast("string"), spec)
+    return li.select(_project(F.col("l_orderkey")).alias("project"), F.lit("requirements.txt").alias("path"),
+                     F.col("l_linenumber").cast("int").alias("line_no"), line.alias("line"))
+
+
+def include_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines(project, path, line_no, line)``: requirement files of orders that
+    include each other: chains, cycles, constraints, missing files and addresses."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    ln, pk = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+
+    def f(n):
+        return F.concat(F.lit("f"), (ln + n).cast("string"), F.lit(".txt"))
+
+    kinds = [
+        F.concat(F.lit("-r "), f(1)), F.concat(F.lit("-r ./"), f(2)), F.lit("-c ../constraints/c.txt  # shared"),
+        F.lit("-r ../requirements.txt"), F.concat(F.lit("--requirement=../deps/"), f(1)), F.lit("-r https://example.org/x.txt"),
+        F.lit("-r ../../up.txt"), F.concat(F.lit("-c "), f(3)),
+    ]
+    include = F.element_at(F.array(*kinds), (F.col("l_partkey") % len(kinds) + 1).cast("int"))
+    pin = F.concat(F.lit("part-"), pk, F.lit("=="), ln.cast("string"), F.lit(".0"))
+
+    def rows(df, project, path, lines):
+        x = df.select(_project(project).alias("project"), path.alias("path"), F.posexplode(F.array(*lines)).alias("n", "line"))
+        return x.select("project", "path", (F.col("n") + 1).alias("line_no"), "line")
+
+    root = rows(o, F.col("o_orderkey"), F.lit("requirements.txt"), [F.lit("-r deps/f1.txt"), F.lit("root-pkg>=1")])
+    shared = rows(o, F.col("o_orderkey"), F.lit("constraints/c.txt"), [F.lit("shared-pkg<2"), F.lit("-r ../deps/f2.txt")])
+    deps_files = rows(li, F.col("l_orderkey"), F.concat(F.lit("deps/f"), ln.cast("string"), F.lit(".txt")), [include, pin])
+    return root.unionByName(shared).unionByName(deps_files)

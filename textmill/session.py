@@ -73,6 +73,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the checkpoint root and read it back: what follows starts
+    from files that outlive any executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
     """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows and
     ``max_bytes`` bytes of values.
