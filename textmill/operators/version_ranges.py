@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .deps import VERSION, version_key
 
 KEY = "struct<r:array<bigint>,k:int,n:bigint,e:int>"
@@ -84,7 +85,8 @@ def unsatisfiable(reqs: DataFrame) -> DataFrame:
     bounds the lower one with the largest text and the upper one with the smallest are
     named. Null projects are a project. Empty input gives no rows."""
     r = intervals(reqs).where("compared").withColumn("clause_text", F.concat("op", "version"))
-    r = r.withColumn("_pkg", F.struct("project", "pkg"))
+    # bounds are computed once and read twice
+    r = materialize(r.select(F.struct("project", "pkg").alias("_pkg"), "lo", "hi", "excluded", "clause_text"), "version-ranges")
 
     def bound(side: str, pick):
         return pick(F.when(F.col(side).isNotNull() & ~F.col("excluded"), F.struct(side, "clause_text")))

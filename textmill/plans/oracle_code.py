@@ -159,7 +159,7 @@ SELECT project, file, CASE hard WHEN 1 THEN 'requirement' ELSE 'constraint' END
 
 CODE_ORACLE["include_errors"] = f"""
 WITH RECURSIVE {INCLUDED},
-used AS (SELECT e.* FROM edges e JOIN files f ON f.project = e.project AND f.file = e.file),
+used AS (SELECT DISTINCT e.* FROM edges e JOIN files f ON f.project = e.project AND f.file = e.file),
 leads AS (SELECT DISTINCT project, file AS a, path AS b FROM good
           UNION SELECT l.project, l.a, g.path FROM leads l JOIN good g ON g.project = l.project AND g.file = l.b)
 SELECT u.project, u.file, CAST(u.line_no AS BIGINT) AS line_no, u.target,
