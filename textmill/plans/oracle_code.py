@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.lexical import patterns
-from .oracle import _KIND, _NAME
+from .oracle import _KIND, _NAME, VERSIONS
 
 CODE_ORACLE: dict[str, str] = {}
 
@@ -177,3 +177,12 @@ rows AS (SELECT 'order-' || o_orderkey AS project, 'requirements.txt' AS file, 2
 SELECT r.project, r.file, CAST(line_no AS BIGINT) AS line_no, pkg, op, version, CASE hard WHEN 1 THEN 'requirement' ELSE 'constraint' END AS kind
 FROM rows r JOIN files f ON f.project = r.project AND f.file = r.file
 """
+
+# What any exact delta has: the lines of each side, and the sides themselves.
+CODE_ORACLE["delta_sides"] = f"""
+WITH v AS ({VERSIONS}),
+n AS (SELECT path, nullif(old, '') AS a, nullif(new, '') AS b FROM v)
+SELECT path, CAST(coalesce(len(regexp_extract_all(a, '[^\\n]*\\n|[^\\n]+')), 0) AS BIGINT) AS n_old,
+       CAST(coalesce(len(regexp_extract_all(b, '[^\\n]*\\n|[^\\n]+')), 0) AS BIGINT) AS n_new, md5(a) AS old_md5, md5(b) AS new_md5
+FROM n WHERE a IS NOT NULL OR b IS NOT NULL
+"""

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as ans
 from ..operators import chunking, corpus, deps, hygiene, includes, infer, lexical, lines, prompts, ranges, repeats, rewrite
+from ..operators import line_delta as deltas
 from ..operators import requests as req
 from ..operators import version_ranges
 from ..operators import versions as vers
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import requests as req_stream
 from . import stubs
 from .tables import (
@@ -432,6 +433,16 @@ def version_conflicts(spark, sf_dir):
     return deps.version_conflicts(_reqs(spark, sf_dir))
 
 
+@query
+def delta_sides(spark, sf_dir):
+    """The delta of two versions, and both sides restored from it."""
+    delta = materialize(deltas.line_delta(corpus_versions(spark, sf_dir)), "delta")
+    tag = F.substring("line", 1, 2)
+    n = delta.groupBy("path").agg(F.count(F.when(tag != "+ ", 1)).alias("n_old"), F.count(F.when(tag != "- ", 1)).alias("n_new"))
+    one, two = (vers.restore_side(delta, s).select("path", md5("text").alias(name)) for s, name in ((1, "old_md5"), (2, "new_md5")))
+    return n.join(one, "path", "left").join(two, "path", "left")
+
+
 @query
 def unsatisfiable_ranges(spark, sf_dir):
     return version_ranges.unsatisfiable(deps.parse_manifests(range_file_lines(spark, sf_dir)))
