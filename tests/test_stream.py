@@ -19,3 +19,27 @@ def test_stream_two_batches(spark, tmp_path):
     dead = sorted((r.session, r.turn, r.status) for r in read_sink(spark, out, "dead").collect())
     assert good == [(1, 0, "a"), (2, 0, "b"), (2, 2, "c")]
     assert dead == [(1, 1, "after exit"), (1, 2, "after exit"), (2, 1, "blank")]
+
+
+def test_any_split_and_order_of_files(spark, tmp_path):
+    import random
+
+    from textmill.operators.requests import session_requests
+
+    rng = random.Random(6)
+    rows = [(s, t, rng.choice(["do", "  ", "go on", "Exit", " quit "]) if t > 2 else f"ask {t}") for s in range(12) for t in range(9)]
+    rows.append((None, 1, "no session"))
+    schema = "session long, turn long, text string"
+    want = sorted(((r.session, r.turn, r.text) for r in session_requests(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    for trial, (n_files, per_batch) in enumerate([(1, 1), (5, 1), (7, 3)]):
+        rng.shuffle(rows)
+        src = tmp_path / f"in{trial}"
+        src.mkdir()
+        for i in range(n_files):
+            part = pd.DataFrame(rows[i::n_files], columns=["session", "turn", "text"]).astype({"session": "Int64"})
+            part.to_parquet(src / f"p{i}.parquet")
+        out = request_stream(spark, str(src), schema, lambda df: df, out_dir=str(tmp_path / f"out{trial}"),
+                             checkpoint=str(tmp_path / f"ckpt{trial}"), max_files_per_trigger=per_batch)
+        got = sorted(((r.session, r.turn, r.text) for r in read_sink(spark, out, "good").collect()), key=repr)
+        assert got == want
+        assert read_sink(spark, out, "good").count() + read_sink(spark, out, "dead").count() == len(rows)

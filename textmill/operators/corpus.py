@@ -61,9 +61,10 @@ def collect_corpus(
 
 def head_text(files: DataFrame, n: int | None = None) -> DataFrame:
     """First file of each project by path; ``head`` is its text, or the first
-    ``n`` characters if the caller asks for so many."""
-    first = files.groupBy("project").agg(F.min("path").alias("path"))
-    out = files.join(first, ["project", "path"], "left_semi")
+    ``n`` characters if the caller asks for so many. A null project is one; rows
+    that share the first path all come out."""
+    first = files.groupBy("project").agg(F.min("path").alias("path")).select(F.struct("project", "path").alias("_first"))
+    out = files.join(first, F.struct("project", "path") == F.col("_first"), "left_semi")
     return out.withColumn("head", F.col("content") if n is None else F.substring("content", 1, n))
 
 
@@ -111,19 +112,21 @@ def _packs(files: DataFrame, pack_bytes: int) -> DataFrame:
     project's rows of one partition, and one row a partition carries the sum."""
     spark = files.sparkSession
     size = F.col("length") if "length" in files.columns else F.octet_length("content")
-    narrow = files.select("project", "path", F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    # one row a path, with the bytes of all rows that share it: they go to one pack
+    narrow = files.groupBy("project", "path").agg(F.sum(F.coalesce(size, F.lit(0)).cast("long")).alias("_size"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     path = scratch_path(spark, "packs")
     narrow.repartitionByRange(parts, "project", "path").withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    narrow = spark.read.parquet(path)
-    w = Window.partitionBy("project", "_part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    sums = narrow.groupBy("project", "_part").agg(F.sum("_size").alias("_sum"))
-    up = Window.partitionBy("project").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("project", "_part", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_base"))
+    narrow = spark.read.parquet(path).withColumn("_of", F.struct("project", "_part"))
+    w = Window.partitionBy("_of").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    sums = narrow.groupBy("_of").agg(F.sum("_size").alias("_sum"))
+    up = Window.partitionBy("_of.project").orderBy("_of._part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_of", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_base"))
     before = F.coalesce(F.sum("_size").over(w), F.lit(0))
-    at = narrow.withColumn("_before", before).join(sums, ["project", "_part"])
-    at = at.select("project", "path", F.floor((F.col("_base") + F.col("_before")) / pack_bytes).cast("long").alias("pack"))
-    return files.join(at, ["project", "path"])
+    # structs as keys: a null project or path is a value like others
+    at = narrow.withColumn("_before", before).join(sums, "_of")
+    at = at.select(F.struct("project", "path").alias("_at"), F.floor((F.col("_base") + F.col("_before")) / pack_bytes).cast("long").alias("pack"))
+    return files.join(at, F.struct("project", "path") == F.col("_at")).drop("_at")
 
 
 def file_block(path="path", language="language", content="content") -> F.Column:

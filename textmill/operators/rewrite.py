@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import drop_echo, path_suffix, safe_name, strip_code_fences, swap_suffix
 from ..session import scratch_path
@@ -36,8 +37,8 @@ def write_approved(
     keys = list(keys)
     c = changes
     if approvals is not None:
-        once = approvals.groupBy(*keys).agg(F.min(F.coalesce("approved", F.lit(False))).alias("_ok"))
-        c = c.join(once, keys, "left")
+        once = approvals.groupBy(F.struct(*keys).alias("_for")).agg(F.min(F.coalesce("approved", F.lit(False))).alias("_ok"))
+        c = c.join(once, F.struct(*[c[k] for k in keys]) == F.col("_for"), "left").drop("_for")
     else:
         c = c.withColumn("_ok", F.lit(False))
     changed = ~F.col("old").eqNullSafe(F.col("new"))
@@ -61,10 +62,20 @@ def write_approved(
 
 
 def read_written(spark, out: str, keys=("project", "path")) -> DataFrame:
-    """The newest written content of each row over all versions below ``out``."""
-    rows = spark.read.option("basePath", out).parquet(out).withColumn("version", F.col("version").cast("string"))
-    newest = rows.groupBy(*keys).agg(F.max("version").alias("version"))
-    return rows.join(newest, [*keys, "version"]).select(*keys, "version", "content")
+    """The newest written content of each row over all versions below ``out``.
+
+    Versions that are numbers are in the order of numbers, and before names;
+    projects are text, as folders are, and a null project is one."""
+    files = spark.read.option("basePath", out)
+    found = files.parquet(out).schema
+    for name in ("version", "project"):
+        if name in found.names:
+            found[name].dataType = T.StringType()  # no guess from the names of folders
+    rows = files.schema(found).parquet(out)
+    order = F.struct(F.when(F.col("version").rlike("^[0-9]+$"), F.lpad("version", 40, "0")).otherwise(F.col("version")).alias("o"), "version")
+    newest = rows.groupBy(F.struct(*keys).alias("_row")).agg(F.max(order).alias("_newest"))
+    mine = F.struct(*[rows[k] for k in keys])
+    return rows.join(newest, (mine == F.col("_row")) & (rows["version"] == F.col("_newest.version"))).select(*keys, "version", "content")
 
 
 def rewrite_corpus(

@@ -1,16 +1,18 @@
 """Request stream: arriving request files, per-session exits, two sinks.
 
 ``readStream`` over parquet files of requests (at most ``maxFilesPerTrigger``
-files per micro-batch). ``foreachBatch`` writes each micro-batch once, then
-works from that copy: the first exit turn of each session in the batch is a
-partial aggregation, kept as ``exits/batch=<id>``; the earliest exit over this
-and all earlier batches says which requests come after the end of their
-session. Rows go to the sinks ``good`` and ``dead`` (blank requests and
-requests after the exit, which are the late data) in one write.
-
-A row's session is only a join key against one row per session, so a session
-with very many requests is split like any skewed join; no Python and no state
-store. Every folder of a batch is overwritten when the batch is replayed.
+files per micro-batch). ``foreachBatch`` appends to two tables: ``seen``, the
+requests as they came, and ``exits``, the first exit turn of each session in the
+batch (a partial aggregation). Which requests come after the end of their session
+is decided by the least exit turn over all batches. A minimum does not depend on
+order, so an exit that arrives late still closes requests that arrived before it:
+any split and any order of the same files gives the same rows, those of
+``session_requests``. A batch costs what it brings, never the history.
+
+The sinks ``good`` and ``dead`` (blank requests and requests from the exit on) are
+views over the two tables: a join of the requests with one row a session, so a
+session with very many requests is split like any skewed join; no Python and no
+state store. Every folder of a batch is overwritten when the batch is replayed.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql.types import StructType
 from ..functions.text import py_strip
 from ..session import scratch_path
 
+# Folders of the two tables.
+SEEN, EXITS = "seen", "exits"
 # Words that end a session.
 EXIT_WORDS = ["exit", "quit"]
 
@@ -69,20 +73,12 @@ def request_stream(
         reader = reader.option("pathGlobFilter", file_glob)
     raw = reader.parquet(source)
     reqs = render(raw).select("session", "turn", "text")
-    seen_dir, exit_dir, sink_dir = (os.path.join(out_dir, n) for n in ("seen", "exits", "sinks"))
-
     def sink(batch: DataFrame, batch_id: int):
         session = batch.sparkSession
-        here = os.path.join(seen_dir, f"batch={batch_id}")
+        here = os.path.join(out_dir, SEEN, f"batch={batch_id}")
         batch.write.mode("overwrite").parquet(here)
         rows = session.read.schema(batch.schema).parquet(here)
-        mine = first_exits(rows)
-        mine.write.mode("overwrite").parquet(os.path.join(exit_dir, f"batch={batch_id}"))
-        known = session.read.option("basePath", exit_dir).schema(mine.schema.add("batch", "long")).parquet(exit_dir)
-        exits = known.filter(F.col("batch") <= batch_id).groupBy("session").agg(F.min("exit_turn").alias("exit_turn"))
-        out = classify(rows, exits)
-        out = out.withColumn("sink", F.when(F.col("status") == "ok", "good").otherwise("dead"))
-        out.write.mode("overwrite").partitionBy("sink").parquet(os.path.join(sink_dir, f"batch={batch_id}"))
+        first_exits(rows).write.mode("overwrite").parquet(os.path.join(out_dir, EXITS, f"batch={batch_id}"))
 
     q = (reqs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -91,8 +87,10 @@ def request_stream(
 
 
 def read_sink(spark: SparkSession, out_dir: str, sink: str) -> DataFrame:
-    """Rows of one sink ('good' or 'dead') over all micro-batches."""
-    df = spark.read.parquet(os.path.join(out_dir, "sinks")).filter(F.col("sink") == sink)
-    cols = ["session", "turn", "text"] + (["status"] if sink == "dead" else [])
-    return df.select(*cols)
-
+    """Rows of one sink ('good' or 'dead') over all micro-batches so far."""
+    seen, exits = (spark.read.parquet(os.path.join(out_dir, n)) for n in (SEEN, EXITS))
+    ends = exits.groupBy("session").agg(F.min("exit_turn").alias("exit_turn"))
+    rows = classify(seen.drop("batch"), ends)
+    if sink == "good":
+        return rows.where("status = 'ok'").select("session", "turn", "text")
+    return rows.where("status <> 'ok'").select("session", "turn", "text", "status")
