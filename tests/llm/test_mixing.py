@@ -73,3 +73,19 @@ def test_mixed_documents_hold_the_taken_words(sf_docs):
         got[r["doc_id"]] += len(WORD.findall(r["text"]))
     want = {r["doc_id"]: r["taken"] for r in mix_totals(sf_docs, block_words=500).collect() if r["taken"]}
     assert dict(got) == want
+
+
+def test_null_and_repeated_ids_take_what_the_plan_says(spark):
+    rows = [(None if i % 3 == 0 else i % 40, " ".join(f"w{i}x{j}" for j in range(i % 9 + 1)), f"s{i % 3}", 1, "k") for i in range(300)]
+    rows += [(7, "same row twice over", "s1", 1, "k")] * 30 + [(None, None, "s1", 1, "k"), (None, " ", None, 1, "k")]
+    # names that the plan uses itself
+    for names in ("doc_id,text,source,pass,words", "doc_id,text,source,m_words,m_size", "doc_id,text,source,h,row", "doc_id,text,source,size,rank"):
+        docs = spark.createDataFrame(rows, [*names.split(",")]).select(*names.split(","))
+        placed, pieces = mix_plan(docs, block_words=50)
+        out = mixed_documents(docs, block_words=50)
+        assert out.columns == docs.columns
+        got = out.collect()
+        texts = Counter(r[1] for r in rows)
+        assert sum(len(WORD.findall(r["text"])) for r in got) == pieces.agg({"words": "sum"}).first()[0]
+        whole = Counter(r["text"] for r in got if r["text"] in texts)
+        assert all(n <= 2 * texts[t] for t, n in whole.items()) and placed.count() == len(rows)

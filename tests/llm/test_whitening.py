@@ -8,7 +8,8 @@ from textmill.llm.queries import grid, op11_whitening
 
 def brute(x, k):
     fit = np.unique(x, axis=0)
-    centred = fit - fit.mean(0)
+    centred = fit - fit.min(0)  # small integers: large ones lose digits in a mean
+    centred = centred - centred.mean(0)
     v = centred.T @ centred / len(fit)
     e, u = np.linalg.eigh(v)
     e, u = e[::-1], u[:, ::-1]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.session import scratch_path
 
@@ -37,3 +38,12 @@ def fold(doc_id: Column) -> Column:
 
 def to_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark hashes values of this type."""
+    if isinstance(kind, T.ArrayType):
+        return hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))

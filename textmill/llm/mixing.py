@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import WORD_PATTERN, materialize
+from textmill.llm.common import WORD_PATTERN, hashable, materialize
 
 #: 2**32 divided by the golden ratio, and 2**32.
 GOLDEN, UNIT = 2654435769, 4294967296
@@ -94,6 +94,12 @@ def schedule(spark, targets: DataFrame, block_words: int) -> DataFrame:
     return ranked.join(words, "rank").select("slot", "rank", (F.col("base") + F.col("k0")).alias("k"), "n_slots", "words")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema if hashable(f.dataType)]
+    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("row"), *cols).alias("b"))
+
+
 def mix_plan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -111,11 +117,14 @@ def mix_plan(
     is the repetition). Null or wordless texts have size 0 and give no pieces;
     null is a source of its own; rows with equal ids are placed one by one;
     equal rows share their result in any order. Reruns agree: the order is the
-    MD5 of seed and id, then id and size."""
+    MD5 of seed and id (of seed and text for a null id), then id, size and a hash
+    of the row, ``h``, which ``placed`` holds too."""
     spark = docs.sparkSession
     ident = F.col(f"`{id_col}`")
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(ident.cast("string"), F.lit(""))).cast("binary"))
+    named = F.coalesce(ident.cast("string"), F.col(f"`{text_col}`"), F.lit(""))
+    order = F.md5(F.concat(F.lit(seed + ":"), named).cast("binary"))
     rows = docs.select(
+        row_hash(docs).alias("h"),
         ident.alias("id"),
         F.col(f"`{source_col}`").alias("source"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
@@ -128,14 +137,14 @@ def mix_plan(
     per_cell = per_cell.withColumn(
         "base", F.sum("cell_words").over(Window.partitionBy("source").orderBy("cell")) - F.col("cell_words")
     ).withColumnsRenamed({"source": "c_source", "cell": "c_cell"})
-    inside = Window.partitionBy("source", "cell").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "cell").orderBy("key", "id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("upto", F.sum("size").over(inside))
     run = run.join(per_cell, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
-    run = run.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).select("id", "source", "size", "start")
+    run = run.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).select("h", "id", "source", "size", "start")
     t = targets.withColumnRenamed("source", "t_source")
     placed = materialize(
         run.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(
-            "id", "source", "size", "start", "source_size", "rank", "target"
+            "h", "id", "source", "size", "start", "source_size", "rank", "target"
         ),
         "mix-placed",
     )
@@ -190,22 +199,26 @@ def mix_totals(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: one row for each pass in
     which a document is taken. Where a target ends inside a document, its last
-    row holds the first words only, as many as are taken. Rows of the same id
-    are told apart by source and text size, as ``mix_plan`` places them."""
+    row holds the first words only, as many as are taken.
+
+    The plan names rows by a hash of all their columns, so null and repeated ids are
+    rows like others: the mixture has exactly the plan's words. Rows that repeat in
+    every column are one row that is planned several times (map and variant columns
+    are not compared; such a row may stand in for its like). Null and wordless
+    texts are in no mixture. Columns may have any names. An empty table gives no
+    rows."""
     placed, pieces = mix_plan(docs, id_col, text_col, source_col, **how)
-    got = pieces.groupBy("rank", "start", "id", "pass").agg(F.sum("words").alias("m_words"))
-    full = placed.select(F.col("rank").alias("p_rank"), F.col("start").alias("p_start"), F.col("size").alias("m_size"), F.col("source").alias("m_source"))
-    got = got.join(full.where("m_size > 0"), (F.col("rank") == F.col("p_rank")) & (F.col("start") == F.col("p_start")))
-    # rows that share id, source and size are interchangeable: keep one plan row per (id, source, size, pass)
-    got = got.groupBy(F.col("id").alias("m_id"), "m_source", "m_size", "pass").agg(F.max("m_words").alias("m_words"))
-    size = word_count(F.col(f"`{text_col}`"))
-    src = docs.withColumn("_mix_size", size)
-    joined = src.join(
-        got,
-        F.col(f"`{id_col}`").eqNullSafe(F.col("m_id"))
-        & F.col(f"`{source_col}`").eqNullSafe(F.col("m_source"))
-        & (F.col("_mix_size") == F.col("m_size")),
-    )
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(f"({WORD_PATTERN})"), F.lit(1)), F.lit(1), F.col("m_words").cast("int")), " ")
-    text = F.when(F.col("m_words") >= F.col("m_size"), F.col(f"`{text_col}`")).otherwise(head)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    got = pieces.groupBy("rank", "start", "pass").agg(F.sum("words").alias("words"))
+    full = placed.where("size > 0").select("h", "rank", "start", "size")
+    got = got.join(full, ["rank", "start"]).select("h", "words", "size")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(docs).alias("h"))
+    # rows written several times meet their plans once
+    again = materialize(full.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "mix-again")
+    if not again.isEmpty():
+        once = rows.join(again, "h", "left_semi").dropDuplicates(["h"])
+        rows = rows.join(again, "h", "left_anti").unionByName(once)
+    out = rows.join(got, "h")
+    body = F.col("row")[text_col]
+    head = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"({WORD_PATTERN})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") >= F.col("size"), body).otherwise(head)
+    return out.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -138,7 +138,7 @@ QUERIES = {
 _OP5 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key
   FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import materialize
+from textmill.llm.common import hashable, materialize
 from textmill.session import bounded_broadcast, scratch_path
 
 #: A bucket of more than so many times its intended size is scattered again.
@@ -43,14 +43,6 @@ def fisher_yates(n: int, seed: str) -> list[int]:
     return order
 
 
-def hashable(kind: T.DataType) -> bool:
-    if isinstance(kind, T.ArrayType):
-        return hashable(kind.elementType)
-    if isinstance(kind, T.StructType):
-        return all(hashable(f.dataType) for f in kind)
-    return not isinstance(kind, (T.MapType, T.VariantType))
-
-
 def text_size(text: Column) -> Column:
     """UTF-8 bytes of the text (null: none) plus 1."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
