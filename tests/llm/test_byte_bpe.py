@@ -83,3 +83,31 @@ def test_ids_and_round_trip(odd_docs, odd_rows, library, no_docs):
     assert all(r["lossless"] for r in got)
     assert sorted(r["ids"] for r in got) == sorted(library.encode_ordinary(t or "") for _, t in odd_rows)
     assert bpe_digests(no_docs).count() == 0 and encode_texts(no_docs).count() == 0
+
+
+def test_work_on_long_pre_tokens_grows_with_their_length(codec, library, monkeypatch):
+    """Entries that leave the queue, not seconds: a few for each byte, at any length."""
+    rng = random.Random(8)
+    popped = [0]
+    pop = RankQueue.pop
+
+    def counted(self):
+        got = pop(self)
+        popped[0] += len(got[1]) if got else 0
+        return got
+
+    monkeypatch.setattr(RankQueue, "pop", counted)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for make in (lambda n: "thein" * (n // 5), lambda n: "".join(rng.choice(letters) for _ in range(n)), lambda n: "a" * n,
+                 lambda n: "".join(rng.choice(["the", "in", "er", "ing", "x"]) for _ in range(n // 3))):
+        for n in (2_000, 30_000):
+            piece = make(n).encode()
+            popped[0] = 0
+            ids, _ = merge_all([piece], codec.byte_ids, codec.merges)
+            assert popped[0] <= 3 * n
+            assert ids.tolist() == library._core_bpe.encode_single_piece(piece)
+    # long pre-tokens beside short ones in one queue
+    pieces = [("thein" * 300 + w).encode() for w in ("", "x", "the")] + [b"their", b"in", b""] * 5
+    ids, ends = merge_all(pieces, codec.byte_ids, codec.merges)
+    for piece, a, b in zip(pieces, [0, *ends], ends):
+        assert ids[a:b].tolist() == (library._core_bpe.encode_single_piece(piece) if piece else [])

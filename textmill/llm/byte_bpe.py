@@ -10,7 +10,9 @@ pre-token that has it, and a bucket is merged as one array operation.
 
 Merging a whole bucket at once equals merging its positions from left to right
 if no merge can make a pair of a lower rank. Ranks where one could (known from
-the vocabulary) take only the leftmost position of each pre-token at a time.
+the vocabulary) take only the leftmost position of each pre-token at a time: the
+bucket holds one head a pre-token, the others wait in a heap of their own, so a
+merge costs what it changes, and a pre-token of any length takes n log n steps.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -102,6 +105,7 @@ class Merges:
             self.ranks[slot[free]] = r[free]
             todo = todo[self.keys[slot[todo]] != keys[todo]]
             slot[todo] = (slot[todo] + 1) & self.mask
+        self.few = int(self.shift)
         self.unsafe = np.zeros(max(ranks.values(), default=0) + 1, bool)
         self.unsafe[a[r < a]] = True
         self.unsafe[b[r < b]] = True
@@ -126,6 +130,17 @@ class Merges:
         return out
 
 
+    def one(self, left: int, right: int) -> int:
+        """The rank of one pair."""
+        key = left << 32 | right
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> self.few
+        while (found := self.keys[at]) != -1:
+            if found == key:
+                return int(self.ranks[at])
+            at = at + 1 & self.mask
+        return -1
+
+
 def merge_all(pieces: list[bytes], byte_ids: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all pieces in a row, and where each piece's ids end."""
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -158,24 +173,80 @@ def merge_all(pieces: list[bytes], byte_ids: np.ndarray, merges: Merges) -> tupl
         for a, b, r in zip(lo, [*lo[1:], len(positions)], ranks[lo].tolist()):
             queue.push(r, positions[a:b])
 
+    waiting: dict[int, dict[int, list[int]]] = {}  # rank -> piece -> heap of positions behind its head
+
+    def leftmost(r: int, at: np.ndarray) -> np.ndarray:
+        """Of the popped positions of an unsafe rank, the first valid one of each
+        piece; the next one becomes the head in the bucket, the rest wait."""
+        heaps = waiting.setdefault(r, {})
+        piece = np.searchsorted(ends, at, side="right")
+        valid = rank[at] == r
+        several = np.r_[False, piece[1:] == piece[:-1]]
+        if not heaps and not several.any():
+            return at[valid]
+        mixed = np.isin(piece, [*heaps, *piece[several].tolist()])
+        chosen, heads = at[valid & ~mixed].tolist(), []
+        own: dict[int, list[int]] = {}
+        for p, x, ok in zip(at[mixed].tolist(), piece[mixed].tolist(), valid[mixed].tolist()):
+            new = own.setdefault(x, [])
+            if ok:
+                new.append(p)
+        for x, new in own.items():
+            heap = heaps.pop(x, [])
+            for p in new:
+                heappush(heap, p)
+            for target in (chosen, heads):
+                while heap and rank[heap[0]] != r:
+                    heappop(heap)
+                if heap:
+                    target.append(heappop(heap))
+            if heap:
+                heaps[x] = heap
+        if heads:
+            queue.push(r, heads)
+        return np.array(sorted(chosen), np.int64)
+
+    def merge_one(p: int, r: int) -> None:
+        right = int(nxt[p])
+        after = int(nxt[right])
+        ids[p] = r
+        rank[right] = rank[p] = -1
+        live[right] = False
+        nxt[p] = after
+        if after >= 0:
+            prv[after] = p
+            made = merges.one(r, int(ids[after]))
+            rank[p] = made
+            if made >= 0:
+                queue.push(made, [p])
+        before = int(prv[p])
+        if before >= 0:
+            made = merges.one(int(ids[before]), r)
+            rank[before] = made
+            if made >= 0:
+                queue.push(made, [before])
+
     push(np.arange(n), rank)
     while (got := queue.pop()) is not None:
         r, bucket = got
-        at = np.array(bucket, np.int64)
-        at = at[rank[at] == r]  # the others are stale
-        if len(at) > 1:
-            at = np.unique(at)
-            if merges.unsafe[r]:
-                piece = np.searchsorted(ends, at, side="right")
-                first = np.r_[True, piece[1:] != piece[:-1]]
-                queue.push(r, at[~first].tolist()) if not first.all() else None
-                at = at[first]
-            else:
-                follows = np.r_[False, nxt[at[:-1]] == at[1:]]  # overlaps the one before it
-                if follows.any():  # in a run of overlaps every second one merges
-                    i = np.arange(len(at))
-                    run = np.maximum.accumulate(np.where(follows, -1, i))
-                    at = at[(i - run) % 2 == 0]
+        unsafe = merges.unsafe[r]
+        if len(bucket) == 1 and not (unsafe and waiting.get(r)):
+            if rank[bucket[0]] == r:
+                merge_one(bucket[0], r)
+            continue
+        at = np.unique(np.array(bucket, np.int64))
+        if unsafe:
+            at = leftmost(r, at)
+        else:
+            at = at[rank[at] == r]  # the others are stale
+            follows = np.r_[False, nxt[at[:-1]] == at[1:]] if len(at) else np.zeros(0, bool)  # overlaps the one before it
+            if follows.any():  # in a run of overlaps every second one merges
+                i = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(follows, -1, i))
+                at = at[(i - run) % 2 == 0]
+        if len(at) == 1:
+            merge_one(int(at[0]), r)
+            continue
         if not len(at):
             continue
         right = nxt[at]
