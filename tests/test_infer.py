@@ -1,5 +1,6 @@
 """Batch inference, prompts and the rewrite flows with deterministic stubs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from textmill.operators import infer, prompts, rewrite
@@ -160,3 +161,41 @@ def test_every_template_renders(spark):
 
     with pytest.raises(ValueError):
         prompts.render_prompts(df, "nope")
+
+
+def test_a_store_is_asked_first(spark, tmp_path):
+    log, store = tmp_path / "asked", str(tmp_path / "store")
+
+    def factory(fail, poison=None):
+        def make():
+            def predict(systems, users):
+                if fail and poison in users:
+                    raise SystemExit("lost")  # no error of a row: it ends the task
+                with open(log, "a") as f:
+                    f.write("".join(u + "\n" for u in users))
+                return [None if u == "q3" else u.upper() for u in users]
+            return predict
+        return make
+
+    def asked():
+        out = log.read_text().split() if log.exists() else []
+        log.unlink(missing_ok=True)
+        return sorted(out)
+
+    df = spark.range(20).select("id", F.lit("s").alias("s"), F.concat(F.lit("q"), (F.col("id") % 10).cast("string")).alias("u"))
+    batch = F.pmod(F.xxhash64(F.sha2(F.concat_ws("\u0000", "s", "u"), 256)), F.lit(5))
+    poison = df.orderBy(batch.desc()).first().u  # in the last of five batches
+    df = df.unionByName(spark.createDataFrame([(99, "s", None)], df.schema))
+    with pytest.raises(Exception):  # the worker is gone, and so is the job
+        infer.batch_infer(df, factory(True, poison), "s", "u", store=store, store_batch=2)
+    first = set(asked())
+    kept = {r.answer for r in infer.stored(spark, store).collect() if r.answer}
+    assert 0 < len(kept) < 10
+    rows = infer.batch_infer(df, factory(False), "s", "u", store=store, store_batch=4).collect()
+    second = asked()
+    # what the first run stored is not asked again; a prompt without an answer is
+    assert set(second) == {f"q{i}" for i in range(10)} - {a.lower() for a in kept} and first <= {f"q{i}" for i in range(10)}
+    by = {r.id: (r.answer, r.error) for r in rows}
+    assert len(rows) == 21 and by[99] == (None, None) and by[13] == (None, "empty answer") and by[17] == ("Q7", None)
+    again = infer.batch_infer(df, factory(False), "s", "u", store=store).collect()
+    assert asked() == ["q3"] and {r.id: r.answer for r in again} == {r.id: r.answer for r in rows}

@@ -13,13 +13,19 @@ recomputes the lost partitions and would ask the model again. So unless the
 factory declares ``deterministic = True`` (as stand-ins in tests do), answers are
 materialised: computed once and written to the shared checkpoint folder, and
 every later stage reads that table.
+
+With a ``store``, answers outlive the run: a table of answers by prompt hash, which
+is asked first and to which new answers are added batch by batch. A run that ended
+half-way leaves what it has paid for, and the next one asks for the rest only.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -86,6 +92,8 @@ def batch_infer(
     materialize: bool | None = None,
     json: bool = False,
     dedupe: bool = True,
+    store: str | None = None,
+    store_batch: int = 100_000,
 ) -> DataFrame:
     """Add ``answer`` and ``error`` to every row of ``df``. Rows whose system
     or user prompt is NULL are not sent and keep both NULL.
@@ -95,7 +103,13 @@ def batch_infer(
 
     ``dedupe=False`` is for prompts known to be unique (they carry a path):
     an iterator pandas UDF over the two prompt columns, factory once per
-    partition, no shuffle and no join back."""
+    partition, no shuffle and no join back.
+
+    ``store`` names a shared folder of answers (see ``ask_missing``); prompts are
+    then made distinct, and only those without an answer there are asked, in
+    batches of about ``store_batch``."""
+    if store is not None and not dedupe:
+        raise ValueError("a store holds distinct prompts: dedupe must be on")
     if materialize is None:
         materialize = not getattr(predict_factory, "deterministic", False)
     if not dedupe:
@@ -114,9 +128,11 @@ def batch_infer(
     keyed = df.withColumn("_pkey", F.when(has_prompt, key))
     prompts = keyed.filter(F.col("_pkey").isNotNull()).groupBy("_pkey").agg(
         F.first(system).alias("s"), F.first(user).alias("u"))
-    answered = prompts.mapInPandas(
-        _runner(predict_factory), "_pkey string, answer string, error string")
-    if materialize:
+    if store is not None:
+        answered = ask_missing(prompts, predict_factory, store, store_batch)
+    else:
+        answered = prompts.mapInPandas(_runner(predict_factory), "_pkey string, answer string, error string")
+    if materialize and store is None:
         spark = df.sparkSession
         path = scratch_path(spark, "answers")
         answered.write.parquet(path)
@@ -129,6 +145,44 @@ def batch_infer(
     return _json_check(out) if json else out
 
 
+STORE = "_pkey string, answer string, error string, run string"
+
+
+def stored(spark, store: str) -> DataFrame:
+    """All rows of a store; none if there is no such folder yet."""
+    try:
+        return spark.read.schema(STORE).parquet(store)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], STORE)
+
+
+def ask_missing(prompts: DataFrame, predict_factory: Callable[[], Predict], store: str, batch: int) -> DataFrame:
+    """``_pkey, answer, error`` of distinct ``prompts(_pkey, s, u)`` after asking for
+    those that the store has no answer to.
+
+    The missing prompts are written once and dealt to batches by their hash; each
+    batch is one distributed write that is added to the store when it is done.
+    Failures are stored too, but asked again by the next run; of several rows for a
+    prompt an answer counts first, then the latest failure."""
+    spark = prompts.sparkSession
+    known = stored(spark, store).where("answer is not null").select("_pkey").distinct()
+    missing = prompts.join(known, "_pkey", "left_anti")
+    path = scratch_path(spark, "prompts")
+    missing.write.parquet(path)
+    missing = spark.read.schema(prompts.schema).parquet(path)
+    n = -(-missing.count() // batch)
+    run = f"{time.time_ns():020d}"
+    for i in range(n):
+        part = missing.where(F.pmod(F.xxhash64("_pkey"), F.lit(n)) == i)
+        out = part.mapInPandas(_runner(predict_factory), "_pkey string, answer string, error string")
+        out.withColumn("run", F.lit(run)).write.mode("append").parquet(store)
+    mine = stored(spark, store).join(prompts.select("_pkey"), "_pkey", "left_semi")
+    last = F.max_by(F.struct("answer", "error"), F.struct(F.col("answer").isNotNull(), "run"))
+    return mine.groupBy("_pkey").agg(last.alias("r")).select("_pkey", "r.answer", "r.error")
+
+
 def _json_check(out: DataFrame) -> DataFrame:
     v = F.try_parse_json("answer")
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))

@@ -912,6 +912,8 @@ SELECT path, md5({STRIP.format(x="replace(code, 'the', 'THE')")}) AS answer_md5,
 FROM ({DOC_FILES}) f
 """
 
+ORACLE["answer_store"] = ORACLE["batch_infer"]
+
 ORACLE["rewrite_corpus"] = f"""
 WITH v AS (SELECT project, path, doc_id, code AS old, {STRIP.format(x="replace(code, 'the', 'THE')")} AS new
            FROM ({DOC_FILES}) f)

@@ -475,7 +475,9 @@ def outdated_deps(spark, sf_dir):
 @query
 def deps_issues(spark, sf_dir):
     """The four dependency checks as one issue table."""
-    reqs, imps, alias = _reqs(spark, sf_dir), _imports(spark, sf_dir), _alias(spark)
+    # each is read by several checks: parsed once
+    reqs, imps = materialize(_reqs(spark, sf_dir), "reqs"), materialize(_imports(spark, sf_dir), "imports")
+    alias = _alias(spark)
     mods = deps.project_modules(code_files(spark, sf_dir))
     return deps.deps_issues(
         deps.unused_deps(reqs, imps, alias),
@@ -534,6 +536,16 @@ def batch_infer(spark, sf_dir):
     return a.select("path", md5(T.strip_code_fences("answer")).alias("answer_md5"), "error")
 
 
+@query
+def answer_store(spark, sf_dir):
+    """Two rounds over one store: the second asks for what the first did not."""
+    p = prompts.render_prompts(_doc_files(spark, sf_dir), "dead_code")
+    store = scratch_path(spark, "answer-store")
+    infer.batch_infer(p.where(F.col("doc_id") % 2 == 0), STUB, store=store)
+    a = infer.batch_infer(p, STUB, store=store, store_batch=5000)
+    return a.select("path", md5(T.strip_code_fences("answer")).alias("answer_md5"), "error")
+
+
 def _approvals(spark, sf_dir, files):
     lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("approved"))
     return files.select("project", "path", "doc_id").join(lab, "doc_id").drop("doc_id")
