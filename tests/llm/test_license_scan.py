@@ -6,7 +6,12 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
 
+def told(block, must):
+    return all(any(block[i : i + len(p)] == p for i in range(len(block))) for p in map(str.split, must))
+
+
 def brute(text):
+    """Windows at every word: that only those at a word of the template need be looked at is part of the test."""
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     starts, base, found, score = [], set(), set(), 0.0
     for label, phrase in PHRASES.items():
@@ -14,9 +19,9 @@ def brute(text):
         at = [i for i in range(len(w)) if w[i : i + len(p)] == p]
         starts += at
         base |= {label} if at else set()
-    for label, wording in TEMPLATES:
+    for label, wording, must in TEMPLATES:
         t, size = set(wording.split()), len(wording.split())
-        best = max((len(t & set(w[i : i + 2 * size])) for i in range(0, len(w), size)), default=0)
+        best = max((len(t & set(w[i : i + 2 * size])) for i in range(len(w)) if told(w[i : i + 2 * size], must)), default=0)
         if 5 * best >= 4 * len(t):
             found.add(label)
             score = max(score, best / len(t))
@@ -57,12 +62,32 @@ def test_blocks_are_those_of_brute_force(spark, sf_docs, no_docs):
     want = []
     for ident, text in rows:
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        for label, wording in TEMPLATES:
+        for label, wording, must in TEMPLATES:
             t, size = set(wording.split()), len(wording.split())
-            for i in range(0, len(w), size):
+            for i in range(len(w)):
                 shared = t & set(w[i : i + 2 * size])
-                if 5 * len(shared) >= 4 * len(t):
+                if w[i] in t and 5 * len(shared) >= 4 * len(t) and told(w[i : i + 2 * size], must):
                     want.append((ident, label, i, sorted(shared)))
     got = map(tuple, license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 6
     assert license_blocks(no_docs).collect() == []
+
+
+def test_notices_get_their_labels_wherever_they_stand(spark):
+    notices = {
+        "licensed to you under the terms and conditions of the Apache Software License, Version 2.0": "apache-2.0",
+        "licensed under CC BY 4.0": "cc-by",
+        "licensed under CC BY-SA 4.0": "cc-by",
+        "licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "released under the Apache license": "",
+        "released under the MIT license": "mit",
+        "This work is licensed under the GNU General Public License, version 2": "gpl",
+        "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+    }
+    rows = [(offset, t, " ".join(["x"] * offset + [t] + ["y"] * 9)) for offset in range(12) for t in notices]
+    docs = spark.createDataFrame(rows, "doc_id long, notice string, text string")
+    wrong = [(r["doc_id"], r["labels"]) for r in license_scan(docs).collect()]
+    got = sorted(wrong)
+    assert got == sorted((offset, notices[t]) for offset, t, _ in rows)

@@ -1,14 +1,17 @@
 """License scan: an exact set-similarity join of text blocks with templates.
 
-A template is a set of words. A block of a text is a window of twice the
-template's length, starting at each multiple of that length, so that every
-passage as long as the template lies whole in a block. A block matches when it
-holds at least 4/5 of the template's words (containment). The template's words
-are ordered by how often they occur in the whole corpus, rarest first:
-
-* prefix filter: a matching block holds one of the first |T| - need + 1 words;
-* length filter: it has at least ``need`` words;
-* positional filter: if the rarest word it shares stands at place p of the
+A block of a text is a window of twice a template's length that starts at one of
+the template's words. (Any window that matches still does when it starts at its
+first word of the template, so whether a passage is found does not depend on what
+stands before it.) A block matches when it holds at least 4/5 of the template's
+words (containment) and the phrases that tell the licence from others, each in a
+row. The template's words are ordered by how often they occur in the whole corpus,
+rarest first:
+
+* prefix filter: a matching block holds one of the first |T| - need + 1 words, so
+  only blocks around such a word are looked at;
+* length filter: the text has at least ``need`` words;
+* positional filter: if the rarest word a block shares stands at place p of the
   order, it shares at most |T| - p words.
 
 Only blocks that pass are compared. Everything stays inside the document's row,
@@ -30,16 +33,17 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed values of the contract: phrase and label.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Own templates: label and wording. Words only; their order is not used.
+#: Own templates: label, wording (words only; their order is not used) and the
+#: phrases that a block must hold in a row.
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike international license"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0", ("apache", "version 2 0")),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use",)),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("by nc", "4 0")),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike international license", ("sharealike",)),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("general public license", "version 3")),
+    ("mit", "released under the mit license", ("mit license",)),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted",)),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", ("mozilla public license",)),
 )
 
 
@@ -49,6 +53,7 @@ class Template:
     length: int  # words
     tokens: tuple[str, ...]  # distinct, rarest first
     need: int
+    must: tuple[str, ...]  # phrases
 
     @property
     def prefix(self) -> tuple[str, ...]:
@@ -62,19 +67,19 @@ def words_of(text: Column) -> Column:
 
 
 def ordered_templates(
-    docs: DataFrame, text_col: str, templates: tuple[tuple[str, str], ...], threshold: tuple[int, int]
+    docs: DataFrame, text_col: str, templates: tuple[tuple[str, str, tuple[str, ...]], ...], threshold: tuple[int, int]
 ) -> list[Template]:
     """Templates with their words in ascending order of corpus frequency. What
     reaches the driver is one count for each word of the templates."""
-    vocabulary = sorted({w for _, text in templates for w in text.split()})
+    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
     parts = F.split(lower_ascii(F.col(f"`{text_col}`")), BETWEEN)
     counts = docs.select(F.explode(parts).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
     freq = {r["w"]: r["count"] for r in counts.collect()}
     num, den = threshold
     out = []
-    for label, text in templates:
+    for label, text, must in templates:
         tokens = sorted(set(text.split()), key=lambda w: (freq.get(w, 0), w))
-        out.append(Template(label, len(text.split()), tuple(tokens), -(-num * len(tokens) // den)))
+        out.append(Template(label, len(text.split()), tuple(tokens), -(-num * len(tokens) // den), must))
     return out
 
 
@@ -85,22 +90,30 @@ def _strings(values) -> Column:
 def template_blocks(words: Column, hits: Column, n: Column, t: Template) -> Column:
     """The blocks that match ``t``: (first word, words of ``t`` that it holds).
     ``hits``: (place in the text, word) of all prefix words in the text."""
-    prefix = _strings(t.prefix)
+    prefix, tokens = _strings(t.prefix), _strings(t.tokens)
+    size = 2 * t.length
     own = F.filter(hits, lambda h: F.array_contains(prefix, h["w"]))
-    starts = F.transform(own, lambda h: F.floor(h["i"] / t.length).cast("int"))
-    blocks = F.array_distinct(F.concat(starts, F.filter(F.transform(starts, lambda b: b - 1), lambda b: b >= 0)))
+    around = F.transform(own, lambda h: F.sequence(F.greatest(h["i"] - (size - 1), F.lit(0)), h["i"]))
+    starts = F.filter(F.array_distinct(F.flatten(around)), lambda i: F.array_contains(tokens, F.get(words, i)))
 
-    def held(b):
+    def held(i):
+        block = F.slice(words, i + 1, F.lit(size))
         # rarest shared word first: its place bounds what the block can share
-        block = F.slice(words, b * t.length + 1, F.lit(2 * t.length))
         first = F.array_position(F.transform(prefix, lambda w: F.array_contains(block, w)), True)
         bound = F.least(F.lit(len(t.tokens) + 1) - first, F.size(block))
-        shared = F.array_intersect(block, _strings(t.tokens))
-        return F.when((first > 0) & (bound >= t.need), shared).otherwise(F.array().cast("array<string>"))
-
-    found = F.transform(blocks, lambda b: F.struct((b * t.length).alias("start"), held(b).alias("shared")))
+        line = F.concat(F.lit(" "), F.array_join(block, " "), F.lit(" "))
+        told = F.lit(True)
+        for phrase in t.must:
+            told = told & F.contains(line, F.lit(f" {phrase} "))
+        shared = F.array_intersect(block, tokens)
+        return F.when((first > 0) & (bound >= t.need) & told, shared).otherwise(F.array().cast("array<string>"))
+
+    found = F.transform(starts, lambda i: F.struct(i.alias("start"), held(i).alias("shared")))
     found = F.filter(found, lambda m: F.size(m["shared"]) >= t.need)
-    return F.when(F.arrays_overlap(words, prefix) & (n >= t.need), found)
+    passes = F.arrays_overlap(words, prefix) & (n >= t.need)
+    for w in sorted({w for phrase in t.must for w in phrase.split()}):
+        passes = passes & F.array_contains(words, w)
+    return F.when(passes, found)
 
 
 def template_hits(words: Column, hits: Column, n: Column, t: Template) -> Column:
@@ -138,11 +151,13 @@ def license_blocks(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[tuple[str, str, tuple[str, ...]], ...] = TEMPLATES,
     threshold: tuple[int, int] = (4, 5),
 ) -> DataFrame:
     """One row per matched block of each input row: ``id, label, start, shared``,
-    the number of its first word from 0 and the template's words that it holds."""
+    the number of its first word from 0 and the template's words that it holds.
+    Blocks that overlap are all returned. A null text has none; repeated rows have
+    theirs each; other columns are not read; an empty table gives no rows."""
     plans = ordered_templates(docs, text_col, templates, threshold)
     rows = texts_with_hits(docs, id_col, text_col, plans)
 
@@ -158,7 +173,7 @@ def license_scan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[tuple[str, str, tuple[str, ...]], ...] = TEMPLATES,
     threshold: tuple[int, int] = (4, 5),
 ) -> DataFrame:
     """One row per input row: ``id, n_words, n_base, first_word, last_word,
@@ -198,16 +213,16 @@ def license_scan(
 
 def _template_rows() -> str:
     rows = []
-    for label, text in TEMPLATES:
+    for label, text, must in TEMPLATES:
         tokens = sorted(set(text.split()))
         need = -(-4 * len(tokens) // 5)
-        rows.append(f"('{label}', {len(text.split())}, {need}, {tokens!r})")
+        rows.append(f"('{label}', {len(text.split())}, {need}, {tokens!r}, {[f' {m} ' for m in must]!r})")
     return ",\n    ".join(rows)
 
 
 #: Every block of every text against every template, without filters.
 ORACLE = rf"""
-WITH t(label, len, need, tokens) AS (VALUES
+WITH t(label, len, need, tokens, must) AS (VALUES
     {_template_rows()}),
 d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
@@ -220,7 +235,9 @@ b AS (
     list_filter(range(len(w)), lambda i: w[i+1] = 'all' AND w[i+2] = 'rights' AND w[i+3] = 'reserved') AS p2 FROM d),
 m AS (
   SELECT r, label, need, len(tokens) AS size,
-    list_max(list_transform(range(0, n, t.len), lambda i: len(list_intersect(w[i + 1 : i + 2 * t.len], tokens)))) AS best
+    list_max(list_transform(list_filter(range(n), lambda i: list_contains(tokens, w[i + 1])), lambda i:
+      CASE WHEN len(list_filter(must, lambda p: NOT contains(' ' || array_to_string(w[i + 1 : i + 2 * t.len], ' ') || ' ', p))) = 0
+           THEN len(list_intersect(w[i + 1 : i + 2 * t.len], tokens)) ELSE 0 END)) AS best
   FROM b, t),
 g AS (
   SELECT r, list(label) AS found, max(best::DOUBLE / size) AS share FROM m WHERE best >= need GROUP BY r),
