@@ -121,10 +121,18 @@ def corrupt_records(a: DataFrame, b: DataFrame, leaves: DataFrame, leaf_bytes: i
 def audit(
     replica_a: DataFrame, replica_b: DataFrame, leaf_bytes: int = 1 << 20, fanout: int = 16
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compare two replicas ``(archive, offset, payload)``: the roots
-    ``archive, root_a, root_b`` (null where a replica lacks the archive), the leaves
-    that differ, and the records that do. Empty replicas have no roots."""
-    hashed = [materialize(digests(r), f"merkle-digests-{i}") for i, r in enumerate((replica_a, replica_b))]
+    """Compare two replicas ``(archive, offset, payload)``, as ``audit_digests`` does."""
+    return audit_digests(digests(replica_a), digests(replica_b), leaf_bytes, fanout)
+
+
+def audit_digests(
+    hashed_a: DataFrame, hashed_b: DataFrame, leaf_bytes: int = 1 << 20, fanout: int = 16
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare two replicas by the digests of their records ``(archive, offset,
+    length, digest)``: the roots ``archive, root_a, root_b`` (null where a replica
+    lacks the archive), the leaves that differ, and the records that do. Empty
+    replicas have no roots."""
+    hashed = [materialize(h, f"merkle-digests-{i}") for i, h in enumerate((hashed_a, hashed_b))]
     trees = [tree(h, leaf_bytes, fanout, f"merkle-{i}") for i, h in enumerate(hashed)]
     leaves = differing_leaves(*trees, fanout)
     bad = corrupt_records(*hashed, leaves, leaf_bytes)
@@ -136,12 +144,30 @@ def audit(
     return roots(trees[0], "a").join(roots(trees[1], "b"), "archive", "full"), leaves, bad
 
 
-def archives_of(pages: DataFrame, pages_each: int = 500) -> DataFrame:
-    """``page_id, archive, offset, payload``: pages rendered as WARC records, a fixed
-    number of consecutive ids to an archive, in id order (then url and body).
-    Null ids share an archive of their own, which is as large as they are many."""
+#: Archives that share the pages without an id.
+LOOSE = 4096
+
+
+def rendered(pages: DataFrame, pages_each: int = 500) -> DataFrame:
+    """``page_id, archive, payload, length, digest``: pages rendered as WARC records, a
+    fixed number of consecutive ids to an archive. Pages without an id go to
+    ``LOOSE`` archives below 0 by their digest."""
     body = warc_record(F.col("url"), F.col("page_id"), F.col("html"))
-    rows = pages.select("page_id", F.floor(F.col("page_id") / pages_each).cast("long").alias("archive"), body.alias("payload"))
-    rows = rows.withColumn("archive", F.coalesce("archive", F.lit(-1)))
-    order = Window.partitionBy("archive").orderBy("page_id", F.sha2("payload", 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("payload")).over(order), F.lit(0)).cast("long"))
+    rows = pages.select("page_id", body.alias("payload"))
+    rows = rows.select("page_id", "payload", F.octet_length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("digest"))
+    loose = -1 - F.pmod(F.crc32("digest"), F.lit(LOOSE))
+    return rows.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / pages_each).cast("long"), loose))
+
+
+def with_offsets(records: DataFrame) -> DataFrame:
+    """``records(page_id, archive, length, digest, ...)`` with ``offset``: the bytes
+    before each record of its archive, in the order of ids, then digests. Only the
+    columns that ``records`` has are shuffled: leave payloads out where their
+    lengths and digests do."""
+    order = Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
+
+
+def archives_of(pages: DataFrame, pages_each: int = 500) -> DataFrame:
+    """``page_id, archive, offset, payload``: the archives of ``rendered`` pages."""
+    return with_offsets(rendered(pages, pages_each)).select("page_id", "archive", "offset", "payload")

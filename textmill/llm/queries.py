@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import language_id, lexical_search, license_scan, merkle, quality, sharding, whitening
 from textmill.llm.byte_bpe import bpe_digests
-from textmill.llm.common import fold, table
+from textmill.llm.common import fold, materialize, table
 from textmill.llm.exact_dedup import exact_groups
 from textmill.llm.jaccard_join import jaccard_components
 from textmill.llm.mixing import mix_totals
@@ -39,23 +39,29 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(table(spark, sf_dir, "documents"))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A second replica of rendered archives: by rule of the page id, a byte is
-    flipped, the record's end is lost, or the record is missing or doubled."""
+def damaged(payload: Column) -> tuple[Column, Column]:
+    """A record in a second replica of rendered archives, and how often it is there:
+    by rule of the page id, a byte is flipped, the record's end is lost, or the
+    record is missing or doubled."""
     n = F.col("page_id") % 211
     flip = F.concat(F.expr("substring(payload, 1, 40)"), F.lit("#").cast("binary"), F.expr("substring(payload, 42)"))
-    payload = F.when(n == 17, flip).when(n == 40, F.expr("substring(payload, 1, octet_length(payload) - 2)"))
-    copies = F.when(n == 60, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = records.where(~F.coalesce(n == 83, F.lit(False)))
-    rows = rows.select("archive", "offset", payload.alias("p"), "payload", F.explode(copies).alias("copy"))
-    return rows.select("archive", (F.col("offset") + F.col("copy")).alias("offset"), F.coalesce("p", "payload").alias("payload"))
+    other = F.when(n == 17, flip).when(n == 40, F.expr("substring(payload, 1, octet_length(payload) - 2)")).otherwise(payload)
+    return other, F.when(n == 60, 2).when(n == 83, 0).otherwise(1)
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages against a damaged replica: one row an archive with
     both roots, its leaves that differ and its damaged records."""
-    records = merkle.archives_of(table(spark, sf_dir, "pages"))
-    roots, leaves, bad = merkle.audit(records.drop("page_id"), damaged(records), leaf_bytes=1 << 16, fanout=16)
+    other, copies = damaged(F.col("payload"))
+    # payloads stay where they are rendered: windows and trees see lengths and digests
+    records = merkle.rendered(table(spark, sf_dir, "pages")).select(
+        "page_id", "archive", "length", "digest", F.octet_length(other).cast("long").alias("o_length"), F.sha2(other, 256).alias("o_digest"), copies.alias("copies"))
+    records = materialize(merkle.with_offsets(records), "merkle-records")
+    first = records.select("archive", "offset", "length", "digest").distinct()
+    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    second = records.where("copies > 0").select("archive", "offset", F.col("o_length").alias("length"), F.col("o_digest").alias("digest"), copy)
+    second = second.withColumn("offset", F.col("offset") + F.col("copy")).drop("copy").distinct()
+    roots, leaves, bad = merkle.audit_digests(first, second, leaf_bytes=1 << 16, fanout=16)
     n_leaves = leaves.groupBy("archive").agg(F.count("*").alias("n_leaves"))
     kinds = [F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}") for s in ("changed", "missing", "extra")]
     found = bad.groupBy("archive").agg(*kinds, F.min("offset").alias("first_bad"), F.max("offset").alias("last_bad"))
