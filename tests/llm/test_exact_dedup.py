@@ -38,6 +38,15 @@ def test_one_row_of_each_text_stays(odd_docs, odd_rows):
     assert texts == sorted({t or "" for _, t in odd_rows})
 
 
+def test_columns_with_any_names(spark):
+    rows = [(1, "a", 1, 2, 3), (2, "a", 4, 5, 6), (None, "b", 7, 8, 9), (2, "a", 4, 5, 6)]
+    for names in (("_of", "sha", "row"), ("d_id", "id", "h"), ("bucket", "cell", "kept")):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} int, {names[1]} int, {names[2]} int")
+        got = keep_one(docs)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=repr) == [(2, "a", 4, 5, 6), (None, "b", 7, 8, 9)]
+        assert exact_groups(docs).count() == 4
+
+
 def test_directory_splits_overfull_buckets(spark):
     slots = spark.range(2000).select(F.xxhash64("id").alias("h"))
     directory, depth = build_directory(slots, 50, 2000)

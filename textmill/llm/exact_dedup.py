@@ -1,17 +1,18 @@
 """Exact duplicates through an extendible-hash index kept in shared files.
 
-1. Every row becomes a narrow key: 64-bit hash, SHA-256, length, id. The keys
-   are written to the shared folder.
-2. Keys are counted by hash with map-side partial sums, so a text that fills a
-   third of the rows is one entry per map task when it is shuffled. The result
-   is one slot per distinct hash.
-3. The directory starts with one bucket per leading bit string of length 0 and
+1. Every row becomes a narrow key: 64-bit hash, SHA-256, id. Keys are counted by
+   hash with map-side partial sums, so a text that fills a third of the rows is one
+   entry per map task when it is shuffled. The result is one slot per distinct hash.
+2. The directory starts with one bucket per leading bit string of length 0 and
    doubles: a bucket with more than ``capacity`` slots splits on its next bit.
    All depths are found at once from the counts of the deepest cells.
-4. Slots are written as index files range-partitioned by (bucket, hash): each
-   owner task holds one key range.
-5. Slots with several rows are collision chains. Only the rows in a chain have
-   their texts compared, byte by byte, by grouping on the text itself.
+3. The directory sends each row to the owner of its bucket. On the way equal texts of
+   a bucket are combined map-side, so a hot chain reaches its owner as one entry a
+   map task; the owner groups a chain by the text itself, which compares bytes, and
+   keeps the classes of several rows.
+4. Classes are the index: files range-partitioned by (bucket, hash). Keys look up
+   their class there by bucket, hash and digest; keys of the hottest classes do so
+   from a broadcast list, bounded by ``HOT_SHARE``, so no lookup meets in one task.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def build_directory(slots: DataFrame, capacity: int, n_slots: int) -> DataFrame:
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 12
 ) -> DataFrame:
     """One row per input row: ``id, keep_id, group_size, kept, text_sha256``.
 
@@ -63,39 +64,32 @@ def exact_groups(
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    keyed = rows.select(
-        "id",
-        F.xxhash64("text").alias("h"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
-        F.octet_length("text").alias("n_bytes"),
-    )
-    keys = materialize(keyed, "dedup-keys")
+    hashed = rows.select("id", "text", F.xxhash64("text").alias("h"))
+    keys = materialize(hashed.select("id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "dedup-keys")
     slots = materialize(keys.groupBy("h").agg(F.count("*").alias("n_rows")), "dedup-slots")
     n_slots = slots.count()
     directory, depth = build_directory(slots, capacity, n_slots)
-    placed = slots.join(
-        F.broadcast(directory),  # at most 2**MAX_DEPTH rows
-        F.shiftrightunsigned(slots["h"], 64 - depth) == directory["cell"],
-    )
+    directory = materialize(directory, "dedup-directory")  # at most 2**MAX_DEPTH rows
+
+    def placed(df: DataFrame) -> DataFrame:
+        """``df`` with the bucket that the directory names for its hash."""
+        cell = F.shiftrightunsigned(df["h"], 64 - depth)
+        return df.join(F.broadcast(directory.select("cell", "bucket")), cell == F.col("cell")).drop("cell")
+
+    chains = placed(hashed).groupBy("bucket", "h", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    chains = chains.where("group_size > 1").select(
+        "bucket", "h", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "keep_id", "group_size")
     owners = max(1, min(n_slots // capacity + 1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    index = materialize(
-        placed.select("bucket", "h", "n_rows").repartitionByRange(owners, "bucket", "h"), "dedup-index"
-    )
-    chains = index.where("n_rows > 1").select("h", "bucket")
-    chained = rows.withColumn("h", F.xxhash64("text")).join(chains, "h")
-    classes = materialize(
-        chained.groupBy("bucket", "h", "text")
-        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("h", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "keep_id", "group_size"),
-        "dedup-classes",
-    )
+    classes = materialize(chains.repartitionByRange(owners, "bucket", "h"), "dedup-index")
     n_rows = keys.count()
     hot_size = max(2, n_rows // HOT_SHARE + 1)
     hot = F.broadcast(classes.where(F.col("group_size") >= hot_size))  # fewer than HOT_SHARE rows
     cold = classes.where(F.col("group_size") < hot_size)
     out_cols = ["id", "sha", "keep_id", "group_size"]
-    by_hot = keys.join(hot, ["h", "sha"]).select(*out_cols)
-    rest = keys.join(hot, ["h", "sha"], "left_anti").join(cold, ["h", "sha"], "left")
+    at = ["bucket", "h", "sha"]
+    keys = placed(keys)
+    by_hot = keys.join(hot, at).select(*out_cols)
+    rest = keys.join(hot, at, "left_anti").join(cold, at, "left")
     rest = rest.select(
         "id",
         "sha",
@@ -119,14 +113,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = materialize(exact_groups(docs, id_col, text_col), "dedup-groups")
     ident = F.col(f"`{id_col}`")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    drop = groups.where("not kept").select(ident.alias("_id"), F.col("text_sha256").alias("_sha"))
-    again = groups.where("kept").groupBy(ident.alias("_id"), F.col("text_sha256").alias("_sha")).count().where("count > 1")
-    sha = F.sha2(text.cast("binary"), 256)
-    same = lambda other: ident.eqNullSafe(other["_id"]) & (F.col("_of") == other["_sha"])
-    rest = docs.withColumn("_of", sha).join(drop, same(drop), "left_anti")
-    again = materialize(again.select("_id", "_sha"), "dedup-again")
-    if again.isEmpty():
-        return rest.drop("_of")
-    single = rest.join(again, same(again), "left_anti")
-    repeated = rest.join(again, same(again), "left_semi").dropDuplicates([id_col, "_of"])
-    return single.unionByName(repeated).drop("_of")
+    drop = groups.where("not kept").select(ident.alias("d_id"), F.col("text_sha256").alias("d_sha"))
+    again = groups.where("kept").groupBy(ident.alias("d_id"), F.col("text_sha256").alias("d_sha")).count().where("count > 1")
+    again = materialize(again.select("d_id", "d_sha"), "dedup-again")
+    # columns of the input are fields of one struct: no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("id"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    same = lambda other: F.col("id").eqNullSafe(other["d_id"]) & (F.col("sha") == other["d_sha"])
+    rest = rows.join(drop, same(drop), "left_anti")
+    if not again.isEmpty():
+        repeated = rest.join(again, same(again), "left_semi").dropDuplicates(["id", "sha"])
+        rest = rest.join(again, same(again), "left_anti").unionByName(repeated)
+    return rest.select(*[F.col("row")[c].alias(c) for c in docs.columns])
