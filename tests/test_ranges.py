@@ -172,3 +172,27 @@ def test_empty_files_and_full_deletion(spark):
     assert sorted(map(tuple, new.collect())) == [("b", 1, "z"), ("none", 1, "new")]
     left = ranges.edited_files(lines, edits, files)
     assert {r["path"]: r["n_lines"] for r in left.collect()} == {"a": 0, "b": 1, "none": 1}
+
+
+def test_dyadic_blocks_cover_ranges_once(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [(a, a + rng.choice([0, 1, 2, 5, 100, 9_000, 1 << 20])) for a in [0, 1, 2, 7, 8, 1023, 1024] + [rng.randrange(1 << 24) for _ in range(60)]]
+    df = spark.createDataFrame(pairs, "lo long, hi long").select("lo", "hi", ranges.dyadic_cover(F.col("lo"), F.col("hi")).alias("c"))
+    for r in df.collect():
+        spans = sorted((b["index"] << b["level"], ((b["index"] + 1) << b["level"]) - 1) for b in r.c)
+        assert spans[0][0] == r.lo and spans[-1][1] == r.hi and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+        assert len(spans) <= 2 * (r.hi - r.lo + 2).bit_length()
+
+
+def test_long_and_short_ranges_of_a_long_file(spark):
+    n = 40_000
+    lines = spark.range(1, n + 1).select(F.lit("f").alias("path"), F.col("id").cast("int").alias("line_no"), F.col("id").cast("string").alias("line"))
+    wanted = [(1, 1, n), (2, 5, 5), (3, 1020, 1030), (4, 1024, 39_000), (5, 30_000, 10 * n), (6, 1, 1), (7, n + 1, n + 5)]
+    sel = spark.createDataFrame([(i, "f", a, b) for i, a, b in wanted], "sel_id int, path string, start_line int, end_line int")
+    out = {r.sel_id: (r.snippet, r.n_snippet_lines, r.error) for r in ranges.extract_ranges(lines, sel).collect()}
+    for i, a, b in wanted:
+        want = [str(x) for x in range(a, min(b, n) + 1)]
+        assert out[i] == ("\n".join(want), len(want), None)
+    assert ranges.extract_ranges(lines, sel.limit(0)).collect() == []

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines_array
+from ..session import materialize
 
 BUCKET_LINES = 1024
 
@@ -43,6 +44,43 @@ def range_join(lines: DataFrame, ranges: DataFrame, start: str, end: str, how: s
     return lb.join(rb, cond, how).drop("_b", "_rpath")
 
 
+def dyadic_cover(lo: F.Column, hi: F.Column) -> F.Column:
+    """Numbers ``lo..hi`` as at most two aligned blocks of ``2**level`` numbers a
+    level: an array of (level, index)."""
+    none = F.array().cast("array<struct<level:int,index:bigint>>")
+    start = F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), none.alias("out"))
+
+    def step(a, level):
+        left, right = a["lo"] % 2 == 1, (a["hi"] % 2 == 0) & (a["lo"] + a["lo"] % 2 <= a["hi"])
+        block = lambda at: F.array(F.struct(level.alias("level"), at.alias("index")))
+        some = F.concat(a["out"], F.when(left, block(a["lo"])).otherwise(none), F.when(right, block(a["hi"])).otherwise(none))
+        up = F.struct(F.shiftright(a["lo"] + a["lo"] % 2, 1).alias("lo"),
+                      F.shiftright(a["hi"] - F.when(right, 1).otherwise(0), 1).alias("hi"), some.alias("out"))
+        return F.when(a["lo"] <= a["hi"], up).otherwise(a)
+
+    levels = F.ceil(F.log2((hi - lo + 2).cast("double"))).cast("int") + 1
+    many = F.aggregate(F.sequence(F.lit(0), levels), start, step, lambda a: a["out"])
+    one = F.array(F.struct(F.lit(0).alias("level"), lo.cast("long").alias("index")))
+    return F.when(lo == hi, one).otherwise(many)
+
+
+def dyadic_join(lines: DataFrame, ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """The inner ``range_join`` for ranges of any length. A range is at most two rows a
+    level of aligned blocks of buckets, instead of one for each bucket, and a line
+    probes the block above it at each level that occurs: one where ranges are short,
+    some twenty where they span files of ten million lines."""
+    blocks = dyadic_cover(_bucket(F.col(start)), F.greatest(_bucket(F.col(end)), _bucket(F.col(start))))
+    rb = materialize(ranges.withColumn("_c", F.explode(blocks)).withColumnRenamed("path", "_rpath"), "range-blocks")
+    levels = [r["l"] for r in rb.select(F.col("_c.level").alias("l")).distinct().collect()]  # one a power of two
+    probes = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(_bucket(F.col("line_no")), n).alias("index")) for n in sorted(levels)])
+    if not levels:
+        probes = F.array().cast("array<struct<level:int,index:bigint>>")
+    lb = lines.withColumn("_d", F.explode(probes))
+    cond = [lb["path"] == rb["_rpath"], lb["_d.level"] == rb["_c.level"], lb["_d.index"] == rb["_c.index"],
+            lb["line_no"] >= rb[start], lb["line_no"] <= rb[end]]
+    return lb.join(rb, cond).drop("_d", "_c", "_rpath")
+
+
 # Lines a piece of a file spans in running values over its edits.
 PIECE_LINES = 65_536
 
@@ -122,7 +160,7 @@ def extract_ranges(
     good = sel.filter(F.col("error").isNull() & (F.col("start_line") <= F.col("n_file_lines"))).select(
         id_col, "path", F.col("start_line").alias("_s"), F.least("end_line", "n_file_lines").alias("_e")
     )
-    hit = range_join(lines.select("path", "line_no", "line"), good, "_s", "_e")
+    hit = dyadic_join(lines.select("path", "line_no", "line"), good, "_s", "_e")
     parts = F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), F.col("line").alias("t"))))
     snippets = hit.groupBy(id_col).agg(
         F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("snippet"),
