@@ -151,3 +151,26 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 300)], "a long, b long")
     got = {r["node"]: r["root"] for r in smallest_reachable(edges, "t").collect()}
     assert got == {**{i: 0 for i in range(71)}, 200: 200, 300: 200}
+
+
+def test_links_of_a_large_tight_leaf():
+    """Near copies by the matrix product, others by postings: the same as sets say."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    sets = []
+    for i in range(400):
+        s = base.copy() if i % 5 else rng.integers(0, 2**63, 40, dtype=np.uint64)
+        k = rng.integers(0, 12)
+        s[rng.choice(len(s), k, replace=False)] = rng.integers(0, 2**63, k, dtype=np.uint64)
+        sets.append(np.unique(s))
+    sets += [s.copy() for s in sets[:3]]
+    th, copies = Threshold(85), rng.integers(1, 4, len(sets))
+    edges, links = jaccard_join.leaf_links(th, np.arange(len(sets)), np.ones(len(sets), bool), sets, copies)
+    python = [set(s.tolist()) for s in sets]
+    near = [[j for j, t in enumerate(python) if j != i and 100 * len(s & t) >= 85 * len(s | t)] for i, s in enumerate(python)]
+    assert links.tolist() == [int(copies[x].sum()) for x in near]
+    label = list(range(len(sets)))
+    for _ in range(9):
+        label = [min([label[i], *(label[j] for j in near[i])]) for i in range(len(sets))]
+    parent = dict(zip(edges[:, 1].tolist(), edges[:, 0].tolist()))
+    assert [parent.get(i, i) for i in range(len(sets))] == label

@@ -295,13 +295,19 @@ def distances(th: Threshold, sets: list[np.ndarray], pivots: list[np.ndarray]) -
     return out
 
 
+#: Entries of the dense part of a leaf, and rows of it that are multiplied at once.
+DENSE, ROWS = 24_000_000, 256
+
+
 def leaf_links(
     th: Threshold, points: np.ndarray, home: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, pivots: int = 8
 ) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a leaf that keep its components, and for each point the linked
     points' copies. Only points at home look for links.
 
-    Postings count common shingles; distances to a few pivots narrow first."""
+    Common shingles are counted exactly: those that many points of the leaf have
+    (near copies have nearly all of them) by a matrix product, the others by
+    postings. Distances to a few pivots narrow first."""
     eps = 1 - th.percent / 100 + 1e-9
     n = len(points)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -318,32 +324,38 @@ def leaf_links(
     flat, owner = flat[order], owner[order]
     values, first = np.unique(flat, return_index=True)
     stop = np.append(first[1:], len(flat))
-    parent = np.arange(n)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for x in np.flatnonzero(home):
-        at = np.searchsorted(values, sets[x])
-        posts = [owner[first[k] : stop[k]] for k in at.tolist()]
-        common = np.bincount(np.concatenate(posts), minlength=n)
-        ok = (100 * np.minimum(sizes, sizes[x]) >= th.percent * np.maximum(sizes, sizes[x])) & (common > 0)
-        if narrow:
-            ok &= (np.abs(far - far[x]) <= eps).all(1)
-        ok[x] = False
-        found = np.flatnonzero(ok)
-        found = found[th.linked(common[found], sizes[x], sizes[found])]
-        links[x] = copies[found].sum()
-        for y in found.tolist():
-            a, b = find(x), find(y)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    root = np.array([find(i) for i in range(n)])
-    joined = np.flatnonzero(root != np.arange(n))
-    return np.stack([points[root[joined]], points[joined]], 1), links
+    held = stop - first
+    often = np.flatnonzero(held >= max(64, n // 16))
+    often = often[np.argsort(-held[often], kind="stable")][: DENSE // n]
+    dense = np.zeros((n, len(often)), np.float32)
+    for c, k in enumerate(often.tolist()):
+        dense[owner[first[k] : stop[k]], c] = 1
+    rare = np.ones(len(values), bool)
+    rare[often] = False
+    label = np.arange(n)
+    at_home = np.flatnonzero(home)
+    for start in range(0, len(at_home), ROWS):
+        block = at_home[start : start + ROWS]
+        product = dense[block] @ dense.T
+        for x, shared in zip(block.tolist(), product):
+            common = shared.astype(np.int64)
+            at = np.searchsorted(values, sets[x])
+            posts = [owner[first[k] : stop[k]] for k in at[rare[at]].tolist()]
+            if posts:
+                common += np.bincount(np.concatenate(posts), minlength=n)
+            ok = (100 * np.minimum(sizes, sizes[x]) >= th.percent * np.maximum(sizes, sizes[x])) & (common > 0)
+            if narrow:
+                ok &= (np.abs(far - far[x]) <= eps).all(1)
+            ok[x] = False
+            found = np.flatnonzero(ok)
+            found = found[th.linked(common[found], sizes[x], sizes[found])]
+            links[x] = copies[found].sum()
+            near = label[found]
+            if len(near) and (near != label[x]).any():
+                joined = np.unique(np.append(near, label[x]))
+                label[np.isin(label, joined[1:])] = joined[0]
+    joined = np.flatnonzero(label != np.arange(n))
+    return np.stack([points[label[joined]], points[joined]], 1), links
 
 
 LEAF = "a long, b long, links long"
