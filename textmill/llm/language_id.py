@@ -36,16 +36,15 @@ def training_blocks(
     drawn by hash from all parts of at most ``sample_docs`` labelled documents."""
     ident, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
     order = F.xxhash64(ident)
-    teach = docs.where((fold(ident) != 0) & lang.isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    drawn = teach.select(lang.alias("lang"), ident.alias("id"), order.alias("key"))
+    # names of their own, whatever other columns there are
+    teach = docs.where((fold(ident) != 0) & lang.isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
+        ident.alias("id"), lang.alias("lang"), F.col(f"`{text_col}`").alias("text"), order.alias("key"))
+    drawn = teach.select("lang", "id", "key")
     first = Window.partitionBy("lang").orderBy("key", "id")
     drawn = drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs)
     # at most sample_docs rows a language
     ids = F.broadcast(drawn.select(F.col("id").alias("s_id"), F.col("lang").alias("s_lang")).distinct())
-    text = F.col(f"`{text_col}`")
-    texts = teach.join(ids, (ident == F.col("s_id")) & (lang == F.col("s_lang"))).select(
-        F.col("s_lang").alias("lang"), F.col("s_id").alias("id"), text.alias("text")
-    )
+    texts = teach.join(ids, (F.col("id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang"))).select("lang", "id", "text")
     at = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / block_chars).cast("int"))
     blocks = texts.where(F.char_length("text") > 0).select("lang", "id", "text", F.explode(at).alias("k"))
     blocks = blocks.select(
