@@ -353,7 +353,8 @@ def default_ranks() -> tuple[str, str]:
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
     """One row per input row: ``id, n_tokens, ids`` (array of int), and
     ``lossless``: whether the ids decode to the text's bytes. A null or empty
-    text has no ids."""
+    text has no ids. Repeated rows and null ids are rows like others; other columns
+    are not read; an empty table gives no rows."""
     path, pattern = ranks or default_ranks()
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
     extra = {"n_tokens": F.lit(0).cast("long"), "ids": F.array().cast("array<int>"), "lossless": F.lit(True)}
@@ -378,7 +379,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def decode_ids(docs: DataFrame, ids_col: str = "ids", ranks: tuple[str, str] | None = None, out: str = "decoded") -> DataFrame:
-    """``docs`` with a binary column ``decoded``: the bytes of the ids, empty for null."""
+    """``docs`` with a binary column ``decoded``: the bytes of the ids, empty for null.
+    All other columns and rows stay; a column of that name is replaced."""
     path, pattern = ranks or default_ranks()
 
     @F.pandas_udf("binary")

@@ -103,7 +103,8 @@ def differing_leaves(a: DataFrame, b: DataFrame, fanout: int = 16) -> DataFrame:
 
 def corrupt_records(a: DataFrame, b: DataFrame, leaves: DataFrame, leaf_bytes: int = 1 << 20) -> DataFrame:
     """``archive, offset, status``: records of the named leaves that are ``changed``,
-    ``missing`` in replica ``b`` or ``extra`` there."""
+    ``missing`` in replica ``b`` or ``extra`` there. Several payloads at one offset
+    are one entry; without leaves there are no rows."""
 
     def within(t: DataFrame) -> DataFrame:
         node = F.floor(F.col("offset") / leaf_bytes).cast("long")

@@ -198,7 +198,9 @@ def quality_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 
 def good_documents(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the machine does not reject, with all columns."""
+    """The rows of ``docs`` that the machine does not reject, with all columns. A null
+    text is scored as an empty one. Repeated rows are judged each by itself, and
+    alike; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text_col)
 
