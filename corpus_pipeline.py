@@ -12,6 +12,8 @@ the columns of ``documents``:
 4. mixing sources to target weights: one row for each time a document is taken;
    where a source's target ends inside a document, only its first words;
 5. byte-level BPE: token ids, and whether they decode to the text.
+
+Each stage takes an empty table to an empty one.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from textmill.llm.common import materialize, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier keeps; a null text is judged as an empty one."""
     machine = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.good_documents(docs, machine)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, null being empty; with the largest id, null ids last."""
     return exact_dedup.keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies. Rows without words are groups of their own;
+    repeated rows and rows of one id are told apart by hashes of the text."""
     # a row's key, in the order in which rows are kept: rows of one id and without an
     # id are told apart by two hashes of the text
     text = F.coalesce("text", F.lit(""))
@@ -53,11 +59,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time a document is taken; rows without words never are. A null
+    source is one, null and repeated ids are rows like others."""
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each row; a null or empty text has none."""
     return byte_bpe.encode_texts(docs)
 
 

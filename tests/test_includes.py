@@ -31,7 +31,7 @@ def test_closure_and_errors(spark):
 
 
 def test_checks_see_the_closure(spark):
-    rows, _ = parse_closure(frame(spark, FILES))
+    rows = parse_closure(frame(spark, FILES))
     got = sorted((r.file, r.pkg, r.kind) for r in rows.collect())
     assert got == [("deps/base.in", "b", "requirement"), ("deps/more.in", "c", "requirement"), ("limits.txt", "a", "constraint"),
                    ("requirements.txt", "a", "requirement"), ("soft.in", "d", "constraint")]

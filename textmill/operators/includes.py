@@ -52,17 +52,8 @@ def include_edges(lines: DataFrame) -> DataFrame:
     return e.withColumn("path", F.when(~address, resolved(folder, F.col("target"))))
 
 
-def resolve_includes(lines: DataFrame, patterns: list[str] = MANIFEST_PATTERNS, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """``(files, errors)`` of ``lines(project, path, line_no, line)``.
-
-    ``files(project, file, kind, depth)``: the files whose path fits a pattern
-    (depth 0) and all they include, with the least number of includes that leads
-    there; kind 'constraint' if every way there passes a ``-c``.
-    ``errors(project, file, line_no, target, error)``: include lines of these files
-    that are an 'address', lead 'outside the project', name a 'missing file' or
-    close a 'cycle' (the included file leads back to the including one).
-    A null project is a project. Equal lines at one number are one edge. Empty
-    input gives no rows."""
+def _reach(lines: DataFrame, patterns: list[str], max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The include edges of all files, and the files that the manifests reach."""
     named = lines.withColumn("_p", F.struct("project"))
     everything = materialize(named.select("_p", F.col("path").alias("file")).distinct(), "include-files")
     edges = include_edges(lines).withColumn("_p", F.struct("project")).drop("project").distinct()
@@ -92,6 +83,25 @@ def resolve_includes(lines: DataFrame, patterns: list[str] = MANIFEST_PATTERNS,
         known.append(frontier)
     reached = union(known).groupBy("_p", "file").agg(F.max("kind").alias("kind"), F.min("depth").alias("depth"))
     reached = materialize(reached, "include-reached")
+    return edges, reached
+
+
+def included_files(lines: DataFrame, patterns: list[str] = MANIFEST_PATTERNS, max_rounds: int = 10_000) -> DataFrame:
+    """``project, file, kind, depth`` of ``lines(project, path, line_no, line)``: the
+    files whose path fits a pattern (depth 0) and all they include, with the least
+    number of includes that leads there; kind 'constraint' if every way there passes
+    a ``-c``. A null project is a project. Equal lines at one number are one edge.
+    Empty input gives no rows."""
+    _, reached = _reach(lines, patterns, max_rounds)
+    return reached.select("_p.project", "file", "kind", "depth")
+
+
+def resolve_includes(lines: DataFrame, patterns: list[str] = MANIFEST_PATTERNS, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """``(files, errors)``: ``included_files``, and ``errors(project, file, line_no,
+    target, error)``: include lines of these files that are an 'address', lead
+    'outside the project', name a 'missing file' or close a 'cycle' (the included
+    file leads back to the including one)."""
+    edges, reached = _reach(lines, patterns, max_rounds)
     of_reached = edges.join(reached.select("_p", "file"), ["_p", "file"], "left_semi")
     loops = on_cycles(of_reached.where("there").select("_p", F.col("file").alias("a"), F.col("path").alias("b")).distinct())
     e = of_reached.join(loops.select("_p", F.col("a").alias("file"), F.col("b").alias("path"), F.lit(True).alias("loop")), ["_p", "file", "path"], "left")
@@ -125,17 +135,16 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return left.join(back, ["_p", "a", "b"], "left_semi").unionByName(left.where("a = b")).distinct()
 
 
-def parse_closure(lines: DataFrame, patterns: list[str] = MANIFEST_PATTERNS) -> tuple[DataFrame, DataFrame]:
-    """``parse_manifests`` over the manifests and all files they include, as
-    ``(rows, errors)``. Rows of files reached only through ``-c`` have kind
-    'constraint' where they would be 'requirement': the checks for unused and
-    missing packages do not count them as declared. ``errors`` as in
-    ``resolve_includes``; include lines are no rows."""
-    files, errors = resolve_includes(lines, patterns)
+def parse_closure(lines: DataFrame, patterns: list[str] = MANIFEST_PATTERNS) -> DataFrame:
+    """``parse_manifests`` over the manifests and all files they include. Rows of
+    files reached only through ``-c`` have kind 'constraint' where they would be
+    'requirement': the checks for unused and missing packages do not count them as
+    declared. Include lines are no rows."""
+    files = included_files(lines, patterns)
     reached = files.select(F.struct("project").alias("_p"), F.col("file").alias("path"), F.col("kind").alias("_kind"))
     here = lines.withColumn("_p", F.struct("project")).join(reached, ["_p", "path"])
     rows = parse_manifests(here.select("project", "path", "line_no", "line"), [""])
     kinds = reached.select("_p", F.col("path").alias("file"), "_kind")
     rows = rows.where("kind <> 'directive'").withColumn("_p", F.struct("project")).join(kinds, ["_p", "file"])
     soft = (F.col("_kind") == "constraint") & (F.col("kind") == "requirement")
-    return rows.withColumn("kind", F.when(soft, F.lit("constraint")).otherwise(F.col("kind"))).drop("_p", "_kind"), errors
+    return rows.withColumn("kind", F.when(soft, F.lit("constraint")).otherwise(F.col("kind"))).drop("_p", "_kind")

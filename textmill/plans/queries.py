@@ -450,7 +450,7 @@ def unsatisfiable_ranges(spark, sf_dir):
 
 @query
 def manifest_includes(spark, sf_dir):
-    files, _ = includes.resolve_includes(include_file_lines(spark, sf_dir))
+    files = includes.included_files(include_file_lines(spark, sf_dir))
     return files.select("project", "file", "kind", big("depth").alias("depth"))
 
 
@@ -462,7 +462,7 @@ def include_errors(spark, sf_dir):
 
 @query
 def manifest_closure(spark, sf_dir):
-    rows, _ = includes.parse_closure(include_file_lines(spark, sf_dir))
+    rows = includes.parse_closure(include_file_lines(spark, sf_dir))
     return rows.select("project", "file", big("line_no").alias("line_no"), "pkg", "op", "version", "kind")
 
 
