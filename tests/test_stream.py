@@ -43,3 +43,29 @@ def test_any_split_and_order_of_files(spark, tmp_path):
         got = sorted(((r.session, r.turn, r.text) for r in read_sink(spark, out, "good").collect()), key=repr)
         assert got == want
         assert read_sink(spark, out, "good").count() + read_sink(spark, out, "dead").count() == len(rows)
+
+
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    from textmill.plans.queries import QUERIES
+
+    rows = pd.DataFrame({"conv_id": [1, 1, 2], "turn": [1, 2, 0], "text": ["a", "exit", " "]}).astype({"text": "string"})
+    for kind in ("file", "folder", "none"):
+        at = tmp_path / kind
+        at.mkdir()
+        path = at / "conversations.parquet"
+        if kind == "file":
+            rows.to_parquet(path)
+        else:
+            path.mkdir()
+            for i in range(2):
+                rows[i::2][:0 if kind == "none" else None].to_parquet(path / f"{i}.parquet")
+        good = sorted((r.session, r.turn) for r in QUERIES["request_stream"](spark, str(at)).collect())
+        dead = sorted((r.session, r.turn, r.status) for r in QUERIES["request_stream_dead"](spark, str(at)).collect())
+        assert good == ([] if kind == "none" else [(1, 1)]), kind
+        assert dead == ([] if kind == "none" else [(1, 2, "after exit"), (2, 0, "blank")]), kind
+
+
+def test_nothing_arrives(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out = request_stream(spark, str(tmp_path / "in"), "session long, turn long, text string", lambda df: df, out_dir=str(tmp_path / "out"))
+    assert read_sink(spark, out, "good").collect() == [] and read_sink(spark, out, "dead").collect() == []

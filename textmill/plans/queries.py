@@ -26,7 +26,7 @@ from .tables import (
     ALIASES, STDLIB, analysis_answers, answers_from_events, code_file_lines, code_files, corpus_versions,
     doc_lines, doc_path, edited_tree, edits, files_from_documents, include_file_lines, latest_versions, line_delta, manifest_file_lines, package_files,
     part_code_lines, part_script_lines, project_files_from_orders, range_file_lines, render_requests, requests_from_conversations,
-    routed_requests, selections, table, tool_specs,
+    routed_requests, selections, stream_source, table, tool_specs,
 )
 
 
@@ -626,7 +626,7 @@ def convert_projects(spark, sf_dir):
 def request_stream_dead(spark, sf_dir):
     """The other sink of the stream: blank requests and those after an exit."""
     schema = table(spark, sf_dir, "conversations").schema
-    out = req_stream.request_stream(spark, sf_dir, schema, render_requests, file_glob="conversations.parquet")
+    out = req_stream.request_stream(spark, stream_source(sf_dir, "conversations"), schema, render_requests)
     dead = req_stream.read_sink(spark, out, "dead")
     return dead.select("session", "turn", "status")
 
@@ -636,6 +636,6 @@ def request_stream(spark, sf_dir):
     """The session rules on a stream of conversation files: same rows as
     ``session_requests``."""
     schema = table(spark, sf_dir, "conversations").schema
-    out = req_stream.request_stream(spark, sf_dir, schema, render_requests, file_glob="conversations.parquet")
+    out = req_stream.request_stream(spark, stream_source(sf_dir, "conversations"), schema, render_requests)
     good = req_stream.read_sink(spark, out, "good")
     return good.select("session", "turn", md5("text").alias("text_md5"))

@@ -44,6 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+def stream_source(sf_dir: str, name: str) -> str:
+    """A pattern of one choice that names the table for a stream of files: it fits
+    whether the table is a file or a folder of files, which a plain path does not."""
+    return f"{sf_dir.rstrip('/')}/{{{name}.parquet}}"
+
+
 # Fixed values of the renderings (shared with the SQL side).
 FOLDERS = ["src", "lib", "node_modules", "dist", "build", ".git", "__pycache__"]
 LANG_SUFFIX = {"en": ".py", "fr": ".js", "de": ".go", "es": ".txt"}

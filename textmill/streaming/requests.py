@@ -59,9 +59,10 @@ def request_stream(
     max_files_per_trigger: int = 100,
 ) -> str:
     """Run the stream over everything available (``trigger(availableNow)``)
-    in the folder ``source`` (files matching ``file_glob``) and return the
-    output folder; read its two sinks with ``read_sink(spark, out, "good")``
-    and ``read_sink(spark, out, "dead")``.
+    in ``source``, a folder (of it the files matching ``file_glob``) or a pattern
+    of files and folders, and return the output folder; read its two sinks with
+    ``read_sink(spark, out, "good")`` and ``read_sink(spark, out, "dead")``. They
+    are there, and empty, if nothing arrives.
 
     ``render`` turns the raw rows into ``requests(session, turn, text)``.
     Checkpoint and output default to fresh folders under the session's
@@ -73,6 +74,7 @@ def request_stream(
         reader = reader.option("pathGlobFilter", file_glob)
     raw = reader.parquet(source)
     reqs = render(raw).select("session", "turn", "text")
+
     def sink(batch: DataFrame, batch_id: int):
         session = batch.sparkSession
         here = os.path.join(out_dir, SEEN, f"batch={batch_id}")
@@ -80,6 +82,8 @@ def request_stream(
         rows = session.read.schema(batch.schema).parquet(here)
         first_exits(rows).write.mode("overwrite").parquet(os.path.join(out_dir, EXITS, f"batch={batch_id}"))
 
+    # a batch of no rows: both tables are there if no file ever arrives
+    sink(spark.createDataFrame([], reqs.schema), -1)
     q = (reqs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
