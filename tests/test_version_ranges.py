@@ -81,3 +81,13 @@ def test_from_manifests_and_null_projects(spark):
         "project string, path string, line_no int, line string")
     got = sorted((tuple(r) for r in unsatisfiable(D.parse_manifests(lines)).collect()), key=repr)
     assert got == [("p", "some-pkg", "==1.9, >=2"), (None, "x", "<1, >1")]
+
+
+def test_a_rendering_computes_the_picked_choice_only(spark):
+    from pyspark.sql import functions as F
+
+    from textmill.plans.tables import picked
+
+    choices = [F.concat(F.lit("a"), F.col("id").cast("string")), F.lit("b"), F.raise_error(F.lit("not picked")).cast("string")]
+    out = spark.range(4).select(picked(F.col("id") % 2, choices).alias("x"))
+    assert sorted(r.x for r in out.collect()) == ["a0", "a2", "b", "b"]

@@ -41,6 +41,11 @@ def normalize_pkg(col) -> F.Column:
     return F.regexp_replace(F.lower(c), r"[-_.]+", "-")
 
 
+def without_comment(line: str) -> F.Column:
+    """The line without ``#`` and what follows, where blank space or nothing is before it."""
+    return F.when(F.col(line).contains("#"), F.regexp_replace(line, r"(^|\s)#.*$", "")).otherwise(F.col(line))
+
+
 def manifest_lines(lines: DataFrame, patterns=MANIFEST_PATTERNS) -> DataFrame:
     cond = None
     for p in patterns:
@@ -56,13 +61,14 @@ def parse_manifests(lines: DataFrame, patterns=MANIFEST_PATTERNS) -> DataFrame:
     without a clause), 'url' (``name @ address``), 'directive' (lines starting
     with '-') or 'invalid' (a line that fits none of these)."""
     m = manifest_lines(lines, patterns)
-    body = py_strip(F.regexp_replace(F.col("line"), r"(^|\s)#.*$", ""))
+    body = py_strip(without_comment("line"))
     m = m.select("project", F.col("path").alias("file"), "line_no", body.alias("_b"))
     head = py_strip(F.substring_index("_b", ";", 1))
     tail = F.when(F.instr("_b", ";") > 0, py_strip(F.regexp_replace("_b", r"^[^;]*;", "")))
     g = m.select("project", "file", "line_no", "_b", tail.alias("_marker"),
                  F.regexp_extract(head, NAME, 1).alias("_name"), F.regexp_extract(head, NAME, 2).alias("_rest"))
-    bare = py_strip(F.regexp_replace("_rest", r"^\((.*)\)$", "$1"))
+    bare = F.when(F.col("_rest") == "", "").otherwise(py_strip(
+        F.when(F.col("_rest").startswith("("), F.regexp_replace("_rest", r"^\((.*)\)$", "$1")).otherwise(F.col("_rest"))))
     clauses = F.transform(F.split(bare, ","), lambda c: F.trim(c))
     g = g.withColumn("_clauses", F.when(bare != "", clauses).otherwise(F.array().cast("array<string>")))
     fits = F.forall("_clauses", lambda c: c.rlike(CLAUSE))

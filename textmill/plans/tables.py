@@ -44,6 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+def picked(k: F.Column, choices: list[F.Column]) -> F.Column:
+    """The choice of number ``k`` from 0; the others are not computed."""
+    out = F.when(k == 0, choices[0])
+    for i, c in enumerate(choices[1:], 1):
+        out = out.when(k == i, c)
+    return out
+
+
 def stream_source(sf_dir: str, name: str) -> str:
     """A pattern of one choice that names the table for a stream of files: it fits
     whether the table is a file or a folder of files, which a plain path does not."""
@@ -417,10 +425,11 @@ def code_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(F.col("s").isNotNull()).select("s.project", "s.path", "line_no", "s.line")
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_files(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """``files(project, path)`` of the rendered source tree: the files that
-    have lines, plus ``util.py`` in finished orders."""
-    from_lines = code_file_lines(spark, sf_dir).select("project", "path")
+    have lines (``lines``: those of ``code_file_lines``, if written before), plus
+    ``util.py`` in finished orders."""
+    from_lines = (code_file_lines(spark, sf_dir) if lines is None else lines).select("project", "path")
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
     util = o.select(_project(F.col("o_orderkey")).alias("project"), F.lit("util.py").alias("path"))
     return from_lines.unionByName(util).distinct()
@@ -504,7 +513,7 @@ def range_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     clauses = ["==", ">=", "<", "<=", ">", "!=", "==", "~=", "!=", ">="]
     ends = [v, v, v, F.concat(v, F.lit("rc1")), v, v, F.concat(a.cast("string"), F.lit(".*")), v,
             F.concat(a.cast("string"), F.lit(".*")), F.concat(v, F.lit(",<"), (a + 1).cast("string"), F.lit(".0"))]
-    spec = F.element_at(F.array(*[F.concat(F.lit(c), e) for c, e in zip(clauses, ends)]), (F.col("l_partkey") % 10 + 1).cast("int"))
+    spec = picked(F.col("l_partkey") % 10, [F.concat(F.lit(c), e) for c, e in zip(clauses, ends)])
     line = F.concat(F.lit("lib-"), (F.col("l_linenumber") % 2).cast("string"), spec)
     return li.select(_project(F.col("l_orderkey")).alias("project"), F.lit("requirements.txt").alias("path"),
                      F.col("l_linenumber").cast("int").alias("line_no"), line.alias("line"))
@@ -525,7 +534,7 @@ def include_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("-r ../requirements.txt"), F.concat(F.lit("--requirement=../deps/"), f(1)), F.lit("-r https://example.org/x.txt"),
         F.lit("-r ../../up.txt"), F.concat(F.lit("-c "), f(3)),
     ]
-    include = F.element_at(F.array(*kinds), (F.col("l_partkey") % len(kinds) + 1).cast("int"))
+    include = picked(F.col("l_partkey") % len(kinds), kinds)
     pin = F.concat(F.lit("part-"), pk, F.lit("=="), ln.cast("string"), F.lit(".0"))
 
     def rows(df, project, path, lines):
