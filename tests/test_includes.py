@@ -60,3 +60,46 @@ def test_edges_on_cycles(spark):
     edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 4), (6, 6), (7, 0), (5, 8)]
     df = spark.createDataFrame([(1, str(a), str(b)) for a, b in edges], "_p int, a string, b string")
     assert sorted((int(r.a), int(r.b)) for r in on_cycles(df).collect()) == [(0, 1), (1, 2), (2, 0), (4, 5), (5, 4), (6, 6)]
+
+
+def random_projects(spark, n=60):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for p in range(n):
+        names = ["requirements.txt", "a/requirements-x.txt", *(f"{rng.choice('ab')}/{i}.in" for i in range(rng.randint(0, 7))), None]
+        for f in names:
+            for i in range(rng.randint(1, 3)):
+                to = rng.choice(["../" + str(x) for x in names] + ["0.in", "./1.in", "..", "https://example.org/x", "../../y", "/z", "a//b"])
+                line = rng.choice([f"-r {to}", f"--requirement={to}", f"\t-c {to}  # why", f"-r {to}", "x>=1", "-e .", "# -r 0.in", None])
+                rows += [(None if p == 7 else f"p{p}", f, i + 1, line)] * rng.choice([1, 1, 1, 2])
+    return spark.createDataFrame(rows, "project string, path string, line_no int, line string")
+
+
+def test_projects_in_a_row_and_by_rounds_agree(spark, monkeypatch):
+    from textmill.operators import includes
+
+    lines = random_projects(spark).repartition(3).cache()
+
+    def results():
+        files, errors = resolve_includes(lines)
+        return [sorted((tuple(r) for r in df.collect()), key=repr) for df in (files, errors, parse_closure(lines))]
+
+    rows = results()
+    monkeypatch.setattr(includes, "SMALL_LINES", 0)
+    rounds = results()
+    assert rows == rounds and all(rows) and {"cycle", "missing file", "address", "outside the project"} == {r[-1] for r in rows[1]}
+    monkeypatch.setattr(includes, "SMALL_LINES", 12)
+    assert results() == rounds
+
+
+def test_a_long_chain_takes_no_rounds(spark, monkeypatch):
+    from textmill.operators import includes
+
+    written, write = [], includes.materialize
+    monkeypatch.setattr(includes, "materialize", lambda df, name: written.append(name) or write(df, name))
+    chain = {"requirements.txt": ["-r 0.in"], **{f"{i}.in": [f"-r {i + 1}.in"] for i in range(50)}, "50.in": ["-r 0.in"]}
+    files, errors = resolve_includes(frame(spark, chain))
+    assert files.count() == 52 and errors.count() == 51 and max(r.depth for r in files.collect()) == 51
+    assert len(written) == 2
