@@ -110,3 +110,18 @@ def test_equal_numbers_nulls_and_empty(spark):
     gap = spark.createDataFrame([("g", 1, "a = 1 + \\"), ("g", 3, "b"), ("g", 4, "c = 2 + \\"), ("g", 5, "d")], df.schema)
     assert [r.state for r in code_lines(gap).orderBy("line_no").collect()] == [0, 0, 0, 5]
     assert code_lines(df.limit(0)).collect() == []
+
+
+def test_files_without_strings_meet_no_runs(spark):
+    """Files in which no line starts inside a string need no join, beside others that do."""
+    from textmill.operators.lexical import code_lines
+
+    plain = [("a.py", 1, "import a"), ("a.py", 2, "x = 'import b'")]
+    opened = [("b.py", 1, 't = """'), ("b.py", 2, "import c"), (None, 1, "import d")]
+    schema = "path string, line_no int, line string"
+    alone = code_lines(spark.createDataFrame(plain, schema), only="import")
+    assert "Join" not in alone._jdf.queryExecution().executedPlan().toString()
+    both = code_lines(spark.createDataFrame(plain + opened, schema), only="import")
+    assert sorted(((r.path, r.state, r.code) for r in both.collect()), key=repr) == [
+        ("a.py", 0, "import a"), ("a.py", 0, "x =  "), ("b.py", 2, ""), (None, 0, "import d")]
+    assert sorted((r.path, r.code) for r in alone.collect()) == [("a.py", "import a"), ("a.py", "x =  ")]

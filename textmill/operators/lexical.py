@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast, materialize
 from .ranges import file_lengths, ordered_scan, range_join
 
 PIECE = 256
@@ -171,15 +172,27 @@ def code_lines(lines: DataFrame, keys: tuple = ("path",), at: str = "line_no", l
         F.coalesce(F.col(f"`{at}`").cast("long"), F.lit(0).cast("long")).alias("line_no"),
         F.coalesce(F.col(f"`{line}`"), F.lit("")).alias("_text"),
         F.struct(*[F.col(f"`{c}`") for c in lines.columns]).alias("_row"))
-    runs = line_runs(src, "path", "line_no", "_text")
-    open_runs = runs.where("last_line is null").drop("last_line").join(file_lengths(src), "path")
-    open_runs = open_runs.select("path", "first_line", F.col("n_file_lines").alias("last_line"), "state").where("first_line <= last_line")
-    runs = runs.where("last_line is not null").unionByName(open_runs)
+    runs = materialize(line_runs(src, "path", "line_no", "_text"), "string-runs")
     wanted = src if only is None else src.where(F.col("_text").contains(only))
-    out = range_join(wanted, runs, "first_line", "last_line", "left").withColumn("state", F.coalesce("state", F.lit(0)))
+    # only files in which a line starts inside a string meet the runs
+    zero = F.lit(0).alias("state")
+    if runs.isEmpty():
+        out = wanted.select("*", zero)
+    else:
+        files = bounded_broadcast(runs.select("path").distinct())
+        open_runs = runs.where("last_line is null").drop("last_line")
+        of_open = src.join(bounded_broadcast(open_runs.select("path").distinct()), "path", "left_semi")
+        open_runs = open_runs.join(file_lengths(of_open), "path")
+        open_runs = open_runs.select("path", "first_line", F.col("n_file_lines").alias("last_line"), "state").where("first_line <= last_line")
+        runs = runs.where("last_line is not null").unionByName(open_runs)
+        inside = range_join(wanted.join(files, "path", "left_semi"), runs, "first_line", "last_line", "left")
+        inside = inside.select(*wanted.columns, F.coalesce("state", F.lit(0)).alias("state"))
+        out = inside.unionByName(wanted.join(files, "path", "left_anti").select("*", zero))
     rest = F.lit(None).cast("string")
     for s in STATES:
         rest = F.when(F.col("state") == s, code_part(F.col("_text"), s)).otherwise(rest)
-    code = F.coalesce(F.regexp_replace(rest, P["token"], "$1 "), F.lit(""))
+    # without a mark or '#' there is no token
+    code = F.when(F.col("_text").rlike(r"['\"#]"), F.regexp_replace(rest, P["token"], "$1 ")).otherwise(rest)
+    code = F.coalesce(code, F.lit(""))
     # out of a generator, so that what reads the code does not repeat the patterns
     return out.select("_row.*", F.inline(F.array(F.struct("state", code.alias("code")))))

@@ -388,8 +388,13 @@ def _reqs(spark, sf_dir):
     return deps.parse_manifests(manifest_file_lines(spark, sf_dir))
 
 
-def _imports(spark, sf_dir):
-    return deps.extract_imports(code_file_lines(spark, sf_dir))
+def _code(spark, sf_dir):
+    """Lines of code, read several times: rendered once."""
+    return materialize(code_file_lines(spark, sf_dir), "code-lines")
+
+
+def _imports(spark, sf_dir, code=None):
+    return deps.extract_imports(code_file_lines(spark, sf_dir) if code is None else code)
 
 
 def _alias(spark):
@@ -418,14 +423,15 @@ def extract_imports(spark, sf_dir):
 
 @query
 def unused_deps(spark, sf_dir):
-    out = deps.unused_deps(_reqs(spark, sf_dir), _imports(spark, sf_dir), _alias(spark))
+    out = deps.unused_deps(_reqs(spark, sf_dir), _imports(spark, sf_dir, _code(spark, sf_dir)), _alias(spark))
     return out.select("project", "file", big("line_no").alias("line_no"), "pkg")
 
 
 @query
 def missing_deps(spark, sf_dir):
-    mods = deps.project_modules(code_files(spark, sf_dir))
-    return deps.missing_deps(_reqs(spark, sf_dir), _imports(spark, sf_dir), _alias(spark), _stdlib(spark), mods)
+    code = _code(spark, sf_dir)
+    mods = deps.project_modules(code_files(spark, sf_dir, code))
+    return deps.missing_deps(_reqs(spark, sf_dir), _imports(spark, sf_dir, code), _alias(spark), _stdlib(spark), mods)
 
 
 @query
@@ -456,7 +462,7 @@ def manifest_includes(spark, sf_dir):
 
 @query
 def include_errors(spark, sf_dir):
-    _, errors = includes.resolve_includes(include_file_lines(spark, sf_dir))
+    errors = includes.include_errors(include_file_lines(spark, sf_dir))
     return errors.select("project", "file", big("line_no").alias("line_no"), "target", "error")
 
 
@@ -476,9 +482,10 @@ def outdated_deps(spark, sf_dir):
 def deps_issues(spark, sf_dir):
     """The four dependency checks as one issue table."""
     # each is read by several checks: parsed once
-    reqs, imps = materialize(_reqs(spark, sf_dir), "reqs"), materialize(_imports(spark, sf_dir), "imports")
+    code = _code(spark, sf_dir)
+    reqs, imps = materialize(_reqs(spark, sf_dir), "reqs"), materialize(_imports(spark, sf_dir, code), "imports")
     alias = _alias(spark)
-    mods = deps.project_modules(code_files(spark, sf_dir))
+    mods = deps.project_modules(code_files(spark, sf_dir, code))
     return deps.deps_issues(
         deps.unused_deps(reqs, imps, alias),
         deps.missing_deps(reqs, imps, alias, _stdlib(spark), mods),
