@@ -124,3 +124,38 @@ def test_keys_and_empty_input(spark):
     out = sorted(((r.project, r.path, r.line) for r in line_delta(v, ("project", "path")).collect()), key=repr)
     assert out == [("p", None, "+ b\n"), ("p", None, "- a\n"), (None, "x", "  b\n"), (None, "x", "- a\n")]
     assert line_delta(v.limit(0), ("project", "path")).collect() == []
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_versions_are_read_once_and_the_delta_comes_dealt_by_its_keys(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = [("a", "x\ny\n", "x\nz\n"), ("b", "1\n2\n", "1\n2\n"), ("c", None, "n\n"), (None, "o\n", "o\np\n")]
+    v = spark.createDataFrame(rows, "path string, old string, new string").mapInPandas(counted, "path string, old string, new string")
+    delta = line_delta(v)
+    got = {s: {r.path: r.text for r in restore_side(delta, s).collect()} for s in (1, 2)}
+    assert got == {1: {"a": "x\ny\n", "b": "1\n2\n", None: "o\n"}, 2: {"a": "x\nz\n", "b": "1\n2\n", "c": "n\n", None: "o\np\n"}}
+    assert read.value == len(rows)
+    assert exchanges(restore_side(delta, 1)) == exchanges(delta)  # lines of a file are together already
+
+
+def test_versions_of_odd_documents(spark, tmp_path):
+    from textmill.plans.tables import corpus_versions
+
+    docs = [(1, "a\nb"), (2, "a\nb\nc"), (2, "a\nb\nc"), (11, "x"), (13, None), (None, "q"), (6, None), (26, "k\n\nm\n"), (5, None)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.path, r.old, r.new) for r in corpus_versions(spark, str(tmp_path)).collect()), key=repr)
+    two = "a\na\nadded after line 1\nadded after line 1\nb (edited)\nb (edited)"
+    want = [("doc/1.txt", "a\nb", "a\nb"), *[("doc/2.txt", "a\nb\nc", two)] * 4, ("doc/11.txt", "x", None), ("doc/13.txt", None, None),
+            ("doc/13-copy.txt", None, None), (None, "q", None), ("doc/6.txt", None, None), ("doc/26.txt", "k\n\nm\n", "k\nadded after line 1\n (edited)"),
+            ("doc/26-copy.txt", None, "k\n\nm\n"), ("doc/5.txt", None, None)]
+    assert got == sorted(want, key=repr)

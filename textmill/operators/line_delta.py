@@ -14,7 +14,8 @@ All changed files are compared at once, by number and hash of their lines:
 
 Rounds are written to the checkpoint folder; each holds only the lines of gaps that
 still have lines on both sides. Running values go by pieces of a file, so a long
-file spreads over many tasks.
+file spreads over many tasks. Rounds know lines by their hashes only; the texts meet
+the numbers of kept and added lines once, at the end, by file.
 """
 
 from __future__ import annotations
@@ -33,10 +34,13 @@ LINE = r"[^\n]*\n|[^\n]+"
 TAGS = {"kept": "  ", "removed": "- ", "added": "+ "}
 
 
+def _lines(text: F.Column) -> F.Column:
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+
+
 def numbered(v: DataFrame, keys: list[str], side: str) -> DataFrame:
     """``f, p, line`` of one side: the file's keys, line number from 1, line with its end."""
-    lines = F.regexp_extract_all(F.col(side), F.lit(LINE), F.lit(0))
-    x = v.where(F.col(side).isNotNull()).select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("f"), F.posexplode(lines).alias("p", "line"))
+    x = v.where(F.col(side).isNotNull()).select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("f"), F.posexplode(_lines(F.col(side))).alias("p", "line"))
     return x.select("f", (F.col("p") + 1).cast("long").alias("p"), "line")
 
 
@@ -82,10 +86,11 @@ def matches(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     the old line it comes behind."""
     ident = F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("delta"), F.col("line")).alias("b"))
     rows = old.select("f", F.lit(0).alias("side"), "p", ident.alias("h")).unionByName(new.select("f", F.lit(1).alias("side"), "p", ident.alias("h")))
-    rows = materialize(rows.select(F.struct("f", F.lit(0).cast("long").alias("g")).alias("gap"), "side", "p", "h"), "delta-rows")
+    rows = rows.select(F.struct("f", F.lit(0).cast("long").alias("g")).alias("gap"), "side", "p", "h")
     pairs, places = [], []
     mine = F.col("side") == 0
     while True:
+        rows = rows.repartition("gap")  # sizes, ends and trimming all read this one shuffle
         # sizes of the gaps; an old line's offset follows from the gap's name, the line kept before it
         gaps = rows.groupBy("gap").agg(
             F.sum(F.when(mine, 1).otherwise(0)).alias("n_old"), F.sum(F.when(mine, 0).otherwise(1)).alias("n_new"),
@@ -93,8 +98,6 @@ def matches(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
         r = rows.join(gaps, "gap")
         t = F.when(mine, F.col("p") - 1 - F.col("gap.g")).otherwise(F.col("p") - F.col("start"))
         r = r.withColumn("t", t).withColumn("e", F.when(mine, F.col("n_old")).otherwise(F.col("n_new")) - 1 - F.col("t"))
-        r = materialize(r, "delta-gaps")
-        places.append(r.where("side = 1 and n_old = 0").select("gap.f", "p", F.col("gap.g").alias("after")))
         both = r.where("n_old > 0 and n_new > 0").withColumn("short", F.least("n_old", "n_new"))
         ends = both.select("gap", "h", "short", F.explode(F.array(
             F.struct(F.lit("t").alias("way"), F.col("t").alias("off")), F.struct(F.lit("e").alias("way"), F.col("e").alias("off")))).alias("x"))
@@ -102,34 +105,38 @@ def matches(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
         first = lambda way: F.coalesce(F.min(F.when(~F.col("same") & (F.col("way") == way), F.col("off"))), F.first("short"))
         ends = ends.groupBy("gap").agg(first("t").alias("head"), first("e").alias("tail0"), F.first("short").alias("s0"))
         ends = ends.select("gap", "head", F.least(F.col("tail0"), F.col("s0") - F.col("head")).alias("tail"))
-        both = materialize(both.join(ends, "gap"), "delta-trimmed")
+        # what a line is now, and a number: of a pair the new line, else the old line before the place
+        r = r.join(ends, "gap", "left").withColumns({"head": F.coalesce("head", F.lit(0)), "tail": F.coalesce("tail", F.lit(0))})
         at_head, at_tail = F.col("t") < F.col("head"), F.col("e") < F.col("tail")
+        m_old, m_new = (F.col(c) - F.col("head") - F.col("tail") for c in ("n_old", "n_new"))
+        what = (F.when(at_head | at_tail, F.when(mine, F.lit("pair")))
+                .when((m_old > 0) & (m_new > 0), F.lit("left")).when(~mine & (m_old == 0), F.lit("place")))
         j = F.when(at_head, F.col("start") + F.col("t")).otherwise(F.col("start") + F.col("n_new") - 1 - F.col("e"))
-        pairs.append(both.where(mine & (at_head | at_tail)).select("gap.f", F.col("p").alias("i"), j.alias("j")))
-        left = both.where(~at_head & ~at_tail).select(
-            F.struct("gap.f", (F.col("gap.g") + F.col("head")).alias("g")).alias("gap"), "side", "p", "h",
-            (F.col("n_old") - F.col("head") - F.col("tail")).alias("n_old"), (F.col("n_new") - F.col("head") - F.col("tail")).alias("n_new"))
-        end = (F.col("gap.g") + F.col("n_old")).alias("after")
-        places.append(left.where("side = 1 and n_old = 0").select("gap.f", "p", end))
-        left = left.where("n_old > 0 and n_new > 0")
+        g = F.col("gap.g") + F.col("head")
+        r = r.withColumn("what", what).where("what is not null").select(
+            "what", F.when(F.col("what") == "left", g).alias("g"), F.col("gap.f").alias("f"), "side", "p",
+            F.when(F.col("what") == "left", F.col("h")).alias("h"), F.when(F.col("what") == "pair", j).otherwise(g + m_old).alias("to"))
+        r = materialize(r, "delta-trimmed")
+        pairs.append(r.where("what = 'pair'").select("f", F.col("p").alias("i"), F.col("to").alias("j")))
+        places.append(r.where("what = 'place'").select("f", "p", F.col("to").alias("after")))
+        left = r.where("what = 'left'").select(F.struct("f", "g").alias("gap"), "side", "p", "h", F.col("to").alias("after"))
         once = left.groupBy("gap", "h").agg(
             F.sum(F.when(mine, 1).otherwise(0)).alias("a"), F.sum(F.when(mine, 0).otherwise(1)).alias("b"),
             F.min(F.when(mine, F.col("p"))).alias("i"), F.min(F.when(~mine, F.col("p"))).alias("j"))
         anchors = materialize(increasing(once.where("a = 1 and b = 1").select("gap", "i", "j")), "delta-anchors")
         if anchors.isEmpty():
-            places.append(left.where("side = 1").select("gap.f", "p", end))
+            places.append(left.where("side = 1").select("gap.f", "p", "after"))
             break
         pairs.append(anchors.select("gap.f", "i", "j"))
         sides = anchors.select("gap", F.explode(F.array(
             F.struct(F.lit(0).alias("side"), F.col("i").alias("p"), F.col("i").alias("mark")),
             F.struct(F.lit(1).alias("side"), F.col("j").alias("p"), F.col("i").alias("mark")))).alias("x")).select("gap", "x.*")
         cut = left.join(anchors.select("gap").distinct().withColumn("cut", F.lit(True)), "gap", "left")
-        places.append(cut.where("side = 1 and cut is null").select("gap.f", "p", end))
+        places.append(cut.where("side = 1 and cut is null").select("gap.f", "p", "after"))
         cut = cut.where("cut").select("gap", "side", "p", "h").join(sides, ["gap", "side", "p"], "left")
         cut = cut.select(F.struct("gap", "side").alias("group"), "gap", "side", "p", "h", "mark")
         cut = ordered_scan(cut, "group", "p", ["p"], max_col="mark").where("mark is null")
-        rows = materialize(cut.select(
-            F.struct("gap.f", F.coalesce("_prev_max", "gap.g").alias("g")).alias("gap"), "side", "p", "h"), "delta-rows")
+        rows = cut.select(F.struct("gap.f", F.coalesce("_prev_max", "gap.g").alias("g")).alias("gap"), "side", "p", "h")
     return _union(pairs), _union(places)
 
 
@@ -147,16 +154,33 @@ def line_delta(v: DataFrame, keys=("path",)) -> DataFrame:
 
     ``restore_side`` gives both texts back exactly. A side that is null or empty has
     no lines; equal sides keep all of them. Keys may be null but not repeat. Lines end
-    at '\\n' only. Empty input gives no rows."""
+    at '\\n' only. Empty input gives no rows. ``v`` is read once; the rows come dealt by
+    the keys."""
     keys = list(keys)
-    changed = v.where(~F.col("old").eqNullSafe(F.col("new")))
-    old, new = (materialize(numbered(changed, keys, side), f"delta-{side}") for side in ("old", "new"))
-    pairs, places = matches(old, new)
-    kept = pairs.select("f", F.col("i").alias("p"), F.lit(True).alias("kept"))
+    equal = F.coalesce(F.col("old") == F.col("new"), F.lit(False))
+    f = F.struct(*[F.col(f"`{k}`") for k in keys]).alias("f")
+    v = materialize(v.select(f, "old", F.when(~equal, F.col("new")).alias("new"), equal.alias("equal")), "delta-versions")
+    changed = v.where("not equal").select("f.*", "old", "new")
+    pairs, places = matches(*(numbered(changed, keys, side) for side in ("old", "new")))
+    # each file meets the numbers of its lines; the rows come out dealt by the keys
+    d = v.select("f.*", F.struct("old", "new", "equal").alias("_v"))
+    d = d.unionByName(pairs.select("f.*", F.col("i").alias("_i")), allowMissingColumns=True)
+    d = d.unionByName(places.select("f.*", F.struct("p", "after").alias("_a")), allowMissingColumns=True)
+    ks = [f"`{k}`" for k in keys]
+    d = d.groupBy(*ks).agg(*[F.collect_list(c).alias(c) for c in ("_v", "_i", "_a")])
+    texts = F.transform("_v", lambda x: F.struct(*[F.coalesce(_lines(x[c]), F.array().cast("array<string>")).alias(c) for c in ("old", "new")], x["equal"].alias("equal")))
+    d = d.select(*ks, "_i", "_a", F.explode(texts).alias("_v"))
+    n_old, n_new = (F.size(F.col(f"_v.{c}")).cast("long") for c in ("old", "new"))
+    every = F.when(n_old > 0, F.sequence(F.lit(1).cast("long"), n_old)).otherwise(F.array().cast("array<bigint>"))
+    kept = F.when(F.col("_v.equal"), every).otherwise(F.filter("_i", lambda i: i <= n_old))
     zero = F.lit(0).cast("long")
-    tag = F.when(F.col("kept"), TAGS["kept"]).otherwise(TAGS["removed"])
-    mine = old.join(kept, ["f", "p"], "left").select("f", F.struct(F.col("p").alias("old"), zero.alias("new")).alias("seq"), F.concat(tag, "line").alias("line"))
-    added = new.join(places, ["f", "p"]).select("f", F.struct(F.col("after").alias("old"), F.col("p").alias("new")).alias("seq"), F.concat(F.lit(TAGS["added"]), "line").alias("line"))
-    same = numbered(v.where(F.col("old") == F.col("new")), keys, "old")
-    same = same.select("f", F.struct(F.col("p").alias("old"), zero.alias("new")).alias("seq"), F.concat(F.lit(TAGS["kept"]), "line").alias("line"))
-    return mine.unionByName(added).unionByName(same).select("f.*", "seq", "line")
+
+    def row(side, tag, i, j):
+        at = (i if side == "old" else j).cast("int") - 1
+        return F.struct(F.struct(i.alias("old"), j.alias("new")).alias("seq"), F.concat(F.lit(TAGS[tag]), F.get(F.col(f"_v.{side}"), at)).alias("line"))
+
+    out = F.concat(
+        F.transform(kept, lambda i: row("old", "kept", i, zero)),
+        F.transform(F.array_except(every, kept), lambda i: row("old", "removed", i, zero)),
+        F.transform(F.filter("_a", lambda a: a["p"] <= n_new), lambda a: row("new", "added", a["after"], a["p"])))
+    return d.select(*ks, F.explode(out).alias("_r")).select(*ks, "_r.seq", "_r.line")

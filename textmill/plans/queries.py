@@ -441,12 +441,13 @@ def version_conflicts(spark, sf_dir):
 
 @query
 def delta_sides(spark, sf_dir):
-    """The delta of two versions, and both sides restored from it."""
-    delta = materialize(deltas.line_delta(corpus_versions(spark, sf_dir)), "delta")
+    """The delta of two versions, and both sides restored from it. The delta comes
+    dealt by path, so counts and sides read its one shuffle."""
+    delta = deltas.line_delta(corpus_versions(spark, sf_dir))
     tag = F.substring("line", 1, 2)
     n = delta.groupBy("path").agg(F.count(F.when(tag != "+ ", 1)).alias("n_old"), F.count(F.when(tag != "- ", 1)).alias("n_new"))
     one, two = (vers.restore_side(delta, s).select("path", md5("text").alias(name)) for s, name in ((1, "old_md5"), (2, "new_md5")))
-    return n.join(one, "path", "left").join(two, "path", "left")
+    return n.join(one.join(two, "path", "full_outer"), "path", "left")
 
 
 @query

@@ -159,10 +159,13 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.explode(arr).alias("e")).select("e.edit_id", "e.path", "e.start_line", "e.end_line", "e.snippet")
 
 
-def new_version_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def new_version_lines(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
     """Lines of the second version: line_no % 7 == 3 dropped, % 5 == 2 edited,
-    a line added after % 6 == 1. Ordered by ``k``."""
-    ln = doc_lines(spark, sf_dir)
+    a line added after % 6 == 1. Ordered by ``k``. Of ``files(path, text)``, or of
+    every document."""
+    from ..operators.lines import split_lines
+
+    ln = split_lines(files, "text") if files is not None else doc_lines(spark, sf_dir)
     n = F.col("line_no")
     own = F.when(n % 7 == 3, F.lit(None)).when(
         n % 5 == 2, F.concat("line", F.lit(" (edited)"))).otherwise(F.col("line"))
@@ -180,16 +183,16 @@ def corpus_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.lines import join_lines
     from ..operators.versions import versions
 
-    d = table(spark, sf_dir, "documents")
-    old = d.select(doc_path().alias("path"), "text")
-    edited = join_lines(new_version_lines(spark, sf_dir), ["path"], "k", "line", "text", final_newline=False)
-    ids = d.select(doc_path().alias("path"), "doc_id", F.col("text").alias("orig"))
-    new = ids.join(edited.select("path", "text"), "path", "left").select(
-        "path", "doc_id", F.when(F.col("doc_id") % 4 == 1, F.col("orig")).otherwise(F.col("text")).alias("text"))
-    new = new.filter((F.col("doc_id") % 11 != 0) & F.col("text").isNotNull()).select("path", "text")
-    copies = d.filter(F.col("doc_id") % 13 == 0).select(
-        F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("-copy.txt")).alias("path"), "text")
-    return versions(old, new.unionByName(copies))
+    d = table(spark, sf_dir, "documents").select(doc_path().alias("path"), "doc_id", "text")
+    i = F.col("doc_id")
+    changed, stays = i % 4 != 1, i % 11 != 0
+    # only texts that change are cut into lines, and only their paths meet the new ones
+    lines = new_version_lines(spark, sf_dir, d.where(changed & stays).select("path", "text"))
+    edited = join_lines(lines, ["path"], "k", "line", "text", final_newline=False)
+    new = d.where(changed & stays).select("path").join(edited.select("path", "text"), "path")
+    same = d.where(~changed & stays & F.col("text").isNotNull()).select("path", "text")
+    copies = d.where(i % 13 == 0).select(F.concat(F.lit("doc/"), i.cast("string"), F.lit("-copy.txt")).alias("path"), "text")
+    return versions(d.select("path", "text"), new.unionByName(same).unionByName(copies))
 
 
 def line_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
