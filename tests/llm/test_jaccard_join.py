@@ -99,6 +99,32 @@ def test_a_tight_group_is_not_copied_by_every_cut(spark, monkeypatch):
     assert got == brute(rows, 4, 85)
 
 
+def test_groups_with_a_common_passage_are_no_component(spark, monkeypatch):
+    """Near copies of twelve texts, a third of each being one passage: regions that lie in
+    the passage tie no groups, so no set is copied to meet other groups."""
+    rng, rows = random.Random(5), []
+    passage = [f"p{i}" for i in range(70)]
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(130)] + passage
+        for i in range(3):
+            t = list(base)
+            t[rng.randrange(130)] = f"x{g}y{i}"
+            rows.append((3 * g + i, " ".join(t)))
+    sizes, written = [], jaccard_join.materialize
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "jaccard-members":
+            sizes.append(sorted(r["count"] for r in out.groupBy("region").count().collect()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_components(df, words=5, percent=80, leaf_points=8).collect()), key=repr)
+    assert got == brute(rows, 5, 80)
+    assert sizes == [[3] * 12]
+
+
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     got = sorted(map(tuple, jaccard_components(odd_docs).collect()), key=repr)
     assert got == brute(odd_rows, 4, 85)
